@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: A word, in every operator that counts or shingles words.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Where scratch tables go if the session names no shared folder (tests on one machine).
@@ -16,6 +18,7 @@ LOCAL_SCRATCH = "/tmp/checkpoints/lodestone"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
