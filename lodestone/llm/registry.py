@@ -1,20 +1,24 @@
 """The queries of this package and their DuckDB twins."""
 
 from .langid import op9_langid
+from .linededup import OP10_SQL, op10_linededup
 from .maxscore import OP6_SQL, op6_maxscore
 from .mixing import op2_mixing
 from .packing import op8_packing
 from .quality import op4_quality
 from .sharding import op1_sharding
+from .substring import op3_substring
 from .winnowing import op7_winnowing
 
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_mixing": op2_mixing,
+    "op3_substring": op3_substring,
     "op4_quality": op4_quality,
     "op6_maxscore": op6_maxscore,
     "op7_winnowing": op7_winnowing,
     "op8_packing": op8_packing,
     "op9_langid": op9_langid,
+    "op10_linededup": op10_linededup,
 }
-ORACLES = {"op6_maxscore": OP6_SQL}
+ORACLES = {"op6_maxscore": OP6_SQL, "op10_linededup": OP10_SQL}
