@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-RATIO, LEAST = 0.1, 5
+RATIO, LEAST = 0.1, 3
 BROADCAST_LINES = 50_000
 _SPACE = " \t\x0b\x0c\r"
 
@@ -80,7 +80,7 @@ l AS (SELECT page_id, host, text, generate_subscripts(string_split(text, chr(10)
 t AS (SELECT *, trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS key FROM l),
 n AS (SELECT host, count(DISTINCT text) AS pages FROM p GROUP BY host),
 b AS (SELECT t.host, key FROM t JOIN n USING (host) WHERE key <> '' GROUP BY t.host, key, pages
-      HAVING count(DISTINCT text) >= 5 AND count(DISTINCT text) > 0.1::DOUBLE * pages),
+      HAVING count(DISTINCT text) >= 3 AND count(DISTINCT text) > 0.1::DOUBLE * pages),
 m AS (SELECT t.*, b.key IS NOT NULL AS gone FROM t LEFT JOIN b ON t.host = b.host AND t.key = b.key)
 SELECT page_id, any_value(host) AS host, count(*) FILTER (WHERE key <> '') AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
   coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS kept_text

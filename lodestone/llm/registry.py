@@ -4,6 +4,7 @@ from .langid import op9_langid
 from .linededup import OP10_SQL, op10_linededup
 from .maxscore import OP6_SQL, op6_maxscore
 from .mixing import op2_mixing
+from .ngramjoin import op5_ngramjoin
 from .packing import op8_packing
 from .quality import op4_quality
 from .sharding import op1_sharding
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_substring": op3_substring,
     "op4_quality": op4_quality,
+    "op5_ngramjoin": op5_ngramjoin,
     "op6_maxscore": op6_maxscore,
     "op7_winnowing": op7_winnowing,
     "op8_packing": op8_packing,
