@@ -1,6 +1,74 @@
-STAGES = []
+"""The corpus pipeline: quality, line dedup, near-duplicate join, mixing, packing.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows it is given; all but the last return the
+columns of documents. Defined results: rows without a doc_id are never merged with others by the
+near-duplicate stage; texts without words are kept by it; further columns pass through.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lodestone.llm import linededup, mixing, ngramjoin, packing, quality
+from lodestone.llm.common import WORD, materialize, table
+from lodestone.llm.langid import held_out
+
+#: Near duplicates: shingles of five words, similarity of 0.8.
+NEAR_GRAM, NEAR_SHARE = 5, (80, 100)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the classifier accepts."""
+    fold = held_out(F.col("doc_id"), 3, 1)
+    model = quality.fit(docs.filter(~fold), table(spark, sf_dir, "labels").filter(~fold).select("doc_id", "quality"))
+    hidden = docs.select("text", *[F.col(f"`{c}`").alias(f"_x{i}") for i, c in enumerate(docs.columns)])
+    kept = quality.predict(hidden, model, [f"_x{i}" for i in range(len(docs.columns))]).filter("predicted = 1")
+    return kept.select(*[F.col(f"_x{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without their source's boilerplate lines; n_chars follows the text."""
+    out = linededup.drop_boilerplate(docs, "source", "text")
+    return out.select(*[F.length("text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest doc_id."""
+    groups = ngramjoin.jaccard_components(docs, NEAR_GRAM, NEAR_SHARE)
+    heads = groups.filter("doc_id = component_id and n_shingles > 0").select("doc_id").distinct()
+    worded = F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
+    grouped = docs.filter(worded & F.col("doc_id").isNotNull()).join(heads, "doc_id", "left_semi")
+    again = Window.partitionBy("doc_id", F.crc32("text")).orderBy(F.length("text"))
+    first = grouped.withColumn("_again", F.row_number().over(again)).filter("_again = 1").select(*docs.columns)
+    return first.unionByName(docs.filter(~worded | F.col("doc_id").isNull()))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    return mixing.mix(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of packed sequences."""
+    return packing.pack(docs.select("doc_id", "text"), packing.vocabulary())
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("line dedup", line_stage),
+    ("n-gram jaccard join", near_stage),
+    ("mixing sources", mixing_stage),
+    ("packing", packing_stage),
+]
+#: A fitted classifier, words' tokens and seeded groups have no SQL form.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = materialize(docs, name.replace(" ", "-"))
+    return docs
