@@ -91,7 +91,8 @@ def with_next(docs: DataFrame, carry: list[str]) -> DataFrame:
     placed = rows.withColumn("_at", F.row_number().over(order)).withColumn("_last", F.lead("_at").over(order).isNull())
     placed = reduce(lambda d, c: d.withColumn(f"next_{c}", F.lead(c).over(order)), carry, placed)
     own = docs.columns + [f"next_{c}" for c in carry]
-    firsts = rows.withColumn("_at", F.row_number().over(order)).filter("_at = 1").select(F.col("_run").alias("_to"), *[F.col(c).alias(f"first_{c}") for c in carry])
+    # Asking for doc_id too makes all three uses of ``rows`` read the same columns, so one exchange serves them.
+    firsts = rows.withColumn("_at", F.row_number().over(order)).filter((F.col("_at") == 1) & (key >= low)).select(F.col("_run").alias("_to"), *[F.col(c).alias(f"first_{c}") for c in carry])
     runs = docs.select(F.shiftright(key, RUN_BITS).alias("run")).distinct()
     follow = successor_runs(runs, levels).select(F.col("run").alias("_run"), F.coalesce("next", F.lit(low >> RUN_BITS)).alias("_to"))
     ends = placed.filter("_last").drop(*[f"next_{c}" for c in carry]).join(follow, "_run").join(firsts, "_to")
