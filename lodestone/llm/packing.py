@@ -11,6 +11,7 @@ an empty table gives no pieces; further columns are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,44 +30,85 @@ GROUP_DOCS = 2048
 CACHE_WORDS = 400_000
 
 
+_PARTS = re.compile(rb"([A-Za-z\x80-\xff]*)([!-/:-@\[-`{-~]*)")
+
+
 class WordEncoder:
     """ids of whole texts, word by word: the vocabulary's splitting rule never crosses white space,
-    so a text's ids are those of its words in turn, and a word's ids are remembered."""
+    so a text's ids are those of its words in turn, and a word's ids are remembered. It also splits
+    letters from the marks that follow them, so the two are looked up apart; unknown words of letters
+    alone are encoded as one text, whose ids are cut after each id that ends a word."""
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        for token, i in vocabulary.items():
+            self.ends[i] = token.endswith("</w>")
+
+    def _learn_plain(self, words: list[str]) -> None:
+        """Words of lower-case letters."""
+        for i in range(0, len(words), 20_000):
+            part = words[i : i + 20_000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(part):
+                self._learn_each(part)
+                continue
+            raw, a = ids.tobytes(), 0
+            for w, b in zip(part, cuts.tolist()):
+                self.known[w.encode()] = raw[4 * a : 4 * b]
+                a = b
+
+    def _learn_each(self, words: list[str]) -> None:
+        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
+            self.known[w.encode()] = np.array(e.ids, dtype="<u4").tobytes()
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > self.limit:
-            self.known.clear()
-        need: dict[bytes, tuple[bytes, bytes]] = {}
+        known, plain, odd, joined = self.known, set(), set(), []
         for w in words:
-            low = w.lower() if w.isascii() else w
-            tail = low[-1:]
-            stem = low[:-1] if tail in (b",", b".") and low[:-1].isalpha() else low
-            need[w] = (stem, tail if stem is not low else b"")
-        parts = list({p for pair in need.values() for p in pair if p and p not in self.known})
-        for p, e in zip(parts, self.tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)):
-            self.known[p] = np.array(e.ids, dtype="<u4").tobytes()
-        for w, (stem, tail) in need.items():
-            if w not in self.known:
-                self.known[w] = self.known[stem] + (self.known[tail] if tail else b"")
+            stem, tail = m.groups() if (m := _PARTS.fullmatch(w)) else (b"", b"")
+            low = stem.decode("utf-8", "replace").lower()
+            if low and low.isalpha() and "\u03c2" not in low and "\u03c3" not in low:
+                if (key := low.encode()) not in known:
+                    plain.add(low)
+                if tail and tail not in known:
+                    odd.add(tail.decode())
+                if key != w:
+                    joined.append((w, key, tail))
+            else:
+                odd.add(w.decode())
+        self._learn_plain(list(plain))
+        self._learn_each(list(odd))
+        for w, key, tail in joined:
+            known[w] = known[key] + known[tail] if tail else known[key]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         words = [t.encode().split() for t in texts]
-        new = set().union(*words) - self.known.keys() if words else set()
+        here = set().union(*words) if words else set()
+        new = here - self.known.keys()
+        if len(self.known) + len(new) > self.limit:
+            self.known.clear()
+            new = here
         if new:
-            if len(self.known) + len(new) > self.limit:
-                new = set().union(*words)
-                self.known.clear()
             self.learn(new)
         get = self.known.__getitem__
         return [b"".join(map(get, w)) for w in words]
 
 
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder per worker process and vocabulary; it keeps its words from task to task."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 def batched(texts: list[str], most: int = 2_000_000) -> Iterator[list[str]]:
     """Runs of texts of at most ``most`` characters together (or one longer text)."""
     run, held = [], 0
@@ -110,7 +152,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: i
     """docs: (doc_id, text). One row per piece, before packing."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = WordEncoder(tokenizer_path), int(end_id).to_bytes(4, "little")
+        encoder, end = encoder_of(tokenizer_path), int(end_id).to_bytes(4, "little")
         for batch in batches:
             ids, at = batch.column(0).to_pylist(), 0
             for texts in batched([t or "" for t in batch.column(1).to_pylist()]):
