@@ -95,7 +95,7 @@ def word_match(signal: str, text: Column) -> Column:
     """A signal of up to three characters as a whole word, a longer one anywhere."""
     if len(signal) <= 3:
         quoted = "".join("\\" + c if not c.isalnum() else c for c in signal)
-        return text.rlike(rf"\b{quoted}\b")
+        return text.rlike(rf"(?U)\b{quoted}\b")
     return text.contains(signal)
 
 
