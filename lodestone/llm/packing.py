@@ -27,7 +27,7 @@ LENGTH = 4096
 END_ID = 2
 GROUP_DOCS = 2048
 #: Words whose ids a Python worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 
 
 _PARTS = re.compile(rb"([A-Za-z\x80-\xff]*)([!-/:-@\[-`{-~]*)")
