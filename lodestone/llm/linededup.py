@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import let, materialize, table
 
 RATIO, LEAST = 0.1, 3
 BROADCAST_LINES = 50_000
@@ -46,25 +46,32 @@ def drop_boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATI
     if size <= BROADCAST_LINES:
         lists = F.broadcast(lists)
     both = pages.join(lists, F.col(host).eqNullSafe(F.col("_host")), "left")
-    blank = lambda x: F.btrim(x, F.lit(_SPACE)) == ""
-    every = F.split(text, "\n", -1)
-    gone = F.when(F.col("_lines").isNull(), F.lit(0)).otherwise(F.size(F.filter(every, lambda x: ~blank(x) & F.array_contains("_lines", _line_hash(x)))))
-    kept = F.when(F.col("_dropped") > 0, F.array_join(F.filter(every, lambda x: blank(x) | ~F.array_contains("_lines", _line_hash(x))), "\n")).otherwise(F.col(text))
-    counted = both.withColumn("_dropped", F.when(F.col(text).isNull(), 0).otherwise(gone)).withColumn("_count", F.when(F.col(text).isNull(), 0).otherwise(F.size(F.filter(every, lambda x: ~blank(x)))))
-    return counted.select(*[kept.alias(c) if c == text else F.col(c) for c in pages.columns], F.col("_count").alias("_n_lines"), F.col("_dropped").alias("_n_dropped"))
+
+    def judged(line: Column) -> Column:
+        key = F.btrim(line, F.lit(_SPACE))
+        worded = key != ""
+        return F.struct(line.alias("line"), worded.alias("worded"), (worded & F.coalesce(F.array_contains("_lines", F.xxhash64(key)), F.lit(False))).alias("gone"))
+
+    def told(rows: Column) -> Column:
+        kept = F.transform(F.filter(rows, lambda x: ~x["gone"]), lambda x: x["line"])
+        return F.struct(F.array_join(kept, "\n").alias("text"), F.size(F.filter(rows, lambda x: x["worded"])).alias("n"), F.size(F.filter(rows, lambda x: x["gone"])).alias("gone"))
+
+    done = both.withColumn("_t", let(F.transform(F.split(text, "\n", -1), judged), told))
+    none = F.lit(0)
+    return done.select(*[F.when(F.col(text).isNotNull(), F.col("_t.text")).alias(c) if c == text else F.col(f"`{c}`") for c in pages.columns], F.when(F.col(text).isNull(), none).otherwise(F.col("_t.n")).alias("_n_lines"), F.when(F.col(text).isNull(), none).otherwise(F.col("_t.gone")).alias("_n_dropped"))
 
 
 def page_text(html: Column) -> Column:
     """Visible text of a page, one line per element."""
-    for pattern in (r"(?is)<script.*?</script>", r"(?is)<style.*?</style>", r"(?s)<!--.*?-->"):
-        html = F.regexp_replace(html, pattern, "\n")
-    return F.regexp_replace(F.regexp_replace(html, r"<[^>]*>", "\n"), r"\n[ \t\r\n]*", "\n")
+    bare = F.regexp_replace(html, r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>", "\n")
+    return F.regexp_replace(bare, r"\n[ \t\r\n]*", "\n")
 
 
 def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     host = F.regexp_extract(F.lower("url"), r"^[a-z]+://([^/:?#]+)", 1)
-    pages = pages.select("page_id", host.alias("host"), page_text(F.col("html")).alias("text"))
+    # Written once: the lines are read twice, tags are cut out once.
+    pages = materialize(pages.select("page_id", host.alias("host"), page_text(F.col("html")).alias("text")), "page-text")
     out = drop_boilerplate(pages, "host", "text")
     return out.select("page_id", "host", F.col("_n_lines").cast("long").alias("n_lines"), F.col("_n_dropped").cast("long").alias("n_dropped"), F.col("text").alias("kept_text"))
 
@@ -72,9 +79,7 @@ def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10_SQL = r"""
 WITH p AS (
   SELECT page_id, regexp_extract(lower(url), '^[a-z]+://([^/:?#]+)', 1) AS host,
-    regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
-      '<script.*?</script>', chr(10), 'gsi'), '<style.*?</style>', chr(10), 'gsi'), '<!--.*?-->', chr(10), 'gs'),
-      '<[^>]*>', chr(10), 'g'), '\n[ \t\r\n]*', chr(10), 'g') AS text
+    regexp_replace(regexp_replace(html, '<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>', chr(10), 'gs'), '\n[ \t\r\n]*', chr(10), 'g') AS text
   FROM pages),
 l AS (SELECT page_id, host, text, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS line FROM p),
 t AS (SELECT *, trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS key FROM l),

@@ -13,13 +13,12 @@ follow each other by the CRC of their text. A single document is followed by its
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import let, table
 
 GRAM, WINDOW = 5, 12
 POSITION_BITS = 24
@@ -28,11 +27,6 @@ _MASK = (1 << POSITION_BITS) - 1
 RUN_BITS = 9
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def winnow(text: Column, k: int = GRAM, w: int = WINDOW) -> Column:
     """array<long> of chosen hashes, each with its position in the low bits."""
     words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", -1), lambda x: x != "")
