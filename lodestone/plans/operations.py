@@ -169,7 +169,7 @@ ORACLES = {
     "sweep_rows": S.with_(S.PASSAGES) + "SELECT query_id, style, top_k FROM passages CROSS JOIN (VALUES ('concise'), ('detailed')) s(style) CROSS JOIN (VALUES (1), (3), (5)) k(top_k)",
     "strategy_map": "SELECT id, map_from_entries(list((strategy, v) ORDER BY strategy)) AS variations, sum(len(v))::BIGINT AS n FROM (SELECT conv_id AS id, role AS strategy, list(md5(text) ORDER BY md5(text)) AS v FROM conversations GROUP BY ALL) GROUP BY id",
     "ablation_patches": _ablation(),
-    "ablation_filtered_search": S.with_(S.BASE, "pv AS (SELECT id, v, CASE WHEN id % 100 / 100.0::DOUBLE < 0.5 THEN -1 ELSE topic END AS topic FROM vecs)", S.ranked("out", "SELECT q.query_id, d.id AS doc_id, round(list_cosine_similarity(d.v, q.v), 6) AS score FROM pv d JOIN known q ON d.topic = q.topic", 10)) + "SELECT * FROM out",
+    "ablation_filtered_search": S.with_(S.BASE, "pv AS (SELECT id, v, CASE WHEN id % 100 / 100.0::DOUBLE < 0.5 THEN -1 ELSE topic END AS topic FROM vecs JOIN corpus USING (id))", S.ranked("out", "SELECT q.query_id, d.id AS doc_id, round(list_cosine_similarity(d.v, q.v), 6) AS score FROM pv d JOIN known q ON d.topic = q.topic", 10)) + "SELECT * FROM out",
     "rolling_rate_window": "SELECT event_id, count(*) OVER w AS window_requests, round(sum(value) OVER w, 4) AS window_tokens, count(*) OVER w >= 9 OR round(sum(value) OVER w, 4) > 240000 AS limited FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 86400 SECONDS PRECEDING AND CURRENT ROW)",
     "daily_usage_pt": "SELECT (CASE WHEN ts < TIMESTAMP '2024-03-10 10:00:00' OR ts >= TIMESTAMP '2024-11-03 09:00:00' THEN ts - INTERVAL 8 HOURS ELSE ts - INTERVAL 7 HOURS END)::DATE AS day, count(*) AS requests, round(sum(value), 4) AS tokens, count(*) >= 240 AS limited FROM events GROUP BY 1",
     "cooldown_state": "SELECT user_id, max(ts + INTERVAL 60 SECONDS) AS until FROM events WHERE event_type = 'error' GROUP BY user_id",
