@@ -87,18 +87,19 @@ def _block_scores(corpus: DataFrame, queries: DataFrame, k: int, threshold: floa
     return found.withColumn("score", F.round("score", 6))
 
 
-def postings(docs: DataFrame, field: str) -> DataFrame:
-    """(term, doc_id, tf, dl) of one text field."""
+def postings(docs: DataFrame, field: str, terms: DataFrame | None = None) -> DataFrame:
+    """(term, doc_id, dl, tf) of one text field; of the given terms only, if any, dropped before counting."""
     every = docs.select(F.col("id").alias("doc_id"), tokens(F.col(field)).alias("_t"))
     spread = every.select("doc_id", F.size("_t").alias("dl"), F.explode("_t").alias("term"))
+    if terms is not None:
+        spread = spread.join(terms, "term", "left_semi")
     return spread.groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25_scores(docs: DataFrame, queries: DataFrame, field: str) -> DataFrame:
     """(query_id, doc_id, score) of one field. Statistics are those of the whole corpus."""
-    posted = postings(docs, field)
     asked = queries.select("query_id", F.explode(tokens(F.col("query_text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    held = posted.join(asked.select("term").distinct(), "term", "left_semi")
+    held = postings(docs, field, asked.select("term").distinct())
     df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     totals = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens(F.col(field)))).alias("avgdl"))
     n, avgdl = F.col("n"), F.col("avgdl")
