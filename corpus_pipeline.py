@@ -22,9 +22,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents the classifier accepts."""
     fold = held_out(F.col("doc_id"), 3, 1)
     model = quality.fit(docs.filter(~fold), table(spark, sf_dir, "labels").filter(~fold).select("doc_id", "quality"))
-    hidden = docs.select("text", *[F.col(f"`{c}`").alias(f"_x{i}") for i, c in enumerate(docs.columns)])
-    kept = quality.predict(hidden, model, [f"_x{i}" for i in range(len(docs.columns))]).filter("predicted = 1")
-    return kept.select(*[F.col(f"_x{i}").alias(c) for i, c in enumerate(docs.columns)])
+    # Columns may be named as the classifier's own; only the text keeps its name.
+    held = {c: "text" if c == "text" else f"_x{i}" for i, c in enumerate(docs.columns)}
+    hidden = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in held.items()])
+    kept = quality.predict(hidden, model, list(held.values())).filter("predicted = 1")
+    return kept.select(*[F.col(x).alias(c) for c, x in held.items()])
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
