@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -10,11 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
+from ..sources.scratch import folder as scratch_dir
 
 #: A word, in every operator that counts or shingles words.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Where scratch tables go if the session names no shared folder (tests on one machine).
-LOCAL_SCRATCH = "/tmp/checkpoints/lodestone"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,15 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = LOCAL_SCRATCH
-        os.makedirs(found, exist_ok=True)
-    return found.rstrip("/")
-
-
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back: later plans start from files
     that survive a lost executor."""
