@@ -179,3 +179,13 @@ def strip_openings(answer: Column) -> Column:
     for pattern in _OPENINGS:
         answer = F.regexp_replace(answer, pattern, "")
     return F.regexp_replace(F.regexp_replace(answer, r"^\s+", ""), r"\s+$", "")
+
+
+def signature(style: Column, tier: Column, name: Column) -> Column:
+    return F.concat_ws("__", style, tier, name)
+
+
+def parse_signature(value: Column) -> Column:
+    """struct(style, tier, base) of a__b__c_<n>; the last underscore part of c is dropped."""
+    parts = F.split(value, "__", -1)
+    return F.struct(parts[0].alias("style"), parts[1].alias("tier"), F.regexp_extract(parts[2], r"^(.*)_[^_]*$", 1).alias("base"))

@@ -111,3 +111,45 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 def all_rows(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
+
+
+def failure_bundle(rows: DataFrame, configs: int) -> dict[str, DataFrame]:
+    """All tables of a failure analysis by name."""
+    return {
+        "failures": failures(rows),
+        "successes": successes(rows),
+        "topic_failure_rates": failure_rates(rows, "topic"),
+        "contamination": contamination(rows),
+        "hard_queries": hard_queries(rows, configs),
+        "disagreements": disagreements(rows),
+        "score_separation": score_separation(rows, "config"),
+    }
+
+
+def leaderboard(summary: DataFrame, by: str = "mrr") -> DataFrame:
+    """Configurations by a metric, with their half of the table (1 upper, 2 lower)."""
+    w = Window.partitionBy(F.lit(0)).orderBy(F.desc(by), "config")  # one row per configuration
+    return summary.select("config", by, F.row_number().over(w).alias("place"), F.ntile(2).over(w).alias("half"))
+
+
+def stored_results(rows: DataFrame) -> DataFrame:
+    """Per-query results as the results database keeps them: hits as JSON text."""
+    return rows.select(F.concat_ws("__", F.lit("experiment"), "config").alias("run_id"), "query_id", F.to_json("hit_ids").alias("hit_ids"), F.to_json("hit_scores").alias("hit_scores"), "rank")
+
+
+def joined_results(stored: DataFrame, docs: DataFrame) -> DataFrame:
+    """Stored hits opened again and joined with the corpus: hits and first hits per run and course."""
+    opened = stored.select("run_id", "query_id", F.posexplode(F.from_json("hit_ids", "array<bigint>")).alias("pos", "id"))
+    return opened.join(docs.select("id", "course"), "id").groupBy("run_id", "course").agg(F.count(F.lit(1)).alias("hits"), F.count_if(F.col("pos") == 0).alias("first_hits"))
+
+
+def recommendations(imbalance_ratio: float, short_answers: int, long_share: float, troubleshooting: int, conceptual: int, low_code: list[str]) -> list[str]:
+    """Advice from audit figures; an empty list if nothing stands out."""
+    rules = [
+        (short_answers > 10, f"Audit {short_answers} answers of fewer than 50 characters."),
+        (bool(low_code), f"Check code parsing for {', '.join(low_code)}."),
+        (imbalance_ratio > 5, f"Groups differ {imbalance_ratio:.1f} times in size; filter by group."),
+        (troubleshooting > 2 * conceptual, "Mostly troubleshooting; favour error messages in retrieval."),
+        (long_share > 0.2, "Over a fifth of the answers are long; chunk them."),
+    ]
+    return [text for holds, text in rules if holds]

@@ -201,3 +201,20 @@ def search(kind: str, docs: DataFrame, vecs: DataFrame, queries: DataFrame, k: i
     if kind == "vector_reranked":
         return rerank(knn(vecs, queries, 3 * k), queries, docs, k)
     raise ValueError(f"unknown configuration {kind}")
+
+
+def diverse(ranked: DataFrame, docs: DataFrame, k: int, per_group: int, group: str = "course") -> DataFrame:
+    """At most ``per_group`` hits of each group, then the k best."""
+    rows = ranked.join(docs.select(F.col("id").alias("doc_id"), group), "doc_id")
+    within = Window.partitionBy("query_id", group).orderBy(F.desc("score"), "doc_id")
+    return top(rows.withColumn("_n", F.row_number().over(within)).filter(F.col("_n") <= per_group), k)
+
+
+def project(vectors: DataFrame, dims: int = 2) -> DataFrame:
+    """(id, x, y): first principal components, a linear stand-in for a neighbour embedding."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = vectors.select("id", array_to_vector(F.col("v")).alias("f"))
+    out = PCA(k=dims, inputCol="f", outputCol="p").fit(rows).transform(rows).withColumn("p", vector_to_array("p"))
+    return out.select("id", *[F.round(F.col("p")[i], 6).alias(n) for i, n in zip(range(dims), "xyz")])

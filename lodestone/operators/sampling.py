@@ -15,6 +15,17 @@ def hash_order(seed: int, key: str) -> list[Column]:
     return [F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.col(key)]
 
 
+def hash_rank(docs: DataFrame, group: Column, key: str, seed: int, name: str = "_r") -> DataFrame:
+    """Place of each row within its group in hash order, without bringing a group to one task: rows are
+    numbered within (group, first three digits of the hash) and shifted by the counts of the digits before."""
+    digest, last = hash_order(seed, key)
+    rows = docs.withColumn("_g", F.coalesce(group.cast("string"), F.lit("\u0000"))).withColumn("_h", digest).withColumn("_b", F.substring("_h", 1, 3))
+    inner = rows.withColumn("_i", F.row_number().over(Window.partitionBy("_g", "_b").orderBy("_h", last)))
+    before = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # 4096 rows at most
+    shift = rows.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_c")).withColumn("_o", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
+    return inner.join(shift, ["_g", "_b"]).withColumn(name, F.col("_i") + F.col("_o")).drop("_g", "_h", "_b", "_i", "_o")
+
+
 def allocate(docs: DataFrame, by: Sequence[str], n: int, least: int = 1, most: int | None = None) -> DataFrame:
     """(stratum, pool, allocated): proportional, clamped to [least, pool] and ``most``, cut to whole
     numbers; what is missing goes one each to groups with room, largest first, once."""
@@ -37,19 +48,30 @@ def allocate(docs: DataFrame, by: Sequence[str], n: int, least: int = 1, most: i
 def stratified_sample(docs: DataFrame, by: Sequence[str], n: int, key: str = "id", seed: int = 42, least: int = 1) -> DataFrame:
     """The first rows of each stratum in hash order."""
     share = allocate(docs, by, n, least)
-    order = Window.partitionBy("stratum").orderBy(*hash_order(seed, key))
-    rows = docs.withColumn("stratum", composite_key(*[F.col(c) for c in by])).withColumn("_r", F.row_number().over(order))
+    rows = hash_rank(docs.withColumn("stratum", composite_key(*[F.col(c) for c in by])), F.col("stratum"), key, seed)
     return rows.join(share.select("stratum", "allocated"), "stratum").filter("_r <= allocated").drop("_r", "allocated", "stratum")
 
 
 def fraction_sample(docs: DataFrame, by: str, fraction: float, key: str = "id", seed: int = 42) -> DataFrame:
     """max(1, round half even of share) rows per group in hash order."""
     sizes = docs.groupBy(by).agg(F.greatest(F.lit(1), F.bround(F.count(F.lit(1)) * fraction).cast("long")).alias("_k"))
-    order = Window.partitionBy(by).orderBy(*hash_order(seed, key))
-    rows = docs.withColumn("_r", F.row_number().over(order))
+    rows = hash_rank(docs, F.col(by), key, seed)
     return rows.join(sizes.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by"))).filter("_r <= _k").drop("_r", "_k", "_by")
 
 
+def without_homework(docs: DataFrame, section: str = "section", word: str = "homework") -> DataFrame:
+    """Documents whose section does not speak of homework; those without a section stay."""
+    return docs.filter(~F.coalesce(F.lower(section).contains(word), F.lit(False)))
+
+
+def tool_quota(docs: DataFrame, tools: str, target: int, key: str = "id", seed: int = 42) -> DataFrame:
+    """Up to max(1, target // tools present) documents of each tool of an array column, each once."""
+    rows = docs.select(key, F.explode(F.array_distinct(tools)).alias("tool"))
+    n = rows.agg(F.greatest(F.lit(1), F.floor(F.lit(target) / F.countDistinct("tool"))).alias("_q"))
+    taken = hash_rank(rows, F.col("tool"), key, seed).join(F.broadcast(n)).filter("_r <= _q")
+    return docs.join(taken.select(key).distinct(), key, "left_semi")
+
+
 def split_quality(full: DataFrame, sample: DataFrame, by: Sequence[str]) -> DataFrame:
     """Chi-square of the sample's strata against the whole, and deviations in percent."""
     key = composite_key(*[F.col(c) for c in by])
@@ -96,7 +118,7 @@ def balance(docs: DataFrame, by: str, strategy: str = "oversample_min", key: str
         return docs
     sizes = docs.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
     middle = sizes.agg(F.floor(F.median("_n")).alias("_m"))
-    rows = docs.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(*hash_order(seed, key))))
+    rows = hash_rank(docs, F.col(by), key, seed)
     rows = rows.join(sizes.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by"))).join(F.broadcast(middle))
     if strategy == "undersample_max":
         return rows.filter("_r <= _m OR _n <= _m").select(*docs.columns)
@@ -110,7 +132,7 @@ def balance(docs: DataFrame, by: str, strategy: str = "oversample_min", key: str
 def reduce_fractions(docs: DataFrame, by: str, fractions: Sequence[float], key: str = "id", seed: int = 42) -> DataFrame:
     """Nested samples of several fractions in one pass: rows with the fraction that takes them."""
     sizes = docs.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
-    rows = docs.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(*hash_order(seed, key))))
+    rows = hash_rank(docs, F.col(by), key, seed)
     rows = rows.join(sizes.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by"))).withColumn("fraction", F.explode(F.array(*[F.lit(f) for f in fractions])))
     taken = F.greatest(F.lit(1), F.bround(F.col("_n") * F.col("fraction")).cast("long"))
     return rows.filter((F.col("fraction") >= 1) | (F.col("_r") <= taken)).drop("_r", "_n", "_by")

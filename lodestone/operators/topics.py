@@ -237,3 +237,39 @@ def silhouette(points: DataFrame) -> DataFrame:
     dist = lambda keep: F.array_min(F.transform(F.filter("all", keep), lambda t: 1 - dot(F.col("v"), t["m"])))
     far = far.withColumn("a", dist(lambda t: t["topic"] == F.col("topic"))).withColumn("b", dist(lambda t: t["topic"] != F.col("topic")))
     return far.agg(F.round(F.avg((F.col("b") - F.col("a")) / F.greatest("a", "b")), 6).alias("silhouette"), F.countDistinct("topic").alias("topics"))
+
+
+def dense_topics(rows: DataFrame, k: int = 5) -> DataFrame:
+    """The k largest topics; -1 is none."""
+    return rows.filter("topic != -1").groupBy("topic").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "topic").limit(k)
+
+
+def subtopics(points: DataFrame, least: int = 40, parts: int = 2, rounds: int = 10) -> DataFrame:
+    """(id, topic, subtopic) of topics with more than ``least`` members: spherical k-means on each topic's
+    vectors, started from its first members by id. Means, not members, travel: each round is one
+    aggregation over all topics."""
+    from .retrieval import dot, unit
+
+    big = points.groupBy("topic").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > least) & (F.col("topic") != -1)).select("topic")
+    rows = points.join(big, "topic").select("id", "topic", unit(F.col("v")).alias("v"))
+    first = Window.partitionBy("topic").orderBy("id")
+    centres = rows.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= parts).select("topic", (F.col("_r") - 1).alias("s"), F.col("v").alias("m"))
+    placed = rows
+    for turn in range(rounds):
+        listed = centres.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("s", "m"))).alias("all"))
+        best = F.array_max(F.transform("all", lambda c: F.struct(F.round(dot(F.col("v"), c["m"]), 9).alias("d"), (-c["s"]).alias("neg"))))
+        placed = rows.join(listed, "topic").select("id", "topic", "v", (-best["neg"]).alias("s"))
+        if turn + 1 < rounds:
+            dims = placed.select("topic", "s", F.posexplode("v").alias("i", "x")).groupBy("topic", "s", "i").agg(F.avg("x").alias("x"))
+            means = dims.groupBy("topic", "s").agg(unit(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"])).alias("m"))
+            spark = points.sparkSession
+            centres = spark.createDataFrame(means.collect(), means.schema)  # topics * parts rows of one vector each
+    return placed.select("id", "topic", F.col("s").alias("subtopic"))
+
+
+def concept_notes(docs: DataFrame, terms: DataFrame, text: str = "answer") -> DataFrame:
+    """(id, note): a note naming the first three, by name, of the given terms that a document holds."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9_]{2,}"), F.lit(0)))
+    held = docs.select("id", F.explode(words).alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    lists = held.groupBy("id").agg(F.slice(F.sort_array(F.collect_list("term")), 1, 3).alias("t"))
+    return lists.select("id", F.concat(F.lit("Concepts: "), F.array_join("t", ", ")).alias("note"))

@@ -95,6 +95,9 @@ QUERIES = {
     "split_chi2": lambda s, d: P.split_quality(corpus(s, d), P.stratified_sample(corpus(s, d), ["course", "section"], 200), ["course"]),
     "balance_corpus": lambda s, d: P.balance(corpus(s, d), "course").groupBy("course", "id").agg(F.count(F.lit(1)).alias("copies")),
     "undersample_corpus": lambda s, d: P.balance(corpus(s, d), "course", "undersample_max").select("course", "id"),
+    "homework_filter": lambda s, d: P.without_homework(corpus(s, d), word="src1").groupBy("section").agg(F.count(F.lit(1)).alias("n")),
+    "tool_quota": lambda s, d: P.tool_quota(corpus(s, d).withColumn("tools", F.array_intersect(F.regexp_extract_all(F.lower("question"), F.lit(r"[a-z]+"), F.lit(0)), F.array(*[F.lit(w) for w in ("the", "and", "der", "de")]))), "tools", 40).select("id"),
+    "signature_parse": lambda s, d: corpus(s, d).select("id", T.parse_signature(T.signature(F.col("course"), F.col("section"), F.concat_ws("_", F.lit("base"), "id"))).alias("x")).select("id", "x.*"),
     "corpus_fractions": lambda s, d: P.reduce_fractions(corpus(s, d), "course", [1.0, 0.8, 0.6, 0.4, 0.2]).groupBy("fraction", "course").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("id_sum")),
 }
 
@@ -173,4 +176,7 @@ ORACLES = {
     "balance_corpus": _c(_RANKED, _MEDIAN) + "SELECT course, id, (1 + greatest(0, m - n) // n + CASE WHEN r <= greatest(0, m - n) % n THEN 1 ELSE 0 END)::BIGINT AS copies FROM ranked CROSS JOIN mid",
     "undersample_corpus": _c(_RANKED, _MEDIAN) + "SELECT course, id FROM ranked CROSS JOIN mid WHERE r <= m OR n <= m",
     "corpus_fractions": _c(_RANKED) + "SELECT f::DOUBLE AS fraction, course, count(*) AS n, sum(id)::BIGINT AS id_sum FROM ranked CROSS JOIN (VALUES (1.0), (0.8), (0.6), (0.4), (0.2)) v(f) WHERE f >= 1 OR r <= greatest(1, round_even(n * f::DOUBLE, 0)) GROUP BY ALL",
+    "homework_filter": _c() + "SELECT section, count(*) AS n FROM corpus WHERE NOT coalesce(contains(lower(section), 'src1'), false) GROUP BY section",
+    "tool_quota": _c("x AS (SELECT DISTINCT id, unnest(list_intersect(regexp_extract_all(lower(question), '[a-z]+'), ['the', 'and', 'der', 'de'])) AS tool FROM corpus)", "k AS (SELECT greatest(1, 40 // count(DISTINCT tool)) AS q FROM x)", "r AS (SELECT *, row_number() OVER (PARTITION BY tool ORDER BY md5('42:' || id), id) AS r FROM x)") + "SELECT DISTINCT id FROM r CROSS JOIN k WHERE r <= q",
+    "signature_parse": _c() + "SELECT id, course AS style, section AS tier, 'base' AS base FROM corpus",
 }

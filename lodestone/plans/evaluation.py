@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import metrics as M
 from ..operators import evaluation as E
 from ..operators import retrieval as R
-from ..operators.corpus import corpus, known_items, read, vectors
+from ..operators.corpus import corpus, known_items, passages, read, vectors
 from . import sql as S
 
 ANSWER = {"question": 0.0, "answer": 1.0}
@@ -47,6 +47,12 @@ def matrix(spark: SparkSession, sf: str) -> DataFrame:
     return E.all_rows([R.rerank(pool, asked, docs, 5, text=t).withColumn("reranker", F.lit(n)) for n, t in scorers.items()])
 
 
+def bundle(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of each table of the failure analysis."""
+    tables = E.failure_bundle(result_rows(spark, sf), len(CONFIGS))
+    return E.all_rows([t.agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.lit(name)) for name, t in tables.items()])
+
+
 def pairs(s: SparkSession, d: str) -> DataFrame:
     return E.compare(result_rows(s, d, ("bm25",)), result_rows(s, d, ("vector",)))
 
@@ -72,6 +78,11 @@ QUERIES = {
     "best_per_model": lambda s, d: E.best_per_model(models(s, d)),
     "summary_upsert": versioned,
     "rerank_matrix": matrix,
+    "failure_bundle": bundle,
+    "leaderboard": lambda s, d: E.leaderboard(E.summarize(result_rows(s, d), "config")),
+    "results_join": lambda s, d: E.joined_results(E.stored_results(result_rows(s, d)), corpus(s, d)),
+    "diverse_retrieve": lambda s, d: R.diverse(R.bm25(corpus(s, d), passages(s, d), 40, ANSWER), corpus(s, d), 10, 4, "section"),
+    "projection": lambda s, d: R.project(vectors(s, d)),
 }
 
 _LISTS = [S.BASE, S.knn("l_vector", 10), S.bm25("l_bm25", 10, ANSWER), S.rrf("l_hybrid", "l_vector", "l_bm25", 10)]
@@ -129,4 +140,11 @@ ORACLES = {
     "best_per_model": _w(_res(), f"m AS (SELECT * FROM ({_sum('res', 'course', 'config')}))", "b AS (SELECT course AS model, config, mrr FROM m QUALIFY row_number() OVER (PARTITION BY course ORDER BY mrr DESC, config) = 1)") + "SELECT *, row_number() OVER (ORDER BY mrr DESC, config) = 1 AS overall_winner FROM b",
     "summary_upsert": _w(_res(), f"m AS ({_sum('res', 'config')})") + "SELECT config, mrr, CASE WHEN config = 'bm25' THEN 1 ELSE 2 END AS version FROM m",
     "rerank_matrix": S.with_(S.BASE, S.bm25("b40", 40, ANSWER), S.rerank("ra", "b40", 5), S.rerank("rq", "b40", 5).replace("lower(answer)", "lower(question)")) + "SELECT *, 'overlap_answer' AS reranker FROM ra UNION ALL SELECT *, 'overlap_question' FROM rq",
+    "failure_bundle": _w(_res()) + """SELECT 'failures' AS part, count(*) AS n FROM res WHERE rank IS NULL UNION ALL SELECT 'successes', count(*) FROM res WHERE rank IS NOT NULL
+  UNION ALL SELECT 'topic_failure_rates', count(DISTINCT topic) FROM res UNION ALL SELECT 'contamination', count(*) FROM res WHERE top_course <> '' AND top_course <> course
+  UNION ALL SELECT 'hard_queries', count(*) FROM (SELECT query_id FROM res WHERE rank IS NULL GROUP BY query_id HAVING count(DISTINCT config) = 3)
+  UNION ALL SELECT 'disagreements', count(*) FROM (SELECT query_id FROM res WHERE top_id IS NOT NULL GROUP BY query_id HAVING count(DISTINCT top_id) > 1) UNION ALL SELECT 'score_separation', count(DISTINCT config) FROM res""",
+    "leaderboard": _w(_res(), f"m AS ({_sum('res', 'config')})") + "SELECT config, mrr, row_number() OVER (ORDER BY mrr DESC, config)::INT AS place, ntile(2) OVER (ORDER BY mrr DESC, config)::INT AS half FROM m",
+    "results_join": _w(_res(), "h AS (SELECT config, unnest(hit_ids) AS id, generate_subscripts(hit_ids, 1) AS pos FROM res)") + "SELECT 'experiment__' || config AS run_id, c.course, count(*) AS hits, count(*) FILTER (WHERE pos = 1) AS first_hits FROM h JOIN corpus c USING (id) GROUP BY ALL",
+    "diverse_retrieve": S.with_(S.CORPUS, S.PASSAGES, S.bm25("b40", 40, ANSWER, "passages"), S.ranked("out", "SELECT b.query_id, b.doc_id, b.score FROM b40 b JOIN corpus c ON c.id = b.doc_id QUALIFY row_number() OVER (PARTITION BY b.query_id, section ORDER BY b.score DESC, b.doc_id) <= 4", 10)) + "SELECT * FROM out",
 }

@@ -13,6 +13,7 @@ from ..operators import generate as G
 from ..operators import retrieval as R
 from ..operators.corpus import corpus, known_items, passages, read, vectors
 from ..sources import scans
+from ..sources.scratch import folder
 from ..streaming import run, usage
 from . import sql as S
 from .mining import tagged
@@ -67,26 +68,25 @@ def loaded_tests(s: SparkSession, d: str) -> DataFrame:
 
 
 def stream_windows(s: SparkSession, d: str) -> DataFrame:
-    from ..sources.scratch import folder
-
     base = f"{folder(s)}/stream-{uuid.uuid4().hex}"
     return run.drain(s, d, "events.parquet", read(s, d, "events"), lambda x: usage.minute_windows(x, "value"), "append", f"{base}/out", f"{base}/ck")
 
 
 def stream_days(s: SparkSession, d: str) -> DataFrame:
-    from ..sources.scratch import folder
-
     base = f"{folder(s)}/stream-{uuid.uuid4().hex}"
     return run.drain(s, d, "events.parquet", read(s, d, "events"), usage.day_windows, "complete", f"{base}/out", f"{base}/ck")
 
 
 def stream_once(s: SparkSession, d: str) -> DataFrame:
-    from ..sources.scratch import folder
-
     base = f"{folder(s)}/stream-{uuid.uuid4().hex}"
     return run.drain(s, d, "events.parquet", read(s, d, "events"), lambda x: usage.once(x, "event_id", "60 days").select("event_id", "event_type"), "append", f"{base}/out", f"{base}/ck")
 
 
+def stream_cooldown(s: SparkSession, d: str) -> DataFrame:
+    base = f"{folder(s)}/stream-{uuid.uuid4().hex}"
+    return run.drain(s, d, "events.parquet", read(s, d, "events"), lambda x: usage.cooldown_stream(x, "user_id", "event_type = 'error'"), "complete", f"{base}/out", f"{base}/ck")
+
+
 def star_revenue(s: SparkSession, d: str) -> DataFrame:
     li, o, c, n = (read(s, d, t) for t in ("lineitem", "orders", "customer", "nation"))
     rows = li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
@@ -129,6 +129,7 @@ QUERIES = {
     "stream_window": stream_windows,
     "stream_days": stream_days,
     "stream_dedupe": stream_once,
+    "stream_cooldown": stream_cooldown,
 }
 
 _CUT = r"""cutt AS (SELECT id, CASE WHEN length(a) > 1000 THEN regexp_replace(substr(a, 1, 1000), ' [^ ]*$', '', 's') || '...' ELSE a END AS t
@@ -185,4 +186,5 @@ ORACLES = {
     "star_top_orders": S.with_(S.ranked("out", "SELECT o_custkey AS query_id, o_orderkey AS doc_id, o_totalprice AS score FROM orders", 3)) + "SELECT * FROM out",
     "stream_dedupe": "SELECT DISTINCT event_id, event_type FROM events",
     "stream_days": "SELECT time_bucket(INTERVAL 1 DAY, ts - INTERVAL 8 HOURS) + INTERVAL 8 HOURS AS start, count(*) AS requests FROM events GROUP BY 1",
+    "stream_cooldown": "SELECT user_id, max(ts + INTERVAL 60 SECONDS) AS until FROM events WHERE event_type = 'error' GROUP BY user_id",
 }

@@ -48,3 +48,8 @@ def day_windows(stream: DataFrame, late: str = "1 day") -> DataFrame:
 def once(stream: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
     """Each signature once within the watermark."""
     return timed(stream).withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+
+
+def cooldown_stream(stream: DataFrame, key: str, failed: str, wait: str = "60 seconds") -> DataFrame:
+    """Streaming form of the cooldowns: latest expiry per key so far (complete mode)."""
+    return timed(stream).filter(failed).groupBy(key).agg(F.max(F.expr(f"ts + INTERVAL {wait}")).alias("until"))
