@@ -26,16 +26,20 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import scratch_dir, table
-from .wordhash import Runs, WordHashes, mix, slices, words_of
+from .wordhash import Runs, WordHashes, parts, slices, words_of
 
 WINDOW, GRAM, FANOUT = 20, 6, 4
+#: Batches that one table is fed to the index in.
+BATCHES = 2
 KEY = ["doc", "crc"]
 SEGMENT = "g long, s long, m int, doc long, crc long, a int"
 
@@ -60,7 +64,7 @@ def segments(words: np.ndarray, ends: np.ndarray, window: int, gram: int) -> tup
     packed = (grams & ~low) | (at.astype(np.uint64) & low)
     best = _sliding_min(packed, window - gram + 1)
     starts = np.arange(n - window + 1)
-    doc = np.searchsorted(ends, starts, side="right")
+    doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))[: len(starts)]
     fits = starts + window <= ends[doc]
     new = np.empty(len(starts), dtype=bool)
     new[0] = True
@@ -80,7 +84,7 @@ def segments(words: np.ndarray, ends: np.ndarray, window: int, gram: int) -> tup
 def _segment_rows(window: int, gram: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in parts(batches):
             docs, crcs, texts = (batch.column(i).to_pylist() for i in range(3))
             for i, j in slices([len(t) for t in texts]):
                 words = [words_of(t) for t in texts[i:j]]
@@ -95,33 +99,50 @@ def _segment_rows(window: int, gram: int):
     return rows
 
 
+def _spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Flat starts and lengths of a list<struct<a, m>> column, and where each row's begin."""
+    begin = np.concatenate([[0], np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False))])
+    flat = column.flatten()
+    return flat.field("a").to_numpy(zero_copy_only=False).astype(np.int64), flat.field("m").to_numpy(zero_copy_only=False).astype(np.int64), begin
+
+
 def _window_rows(window: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
-            for b, doc, crc, text, spans in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                words = hashes.of(words_of(text))
-                starts = np.unique(np.concatenate([np.arange(x["a"], x["a"] + x["m"]) for x in spans]))
-                h1, h2 = Runs(words)(starts, starts + window), Runs(words, 1)(starts, starts + window)
-                n = len(starts)
-                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(np.full(n, b, np.int32)), pa.array(np.full(n, doc)), pa.array(np.full(n, crc)), pa.array(starts.astype(np.int32))], names=["h1", "h2", "b", "doc", "crc", "a"])
+        for batch in parts(batches):
+            texts, (a, m, begin) = batch.column(3).to_pylist(), _spans(batch.column(4))
+            owner = np.repeat(np.arange(len(texts)), np.diff(begin))
+            for i, j in slices([len(t) for t in texts]):
+                words = [words_of(t) for t in texts[i:j]]
+                first = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+                mine = slice(begin[i], begin[j])
+                count, own = m[mine], owner[mine]
+                step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                local = np.repeat(a[mine], count) + step
+                row = np.repeat(own, count)
+                every = hashes.of([x for w in words for x in w])
+                starts = first[row - i] + local
+                h1, h2 = Runs(every)(starts, starts + window), Runs(every, 1)(starts, starts + window)
+                ids = [pa.compute.take(batch.column(c), pa.array(row)) for c in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *ids, pa.array(local.astype(np.int32))], names=["h1", "h2", "b", "doc", "crc", "a"])
 
     return rows
 
 
 def _kept_rows(window: int, with_text: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             n_words, n_removed, shas, kept_texts = [], [], [], []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            a, m, begin = _spans(batch.column(2))
+            for r, text in enumerate(batch.column(1).to_pylist()):
                 words = words_of(text)
                 gone = 0
                 kept = words
-                if spans:
+                if begin[r + 1] > begin[r]:
                     edge = np.zeros(len(words) + 1, dtype=np.int64)
-                    for x in spans:
-                        edge[x["a"]] += 1
-                        edge[x["a"] + x["m"] - 1 + window] -= 1
+                    mine = slice(begin[r], begin[r + 1])
+                    np.add.at(edge, a[mine], 1)
+                    np.add.at(edge, a[mine] + m[mine] - 1 + window, -1)
                     covered = np.cumsum(edge)[:-1] > 0
                     gone = int(covered.sum())
                     kept = [w for w, c in zip(words, covered.tolist()) if not c]
@@ -188,9 +209,7 @@ class FingerprintIndex:
 
         whole = seen.join(firsts.filter("n > 1").select("g", "s", "m", "first"), ["g", "s", "m"]).filter(place != F.col("first")).select(*KEY, "a", "m")
         several = firsts.groupBy("g").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("g")
-        texts = self.texts[0]
-        for t in self.texts[1:]:
-            texts = texts.unionByName(t)
+        texts = reduce(DataFrame.unionByName, self.texts)
         need = firsts.join(several, "g", "left_semi").groupBy("first.b", "first.doc", "first.crc").agg(F.collect_list(F.struct("first.a", "m")).alias("spans"))
         windows = texts.join(need, ["b", *KEY]).select("b", *KEY, "text", "spans").mapInArrow(_window_rows(self.window), "h1 long, h2 long, b int, doc long, crc long, a int")
         windows_path = self._write(windows, "windows")
@@ -213,18 +232,36 @@ class FingerprintIndex:
         path, number = self._batch
         place = F.struct("b", "doc", "crc", "a")
         firsts = self.spark.read.parquet(path).withColumn("b", F.lit(number)).groupBy("g", "s", "m").agg(F.min(place).alias("p")).select("g", "s", "m", "p.*")
-        self.runs.append((0, self._write(firsts.repartition("g").sortWithinPartitions("g", "s", "m"), "run")))
+        self.runs.append((0, self._write(firsts.repartition("g", "s").sortWithinPartitions("g", "s", "m"), "run")))
         self._remove(path)
         level = 0
         while sum(1 for at, _ in self.runs if at == level) >= self.fanout:
             full = [p for at, p in self.runs if at == level]
             merged = self.spark.read.parquet(*full).groupBy("g", "s", "m").agg(F.min(place).alias("p")).select("g", "s", "m", "p.*")
-            run = self._write(merged.repartition("g").sortWithinPartitions("g", "s", "m"), "run")
+            run = self._write(merged.repartition("g", "s").sortWithinPartitions("g", "s", "m"), "run")
             self.runs = [x for x in self.runs if x[0] != level] + [(level + 1, run)]
             for p in full:
                 self._remove(p)
             level += 1
 
 
+def remove_repeats(docs: DataFrame, batches: int = BATCHES, with_text: bool = False) -> DataFrame:
+    """docs (doc_id, text) fed to a fresh index in ``batches`` runs of rising doc_id."""
+    index, key = FingerprintIndex(docs.sparkSession), F.coalesce("doc_id", F.lit(-(1 << 63)))
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000)).first()[0] if batches > 1 else []
+    cuts = sorted(set(cuts or []))
+    out: DataFrame | None = None
+    for i in range(len(cuts) + 1):
+        part = docs
+        if i:
+            index.commit()
+            part = part.filter(F.col("doc_id") > cuts[i - 1])
+        if i < len(cuts):
+            part = part.filter(key <= cuts[i])
+        found = index.add(part, with_text)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FingerprintIndex(spark).add(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))

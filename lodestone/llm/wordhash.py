@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 CACHE_WORDS = 300_000
@@ -63,6 +64,13 @@ def words_of(text: str | None, lower: bool = False) -> list[bytes]:
     return (raw.lower() if lower else raw).split()
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches cut to a few hundred rows, so that a task's Python objects stay few."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def slices(sizes: list[int], most: int = 1_500_000) -> Iterator[tuple[int, int]]:
     """Runs of items whose sizes sum to ``most`` at most (or one larger item)."""
     start, held = 0, 0
