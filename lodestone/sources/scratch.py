@@ -16,3 +16,9 @@ def folder(spark: SparkSession) -> str:
         found = LOCAL
         os.makedirs(found, exist_ok=True)
     return found.rstrip("/")
+
+
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Have a scratch table removed when the driver's JVM ends."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
