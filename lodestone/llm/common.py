@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
+from ..sources.scratch import drop_at_exit
 from ..sources.scratch import folder as scratch_dir
 
 #: A word, in every operator that counts or shingles words.
@@ -22,10 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back: later plans start from files
-    that survive a lost executor."""
+    that survive a lost executor. The files go when the application ends."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
+    drop_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -34,6 +34,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import drop_at_exit
 from .common import scratch_dir, table
 from .wordhash import Runs, WordHashes, parts, slices, words_of
 
@@ -164,18 +165,21 @@ def _kept_rows(window: int, with_text: bool):
 
 class FingerprintIndex:
     """Finds and removes repeated passages batch by batch. Runs live in ``folder``, by default in the
-    session's shared scratch folder; the documents of earlier batches are read again where segments
-    are opened."""
+    session's shared scratch folder, which is cleared when the application ends; the documents of earlier
+    batches are read again where segments are opened."""
 
     def __init__(self, spark: SparkSession, window: int = WINDOW, gram: int = GRAM, fanout: int = FANOUT, folder: str | None = None):
         self.spark, self.window, self.gram, self.fanout = spark, window, gram, fanout
         self.folder = folder or f"{scratch_dir(spark)}/fingerprints-{uuid.uuid4().hex}"
+        self.own = folder is None
         self.runs: list[tuple[int, str]] = []
         self.texts: list[DataFrame] = []
 
     def _write(self, df: DataFrame, name: str) -> str:
         path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(path)
+        if self.own:
+            drop_at_exit(self.spark, path)
         return path
 
     def _remove(self, path: str) -> None:
