@@ -25,7 +25,7 @@ from .common import parts_for, table
 
 SHARD_ROWS = 8192
 QUERY_ROWS = 2048
-STEP = 16
+STEP = 8
 
 
 def quantized(vector: Column, scale: int) -> Column:
@@ -53,14 +53,14 @@ def maxscore_shard(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray,
         rest = np.concatenate([np.cumsum(gain[terms][::-1])[::-1], [0]]) + floor_.sum()
         essential = len(terms) if best is None else int(np.searchsorted(-rest, -best, side="right"))
         essential = min(len(terms), max(1, essential)) if len(terms) else 0
-        # Scores are kept as gains over the least possible contribution of each term.
-        alive, got, done = None, np.zeros(len(ids), dtype=np.int64), 0
+        # Scores are kept as gains over the least possible contribution of each term. The essential
+        # postings are traversed for all vectors, the others a few at a time for those still competitive.
+        alive, got, done, upto = None, np.zeros(len(ids), dtype=np.int64), 0, essential
         while done < len(terms):
-            upto = min(len(terms), max(done + STEP, min(essential, done + STEP)))
             part = terms[done:upto]
             block = postings[part] if alive is None else postings[part][:, alive]
             got = got + (q[part] @ block - floor_[part].sum())
-            done = upto
+            done, upto = upto, min(len(terms), upto + STEP)
             if len(got) > k:
                 sure = np.partition(got, len(got) - k - 1)[len(got) - k - 1 :].min() + floor_.sum()
                 best = int(sure) if best is None else max(best, int(sure))
