@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 #: Fixed values of the fit: token rule, n-gram sizes, bounds on document frequency, list lengths.
 TERM = r"[a-z0-9_]{2,}"
 MIN_DF, MAX_DF_SHARE = 2, 0.85
+#: Successive ids that are sorted together.
+RUN_BITS = 16
 TOP, BRIDGE_TOP, UNIQUE_TOP, PAIR_TOP = 50, 25, 25, 10
 
 
@@ -32,9 +34,14 @@ def counts(docs: DataFrame, by: str, text: str, stop: Iterable[str] = (), across
     rows = docs.select(by, "id", words(F.col(text), stop).alias("ws"))
     out = rows.select(by, F.explode(grams(F.col("ws"))).alias("term"))
     if across:
-        edge = rows.filter(F.size("ws") > 0).select(by, "id", F.element_at("ws", 1).alias("a"), F.element_at("ws", -1).alias("z"))
-        after = F.lead("a").over(Window.partitionBy(by).orderBy("id"))
-        out = out.unionByName(edge.withColumn("b", after).filter("b IS NOT NULL").select(by, F.concat_ws(" ", "z", "b").alias("term")))
+        edge = rows.filter(F.size("ws") > 0).select(by, "id", F.element_at("ws", 1).alias("a"), F.element_at("ws", -1).alias("z"), F.shiftright("id", RUN_BITS).alias("run"))
+        # Ids are dealt in runs, so that no task sorts a whole group; only a run's last document looks
+        # into the next run.
+        inside = edge.withColumn("b", F.lead("a").over(Window.partitionBy(by, "run").orderBy("id")))
+        firsts = edge.groupBy(F.col(by).alias("_g"), F.col("run").alias("_run")).agg(F.min_by("a", "id").alias("fa"))
+        after = firsts.withColumn("na", F.lead("fa").over(Window.partitionBy("_g").orderBy("_run")))
+        joined = inside.join(after, inside[by].eqNullSafe(after["_g"]) & (inside["run"] == after["_run"]))
+        out = out.unionByName(joined.withColumn("b", F.coalesce("b", "na")).filter("b IS NOT NULL").select(by, F.concat_ws(" ", "z", "b").alias("term")))
     return out.groupBy(by, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
