@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 from .components import components
-from .wordhash import Runs, WordHashes, mix, slices, words_of
+from .wordhash import Runs, WordHashes, mix, parts, slices, words_of
 
 GRAM, SHARE = 4, (85, 100)
 SKETCH = 1 << 18
@@ -64,7 +64,7 @@ def _scan(k: int):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, sketch, some = WordHashes(), np.zeros(SKETCH, dtype=np.uint32), False
-        for batch in batches:
+        for batch in parts(batches):
             ids, n, h1, h2 = batch.column(0), [], [], []
             for s in shingle_sets(batch.column(1).to_pylist(), k, hashes):
                 n.append(len(s))
@@ -98,7 +98,7 @@ def prefix_length(n: int, share: tuple[int, int]) -> int:
 def _prefixes(k: int, share: tuple[int, int], shared):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, sketch = WordHashes(), np.frombuffer(shared.value, dtype=np.uint64)
-        for batch in batches:
+        for batch in parts(batches):
             n, h1, firsts, common = [], [], [], []
             for s in shingle_sets(batch.column(1).to_pylist(), k, hashes):
                 n.append(len(s))
@@ -117,7 +117,7 @@ def _verify(k: int, share: tuple[int, int]):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, last, set_a, parts_a = WordHashes(), None, None, None
         histogram = lambda s: np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=PARTS)
-        for batch in batches:
+        for batch in parts(batches):
             a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
             keep_a, keep_b = [], []
             for i, set_b in enumerate(shingle_sets(tb, k, hashes)):
