@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import parts_for, table
+from .wordhash import parts
 
 LENGTH = 4096
 END_ID = 2
@@ -31,6 +32,7 @@ CACHE_WORDS = 1_000_000
 
 
 _PARTS = re.compile(rb"([A-Za-z\x80-\xff]*)([!-/:-@\[-`{-~]*)")
+_STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
 
 
 class WordEncoder:
@@ -48,19 +50,22 @@ class WordEncoder:
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
 
-    def _learn_plain(self, words: list[str]) -> None:
-        """Words of lower-case letters."""
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(part):
-                self._learn_each(part)
-                continue
-            raw, a = ids.tobytes(), 0
-            for w, b in zip(part, cuts.tolist()):
-                self.known[w.encode()] = raw[4 * a : 4 * b]
-                a = b
+    def _learn_plain(self, words: list[bytes]) -> None:
+        """Words of lower-case letters, a few hundred to a text."""
+        runs = [words[i : i + 200] for i in range(0, len(words), 200)]
+        for i in range(0, len(runs), 100):
+            some = runs[i : i + 100]
+            texts = [b" ".join(run).decode() for run in some]
+            for run, e in zip(some, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                ids = np.array(e.ids, dtype="<u4")
+                cuts = np.flatnonzero(self.ends[ids]) + 1
+                if len(cuts) != len(run):
+                    self._learn_each([w.decode() for w in run])
+                    continue
+                raw, a = ids.tobytes(), 0
+                for w, b in zip(run, (4 * cuts).tolist()):
+                    self.known[w] = raw[a:b]
+                    a = b
 
     def _learn_each(self, words: list[str]) -> None:
         for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
@@ -69,11 +74,14 @@ class WordEncoder:
     def learn(self, words: set[bytes]) -> None:
         known, plain, odd, joined = self.known, set(), set(), []
         for w in words:
+            if w.isalpha() and w.islower():
+                plain.add(w)
+                continue
             stem, tail = m.groups() if (m := _PARTS.fullmatch(w)) else (b"", b"")
             low = stem.decode("utf-8", "replace").lower()
             if low and low.isalpha() and "\u03c2" not in low and "\u03c3" not in low:
                 if (key := low.encode()) not in known:
-                    plain.add(low)
+                    plain.add(key)
                 if tail and tail not in known:
                     odd.add(tail.decode())
                 if key != w:
@@ -85,9 +93,18 @@ class WordEncoder:
         for w, key, tail in joined:
             known[w] = known[key] + known[tail] if tail else known[key]
 
+    @staticmethod
+    def split(text: str) -> list[bytes]:
+        """Words, A-Z as a-z, single full stops and commas after a letter apart: the vocabulary does
+        both itself. Texts that may hold its special tokens, which mind case, are left as they are."""
+        raw = text.encode()
+        if b"<|" not in raw:
+            raw = _STOP.sub(rb" \1 ", raw.lower())
+        return raw.split()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        words = [t.encode().split() for t in texts]
+        words = [self.split(t) for t in texts]
         here = set().union(*words) if words else set()
         new = here - self.known.keys()
         if len(self.known) + len(new) > self.limit:
@@ -153,7 +170,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: i
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = encoder_of(tokenizer_path), int(end_id).to_bytes(4, "little")
-        for batch in batches:
+        for batch in parts(batches):
             ids, at = batch.column(0).to_pylist(), 0
             for texts in batched([t or "" for t in batch.column(1).to_pylist()]):
                 out: tuple[list, ...] = ([], [], [], [], [])
