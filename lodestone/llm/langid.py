@@ -16,19 +16,23 @@ text is ``und``; an empty table gives no rows; further columns are not read.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
+from .wordhash import parts
 
 DOCS, WORDS, GRAMS, ORDERS = 1500, 20_000, 8_000, (5, 4, 3, 2, 1)
 LETTERS = re.compile(r"[^\W\d_]+")
-CACHE_WORDS = 200_000
+#: Words whose scores a Python worker remembers, and bytes of those scores.
+CACHE_WORDS, CACHE_BYTES = 500_000, 64_000_000
 
 
 def _word_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -43,7 +47,7 @@ class Model:
     """Log frequencies by language: ``words`` and, for each order, ``grams``, as gram -> row of scores."""
 
     def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[int, dict[str, np.ndarray]]):
-        self.langs, self.words, self.grams = langs, words, grams
+        self.langs, self.words, self.grams, self.key = langs, words, grams, uuid.uuid4().hex
 
     def score_word(self, word: str) -> np.ndarray:
         if word in self.words:
@@ -57,6 +61,40 @@ class Model:
         return np.zeros(len(self.langs))
 
 
+class Known(dict):
+    """word -> row of ``scores``, filled as words come; kept from task to task for one model."""
+
+    last: "Known | None" = None
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.limit = max(1000, min(CACHE_WORDS, CACHE_BYTES // (4 * max(1, len(model.langs)))))
+        self.scores = np.zeros((self.limit, len(model.langs)), dtype=np.float32)
+
+    def __missing__(self, word: str) -> int:
+        row = self[word] = len(self)
+        self.scores[row] = self.model.score_word(word)
+        return row
+
+    def mean(self, words: list[str]) -> np.ndarray:
+        """Mean score of words, in runs that fit the cache."""
+        total = np.zeros(len(self.model.langs))
+        step = self.limit // 2
+        for i in range(0, len(words), step):
+            part = words[i : i + step]
+            if len(self) + len(part) > self.limit:
+                self.clear()
+            rows = np.fromiter(map(self.__getitem__, part), dtype=np.int64, count=len(part))
+            total += self.scores[rows].sum(axis=0, dtype=np.float64)
+        return total / len(words)
+
+    @classmethod
+    def of(cls, model: Model) -> "Known":
+        if cls.last is None or cls.last.model.key != model.key:
+            cls.last = cls(model)
+        return cls.last
+
+
 def _table(rows: list[tuple[str, str, int]], langs: list[str]) -> dict[str, np.ndarray]:
     """Scores of kept grams with add-half smoothing within each language."""
     at = {lang: i for i, lang in enumerate(langs)}
@@ -101,39 +139,25 @@ def predict(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)  # bounded: langs * (words + orders * grams) rows of scores
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}
 
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        known: dict[str, int] = {}
-        rows: list[np.ndarray] = []
-        for frame in frames:
+        known = Known.of(model)
+        for batch in parts(batches):
             best, sure = [], []
-            for text in frame["text"]:
+            for text in batch.column(0).to_pylist():
                 words = LETTERS.findall(text.lower()) if text else []
                 if not words or not model.langs:
                     best.append("und")
                     sure.append(0.0)
                     continue
-                if len(known) > CACHE_WORDS:
-                    known.clear()
-                    rows.clear()
-                counts = Counter(words)
-                total = np.zeros(len(model.langs))
-                for w, n in counts.items():
-                    i = known.get(w)
-                    if i is None:
-                        i = known[w] = len(rows)
-                        rows.append(model.score_word(w))
-                    total += n * rows[i]
-                mean = total / len(words)
+                mean = known.mean(words)
                 weight = np.exp((mean - mean.max()) * min(len(words), 10))
                 best.append(model.langs[int(mean.argmax())])
                 sure.append(float(weight.max() / weight.sum()))
-            out = frame[carry].copy()
-            out["lang_pred"], out["score"] = best, sure
-            yield out
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(best, pa.string()), pa.array(sure, pa.float64())], names=[*carry, "lang_pred", "score"])
 
     schema = ", ".join([*[f"`{c}` {fields[c]}" for c in carry], "lang_pred string", "score double"])
-    return docs.select("text", *carry).mapInPandas(score, schema)
+    return docs.select("text", *carry).mapInArrow(score, schema)
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
