@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 from .components import components
-from .wordhash import Runs, WordHashes, mix, parts, slices, words_of
+from .wordhash import Runs, mix, parts, slices, text_hashes
 
 GRAM, SHARE = 4, (85, 100)
 SKETCH = 1 << 18
@@ -40,15 +40,13 @@ SMALL, ROUNDS = 16, 3
 PARTS = 64
 
 
-def shingle_sets(texts: list[str], k: int, hashes: WordHashes) -> list[np.ndarray]:
+def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     out: list[np.ndarray] = []
     for i, j in slices([len(t) for t in texts]):
-        words = [words_of(t, lower=True) for t in texts[i:j]]
-        sizes = [len(w) for w in words]
-        runs = Runs(hashes.of([x for w in words for x in w]))
-        begin = 0
-        for n in sizes:
+        hashes, sizes = text_hashes(texts[i:j], lower=True)
+        runs, begin = Runs(hashes), 0
+        for n in sizes.tolist():
             if n:
                 at = np.arange(begin, begin + max(1, n - k + 1))
                 out.append(np.unique(runs(at, at + min(n, k))))
@@ -63,10 +61,10 @@ def _scan(k: int):
     chunk = SKETCH // 64
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, sketch, some = WordHashes(), np.zeros(SKETCH, dtype=np.uint32), False
+        sketch, some = np.zeros(SKETCH, dtype=np.uint32), False
         for batch in parts(batches):
             ids, n, h1, h2 = batch.column(0), [], [], []
-            for s in shingle_sets(batch.column(1).to_pylist(), k, hashes):
+            for s in shingle_sets(batch.column(1).to_pylist(), k):
                 n.append(len(s))
                 h1.append(int(mix(s).sum(dtype=np.uint64).view(np.int64)))
                 h2.append(int(mix(s ^ np.uint64(0xA5A5A5A55A5A5A5A)).sum(dtype=np.uint64).view(np.int64)))
@@ -97,10 +95,10 @@ def prefix_length(n: int, share: tuple[int, int]) -> int:
 
 def _prefixes(k: int, share: tuple[int, int], shared):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, sketch = WordHashes(), np.frombuffer(shared.value, dtype=np.uint64)
+        sketch = np.frombuffer(shared.value, dtype=np.uint64)
         for batch in parts(batches):
             n, h1, firsts, common = [], [], [], []
-            for s in shingle_sets(batch.column(1).to_pylist(), k, hashes):
+            for s in shingle_sets(batch.column(1).to_pylist(), k):
                 n.append(len(s))
                 h1.append(int(mix(s).sum(dtype=np.uint64).view(np.int64)))
                 firsts.append(_order(s, sketch)[: prefix_length(len(s), share)].view(np.int64) if len(s) else [])
@@ -115,14 +113,14 @@ def _verify(k: int, share: tuple[int, int]):
     num, den = share
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, last, set_a, parts_a = WordHashes(), None, None, None
+        last, set_a, parts_a = None, None, None
         histogram = lambda s: np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=PARTS)
         for batch in parts(batches):
             a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
             keep_a, keep_b = [], []
-            for i, set_b in enumerate(shingle_sets(tb, k, hashes)):
+            for i, set_b in enumerate(shingle_sets(tb, k)):
                 if ta[i] is not last and ta[i] != last:
-                    last, set_a = ta[i], shingle_sets([ta[i]], k, hashes)[0]
+                    last, set_a = ta[i], shingle_sets([ta[i]], k)[0]
                     parts_a = histogram(set_a)
                 total = len(set_a) + len(set_b)
                 need = -(-num * total // (num + den))

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import drop_at_exit
 from .common import scratch_dir, table
-from .wordhash import Runs, WordHashes, parts, slices, words_of
+from .wordhash import Runs, parts, slices, text_hashes, words_of
 
 WINDOW, GRAM, FANOUT = 20, 6, 4
 #: Batches that one table is fed to the index in.
@@ -84,13 +84,12 @@ def segments(words: np.ndarray, ends: np.ndarray, window: int, gram: int) -> tup
 
 def _segment_rows(window: int, gram: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in parts(batches):
             docs, crcs, texts = (batch.column(i).to_pylist() for i in range(3))
             for i, j in slices([len(t) for t in texts]):
-                words = [words_of(t) for t in texts[i:j]]
-                ends = np.cumsum([len(w) for w in words])
-                g, s, m, first = segments(hashes.of([x for w in words for x in w]), ends, window, gram)
+                words, sizes = text_hashes(texts[i:j])
+                ends = np.cumsum(sizes)
+                g, s, m, first = segments(words, ends, window, gram)
                 doc = np.searchsorted(ends, first, side="right")
                 begin = np.concatenate([[0], ends])[doc]
                 of = np.array(docs[i:j], dtype=np.int64)[doc]
@@ -109,19 +108,17 @@ def _spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _window_rows(window: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in parts(batches):
             texts, (a, m, begin) = batch.column(3).to_pylist(), _spans(batch.column(4))
             owner = np.repeat(np.arange(len(texts)), np.diff(begin))
             for i, j in slices([len(t) for t in texts]):
-                words = [words_of(t) for t in texts[i:j]]
-                first = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+                every, sizes = text_hashes(texts[i:j])
+                first = np.concatenate([[0], np.cumsum(sizes)])
                 mine = slice(begin[i], begin[j])
                 count, own = m[mine], owner[mine]
                 step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 local = np.repeat(a[mine], count) + step
                 row = np.repeat(own, count)
-                every = hashes.of([x for w in words for x in w])
                 starts = first[row - i] + local
                 h1, h2 = Runs(every)(starts, starts + window), Runs(every, 1)(starts, starts + window)
                 ids = [pa.compute.take(batch.column(c), pa.array(row)) for c in range(3)]

@@ -6,26 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 
-CACHE_WORDS = 300_000
+#: Bytes hashed at a time; a longer word is hashed by itself.
+BLOCK = 1 << 19
 _M = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _MASK = (1 << 64) - 1
 
 
-class WordHashes(dict):
-    """word (bytes) -> hash; forgets all when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Scramble 64-bit values, one to one."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -58,10 +45,55 @@ class Runs:
         return mix((self.sums[b] - self.sums[a]) * self.inverse[a] + (b - a).astype(np.uint64))
 
 
-def words_of(text: str | None, lower: bool = False) -> list[bytes]:
-    """Words between ASCII white space (0x20, 0x09-0x0D); ``lower``: A-Z become a-z."""
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_M[0]))
+
+
+def raw_text(text: str | None, lower: bool = False) -> bytes:
+    """UTF-8 bytes; ``lower``: A-Z become a-z."""
     raw = (text or "").encode("utf-8", "surrogatepass")
-    return (raw.lower() if lower else raw).split()
+    return raw.lower() if lower else raw
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """Words between ASCII white space (0x20, 0x09-0x0D)."""
+    return raw_text(text).split()
+
+
+def _blocks(space: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of about BLOCK bytes that end at white space."""
+    n, start = len(space), 0
+    while start < n:
+        end = min(n, start + BLOCK)
+        if end < n:
+            inside = np.flatnonzero(space[start:end])
+            if len(inside):
+                end = start + int(inside[-1]) + 1
+            else:
+                after = np.flatnonzero(space[end:])
+                end = end + int(after[0]) + 1 if len(after) else n
+        yield start, end
+        start = end
+
+
+def text_hashes(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of several texts in a row, and the number of words of each text. Words are
+    found and hashed as runs of bytes, whole blocks at a time."""
+    raws = [raw_text(t, lower) for t in texts]
+    ends = np.cumsum([len(r) + 1 for r in raws])
+    data = np.frombuffer(b" ".join(raws) + b" ", dtype=np.uint8)
+    space = _SPACE[data]
+    hashes, starts = [], []
+    for a, b in _blocks(space):
+        edge = np.diff(space[a:b].astype(np.int8), prepend=1, append=1)
+        first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        hashes.append(Runs(_BYTES[data[a:b]])(first, last))
+        starts.append(first + a)
+    if not hashes:
+        return np.zeros(0, dtype=np.uint64), np.zeros(len(texts), dtype=np.int64)
+    counts = np.searchsorted(np.concatenate(starts), ends)
+    return np.concatenate(hashes), np.diff(counts, prepend=0)
 
 
 def parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -71,7 +103,7 @@ def parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Rec
             yield batch.slice(i, rows)
 
 
-def slices(sizes: list[int], most: int = 1_500_000) -> Iterator[tuple[int, int]]:
+def slices(sizes: list[int], most: int = 400_000) -> Iterator[tuple[int, int]]:
     """Runs of items whose sizes sum to ``most`` at most (or one larger item)."""
     start, held = 0, 0
     for i, n in enumerate(sizes):

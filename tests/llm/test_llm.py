@@ -349,3 +349,19 @@ def test_pipeline(spark, edges):
     assert packed.filter("start = 0").count() == sizes[3]
     for folder in edges.values():
         corpus_pipeline.run(spark, folder).count()
+
+
+def test_text_hashes_are_those_of_words(monkeypatch):
+    from lodestone.llm import wordhash
+
+    rng = random.Random(4)
+    texts = ["", "  ", None, "one", "\tA b\x0bc\x1cd e 中文 ", *(" ".join(rng.choice("abcxyz") * rng.randint(1, 9) for _ in range(rng.randint(0, 80))) for _ in range(40)), "y" * 300 + " z"]
+    words = [wordhash.words_of(t) for t in texts]
+    seen: dict[bytes, int] = {}
+    for block in (1 << 19, 64, 7):
+        monkeypatch.setattr(wordhash, "BLOCK", block)
+        hashes, sizes = wordhash.text_hashes(texts)
+        assert sizes.tolist() == [len(w) for w in words]
+        for w, h in zip((w for ws in words for w in ws), hashes.tolist()):
+            assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
