@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import parts_for, table
@@ -98,11 +98,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, shard_rows: int = SHARD_R
         return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
 
     near = left.groupBy("_q", "_s").cogroup(right.withColumn("_s", F.col("_s").cast("long")).groupBy("_q", "_s")).applyInPandas(search, "query_id long, vec_id long, score long")
-    near.createOrReplaceTempView("_maxscore_lists")
-    return rows.sparkSession.sql(f"""
-        SELECT query_id, rank, vec_id, score FROM (
-          SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank
-          FROM _maxscore_lists) WHERE rank <= {int(k)}""")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op6_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
