@@ -78,7 +78,7 @@ def features(text: str | None) -> np.ndarray:
         len(set(lines)) / lines_n if lines_n else 1,
         np.log1p(w / max(1, lines_n)) / 10,
         min(1.0, float(lengths.max()) / 100) if w else 0,
-        (np.mean([words[i] == words[i - 1] for i in range(1, min(w, 2000))]) if w > 1 else 0),
+        sum(a == b for a, b in zip(words, words[1:])) / (w - 1) if w > 1 else 0,
         1.0,
     )
     return out

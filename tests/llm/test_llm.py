@@ -148,6 +148,12 @@ def test_quality_on_held_out_rows(spark):
     assert out.score.between(0, 1).all()
 
 
+def test_quality_sees_repeated_words_to_the_end():
+    head = [f"w{i}" for i in range(2500)]
+    assert quality.features(" ".join(head))[-2] == 0
+    assert quality.features(" ".join([*head, *["junk"] * 500]))[-2] == pytest.approx(499 / 2999)
+
+
 def test_prior_without_negatives():
     rng = np.random.default_rng(0)
     pos, neg = rng.normal(2, 1, (400, 4)), rng.normal(-2, 1, (120, 4))
