@@ -3,7 +3,9 @@
 A text's words form k-grams; each k-gram has a 64-bit hash of which 40 bits are kept beside its
 position. Of every window of ``w`` successive hashes the smallest is chosen, ties to the rightmost, and
 a choice shared by windows is kept once. Two texts that share ``w + k - 1`` successive words share a
-fingerprint; positions tell where.
+fingerprint; positions tell where. Grams and windows are short, so that most
+texts of eight words share one with their half. A word of more than ``LONG`` characters, or with a character of a script
+that is written without blanks, counts as so many words of one character.
 
 Defined results: a text shorter than k words is one gram, one with fewer than w grams one window; null,
 empty and blank texts have no fingerprint, and two such texts are alike (1.0), one such text is unlike
@@ -20,16 +22,26 @@ from pyspark.sql import functions as F
 
 from .common import let, table
 
-GRAM, WINDOW = 5, 12
+GRAM, WINDOW = 2, 3
+LONG = 48
+#: Thai and Lao, Burmese, Khmer, kana, Han.
+BLANKLESS = r"[\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}]"
 POSITION_BITS = 24
 _MASK = (1 << POSITION_BITS) - 1
 #: doc_ids are dealt in runs of 2^9 successive values, so no task holds more than 512 different ones.
 RUN_BITS = 9
 
 
+def tokens(text: Column) -> Column:
+    """Words of a text, those that are runs of characters cut into characters."""
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", -1), lambda x: x != "")
+    solid = lambda x: (F.length(x) > LONG) | ((F.octet_length(x) > F.length(x)) & x.rlike(BLANKLESS))
+    one = lambda x: F.when(solid(x), F.regexp_extract_all(x, F.lit("(?s)."), F.lit(0))).otherwise(F.array(x))
+    return let(words, lambda ws: F.when(F.exists(ws, solid), F.flatten(F.transform(ws, one))).otherwise(ws))
+
+
 def winnow(text: Column, k: int = GRAM, w: int = WINDOW) -> Column:
     """array<long> of chosen hashes, each with its position in the low bits."""
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", -1), lambda x: x != "")
 
     def grams(ws: Column) -> Column:
         packed = lambda i: F.xxhash64(F.slice(ws, i, k)).bitwiseAND(F.lit(~_MASK)).bitwiseOR((F.lit(_MASK) - (i - 1) % (1 << POSITION_BITS)).cast("long"))
@@ -39,7 +51,7 @@ def winnow(text: Column, k: int = GRAM, w: int = WINDOW) -> Column:
         least = F.transform(F.sequence(F.lit(1), F.greatest(F.size(hs) - w + 1, F.lit(1))), lambda i: F.array_min(F.slice(hs, i, w)))
         return F.when(F.size(hs) == 0, hs).otherwise(F.array_distinct(least))
 
-    return let(let(words, grams), chosen)
+    return let(let(tokens(text), grams), chosen)
 
 
 def as_text(prints: Column) -> Column:

@@ -264,6 +264,17 @@ def test_winnowing(spark, docs):
     assert (same == 1).all() and out.near_edited.mean() > 10 * out.near_next.mean()
 
 
+def test_winnowing_of_short_and_blankless_texts(spark):
+    draw = random.Random(4)
+    word = lambda: "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=5))
+    texts = [" ".join(word() for _ in range(n)) for n in range(10, 32)]
+    texts += ["".join(chr(draw.randrange(0x4E00, 0x9FFF)) for _ in range(n)) for n in (12, 20, 40)]
+    texts += ["".join(word() for _ in range(n)) for n in (30, 60)] + [texts[0]]
+    out = winnowing.fingerprint_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = out.select("doc_id", winnowing.F.size("prints").alias("n"), winnowing.likeness(winnowing.F.col("prints"), winnowing.F.col("edited_prints")).alias("near")).collect()
+    assert len(got) == len(texts) and all(r.n > 2 and r.near > 0 for r in got)
+
+
 def test_winnowing_chooses_rightmost_minimum(spark):
     text = "a b c d e " * 12
     row = spark.createDataFrame([(text,)], "text string").select(winnowing.as_text(winnowing.winnow(winnowing.F.col("text"), 1, 7)).alias("f")).first().f
