@@ -55,23 +55,24 @@ def maxscore_shard(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray,
         essential = min(len(terms), max(1, essential)) if len(terms) else 0
         # Scores are kept as gains over the least possible contribution of each term. The essential
         # postings are traversed for all vectors, the others a few at a time for those still competitive.
-        alive, got, done, upto = None, np.zeros(len(ids), dtype=np.int64), 0, essential
+        # Rows with the query's own id have no part in the threshold.
+        alive, got, done, upto, other = None, np.zeros(len(ids), dtype=np.int64), 0, essential, ids != own
         while done < len(terms):
             part = terms[done:upto]
             block = postings[part] if alive is None else postings[part][:, alive]
             got = got + (q[part] @ block - floor_[part].sum())
             done, upto = upto, min(len(terms), upto + STEP)
-            if len(got) > k:
-                sure = np.partition(got, len(got) - k - 1)[len(got) - k - 1 :].min() + floor_.sum()
+            real = got[other]
+            if len(real) >= k:
+                sure = np.partition(real, len(real) - k)[len(real) - k] + floor_.sum()
                 best = int(sure) if best is None else max(best, int(sure))
             if best is not None:
                 keep = got + rest[done] >= best
                 if not keep.all():
                     alive = np.flatnonzero(keep) if alive is None else alive[keep]
-                    got = got[keep]
+                    got, other = got[keep], other[keep]
         at = np.arange(len(ids)) if alive is None else alive
         score = got + floor_.sum()
-        other = ids[at] != own
         at, score = at[other], score[other]
         first = np.lexsort((ids[at], -score))[:k]
         yield int(own), ids[at][first], score[first]

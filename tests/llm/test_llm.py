@@ -247,6 +247,17 @@ def test_maxscore_shard_is_exact():
         assert [(-int(s), int(i)) for s, i in zip(got, got_ids)] == want
 
 
+@pytest.mark.parametrize("copies", [2, 6, 9])
+def test_maxscore_shard_with_repeated_query_ids(copies):
+    rng = np.random.default_rng(copies)
+    rows = rng.integers(-200, 200, (400, 33)).astype(np.int64)
+    rows[:copies] = rows[0] * 3
+    ids = np.append(np.full(copies, 7), 100 + rng.permutation(400 - copies)).astype(np.int64)
+    (own, got_ids, got), = maxscore.maxscore_shard(rows[:1], ids[:1], rows, ids, 5)
+    want = sorted((-int(s), int(i)) for s, i in zip(rows @ rows[0], ids) if i != own)[:5]
+    assert [(-int(s), int(i)) for s, i in zip(got, got_ids)] == want
+
+
 def test_winnowing(spark, docs):
     out = winnowing.op7_winnowing(spark, SF).toPandas().sort_values("doc_id").reset_index(drop=True)
     texts = list(docs.text)
