@@ -34,9 +34,11 @@ def contexts(s: SparkSession, d: str) -> DataFrame:
     return G.pack_context(R.bm25(corpus(s, d), passages(s, d), 10, ANSWER), corpus(s, d))
 
 
-def prompts(s: SparkSession, d: str) -> DataFrame:
+def prompts(s: SparkSession, d: str, head: int | None = None) -> DataFrame:
+    """Prompts with the whole packed context, or with its first ``head`` characters."""
+    context = F.col("context") if head is None else F.substring("context", 1, head)
     rows = contexts(s, d).join(passages(s, d), "query_id")
-    return rows.select("query_id", G.prompt(TEMPLATE, question=F.col("query_text"), context=F.substring("context", 1, 400)).alias("prompt"))
+    return rows.select("query_id", G.prompt(TEMPLATE, question=F.col("query_text"), context=context).alias("prompt"))
 
 
 def chat_contexts(s: SparkSession, d: str) -> DataFrame:
@@ -102,7 +104,7 @@ def star_set_ops(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "context_pack": contexts,
     "context_pack_chat": chat_contexts,
-    "prompt_assemble": prompts,
+    "prompt_assemble": lambda s, d: prompts(s, d, 400),
     "llm_generate": lambda s, d: G.call_model(prompts(s, d), "query_id"),
     "judge_parse": lambda s, d: s.createDataFrame(REPLIES, "id long, reply string").select("id", G.parse_scores(F.col("reply")).alias("x")).select("id", "x.*"),
     "judge_summary": lambda s, d: G.judge_summary(judged(s, d)),

@@ -14,7 +14,8 @@ import __spark_entry__ as entry
 from lodestone.functions import metrics as M
 from lodestone.functions import text as T
 from lodestone.operators import ablation, audit, dedup, evaluation, generate, retrieval, sampling, tfidf, topics
-from lodestone.operators.corpus import corpus, known_items, vectors
+from lodestone.operators.corpus import corpus, known_items, passages, vectors
+from lodestone.plans import operations
 from lodestone.sources import scans, sinks
 
 SF = "/root/testdata/sf0.001"
@@ -189,6 +190,13 @@ def test_context_stops_at_the_first_overflow(spark):
     assert got[7].n_docs == 3 and got[7].context.split("\n\n---\n\n")[1].endswith("b...") and got[8].context == generate.NOTHING
 
 
+def test_model_is_given_whole_contexts(spark):
+    rows = operations.contexts(spark, SF).join(passages(spark, SF), "query_id").collect()
+    want = {r.query_id: len(operations.TEMPLATE.replace("{question}", r.query_text).replace("{context}", r.context).split()) for r in rows}
+    assert any(r.n_docs > 1 and len(r.context) > 400 for r in rows)
+    assert {r.query_id: r.prompt_tokens for r in entry.queries()["llm_generate"](spark, SF).collect()} == want
+
+
 def test_model_failures_are_rows(spark):
     def broken(prompts):
         raise RuntimeError("down")
