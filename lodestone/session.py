@@ -10,18 +10,23 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
-#: Rows and bytes of an Arrow batch where the session keeps Spark's defaults: rows here are whole
-#: documents, and buffers of ten thousand of them stay with the JVM's allocator once grown.
+#: Rows and bytes of an Arrow batch for rows that are whole documents, against Spark's defaults.
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4194304")}
 
 
-def ship(spark: SparkSession) -> None:
-    """Send the package's sources to the executors, once per application."""
-    context = spark.sparkContext
-    set_ = {k for k, _ in context.getConf().getAll()}
+def small_batches(spark: SparkSession) -> None:
+    """Option of an application: hand documents to Python in batches of a thousand rows and 4 MB, as
+    buffers of ten thousand texts stay with the JVM's allocator once grown. Sets two options of the
+    session that the application has not set itself. No operator calls this; the registered queries do."""
+    set_ = {k for k, _ in spark.sparkContext.getConf().getAll()}
     for key, (default, ours) in BATCHES.items():
         if key not in set_ and spark.conf.get(key, default) == default:
             spark.conf.set(key, ours)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package's sources to the executors, once per application."""
+    context = spark.sparkContext
     if context.applicationId in _shipped:
         return
     here = Path(__file__).resolve().parent

@@ -10,9 +10,12 @@ LOCAL = "/tmp/checkpoints/lodestone"
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The shared folder of ``spark.checkpoint.dir``; a local one only where that is unset and all
+    tasks run on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = LOCAL
         os.makedirs(found, exist_ok=True)
     return found.rstrip("/")
