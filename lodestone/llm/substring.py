@@ -2,20 +2,27 @@
 
 Every window of ``WINDOW`` words is represented by the smallest ``GRAM``-word hash in it, so equal
 windows have equal representatives. Successive windows with one representative form a *segment*
-(g, s, m): representative, hash of the segment's words, number of windows. A run of the index is an
-immutable table of segments sorted by g, each with its first place (batch, doc, copy, start).
-
-A batch is joined with the runs in four steps, none of which forms pairs:
-1. representatives seen once in batch and history together are dropped (they hold no repeated window);
-2. a segment that occurs earlier is repeated whole;
+(g, d1, d2, m): representative, a 96-bit BLAKE2b digest of the segment's words, number of windows. A *run*
+of the index is an immutable table of distinct segments, bucketed and sorted by g, each with its first
+place (b, doc, mark, a): batch, document, hash of its text, first word. The few representatives with very many segments
+stand in an unbucketed part of the run, so no bucket holds a hot one.
+
+A batch is merge-joined with the runs; none of the steps forms pairs:
+1. segments of history whose representative the batch has are found by merge join (a run's buckets are
+   read as they lie, only the batch's representatives are dealt); representatives seen once in both are
+   dropped (they hold no repeated window);
+2. a segment whose words occur earlier (equal digests) is repeated whole;
 3. where a representative has several different segments, the first place of each is opened into its
-   windows, hashed by two independent families (the second verifies the first), and each window that
-   occurs earlier is repeated;
+   windows, and each window whose words occur earlier (equal 128-bit digests) is repeated;
 4. repeated windows are collected per document and their words removed.
-The batch's segments become a new run; ``FANOUT`` runs of a level are compacted into one of the next,
-keeping first places.
+The batch's distinct segments become a new run; ``FANOUT`` runs of a level are compacted into one of the
+next, keeping first places. A hash only ever proposes a candidate; equality is that of a cryptographic
+digest of the words, so different passages are not taken for equal.
+
+The index lives in ``folder``: runs, texts (bucketed by document, so later batches open places without
+moving texts) and a manifest, appended to at each commit, from which any later session goes on.
 
-Order is (batch, doc_id, CRC of the text, start), so batches of rising doc_id give the order of doc_ids.
+Order is (batch, doc_id, hash of the text, start), so batches of rising doc_id give the order of doc_ids.
 Defined results: null, empty and short texts have no window and lose nothing; rows equal in doc_id and
 text are one document, each gets its result; a null doc_id comes before all others; an empty batch
 gives no rows; further columns are not read.
@@ -24,6 +31,7 @@ gives no rows; further columns are not read.
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from collections.abc import Iterator
 from functools import reduce
@@ -35,14 +43,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import drop_at_exit
-from .common import scratch_dir, table
-from .wordhash import Runs, parts, slices, text_hashes, words_of
+from .common import scratch_dir, small_batches, table
+from .wordhash import Words, grams, parts, slices, words_of
 
 WINDOW, GRAM, FANOUT = 20, 6, 4
-#: Batches that one table is fed to the index in.
-BATCHES = 2
-KEY = ["doc", "crc"]
-SEGMENT = "g long, s long, m int, doc long, crc long, a int"
+#: Batches that one table is fed to the index in: enough for a compaction.
+BATCHES = 5
+#: A representative is hot from so many segments on, and from this share of a run's; so few can be hot.
+HOT_ROWS, HOT_SHARE = 1000, 20_000
+DOC = ["doc", "mark"]
+KEY = ["g", "d1", "d2", "m"]
+PLACE = ["b", "doc", "mark", "a"]
+SEGMENT = "g long, d1 long, d2 int, m int, doc long, mark long, a int"
+RUN = "g long, d1 long, d2 int, m int, b int, doc long, mark long, a int"
+TEXT = "doc_id long, doc long, mark long, text string"
+_LOW = 20  # bits of a packed hash that hold the place of its gram
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -54,47 +69,47 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(words: np.ndarray, ends: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """words: hashes of several documents in a row; ends: where each ends. (g, s, m, start) of segments."""
+    """words: hashes of several documents in a row; ends: where each ends. (g, number of windows, first
+    word) of segments. Ties go to the leftmost gram, so no segment holds a window twice; windows across
+    a multiple of ``1 << _LOW``, where places start anew, are a segment each."""
     none = np.zeros(0, dtype=np.int64)
     n = len(words)
     if n < window:
-        return none.astype(np.uint64), none.astype(np.uint64), none, none
-    at = np.arange(n - gram + 1)
-    grams = Runs(words)(at, at + gram)
-    low = np.uint64((1 << 20) - 1)
-    packed = (grams & ~low) | (at.astype(np.uint64) & low)
+        return none, none, none
+    hashes = grams(words, gram)
+    low = np.uint64(_LOW)
+    packed = hashes >> low << low | (np.arange(len(hashes)) % (1 << _LOW)).astype(np.uint64)
     best = _sliding_min(packed, window - gram + 1)
     starts = np.arange(n - window + 1)
+    across = starts % (1 << _LOW) + window - gram >= 1 << _LOW
     doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))[: len(starts)]
     fits = starts + window <= ends[doc]
     new = np.empty(len(starts), dtype=bool)
     new[0] = True
-    new[1:] = (best[1:] != best[:-1]) | (doc[1:] != doc[:-1])
+    new[1:] = (best[1:] != best[:-1]) | (doc[1:] != doc[:-1]) | across[1:] | across[:-1]
     first = np.flatnonzero(new & fits)
     if not len(first):
-        return none.astype(np.uint64), none.astype(np.uint64), none, none
+        return none, none, none
     # A document's windows are its first ones, so a segment ends at the next one or with its document.
     after = np.append(np.flatnonzero(new), len(starts))
     stop = np.minimum(after[np.searchsorted(after, first, side="right")], ends[doc[first]] - window + 1)
-    m = stop - first
-    place = first + ((best[first] - first.astype(np.uint64)) & low).astype(np.int64)
-    whole = Runs(words, 1)(first, stop + window - 1)
-    return grams[place], whole, m, first
+    return (best[first] >> low).view(np.int64), stop - first, first
 
 
 def _segment_rows(window: int, gram: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
-            docs, crcs, texts = (batch.column(i).to_pylist() for i in range(3))
+            docs, marks = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            texts = batch.column(2).to_pylist()
             for i, j in slices([len(t) for t in texts]):
-                words, sizes = text_hashes(texts[i:j])
-                ends = np.cumsum(sizes)
-                g, s, m, first = segments(words, ends, window, gram)
+                words = Words(texts[i:j])
+                ends = np.cumsum(words.sizes)
+                g, m, first = segments(words.hashes() if len(words.begin) else np.zeros(0, dtype=np.uint64), ends, window, gram)
                 doc = np.searchsorted(ends, first, side="right")
+                digests = words.digests(first, first + m + window - 2)
                 begin = np.concatenate([[0], ends])[doc]
-                of = np.array(docs[i:j], dtype=np.int64)[doc]
-                crc = np.array(crcs[i:j], dtype=np.int64)[doc]
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(s.view(np.int64)), pa.array(m.astype(np.int32)), pa.array(of), pa.array(crc), pa.array((first - begin).astype(np.int32))], names=["g", "s", "m", "doc", "crc", "a"])
+                columns = [g, digests[:, 0], digests[:, 1].astype(np.int32), m.astype(np.int32), docs[i + doc], marks[i + doc], (first - begin).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["g", "d1", "d2", "m", "doc", "mark", "a"])
 
     return rows
 
@@ -111,18 +126,18 @@ def _window_rows(window: int):
         for batch in parts(batches):
             texts, (a, m, begin) = batch.column(3).to_pylist(), _spans(batch.column(4))
             owner = np.repeat(np.arange(len(texts)), np.diff(begin))
-            for i, j in slices([len(t) for t in texts]):
-                every, sizes = text_hashes(texts[i:j])
-                first = np.concatenate([[0], np.cumsum(sizes)])
+            for i, j in slices([len(t) for t in texts], 100_000):
+                words = Words(texts[i:j])
+                first = np.concatenate([[0], np.cumsum(words.sizes)])
                 mine = slice(begin[i], begin[j])
                 count, own = m[mine], owner[mine]
                 step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 local = np.repeat(a[mine], count) + step
                 row = np.repeat(own, count)
                 starts = first[row - i] + local
-                h1, h2 = Runs(every)(starts, starts + window), Runs(every, 1)(starts, starts + window)
+                digests = words.digests(starts, starts + window - 1)
                 ids = [pa.compute.take(batch.column(c), pa.array(row)) for c in range(3)]
-                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *ids, pa.array(local.astype(np.int32))], names=["h1", "h2", "b", "doc", "crc", "a"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(digests[:, 0])), pa.array(np.ascontiguousarray(digests[:, 1])), *ids, pa.array(local.astype(np.int32))], names=["w1", "w2", "b", "doc", "mark", "a"])
 
     return rows
 
@@ -132,8 +147,8 @@ def _kept_rows(window: int, with_text: bool):
         for batch in parts(batches):
             n_words, n_removed, shas, kept_texts = [], [], [], []
             a, m, begin = _spans(batch.column(2))
-            for r, text in enumerate(batch.column(1).to_pylist()):
-                words = words_of(text)
+            for r, text in enumerate(batch.column(1)):
+                words = words_of(text.as_py())
                 gone = 0
                 kept = words
                 if begin[r + 1] > begin[r]:
@@ -161,89 +176,145 @@ def _kept_rows(window: int, with_text: bool):
 
 
 class FingerprintIndex:
-    """Finds and removes repeated passages batch by batch. Runs live in ``folder``, by default in the
-    session's shared scratch folder, which is cleared when the application ends; the documents of earlier
-    batches are read again where segments are opened."""
+    """Finds and removes repeated passages batch by batch: ``add`` a batch, then ``commit`` it.
+
+    ``folder`` may hold an index of an earlier session, which is gone on with; without one, the index lives
+    in the session's shared scratch folder and goes when the application ends. ``buckets``: of a new index's
+    tables, by default the session's shuffle partitions."""
 
-    def __init__(self, spark: SparkSession, window: int = WINDOW, gram: int = GRAM, fanout: int = FANOUT, folder: str | None = None):
-        self.spark, self.window, self.gram, self.fanout = spark, window, gram, fanout
+    def __init__(self, spark: SparkSession, window: int = WINDOW, gram: int = GRAM, fanout: int = FANOUT, folder: str | None = None, buckets: int | None = None):
+        self.spark = spark
         self.folder = folder or f"{scratch_dir(spark)}/fingerprints-{uuid.uuid4().hex}"
         self.own = folder is None
-        self.runs: list[tuple[int, str]] = []
-        self.texts: list[DataFrame] = []
+        self.state = self._manifest() or {"version": 0, "window": window, "gram": gram, "fanout": fanout, "buckets": buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), "texts": [], "runs": []}
+        if self.own:
+            drop_at_exit(spark, self.folder)
+        self.open = None
+        self.runs = [{**run, "main": self._table(run["path"], RUN, ["g"], KEY)} for run in self.state["runs"]]
+        self.texts = [self._table(path, TEXT, DOC, DOC) for path in self.state["texts"]]
+
+    def _manifest(self) -> dict | None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/manifest")
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return None
+        return json.loads(max(((r.version, r.state) for r in self.spark.read.schema("version long, state string").json(f"{self.folder}/manifest").collect()), default=(0, "null"))[1])
+
+    def _table(self, path: str, schema: str, by: list[str], order: list[str]) -> DataFrame:
+        """A bucketed table written before, under a name of this session's catalog."""
+        name = f"lodestone_{uuid.uuid4().hex}"
+        self.spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({', '.join(by)}) SORTED BY ({', '.join(order)}) INTO {self.state['buckets']} BUCKETS LOCATION '{path}'")
+        return self.spark.table(name)
 
     def _write(self, df: DataFrame, name: str) -> str:
         path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(path)
-        if self.own:
-            drop_at_exit(self.spark, path)
         return path
 
+    def _scratch(self, df: DataFrame, name: str) -> DataFrame:
+        path = self._write(df, name)
+        self.open["scratch"].append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _bucketed(self, df: DataFrame, name: str, by: list[str], order: list[str]) -> tuple[str, DataFrame]:
+        path, called, n = f"{self.folder}/{name}-{uuid.uuid4().hex}", f"lodestone_{uuid.uuid4().hex}", self.state["buckets"]
+        df.repartition(n, *by).write.bucketBy(n, *by).sortBy(*order).option("path", path).saveAsTable(called)
+        return path, self.spark.table(called)
+
     def _remove(self, path: str) -> None:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
+    def _history(self, asked: DataFrame) -> DataFrame | None:
+        """Segments of all runs whose g is one of ``asked`` (distinct)."""
+        found = []
+        for run in self.runs:
+            found.append(run["main"].join(asked.hint("merge"), "g", "left_semi").select(*KEY, *PLACE))
+            if run["hot"]:
+                rows = self.spark.read.schema(RUN).parquet(run["hot"])
+                few = rows.select("g").distinct().join(asked, "g", "left_semi")  # at most HOT_SHARE values
+                found.append(rows.join(F.broadcast(few), "g", "left_semi").select(*KEY, *PLACE))
+        return reduce(DataFrame.unionByName, found) if found else None
+
     def add(self, docs: DataFrame, with_text: bool = False) -> DataFrame:
         """docs: (doc_id, text). Their rows (doc_id, n_words, n_removed, kept_sha256[, kept_text])."""
-        spark, number = self.spark, len(self.texts)
-        docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.crc32(F.coalesce("text", F.lit(""))).alias("crc"), F.coalesce("text", F.lit("")).alias("text"))
-        self.texts.append(docs.select("doc", "crc", "text", F.lit(number).alias("b")))
-        found = docs.select("doc", "crc", "text").mapInArrow(_segment_rows(self.window, self.gram), SEGMENT)
-        new_path = self._write(found, "batch")
-        new = spark.read.parquet(new_path).withColumn("b", F.lit(number))
-        place = F.struct("b", "doc", "crc", "a")
-
-        every = new.select("g", F.lit(1).alias("new"))
-        for _, path in self.runs:
-            every = every.unionByName(spark.read.parquet(path).select("g", F.lit(0).alias("new")))
-        again = every.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.max("new").alias("new")).filter("n > 1 and new = 1").select("g")
-        again_path = self._write(again, "again")
-        again = spark.read.parquet(again_path)
-        seen_path = self._write(new.join(again, "g", "left_semi"), "seen")
-        seen = spark.read.parquet(seen_path)
-        old = [spark.read.parquet(path).join(again, "g", "left_semi").select(*seen.columns) for _, path in self.runs]
-        both = seen
-        for o in old:
-            both = both.unionByName(o)
-        firsts_path = self._write(both.groupBy("g", "s", "m").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
-        firsts = spark.read.parquet(firsts_path)
-
-        whole = seen.join(firsts.filter("n > 1").select("g", "s", "m", "first"), ["g", "s", "m"]).filter(place != F.col("first")).select(*KEY, "a", "m")
+        if self.open is not None:
+            self.commit()
+        spark, number, window, gram = self.spark, len(self.texts), self.state["window"], self.state["gram"]
+        self.open = {"scratch": []}
+        text = F.coalesce("text", F.lit(""))
+        docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("doc_id", F.lit(-(1 << 63))).cast("long").alias("doc"), F.xxhash64(text).alias("mark"), text.alias("text"))
+        path, mine = self._bucketed(docs, "texts", DOC, DOC)
+        self.texts.append(mine)
+        self.open["texts"] = path
+        place = F.struct(*PLACE)
+        new = self._scratch(spark.read.schema(TEXT).parquet(path).select(*DOC, "text").mapInArrow(_segment_rows(window, gram), SEGMENT), "batch")
+        self.open["batch"] = new
+        new = new.withColumn("b", F.lit(number)).select(*KEY, *PLACE)
+
+        counts = new.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+        again, old = counts.filter("n > 1").select("g"), self._history(counts.select("g"))
+        if old is not None:
+            old = self._scratch(old, "old")
+            again = again.unionByName(old.select("g")).distinct()
+        seen = self._scratch(new.join(again, "g", "left_semi"), "seen")
+        both = seen if old is None else seen.unionByName(old)
+        firsts = self._scratch(both.groupBy(*KEY).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
+
+        whole = seen.join(firsts.filter("n > 1").select(*KEY, "first"), KEY).filter(place != F.col("first")).select(*DOC, "a", "m")
         several = firsts.groupBy("g").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("g")
-        texts = reduce(DataFrame.unionByName, self.texts)
-        need = firsts.join(several, "g", "left_semi").groupBy("first.b", "first.doc", "first.crc").agg(F.collect_list(F.struct("first.a", "m")).alias("spans"))
-        windows = texts.join(need, ["b", *KEY]).select("b", *KEY, "text", "spans").mapInArrow(_window_rows(self.window), "h1 long, h2 long, b int, doc long, crc long, a int")
-        windows_path = self._write(windows, "windows")
-        windows = spark.read.parquet(windows_path)
-        earliest = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").drop("last")
-        single = windows.filter(F.col("b") == number).join(earliest, ["h1", "h2"]).filter(place != F.col("first")).select(*KEY, "a", F.lit(1).alias("m"))
-
-        spans = whole.unionByName(single).groupBy(*KEY).agg(F.collect_set(F.struct("a", "m")).alias("spans"))
-        spans_path = self._write(spans, "spans")
-        spans = spark.read.parquet(spans_path)
-        out = docs.join(spans, KEY, "left").select("doc_id", "text", "spans")
+        need = firsts.join(several, "g", "left_semi").groupBy("first.b", "first.doc", "first.mark").agg(F.collect_list(F.struct("first.a", "m")).alias("spans"))
+        need = self._scratch(need, "need")
+        opened = [t.join(need.filter(F.col("b") == b).hint("shuffle_hash"), DOC).select("b", *DOC, "text", "spans") for b, t in enumerate(self.texts)]
+        windows = self._scratch(reduce(DataFrame.unionByName, opened).mapInArrow(_window_rows(window), "w1 long, w2 long, b int, doc long, mark long, a int"), "windows")
+        earliest = windows.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").drop("last")
+        single = windows.filter(F.col("b") == number).join(earliest, ["w1", "w2"]).filter(place != F.col("first")).select(*DOC, "a", F.lit(1).alias("m"))
+        found = whole.unionByName(single).groupBy(*DOC).agg(F.collect_set(F.struct("a", "m")).alias("spans"))
+        # Read by the caller at any time after: kept as long as the index.
+        spans = spark.read.schema(found.schema).parquet(self._write(found, "spans"))
+        for used in self.open["scratch"][1:]:
+            self._remove(used)
+        del self.open["scratch"][1:]
+        out = mine.join(spans.hint("shuffle_hash"), DOC, "left").select("doc_id", "text", "spans")
         schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-        for path in (again_path, seen_path, firsts_path, windows_path):
-            self._remove(path)
-        self._batch = (new_path, number)
-        return out.mapInArrow(_kept_rows(self.window, with_text), schema)
+        return out.mapInArrow(_kept_rows(window, with_text), schema)
+
+    def _run(self, rows: DataFrame, level: int) -> dict:
+        """Write distinct segments with their first places as a run."""
+        rows = self._scratch(rows.groupBy(*KEY).agg(F.min(F.struct(*PLACE)).alias("p")).select(*KEY, "p.*"), "distinct")
+        hot = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(HOT_ROWS, rows.count() // HOT_SHARE)).select("g")
+        hot = few_values(hot)
+        aside = None
+        if hot is not None:
+            aside = self._write(rows.join(F.broadcast(hot), "g", "left_semi"), "hot")
+            rows = rows.join(F.broadcast(hot), "g", "left_anti")
+        path, main = self._bucketed(rows.select(*KEY, *PLACE), "run", ["g"], KEY)
+        self._remove(self.open["scratch"].pop())
+        return {"level": level, "path": path, "hot": aside, "main": main}
 
     def commit(self) -> None:
-        """Sort the last batch's segments into a run and compact full levels; before the next batch."""
-        path, number = self._batch
-        place = F.struct("b", "doc", "crc", "a")
-        firsts = self.spark.read.parquet(path).withColumn("b", F.lit(number)).groupBy("g", "s", "m").agg(F.min(place).alias("p")).select("g", "s", "m", "p.*")
-        self.runs.append((0, self._write(firsts.repartition("g", "s").sortWithinPartitions("g", "s", "m"), "run")))
-        self._remove(path)
-        level = 0
-        while sum(1 for at, _ in self.runs if at == level) >= self.fanout:
-            full = [p for at, p in self.runs if at == level]
-            merged = self.spark.read.parquet(*full).groupBy("g", "s", "m").agg(F.min(place).alias("p")).select("g", "s", "m", "p.*")
-            run = self._write(merged.repartition("g", "s").sortWithinPartitions("g", "s", "m"), "run")
-            self.runs = [x for x in self.runs if x[0] != level] + [(level + 1, run)]
-            for p in full:
-                self._remove(p)
+        """Make the last batch's segments a run, compact full levels and append to the manifest."""
+        number, fanout = len(self.texts) - 1, self.state["fanout"]
+        self.state["texts"].append(self.open["texts"])
+        self.runs.append(self._run(self.open["batch"].withColumn("b", F.lit(number)), 0))
+        level, old = 0, []
+        while len(full := [r for r in self.runs if r["level"] == level]) >= fanout:
+            rows = [r["main"].select(*KEY, *PLACE) for r in full] + [self.spark.read.schema(RUN).parquet(r["hot"]).select(*KEY, *PLACE) for r in full if r["hot"]]
+            merged = self._run(reduce(DataFrame.unionByName, rows), level + 1)
+            self.runs = [r for r in self.runs if r["level"] != level] + [merged]
+            old += full
             level += 1
+        self.state["version"] += 1
+        self.state["runs"] = [{k: r[k] for k in ("level", "path", "hot")} for r in self.runs]
+        self.spark.createDataFrame([(self.state["version"], json.dumps(self.state))], "version long, state string").coalesce(1).write.mode("append").json(f"{self.folder}/manifest")
+        for path in [*self.open["scratch"], *(x for r in old for x in (r["path"], r["hot"]) if x)]:
+            self._remove(path)
+        self.open = None
+
+
+def few_values(few: DataFrame) -> DataFrame | None:
+    """A list of at most HOT_SHARE values as a literal table; None if it is empty."""
+    values = [tuple(r) for r in few.limit(HOT_SHARE + 1).collect()]
+    return few.sparkSession.createDataFrame(values, few.schema) if values else None
 
 
 def remove_repeats(docs: DataFrame, batches: int = BATCHES, with_text: bool = False) -> DataFrame:
@@ -265,4 +336,5 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, with_text: bool = Fa
 
 
 def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))

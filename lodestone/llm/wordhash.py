@@ -1,16 +1,24 @@
-"""64-bit hashes of words and of runs of words, on whole batches of documents."""
+"""64-bit hashes of words and of runs of words, on whole batches of documents.
+
+A word's hash takes its bytes eight at a time through a one-to-one scrambling, so words of up to eight
+bytes and one length never collide and no word has a structure (such as two words of the same letters in
+mirrored order) that others cancel out; longer words collide by chance only, at 2^-64 a pair. Operators
+that must not err even then compare words or 128-bit digests of them.
+"""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-#: Bytes hashed at a time; a longer word is hashed by itself.
-BLOCK = 1 << 19
-_M = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_MASK = (1 << 64) - 1
+#: A longer word is hashed by itself.
+LONG = 64
+_STEP = 0x9E3779B97F4A7C15
+_FOLD = np.uint64(0xD6E8FEB86659FD93)
+_HEADS = np.array([(1 << (8 * i)) - 1 for i in range(9)], dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -20,36 +28,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Runs:
-    """Hash of any run [a, b) of a sequence of word hashes, from prefix sums modulo 2^64.
-    which: 0 or 1, two independent families."""
-
-    _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def __init__(self, hashes: np.ndarray, which: int = 0):
-        n = len(hashes) + 1
-        have = Runs._powers.get(which)
-        if have is None or len(have[0]) < n:
-            size = max(n, 1 << 17)
-            both = []
-            for base in (_M[which], pow(_M[which], -1, 1 << 64)):
-                p = np.full(size, base, dtype=np.uint64)
-                p[0] = 1
-                both.append(np.cumprod(p))
-            have = Runs._powers[which] = (both[0], both[1])
-        self.inverse = have[1]
-        self.sums = np.zeros(n, dtype=np.uint64)
-        np.cumsum((hashes ^ np.uint64(_M[1 - which])) * have[0][: n - 1], out=self.sums[1:])
-
-    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return mix((self.sums[b] - self.sums[a]) * self.inverse[a] + (b - a).astype(np.uint64))
-
-
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_M[0]))
-
-
 def raw_text(text: str | None, lower: bool = False) -> bytes:
     """UTF-8 bytes; ``lower``: A-Z become a-z."""
     raw = (text or "").encode("utf-8", "surrogatepass")
@@ -61,39 +39,63 @@ def words_of(text: str | None) -> list[bytes]:
     return raw_text(text).split()
 
 
-def _blocks(space: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Runs of about BLOCK bytes that end at white space."""
-    n, start = len(space), 0
-    while start < n:
-        end = min(n, start + BLOCK)
-        if end < n:
-            inside = np.flatnonzero(space[start:end])
-            if len(inside):
-                end = start + int(inside[-1]) + 1
-            else:
-                after = np.flatnonzero(space[end:])
-                end = end + int(after[0]) + 1 if len(after) else n
-        yield start, end
-        start = end
+class Words:
+    """Words of several texts in a row. ``data``: their bytes with one space between words; ``begin``,
+    ``end``: where each word lies there; ``sizes``: the number of words of each text."""
+
+    def __init__(self, texts: list[str | None], lower: bool = False):
+        joined = [b" ".join(raw_text(t, lower).split()) for t in texts]
+        self.sizes = np.array([x.count(b" ") + 1 if x else 0 for x in joined], dtype=np.int64)
+        self.data = b" ".join([x for x in joined if x])
+        n = len(self.data)
+        gaps = np.flatnonzero(np.frombuffer(self.data, dtype=np.uint8) == 32) if n else np.zeros(0, dtype=np.int64)
+        self.begin = np.concatenate([[0], gaps + 1]) if n else gaps
+        self.end = np.append(gaps, n) if n else gaps
+
+    def hashes(self) -> np.ndarray:
+        """One 64-bit hash a word."""
+        padded = np.frombuffer(self.data + bytes(8), dtype=np.uint8)
+        eight = np.ndarray(len(padded) - 7, dtype="<u8", buffer=padded, strides=(1,))
+        size = self.end - self.begin
+        out = mix((eight[self.begin] & _HEADS[np.minimum(size, 8)]) + size.astype(np.uint64) * np.uint64(_STEP))
+        at = 8
+        more = np.flatnonzero((size > 8) & (size <= LONG))
+        while len(more):
+            left = size[more] - at
+            out[more] = mix(out[more] * _FOLD ^ (eight[self.begin[more] + at] & _HEADS[np.minimum(left, 8)]))
+            at += 8
+            more = more[left > 8]
+        for i in np.flatnonzero(size > LONG).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(self.data[self.begin[i] : self.end[i]], digest_size=8).digest(), "little")
+        return out
+
+    def digests(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """128-bit digests, as rows of two longs, of the words ``first`` to ``last`` (included) of each run."""
+        data, blake = self.data, hashlib.blake2b
+        found = [blake(data[a:b], digest_size=16).digest() for a, b in zip(self.begin[first].tolist(), self.end[last].tolist())]
+        return np.frombuffer(b"".join(found), dtype="<i8").reshape(-1, 2)
+
+
+def grams(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hash of every k successive items: halves are hashed and folded, never added."""
+    if k == 1:
+        return hashes
+    half = 1 << ((k - 1).bit_length() - 1)
+    parts_ = {1: hashes}
+    size = 1
+    while size < half:
+        x = parts_[size]
+        parts_[size * 2] = mix(x[:-size] * _FOLD + x[size:]) if len(x) > size else x[:0]
+        size *= 2
+    left, rest = parts_[half], k - half
+    n = max(0, len(hashes) - k + 1)
+    return mix((left[:n] * _FOLD + grams(hashes, rest)[half : half + n]) ^ np.uint64(k))
 
 
 def text_hashes(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of several texts in a row, and the number of words of each text. Words are
-    found and hashed as runs of bytes, whole blocks at a time."""
-    raws = [raw_text(t, lower) for t in texts]
-    ends = np.cumsum([len(r) + 1 for r in raws])
-    data = np.frombuffer(b" ".join(raws) + b" ", dtype=np.uint8)
-    space = _SPACE[data]
-    hashes, starts = [], []
-    for a, b in _blocks(space):
-        edge = np.diff(space[a:b].astype(np.int8), prepend=1, append=1)
-        first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        hashes.append(Runs(_BYTES[data[a:b]])(first, last))
-        starts.append(first + a)
-    if not hashes:
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(texts), dtype=np.int64)
-    counts = np.searchsorted(np.concatenate(starts), ends)
-    return np.concatenate(hashes), np.diff(counts, prepend=0)
+    """Hashes of all words of several texts in a row, and the number of words of each text."""
+    words = Words(texts, lower)
+    return words.hashes() if len(words.begin) else np.zeros(0, dtype=np.uint64), words.sizes
 
 
 def parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:

@@ -2,13 +2,16 @@
 
 import collections
 import hashlib
+import math
 import random
+import re
 import zlib
 
 import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+import xxhash
 
 import corpus_pipeline
 from lodestone.llm import components, langid, linededup, maxscore, mixing, ngramjoin, packing, quality, registry, sharding, substring, winnowing
@@ -75,6 +78,25 @@ def test_sharding(spark, docs):
     assert set(moved.grown_shard) <= {40} and len(moved) < 40
 
 
+def rendezvous_score(key, shard, weight=1.0, seed=0):
+    """-weight / ln(u) of a key and a shard, from the published hash function."""
+    h = 42
+    for part in (int(seed).to_bytes(4, "little"), int(key is None).to_bytes(4, "little"), str("" if key is None else key).encode(), int(shard).to_bytes(4, "little")):
+        h = xxhash.xxh64(part, seed=h).intdigest()
+    return -weight / math.log(((h >> 11) + 0.5) / (1 << 53))
+
+
+def test_sharding_matches_brute_force(spark):
+    weights = [1.0, 2.0, 0.5, 1.5]
+    rows = [(k,) for k in [*range(300), None, -5, 1 << 40]]
+    out = sharding.shard(spark.createDataFrame(rows, "k long"), "k", weights, grown_weight=1.0).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        scores = [rendezvous_score(r.k, i, w) for i, w in enumerate([*weights, 1.0])]
+        assert r.shard == max(range(4), key=lambda i: (scores[i], -i))
+        assert r.grown_shard == max(range(5), key=lambda i: (scores[i], -i))
+
+
 def test_sharding_follows_weights(spark):
     df = spark.range(20_000).withColumnRenamed("id", "k")
     counts = sharding.shard(df, "k", [1.0, 3.0]).groupBy("shard").count().toPandas().set_index("shard")["count"]
@@ -100,6 +122,42 @@ def test_mixing_meets_targets(spark, docs):
     assert repeated == {d: c for d, c in zip(out.doc_id, out.copies) if c}
 
 
+def test_mixing_rates_solve_the_dual(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice("abc"), rng.choice([0, 3, 10, 50, 400])) for i in range(600)]
+    out = mixing.mix_plan(spark.createDataFrame(rows, "doc_id long, source string, size long")).toPandas()
+    sums = [sum(z for _, s, z in rows if s == name) for name in "abc"]
+    targets = dict(zip("abc", mixing.waterfill(sums, [5, 2, 1], 3)))
+    for name, g in out.groupby("source"):
+        z, target = g["size"].to_numpy(float), targets[name]
+        assert g.target.iloc[0] == pytest.approx(target)
+        low, high, mean = -1e3, 1e3, z.sum() / len(z)
+        for _ in range(200):  # the tilt by bisection
+            mid = (low + high) / 2
+            rates = 3 / (1 + 2 * np.exp(-np.clip(mid * z / mean, -700, 700)))
+            low, high = (mid, high) if (rates * z).sum() < target else (low, mid)
+        assert np.allclose(g.rate[g["size"] > 0], rates[z > 0], atol=1e-4)
+        # Copies are the rates rounded, but for the few that settle the source's total.
+        assert (g.copies[g["size"] > 0] - g.rate[g["size"] > 0]).abs().max() <= 3 and abs((g.copies * z).sum() - target) <= 400
+    assert (out.copies <= 3).all()
+
+
+@pytest.mark.parametrize("count", [30, 3000])
+def test_mixing_of_many_sources(spark, count):
+    rows = [(i, f"s{i % count:05d}", 10 + i % 7) for i in range(2 * count)]
+    out = mixing.mix_plan(spark.createDataFrame(rows, "doc_id long, source string, size long")).toPandas()
+    by = out.groupby("source").agg(taken=("copies", "sum"), target=("target", "first"))
+    assert len(by) == count and len(out) == 2 * count and by.target.sum() == pytest.approx(sum(r[2] for r in rows))
+
+
+def test_mixing_keeps_rows_that_are_alike(spark):
+    rows = [(1, "a", "one two three")] * 7 + [(None, None, "x y")] * 5 + [(2, "b", "p q r s")] * 3
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).toPandas()
+    plan = mixing.mix_plan(spark.createDataFrame([(d, s, len(t.split())) for d, s, t in rows], "doc_id long, source string, size long")).toPandas()
+    assert out.groupby("source", dropna=False).size().to_dict().get("a", 0) == plan[plan.source == "a"].copies.sum()
+    assert len(out) == plan.copies.sum()
+
+
 def brute_substring(docs, window=20):
     seen, out = set(), {}
     for d, t in zip(docs.doc_id, docs.text):
@@ -140,6 +198,79 @@ def test_substring_index_grows_batch_by_batch(spark, docs):
     assert len(index.runs) < 4
 
 
+def random_passages(n, seed, letters="abcdef"):
+    """Texts of few words with much of each taken from those before."""
+    rng, rows = random.Random(seed), []
+    for i in range(n):
+        words = [rng.choice(letters) for _ in range(rng.randint(0, 90))]
+        if rows and rng.random() < 0.7:
+            other = rows[rng.randrange(len(rows))][1].split()
+            a = rng.randint(0, len(other))
+            words[len(words) // 2 : len(words) // 2] = other[a : a + rng.randint(0, 50)]
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_substring_index_is_opened_again_and_compacted(spark, tmp_path, monkeypatch):
+    """Six batches, each added by an index opened anew from the manifest, with hot representatives."""
+    monkeypatch.setattr(substring, "HOT_ROWS", 3)
+    rows = random_passages(90, 5, "ab")
+    want = brute_substring(pd.DataFrame(rows, columns=["doc_id", "text"]), 8)
+    got, levels, folder = {}, [], f"file://{tmp_path}/index"
+    for i in range(0, 90, 15):
+        index = substring.FingerprintIndex(spark, window=8, gram=3, fanout=4, folder=folder, buckets=3)
+        batch = spark.createDataFrame(rows[i : i + 15], "doc_id long, text string")
+        got |= {r[0]: tuple(r[1:]) for r in index.add(batch).collect()}
+        index.commit()
+        levels.append(sorted(r["level"] for r in index.runs))
+    assert got == want
+    assert levels == [[0], [0, 0], [0, 0, 0], [1], [0, 1], [0, 0, 1]]
+    assert any(r["hot"] for r in index.runs)
+
+
+def test_substring_runs_are_merged_without_an_exchange(spark, tmp_path):
+    index = substring.FingerprintIndex(spark, window=8, gram=3, folder=f"file://{tmp_path}/index", buckets=3)
+    index.add(spark.createDataFrame(random_passages(30, 6), "doc_id long, text string")).collect()
+    index.commit()
+    asked = spark.range(0, 1000).select(substring.F.col("id").alias("g")).groupBy("g").count().select("g")
+    plan = index._history(asked)._jdf.queryExecution().executedPlan().toString().split("\n")
+    scan = next(i for i, line in enumerate(plan) if "FileScan" in line and "Bucketed: true" in line)
+    join = next(i for i, line in enumerate(plan) if "SortMergeJoin" in line)
+    assert join < scan and not any("Exchange" in line for line in plan[join:scan])
+
+
+def mirrored_words():
+    """Two words of 1,024 letters that polynomials modulo 2^64 cannot tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    return ["".join("ab"[b ^ flip] for b in bits) for flip in (0, 1)]
+
+
+def test_words_of_one_structure_are_told_apart(spark):
+    first, second = mirrored_words()
+    tail = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{first} {tail}"), (2, f"{second} {tail}"), (3, f"{first} {tail}")]
+    index = substring.FingerprintIndex(spark)
+    assert {r.doc_id: r.n_removed for r in index.add(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1: 0, 2: 0, 3: 20}
+    rows += [(4, f"x y z {first}"), (5, f"x y z {second}")]
+    got = {r.doc_id: (r.class_id, r.component_id) for r in ngramjoin.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, (99, 100)).collect()}
+    assert got == {1: (1, 1), 2: (2, 2), 3: (1, 1), 4: (4, 4), 5: (5, 5)}
+
+
+def test_segments_of_texts_past_the_position_bits(monkeypatch):
+    """Places that start anew in the midst of a text change nothing."""
+    monkeypatch.setattr(substring, "_LOW", 6)
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 4, 700).astype(np.uint64)
+    words[200:300], words[400:430] = 7, 7
+    g, m, first = substring.segments(substring.grams(words, 3), np.array([len(words)]) - 2, 8, 3)
+    windows = {}
+    for a, n in zip(first.tolist(), m.tolist()):
+        inside = [tuple(words[i : i + 10]) for i in range(a, a + n)]
+        assert len(set(inside)) == n
+        windows |= dict.fromkeys(range(a, a + n))
+    assert list(windows) == list(range(698 - 8 + 1))
+
+
 def test_quality_on_held_out_rows(spark):
     labels = pd.read_parquet("/root/testdata/sf0.01/labels.parquet")
     out = quality.op4_quality(spark, "/root/testdata/sf0.01").toPandas().merge(labels)
@@ -158,7 +289,7 @@ def test_prior_without_negatives():
     rng = np.random.default_rng(0)
     pos, neg = rng.normal(2, 1, (400, 4)), rng.normal(-2, 1, (120, 4))
     unl = np.concatenate([rng.normal(2, 1, (280, 4)), neg])
-    prior = quality.estimated_prior(pos, unl, np.array([]))
+    prior = quality.estimated_prior(pos, unl)
     assert 0.5 < prior < 0.9
     scorer = quality.train_nnpu(pos, unl, 0.7)
     assert (scorer(pos) >= 0.5).mean() > 0.95 and (scorer(neg) < 0.5).mean() > 0.95
@@ -217,6 +348,29 @@ def test_jaccard_join_of_large_groups(spark, k, share):
     assert got == brute_components(pd.DataFrame(rows, columns=["doc_id", "text"]), k, *share)
 
 
+def test_jaccard_join_of_repeated_and_null_ids(spark):
+    """Null doc_ids link like any; rows of one doc_id are judged each by its text."""
+    words = [f"t{i}" for i in range(100)]
+    bridge = [*words[:8], *(f"u{i}" for i in range(92))]
+    texts = {1: words, None: ["z0", *words[1:]], 2: ["z0", "z1", *words[2:]], 7: bridge, 8: ["q", *bridge[1:]]}
+    rows = [(d, " ".join(w)) for d, w in texts.items()] + [(9, " ".join(words)), (9, " ".join(bridge)), (9, "alone")] * 2 + [(None, "lonely words"), (4, None)]
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngramjoin.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 1, (98, 100)).collect())
+    assert got == collections.Counter([(1, 100, 1), (None, 100, 1), (2, 100, 1), (7, 100, 7), (8, 100, 7), (9, 100, 1), (9, 100, 7), (9, 1, 9), (9, 100, 1), (9, 100, 7), (9, 1, 9), (None, 2, None), (4, 0, 4)])
+
+
+def test_verifier_counts_words_not_hashes():
+    rng = random.Random(2)
+    for k, vocabulary in ((4, 30), (5, 3), (2, 200)):
+        a, b = ([f"w{rng.randrange(vocabulary)}" for _ in range(rng.randint(0, 200))] for _ in range(2))
+        sets = [{tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for w in (a, b)]
+        for packs in (True, False):
+            v = ngramjoin.Verifier(" ".join(a), k)
+            if not packs:
+                v.packs, v.mine = False, sets[0]
+                v.mine = {tuple(x.encode() for x in g) for g in sets[0]}
+            assert v.shared(" ".join(b)) == len(sets[0] & sets[1])
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1100)]
@@ -258,6 +412,85 @@ def test_maxscore_shard_with_repeated_query_ids(copies):
     assert [(-int(s), int(i)) for s, i in zip(got, got_ids)] == want
 
 
+def test_maxscore_of_large_components_and_several_shards(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, [int(x) for x in rng.integers(-50, 50, 9)]) for i in range(400)] + [(1000, [1 << 31] * 9), (1001, [1 << 31, -(1 << 31)] + [0] * 7), (1002, [5, 7])]
+    df = spark.createDataFrame(rows, "id long, v array<long>")
+    want = {}
+    for q, v in rows:
+        if q % 50 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in rows if i != q)[:5]
+            want[q] = [(i, -s) for s, i in scores]
+    if max(abs(s) for x in want.values() for _, s in x) >= 1 << 63:
+        raise AssertionError("scores of this test fit a long")
+    for shard_rows, query_rows in ((8192, 2048), (60, 3)):
+        got = collections.defaultdict(list)
+        for r in maxscore.top_k(df, df.filter("id % 50 = 0"), 5, shard_rows, query_rows).orderBy("query_id", "rank").collect():
+            got[r.query_id].append((r.vec_id, r.score))
+        assert dict(got) == want
+    big = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1e30, 2.0])], "id long, e array<double>")
+    with pytest.raises(Exception, match="too large"):
+        maxscore.top_k(*[big.select("id", maxscore.quantized(maxscore.F.col("e"), 256).alias("v"))] * 2, 5).collect()
+
+
+def brute_winnow(text, k=winnowing.GRAM, w=winnowing.WINDOW, short=winnowing.SHORT, run=winnowing.RUN):
+    """[(hash's upper 40 bits, position, is of characters)] of a text in order."""
+    mask = (1 << 64) - 1
+    rot = lambda x, n: ((x << n | x >> (64 - n)) & mask) if n % 64 else x
+
+    def chosen(items, mark):
+        hs = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in items]
+        if not hs:
+            return []
+        if len(hs) < k:
+            h = 42
+            for x in hs:
+                h = xxhash.xxh64(x.to_bytes(8, "little"), seed=h).intdigest()
+            found = [h]
+        else:
+            found = []
+            for i in range(len(hs) - k + 1):
+                h = 0
+                for x in hs[i : i + k]:
+                    h = rot(h, 1) ^ x
+                found.append(h)
+        upper = [h >> 24 for h in found]
+        signed = [h - (1 << 40) if h >> 39 else h for h in upper]
+        out = []
+        for i in range(max(1, len(found) - w + 1)):
+            j = min(range(i, min(i + w, len(found))), key=lambda j: (signed[j], -j))
+            if (x := (upper[j], j, mark)) not in out[-w:]:
+                out.append(x)
+        return out
+
+    words = [x for x in re.split("[ \t\n\x0b\x0c\r]+", text) if x]
+    words = [c for x in words for c in (x if len(x) > winnowing.LONG or re.search(winnowing.BLANKLESS.replace("\\x{20000}-\\x{3FFFF}", "\U00020000-\U0003ffff").replace("\\x{", "\\u").replace("}", ""), x) else [x])]
+    runs = [text[i : i + run] for i in range(max(1, len(text) - run + 1))] if words else []
+    return (chosen(runs, True) if len(text) <= 2 * short else []) + (chosen(words, False) if len(text) > short else [])
+
+
+def test_winnowing_matches_brute_force(spark, docs):
+    extra = ["", " \n ", "one", "a b", "x y z " * 20, "x " * 40, "漢字 and words " * 9, "y" * 70 + " tail of it", "é ü " * 30, "w" * 97, "v" * 96 + " ", "t " * 96, "s " * 97]
+    texts = [*docs.text[:80], *extra]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = winnowing.fingerprint_pairs(rows).select("doc_id", winnowing.as_text(winnowing.F.col("prints")).alias("f"), winnowing.as_text(winnowing.F.col("edited_prints")).alias("e"), winnowing.likeness(winnowing.F.col("prints"), winnowing.F.col("edited_prints")).alias("near_edited"), winnowing.likeness(winnowing.F.col("prints"), winnowing.F.col("next_prints")).alias("near_next")).collect()
+    shown = lambda f: " ".join(f"{h:X}:{'c' if c else ''}{p}" for h, p, c in f)
+
+    def like(a, b):
+        a, b = {h for h, _, _ in a}, {h for h, _, _ in b}
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    for r in out:
+        t, n = texts[r.doc_id], texts[(r.doc_id + 1) % len(texts)]
+        half = len(t) // 2
+        mine, edited, after = brute_winnow(t), brute_winnow(t[: len(t) - half] + n[:half]), brute_winnow(n)
+        assert r.f == shown(mine) and r.e == shown(edited), r.doc_id
+        assert (r.near_edited, r.near_next) == (pytest.approx(like(mine, edited)), pytest.approx(like(mine, after)))
+    for k, w in ((1, 4), (3, 5), (5, 1), (7, 6)):
+        got = rows.select("doc_id", winnowing.as_text(winnowing.winnow(winnowing.F.col("text"), k, w)).alias("f")).collect()
+        assert all(r.f == shown(brute_winnow(texts[r.doc_id], k, w)) for r in got)
+
+
 def test_winnowing(spark, docs):
     out = winnowing.op7_winnowing(spark, SF).toPandas().sort_values("doc_id").reset_index(drop=True)
     texts = list(docs.text)
@@ -265,12 +498,6 @@ def test_winnowing(spark, docs):
         t, n = texts[i], texts[(i + 1) % len(texts)]
         half = len(t) // 2
         assert r.edited_sha256 == hashlib.sha256((t[: len(t) - half] + n[:half]).encode()).hexdigest()
-        words, marks = t.split(" "), [x.split(":") for x in r.fingerprint.split()]
-        n_words = len(t.encode().split())
-        at = [int(p) for _, p in marks]
-        grams = max(1, n_words - winnowing.GRAM + 1)
-        assert at == sorted(at) and len(set(at)) == len(at) and (not at or at[-1] < grams)
-        assert all(b - a <= winnowing.WINDOW for a, b in zip(at, at[1:])) and (not at or at[0] < winnowing.WINDOW)
     same = out.merge(docs[["doc_id", "text"]]).groupby("text").fingerprint.nunique()
     assert (same == 1).all() and out.near_edited.mean() > 10 * out.near_next.mean()
 
@@ -287,7 +514,7 @@ def test_winnowing_of_short_and_blankless_texts(spark):
 
 
 def test_winnowing_chooses_rightmost_minimum(spark):
-    text = "a b c d e " * 12
+    text = "a b c d e " * 24
     row = spark.createDataFrame([(text,)], "text string").select(winnowing.as_text(winnowing.winnow(winnowing.F.col("text"), 1, 7)).alias("f")).first().f
     hashes = [x.split(":") for x in row.split()]
     # Five words repeat, so each window of seven holds its minimum again at its rightmost place.
@@ -346,6 +573,51 @@ def test_langid_on_held_out_rows(spark):
     assert (out[out.held_out].lang_pred == out[out.held_out].lang).mean() > 0.97
 
 
+def test_langid_knows_letters_from_numerals():
+    assert langid.words_of("² ½ ³ 12 ٣ Ⅷ _") == [] and langid.words_of("A²b Été½ x_y 3d") == ["a", "b", "été", "x", "y", "d"]
+
+
+def test_langid_scores_match_brute_force(spark):
+    train = [(1, "the cat the hat", "en"), (2, "der hut die katze", "de"), (3, "hats² und", "de")]
+    model = langid.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    counts = {lang: collections.Counter(w for _, t, x in train if x == lang for w in re.findall("[a-z]+", t)) for lang in ("de", "en")}
+
+    def table_(of):
+        every = {g for c in of.values() for g in c}
+        return {g: [math.log((of[x][g] + 0.5) / sum(of[x][h] + 0.5 for h in every)) for x in ("de", "en")] for g in every}
+
+    words = table_(counts)
+    grams = {n: table_({x: collections.Counter({g: k for g, k in sum((collections.Counter({f"^{w}$"[i : i + n]: c}) for w, c in counts[x].items() for i in range(len(w) + 3 - n)), collections.Counter()).items()}) for x in counts}) for n in langid.ORDERS}
+    for word in ("the", "hut", "cats", "unders", "qqq", "ö"):
+        want = words.get(word)
+        if want is None:
+            for n in langid.ORDERS:
+                found = [grams[n][g] for i in range(len(word) + 3 - n) if (g := f"^{word}$"[i : i + n]) in grams[n]]
+                if found:
+                    want = np.mean(found, axis=0)
+                    break
+        assert np.allclose(model.score_word(word), want if want is not None else [0, 0], atol=1e-5), word
+
+
+def test_quality_scores_do_not_depend_on_labels_of_the_other_class(spark):
+    docs = spark.createDataFrame([(i, ("Good text, well written. " if i % 2 else "bad bad !!! $$$ ") * (1 + i % 5)) for i in range(300)], "doc_id long, text string")
+    marks = [(i, 1) for i in range(1, 120, 2)]
+    score = lambda labels: {r.doc_id: r.score for r in quality.predict(docs, quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int")), ["doc_id"]).collect()}
+    alone = score(marks)
+    assert alone == score(marks + [(i, 0) for i in range(0, 40, 2)])
+    assert all((s >= 0.5) == (d % 2 == 1) for d, s in alone.items())
+
+
+def test_line_dedup_by_join_and_by_broadcast(spark, monkeypatch):
+    rows = [(i, f"h{i % 3}", f"head {i % 3}\nbody {i}\nfoot") for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, host string, text string")
+    found = []
+    for most in (50_000, 0):
+        monkeypatch.setattr(linededup, "BROADCAST_LINES", most)
+        found.append(sorted(map(tuple, linededup.drop_boilerplate(df, "host", "text").collect())))
+    assert found[0] == found[1] and found[0][4] == (4, "h1", "body 4", 3, 2)
+
+
 def test_line_dedup(spark):
     rows = [(i, "h", f"head\n\nbody {i}\n foot ") for i in range(10)] + [(10 + i, "g", f"head\nother {i}") for i in range(2)] + [(20 + i, "h", "copied page\nof two lines") for i in range(50)] + [(90, None, "x"), (91, "h", None)]
     out = linededup.drop_boilerplate(spark.createDataFrame(rows, "page_id long, host string, text string"), "host", "text").toPandas().set_index("page_id")
@@ -379,17 +651,66 @@ def test_pipeline(spark, edges):
         corpus_pipeline.run(spark, folder).count()
 
 
-def test_text_hashes_are_those_of_words(monkeypatch):
+CLASHING = "_k _d _o _z _m _n _s _t _b _g _h _x0 c0 c1 copies rate size score shard predicted held_out component_id component class_id n_shingles id n _host _lines _n_lines _n_dropped _all _rows _copy _again _c _u _end host key mark sequence_id".split()
+
+
+def test_stages_keep_columns_of_any_name(spark, edges):
+    """Columns that bear the operators' own names pass through, and change no row."""
+    docs = spark.createDataFrame(edge_rows(), DOC)
+    more = docs.select("*", *[corpus_pipeline.F.xxhash64("doc_id", "text", corpus_pipeline.F.lit(c)).alias(c) for c in CLASHING])
+    for name, stage in corpus_pipeline.STAGES:
+        want, got = stage(spark, docs, edges["edge"]), stage(spark, more, edges["edge"])
+        if name == "packing":
+            assert sorted(map(str, want.collect())) == sorted(map(str, got.collect()))
+            continue
+        assert got.columns == more.columns, name
+        slim = lambda x: sorted(str(tuple(r)) for r in x.select("doc_id", "text", "source").collect())
+        assert slim(want) == slim(got), name
+        if name != "line dedup":
+            whole = lambda x: {tuple(r) for r in x.select("doc_id", "text", *CLASHING).collect()}
+            assert whole(got) <= whole(more), name
+
+
+def test_stages_on_edge_rows(spark, edges):
+    """What each stage does with nulls, blanks, repeats and long texts."""
+    docs = spark.createDataFrame(edge_rows(), DOC)
+    run = dict(corpus_pipeline.STAGES)
+    lines = {(r.doc_id, r.text) for r in run["line dedup"](spark, docs, "").collect()}
+    assert {t for d, t in lines if d in (4, 5)} == {"", None} and (8, "one") in lines and len([1 for d, _ in lines if d == 7]) == 1
+    near = sorted(str(r.doc_id) for r in run["n-gram jaccard join"](spark, docs, "").collect())
+    assert near == sorted(map(str, [1, 4, 5, None, 6, 7, 8, 9, 10]))
+    mixed = collections.Counter(r.doc_id for r in run["mixing sources"](spark, docs, "").collect())
+    assert not mixed.keys() & {4, 5, 7}
+    packed = run["packing"](spark, docs, "").toPandas()
+    assert packed[packed.start == 0].shape[0] == len(docs.collect()) and packed[packed.doc_id == 4].length.tolist() == [1]
+
+
+def test_text_hashes_are_those_of_words():
     from lodestone.llm import wordhash
 
     rng = random.Random(4)
     texts = ["", "  ", None, "one", "\tA b\x0bc\x1cd e 中文 ", *(" ".join(rng.choice("abcxyz") * rng.randint(1, 9) for _ in range(rng.randint(0, 80))) for _ in range(40)), "y" * 300 + " z"]
     words = [wordhash.words_of(t) for t in texts]
     seen: dict[bytes, int] = {}
-    for block in (1 << 19, 64, 7):
-        monkeypatch.setattr(wordhash, "BLOCK", block)
-        hashes, sizes = wordhash.text_hashes(texts)
-        assert sizes.tolist() == [len(w) for w in words]
-        for w, h in zip((w for ws in words for w in ws), hashes.tolist()):
-            assert seen.setdefault(w, h) == h
+    for lots in (len(texts), 7, 1):
+        for i in range(0, len(texts), lots):
+            hashes, sizes = wordhash.text_hashes(texts[i : i + lots])
+            assert sizes.tolist() == [len(w) for w in words[i : i + lots]]
+            for w, h in zip((w for ws in words[i : i + lots] for w in ws), hashes.tolist()):
+                assert seen.setdefault(w, h) == h
     assert len(set(seen.values())) == len(seen)
+
+
+def test_gram_hashes():
+    from lodestone.llm import wordhash
+
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 3, 400).astype(np.uint64)
+    for k in (1, 2, 3, 4, 5, 6, 7, 20):
+        h = wordhash.grams(x, k)
+        assert len(h) == 400 - k + 1
+        seen = {}
+        for i, v in enumerate(h.tolist()):
+            assert seen.setdefault(tuple(x[i : i + k].tolist()), v) == v
+        assert len(set(seen.values())) == len(seen)
+    assert len(wordhash.grams(x[:3], 5)) == 0
