@@ -21,18 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts_for, table
+from .common import parts_for, small_batches, table
 from .wordhash import parts
 
 LENGTH = 4096
 END_ID = 2
 GROUP_DOCS = 2048
-#: Words whose ids a Python worker remembers.
-CACHE_WORDS = 1_000_000
+#: Words whose ids a Python worker remembers: the latest half, and those of the half before till they are met again.
+CACHE_WORDS = 400_000
 
 
 _PARTS = re.compile(rb"([A-Za-z\x80-\xff]*)([!-/:-@\[-`{-~]*)")
-_STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
 
 
 class WordEncoder:
@@ -44,7 +43,7 @@ class WordEncoder:
     def __init__(self, path: str, limit: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
+        self.tokenizer, self.limit, self.known, self.before = Tokenizer.from_file(path), limit // 2, {}, {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         for token, i in vocabulary.items():
@@ -94,26 +93,50 @@ class WordEncoder:
             known[w] = known[key] + known[tail] if tail else known[key]
 
     @staticmethod
-    def split(text: str) -> list[bytes]:
-        """Words, A-Z as a-z, single full stops and commas after a letter apart: the vocabulary does
-        both itself. Texts that may hold its special tokens, which mind case, are left as they are."""
+    def folded(text: str) -> bytes:
+        """Words with one space between them, A-Z as a-z: the vocabulary does that itself. Texts that may
+        hold its special tokens, which mind case, keep theirs."""
         raw = text.encode()
-        if b"<|" not in raw:
-            raw = _STOP.sub(rb" \1 ", raw.lower())
-        return raw.split()
+        return b" ".join((raw if b"<|" in raw else raw.lower()).split())
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        words = [self.split(t) for t in texts]
-        here = set().union(*words) if words else set()
-        new = here - self.known.keys()
-        if len(self.known) + len(new) > self.limit:
-            self.known.clear()
-            new = here
+        """Little-endian unsigned 32-bit ids of each text. Words are found as runs of bytes (a full stop or
+        comma after a letter apart) and numbered by their bytes; each different one is looked up once."""
+        folded = [self.folded(t) for t in texts]
+        data = b" ".join([x for x in folded if x]) + b" "
+        if len(data) == 1:
+            return [b""] * len(texts)
+        raw = np.frombuffer(data, dtype=np.uint8)
+        gaps = np.flatnonzero(raw == 32)
+        begin = np.concatenate([[0], gaps[:-1] + 1])
+        last, before = raw[gaps - 1], raw[np.maximum(gaps - 2, 0)]
+        stops = ((last == 46) | (last == 44)) & (gaps - begin > 1) & (before >= 97) & (before <= 122)
+        starts = np.sort(np.concatenate([begin, gaps[stops] - 1]))
+        buffers = [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int64)), pa.py_buffer(data)]
+        numbered = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), buffers).dictionary_encode()
+        which, different = numbered.indices.to_numpy(), numbered.dictionary
+        held = different.buffers()[2].to_pybytes()
+        edge = np.frombuffer(different.buffers()[1], dtype=np.int64)[: len(different) + 1]
+        ends = edge[1:] - (np.frombuffer(held, dtype=np.uint8)[edge[1:] - 1] == 32)
+        words = [held[a:b] for a, b in zip(edge[:-1].tolist(), ends.tolist())]
+        found = list(map(self.known.get, words))
+        new = {w for w, ids in zip(words, found) if ids is None}
         if new:
-            self.learn(new)
-        get = self.known.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+            if len(self.known) + len(new) > self.limit:
+                self.before, self.known = self.known, {}
+                new = set(words)
+            again = {w: self.before[w] for w in new if w in self.before}
+            self.known |= again
+            self.learn(new - again.keys())
+            found = [self.known[w] for w in words]
+        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        flat, first = np.frombuffer(b"".join(found), dtype="<u4"), np.cumsum(size) - size
+        count = size[which]
+        upto = np.concatenate([[0], np.cumsum(count)])
+        ids = flat[np.arange(upto[-1]) + np.repeat(first[which] - upto[:-1], count)]
+        after = np.cumsum([len(x) + 1 if x else 0 for x in folded])
+        cuts = upto[np.searchsorted(starts, after)].tolist()
+        return [ids[a:b].tobytes() for a, b in zip([0, *cuts[:-1]], cuts)]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -219,4 +242,5 @@ def vocabulary() -> str:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
