@@ -1,20 +1,27 @@
 """Document fingerprints by winnowing, in DataFrame expressions only.
 
-A text's words form k-grams; each k-gram has a 64-bit hash of which 40 bits are kept beside its
-position. Of every window of ``w`` successive hashes the smallest is chosen, ties to the rightmost, and
+A text's words are hashed once each; the hash of a k-gram is the cyclic polynomial (rolling) hash of its
+words' hashes, built by folding shifted copies of the whole sequence, so the work grows with the text and
+not with k. Of each 64-bit gram hash 40 bits are kept beside the gram's position. Of every window of ``w``
+successive hashes the smallest is chosen, ties to the rightmost, by folding shifted copies too, and
 a choice shared by windows is kept once. Two texts that share ``w + k - 1`` successive words share a
-fingerprint; positions tell where. Grams and windows are short, so that most
-texts of eight words share one with their half. A word of more than ``LONG`` characters, or with a character of a script
+fingerprint; positions tell where. A word of more than ``LONG`` characters, or with a character of a script
 that is written without blanks, counts as so many words of one character.
 
-Defined results: a text shorter than k words is one gram, one with fewer than w grams one window; null,
+Short texts have few words: those of up to ``2 * SHORT`` characters are winnowed over their characters too
+(items are runs of ``RUN`` characters), those of up to ``SHORT`` over these alone. Items that are characters
+have positions marked ``c``. The two ranges overlap so far that a text and one made of its first half always
+have one kind of item in common.
+
+Defined results: a text shorter than k items is one gram, one with fewer than w grams one window; null,
 empty and blank texts have no fingerprint, and two such texts are alike (1.0), one such text is unlike
-any other (0.0). Positions count modulo 2^24. A null doc_id comes before all others; rows of one doc_id
+any other (0.0). Positions count modulo 2^23. A null doc_id comes before all others; rows of one doc_id
 follow each other by the CRC of their text. A single document is followed by itself.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -26,7 +33,12 @@ GRAM, WINDOW = 2, 3
 LONG = 48
 #: Thai and Lao, Burmese, Khmer, kana, Han.
 BLANKLESS = r"[\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}]"
+#: Characters of a short text, and of one of its items.
+SHORT, RUN = 96, 3
+#: Bits below a hash: the position counted down, so that the rightmost of equal hashes is the smallest,
+#: above it whether items are characters.
 POSITION_BITS = 24
+PLACES = 1 << (POSITION_BITS - 1)
 _MASK = (1 << POSITION_BITS) - 1
 #: doc_ids are dealt in runs of 2^9 successive values, so no task holds more than 512 different ones.
 RUN_BITS = 9
@@ -40,23 +52,81 @@ def tokens(text: Column) -> Column:
     return let(words, lambda ws: F.when(F.exists(ws, solid), F.flatten(F.transform(ws, one))).otherwise(ws))
 
 
-def winnow(text: Column, k: int = GRAM, w: int = WINDOW) -> Column:
-    """array<long> of chosen hashes, each with its position in the low bits."""
+def _rotated(x: Column, n: int) -> Column:
+    return F.shiftleft(x, n).bitwiseOR(F.shiftrightunsigned(x, 64 - n)) if n % 64 else x
+
+
+def _shifted(xs: Column, by: int, fold: Callable[[Column, Column], Column]) -> Column:
+    """fold(x[i], x[i + by]) for all i that have both."""
+    n = F.size(xs) - by
+    return F.zip_with(F.slice(xs, 1, n), F.slice(xs, by + 1, n), fold)
+
+
+def rolling(hashes: Column, k: int) -> Column:
+    """Cyclic polynomial hashes of the k-grams of at least k items: rot(h[i], k - 1) ^ ... ^ h[i + k - 1]."""
+
+    def doubled(xs: Column, n: int) -> Column:
+        return let(xs, lambda x: _shifted(x, n, lambda a, b: _rotated(a, n % 64).bitwiseXOR(b)))
+
+    have, out = 1, hashes
+    while have * 2 <= k:
+        out = doubled(out, have)
+        have *= 2
+    if k == have:
+        return out
+    # The first ``have`` items and the last of a gram's others.
+    left, rest = out, rolling(hashes, k - have)
+    both = F.struct(left.alias("l"), rest.alias("r"))
+    grams = lambda s: F.zip_with(F.slice(s["l"], 1, F.size(s["r"]) - have), F.slice(s["r"], have + 1, F.size(s["r"]) - have), lambda a, b: _rotated(a, (k - have) % 64).bitwiseXOR(b))
+    return let(both, grams)
+
+
+def smallest(hashes: Column, w: int) -> Column:
+    """Minimum of every window of w of at least w hashes."""
 
-    def grams(ws: Column) -> Column:
-        packed = lambda i: F.xxhash64(F.slice(ws, i, k)).bitwiseAND(F.lit(~_MASK)).bitwiseOR((F.lit(_MASK) - (i - 1) % (1 << POSITION_BITS)).cast("long"))
-        return F.when(F.size(ws) == 0, F.array().cast("array<long>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - k + 1, F.lit(1))), packed))
+    def least(xs: Column, n: int) -> Column:
+        return let(xs, lambda x: _shifted(x, n, lambda a, b: F.least(a, b)))
+
+    have, out = 1, hashes
+    while have * 2 <= w:
+        out = least(out, have)
+        have *= 2
+    return out if have == w else least(out, w - have)
+
+
+def _chosen(items: Column, k: int, w: int, mark: int) -> Column:
+    """array<long> of the chosen hashes of a sequence of strings."""
+
+    def packed(grams: Column) -> Column:
+        return F.transform(grams, lambda h, i: h.bitwiseAND(F.lit(~_MASK)).bitwiseOR(F.lit(mark * PLACES + PLACES - 1) - (i % PLACES).cast("long")))
+
+    def grams(hs: Column) -> Column:
+        # Fewer than k items: one gram of them all.
+        return F.when(F.size(hs) == 0, hs).when(F.size(hs) < k, F.array(F.xxhash64(hs))).otherwise(rolling(hs, k))
+
+    def least(hs: Column) -> Column:
+        return F.array_distinct(F.when(F.size(hs) == 0, hs).when(F.size(hs) < w, F.array(F.array_min(hs))).otherwise(smallest(hs, w)))
+
+    return let(let(let(F.transform(items, lambda x: F.xxhash64(x)), grams), packed), least)
+
+
+def winnow(text: Column, k: int = GRAM, w: int = WINDOW) -> Column:
+    """array<long> of chosen hashes, each with its position in the low bits; characters' first."""
+    runs = F.when(F.length(text) >= 1, F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - RUN + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(RUN))))
 
-    def chosen(hs: Column) -> Column:
-        least = F.transform(F.sequence(F.lit(1), F.greatest(F.size(hs) - w + 1, F.lit(1))), lambda i: F.array_min(F.slice(hs, i, w)))
-        return F.when(F.size(hs) == 0, hs).otherwise(F.array_distinct(least))
+    def both(ws: Column) -> Column:
+        n, none = F.length(text), F.array().cast("array<long>")
+        words = _chosen(ws, k, w, 0)
+        of_runs = F.when((n <= 2 * SHORT) & (F.size(ws) > 0), _chosen(runs, k, w, 1)).otherwise(none)
+        return F.when(n > 2 * SHORT, words).when(n > SHORT, F.concat(of_runs, words)).otherwise(F.coalesce(of_runs, none))
 
-    return let(let(tokens(text), grams), chosen)
+    return let(tokens(text), both)
 
 
 def as_text(prints: Column) -> Column:
-    """hash:position, separated by blanks, in order of position."""
-    one = lambda v: F.concat(F.hex(F.shiftrightunsigned(v, POSITION_BITS)), F.lit(":"), (F.lit(_MASK) - v.bitwiseAND(F.lit(_MASK))).cast("string"))
+    """hash:position, separated by blanks, in order of position; positions of characters have a ``c``."""
+    low = lambda v: v.bitwiseAND(F.lit(_MASK))
+    one = lambda v: F.concat(F.hex(F.shiftrightunsigned(v, POSITION_BITS)), F.when(low(v) >= PLACES, ":c").otherwise(":"), (F.lit(PLACES - 1) - low(v) % PLACES).cast("string"))
     return F.array_join(F.transform(prints, one), " ")
 
 
