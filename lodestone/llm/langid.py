@@ -5,8 +5,8 @@ its character n-grams, from the longest order down to the first at which any of
 text's language is the one with the largest mean score over its words.
 
 Fitted on a bounded sample: about ``DOCS`` learnable documents per language, drawn by a hash of the
-id, of which the ``WORDS`` commonest words and ``GRAMS`` commonest n-grams of each order are kept for each
-language. Each text is scored whole.
+id, for the ``LANGS`` commonest languages; all words and n-grams of the sample are kept. Each text is scored
+whole. A word is a run of letters; numerals such as superscripts are none.
 
 Defined results: null, empty and letterless texts are ``und`` with score 0; ties go to the
 language first in code-point order; repeated rows are scored each; with nothing to learn from, every
@@ -19,45 +19,73 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 from .wordhash import parts
 
-DOCS, WORDS, GRAMS, ORDERS = 1500, 20_000, 8_000, (5, 4, 3, 2, 1)
+DOCS, LANGS, ORDERS = 1500, 1000, (5, 4, 3, 2, 1)
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Words whose scores a Python worker remembers, and bytes of those scores.
-CACHE_WORDS, CACHE_BYTES = 500_000, 64_000_000
+CACHE_WORDS, CACHE_BYTES = 200_000, 16_000_000
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters, in lower case."""
+    words = LETTERS.findall(text.lower())
+    if words and not "".join(words).isalpha():  # the pattern lets numerals pass that are no digits
+        words = ["".join(run) for w in words for letters, run in groupby(w, str.isalpha) if letters]
+    return words
 
 
 def _word_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         counts: Counter = Counter()
         for text, lang in zip(frame["text"], frame["lang"]):
-            counts.update((lang, w) for w in LETTERS.findall(text.lower()))
+            counts.update((lang, w) for w in words_of(text))
         yield pd.DataFrame([(lang, w, n) for (lang, w), n in counts.items()], columns=["lang", "gram", "n"])
 
 
+class Table(dict):
+    """gram -> row of ``scores``, its log frequency in each language."""
+
+    def __init__(self, counts: dict[str, list[int]], langs: int):
+        super().__init__((g, i) for i, g in enumerate(counts))
+        found = np.array(list(counts.values()), dtype=np.float64).reshape(len(counts), langs) + 0.5
+        self.scores = np.log(found / found.sum(axis=0)).astype(np.float32)
+
+    def __reduce__(self):
+        return _table, (dict(self), self.scores)
+
+
+def _table(rows: dict[str, int], scores: np.ndarray) -> Table:
+    out = Table.__new__(Table)
+    out.update(rows)
+    out.scores = scores
+    return out
+
+
 class Model:
-    """Log frequencies by language: ``words`` and, for each order, ``grams``, as gram -> row of scores."""
+    """Log frequencies by language: ``words`` and, for each order, ``grams``."""
 
-    def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[int, dict[str, np.ndarray]]):
+    def __init__(self, langs: list[str], words: Table, grams: dict[int, Table]):
         self.langs, self.words, self.grams, self.key = langs, words, grams, uuid.uuid4().hex
 
     def score_word(self, word: str) -> np.ndarray:
-        if word in self.words:
-            return self.words[word]
+        if (row := self.words.get(word)) is not None:
+            return self.words.scores[row]
         padded = f"^{word}$"
         for n in ORDERS:
-            table_ = self.grams.get(n, {})
-            found = [table_[padded[i : i + n]] for i in range(len(padded) - n + 1) if padded[i : i + n] in table_]
+            table_ = self.grams[n]
+            found = [row for i in range(len(padded) - n + 1) if (row := table_.get(padded[i : i + n])) is not None]
             if found:
-                return np.mean(found, axis=0)
+                return table_.scores[found].mean(axis=0)
         return np.zeros(len(self.langs))
 
 
@@ -95,48 +123,36 @@ class Known(dict):
         return cls.last
 
 
-def _table(rows: list[tuple[str, str, int]], langs: list[str]) -> dict[str, np.ndarray]:
-    """Scores of kept grams with add-half smoothing within each language."""
-    at = {lang: i for i, lang in enumerate(langs)}
-    grams = {g: i for i, g in enumerate(dict.fromkeys(g for _, g, _ in rows))}
-    counts = np.full((len(grams), len(langs)), 0.5)
-    for lang, g, n in rows:
-        counts[grams[g], at[lang]] += n
-    scores = np.log(counts / counts.sum(axis=0)) if len(grams) else counts
-    return {g: scores[i] for g, i in grams.items()}
-
-
-def fit(docs: DataFrame, docs_per_lang: int = DOCS, words: int = WORDS, grams: int = GRAMS) -> Model:
-    """docs: learnable rows (doc_id, text, lang)."""
+def fit(docs: DataFrame, docs_per_lang: int = DOCS, languages: int = LANGS) -> Model:
+    """docs: learnable rows (doc_id, text, lang). The counts of the sample's words go to the driver, which
+    is bounded by docs_per_lang documents of each of ``languages`` languages."""
     docs = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sizes = {r[0]: r[1] for r in docs.groupBy("lang").count().collect()}
+    sizes = {r[0]: r[1] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
     langs = sorted(sizes)
-    if not langs:
-        return Model([], {}, {})
-    share = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(min(1.0, docs_per_lang / sizes[lang])))])
-    sample = docs.filter(F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
-    counted = sample.select("text", "lang").mapInPandas(_word_counts, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-    def kept(counts: DataFrame, most: int) -> list[tuple[str, str, int]]:
-        first = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-        return [tuple(r) for r in counts.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= most).orderBy("lang", "_r").select("lang", "gram", "n").collect()]
-
-    counted = counted.persist()
-    padded = F.concat(F.lit("^"), "gram", F.lit("$"))
-    by_order = {}
-    for order in ORDERS:
-        every = F.transform(F.sequence(F.lit(1), F.length(padded) - order + 1), lambda i: F.substring(padded, i, F.lit(order)))
-        some = counted.filter(F.length(padded) >= order).select("lang", "n", F.explode(every).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-        by_order[order] = _table(kept(some, grams), langs)
-    out = Model(langs, _table(kept(counted.filter("n >= 2"), words), langs), by_order)
-    counted.unpersist()
-    return out
+    at = {lang: i for i, lang in enumerate(langs)}
+    words: dict[str, list[int]] = {}
+    grams: dict[int, dict[str, list[int]]] = {n: {} for n in ORDERS}
+    if langs:
+        share = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(min(1.0, docs_per_lang / sizes[lang])))])
+        sample = docs.filter(F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+        counted = sample.select("text", "lang").mapInPandas(_word_counts, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+        for batch in counted.to_batches(10_000):
+            for lang, word, n in zip(*(c.to_pylist() for c in batch.columns)):
+                words.setdefault(word, [0] * len(langs))[at[lang]] = n
+        for word, counts in words.items():
+            padded = f"^{word}$"
+            for n, table_ in grams.items():
+                for i in range(len(padded) - n + 1):
+                    held = table_.setdefault(padded[i : i + n], [0] * len(langs))
+                    for j, c in enumerate(counts):
+                        held[j] += c
+    return Model(langs, Table(words, len(langs)), {n: Table(g, len(langs)) for n, g in grams.items()})
 
 
 def predict(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
     """docs (text, *carry) with lang_pred and score."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # bounded: langs * (words + orders * grams) rows of scores
+    shared = spark.sparkContext.broadcast(model)  # bounded as the fitting sample is
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +161,7 @@ def predict(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
         for batch in parts(batches):
             best, sure = [], []
             for text in batch.column(0).to_pylist():
-                words = LETTERS.findall(text.lower()) if text else []
+                words = words_of(text) if text else []
                 if not words or not model.langs:
                     best.append("und")
                     sure.append(0.0)
@@ -165,5 +181,6 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out(F.col("doc_id"), 4, 2).alias("held_out"))
     return predict(docs, fit(docs.filter("not held_out and doc_id is not null")), ["doc_id", "held_out"])

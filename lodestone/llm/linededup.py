@@ -10,7 +10,7 @@ broadcast while they hold at most ``BROADCAST_LINES`` lines together, else joine
 
 Defined results: a null text has no lines and stays null; an empty one stays empty; a page may lose
 all its lines and stays as an empty text; null hosts are one host; repeated rows are treated
-alike; an empty table gives no rows; further columns are kept.
+alike; an empty table gives no rows; further columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, materialize, table
+from .common import hidden, let, materialize, table
 
 RATIO, LEAST = 0.1, 3
 BROADCAST_LINES = 50_000
@@ -39,13 +39,15 @@ def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, le
     return over.groupBy("_host").agg(F.sort_array(F.collect_list("_line")).alias("_lines"))
 
 
-def drop_boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, least: int = LEAST) -> DataFrame:
-    """pages with ``text`` cut and the columns _n_lines, _n_dropped of its non-blank lines."""
-    lists = materialize(boilerplate(pages, host, text, ratio, least), "boilerplate")
+def drop_boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, least: int = LEAST, counts: bool = True) -> DataFrame:
+    """pages with ``text`` cut and, with ``counts``, the columns _n_lines, _n_dropped of its non-blank lines."""
+    rows, name = hidden(pages)
+    host, text = name[host], name[text]
+    lists = materialize(boilerplate(rows, host, text, ratio, least), "boilerplate")
     size = lists.agg(F.sum(F.size("_lines"))).first()[0] or 0
     if size <= BROADCAST_LINES:
         lists = F.broadcast(lists)
-    both = pages.join(lists, F.col(host).eqNullSafe(F.col("_host")), "left")
+    both = rows.join(lists, F.col(host).eqNullSafe(F.col("_host")), "left")
 
     def judged(line: Column) -> Column:
         key = F.btrim(line, F.lit(_SPACE))
@@ -57,8 +59,11 @@ def drop_boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATI
         return F.struct(F.array_join(kept, "\n").alias("text"), F.size(F.filter(rows, lambda x: x["worded"])).alias("n"), F.size(F.filter(rows, lambda x: x["gone"])).alias("gone"))
 
     done = both.withColumn("_t", let(F.transform(F.split(text, "\n", -1), judged), told))
-    none = F.lit(0)
-    return done.select(*[F.when(F.col(text).isNotNull(), F.col("_t.text")).alias(c) if c == text else F.col(f"`{c}`") for c in pages.columns], F.when(F.col(text).isNull(), none).otherwise(F.col("_t.n")).alias("_n_lines"), F.when(F.col(text).isNull(), none).otherwise(F.col("_t.gone")).alias("_n_dropped"))
+    none, there = F.lit(0), F.col(text).isNotNull()
+    out = [F.when(there, F.col("_t.text")).alias(c) if x == text else F.col(x).alias(c) for c, x in name.items()]
+    if counts:
+        out += [F.when(there, F.col(f"_t.{x}")).otherwise(none).alias(c) for c, x in (("_n_lines", "n"), ("_n_dropped", "gone"))]
+    return done.select(*out)
 
 
 def page_text(html: Column) -> Column:

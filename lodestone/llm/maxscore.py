@@ -10,6 +10,9 @@ remain competitive, pruned again after each probe step. Per-shard lists are merg
 Pruning keeps every vector whose bound reaches the threshold, so ties are whole. Defined results:
 vectors null or holding null or non-finite components take no part; missing trailing dimensions count
 as 0; repeated ids are separate candidates (a query's own id is no candidate); no rows give no rows.
+Scores are exact whole numbers: where a block's could pass 64 bits they are computed without a bound. A
+component of 2^62 or more after scaling, or a score to be returned that no long holds, is refused with
+an error.
 """
 
 from __future__ import annotations
@@ -26,10 +29,15 @@ from .common import parts_for, table
 SHARD_ROWS = 8192
 QUERY_ROWS = 2048
 STEP = 8
+LARGEST = 1 << 62
 
 
 def quantized(vector: Column, scale: int) -> Column:
-    return F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
+    def whole(x: Column) -> Column:
+        scaled = F.lit(float(scale)) * x.cast("double")
+        return F.when(F.abs(scaled) < float(LARGEST), F.floor(scaled).cast("long")).otherwise(F.raise_error(F.lit("a component is too large to be searched")).cast("long"))
+
+    return F.transform(vector, whole)
 
 
 def usable(vector: Column) -> Column:
@@ -39,6 +47,9 @@ def usable(vector: Column) -> Column:
 
 def maxscore_shard(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query id, ids, scores) of each query's k best rows of this shard, ties to smaller ids."""
+    wide = max((int(np.abs(x).max()) for x in (rows, queries) if x.size), default=0)
+    if wide * wide * max(1, rows.shape[1]) * 4 >= LARGEST:  # no sum or bound below may pass 64 bits
+        rows, queries = rows.astype(object), queries.astype(object)
     postings = np.ascontiguousarray(rows.T)
     low, high = postings.min(axis=1), postings.max(axis=1)
     order_by_id = np.argsort(ids, kind="stable")
@@ -50,13 +61,13 @@ def maxscore_shard(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray,
         seeds = seeds[ids[seeds] != own]
         exact = np.sort(rows[seeds] @ q)[::-1]
         best = int(exact[k - 1]) if len(exact) >= k else None
-        rest = np.concatenate([np.cumsum(gain[terms][::-1])[::-1], [0]]) + floor_.sum()
-        essential = len(terms) if best is None else int(np.searchsorted(-rest, -best, side="right"))
+        rest = np.append(np.cumsum(gain[terms][::-1])[::-1], rows.dtype.type(0) if rows.dtype != object else 0) + floor_.sum()
+        essential = len(terms) if best is None else int((rest >= best).sum())
         essential = min(len(terms), max(1, essential)) if len(terms) else 0
         # Scores are kept as gains over the least possible contribution of each term. The essential
         # postings are traversed for all vectors, the others a few at a time for those still competitive.
         # Rows with the query's own id have no part in the threshold.
-        alive, got, done, upto, other = None, np.zeros(len(ids), dtype=np.int64), 0, essential, ids != own
+        alive, got, done, upto, other = None, np.zeros(len(ids), dtype=rows.dtype), 0, essential, ids != own
         while done < len(terms):
             part = terms[done:upto]
             block = postings[part] if alive is None else postings[part][:, alive]
@@ -64,7 +75,7 @@ def maxscore_shard(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray,
             done, upto = upto, min(len(terms), upto + STEP)
             real = got[other]
             if len(real) >= k:
-                sure = np.partition(real, len(real) - k)[len(real) - k] + floor_.sum()
+                sure = (np.partition(real, len(real) - k) if real.dtype != object else np.sort(real))[len(real) - k] + floor_.sum()
                 best = int(sure) if best is None else max(best, int(sure))
             if best is not None:
                 keep = got + rest[done] >= best
@@ -74,8 +85,13 @@ def maxscore_shard(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray,
         at = np.arange(len(ids)) if alive is None else alive
         score = got + floor_.sum()
         at, score = at[other], score[other]
-        first = np.lexsort((ids[at], -score))[:k]
-        yield int(own), ids[at][first], score[first]
+        if score.dtype == object:
+            first = np.array(sorted(range(len(at)), key=lambda i: (-score[i], ids[at[i]]))[:k], dtype=np.int64)
+            if len(first) and max(abs(x) for x in score[first]) >= 1 << 63:
+                raise ValueError("a score does not fit 64 bits")
+        else:
+            first = np.lexsort((ids[at], -score))[:k]
+        yield int(own), ids[at][first], score[first].astype(np.int64)
 
 
 def _matrix(vectors: pd.Series, width: int) -> np.ndarray:

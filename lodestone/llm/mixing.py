@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import gapless_rank, materialize, parts_for, table, word_count
+from .common import gapless_rank, hidden, materialize, parts_for, table, word_count
 
 MAX_SOURCES = 10_000
 ROWS_PER_BUCKET = 50_000
@@ -55,8 +55,13 @@ def _rate(lam: Column, size: Column, mean: Column, cap: float) -> Column:
     return F.lit(float(cap)) / (1 + (cap - 1) * F.exp(-z))
 
 
-def _per(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])[F.col("_s")]
+def _given(cells: DataFrame, **values: Sequence) -> DataFrame:
+    """cells with a column for each list of values, one value to a source's number ``_s``."""
+    names = list(values)
+    kinds = ", ".join(f"{n} {'long' if all(isinstance(v, int) for v in values[n]) else 'double'}" for n in names)
+    rows = [(i, *v) for i, v in enumerate(zip(*values.values()))]
+    small = cells.sparkSession.createDataFrame(rows, f"_s int, {kinds}")  # at most MAX_SOURCES rows
+    return cells.join(F.broadcast(small), "_s")
 
 
 def solve_tilts(cells: DataFrame, sizes: Sequence[int], counts: Sequence[int], targets: Sequence[float], cap: float, steps: int = 60, tolerance: float = 1e-7) -> list[float]:
@@ -73,11 +78,11 @@ def solve_tilts(cells: DataFrame, sizes: Sequence[int], counts: Sequence[int], t
     for _ in range(steps):
         if all(done):
             break
-        r = _rate(_per(lam), F.col("size"), _per(mean), cap)
+        r = _rate(F.col("_lam"), F.col("size"), F.col("_mean"), cap)
         words = F.col("n") * F.col("size")
-        slope = words * F.col("size") / _per(mean) * r * (1 - r / cap)
+        slope = words * F.col("size") / F.col("_mean") * r * (1 - r / cap)
         exact = lambda c: F.sum(F.round(c, 3).cast("decimal(30,3)")).cast("double")
-        for s, got, rise in cells.groupBy("_s").agg(exact(words * r), exact(slope)).collect():
+        for s, got, rise in _given(cells, _lam=lam, _mean=mean).groupBy("_s").agg(exact(words * r), exact(slope)).collect():
             if done[s]:
                 continue
             miss = got - targets[s]
@@ -97,8 +102,9 @@ def solve_tilts(cells: DataFrame, sizes: Sequence[int], counts: Sequence[int], t
     return lam
 
 
-def mix_plan(slim: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """slim: (doc_id, source, size). One row per row of slim, with source_size, target, rate, copies."""
+def mix_plan(slim: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = CAP, carry: Sequence[str] = ()) -> DataFrame:
+    """slim: (doc_id, source, size, *carry). One row per row of slim, with source_size, target, rate, copies.
+    Which of a source's documents of one size get a copy more is drawn by a hash of the doc_id."""
     cells = materialize(slim.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-cells")
     found = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("w"), F.sum("n").alias("d")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
@@ -106,15 +112,13 @@ def mix_plan(slim: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = CAP
     found.sort(key=lambda r: (r[0] is None, r[0] or ""))
     names, sizes, counts = [r[0] for r in found], [int(r[1]) for r in found], [int(r[2]) for r in found]
     targets = waterfill(sizes, [weights[i % len(weights)] for i in range(len(names))], cap)
-    known = [x for i, n in enumerate(names) if n is not None for x in (F.lit(n), F.lit(i))]
-    place = F.when(F.col("source").isNull(), F.lit(len(names) - 1))
-    place = place.otherwise(F.create_map(*known)[F.col("source")] if known else F.lit(0)).cast("int")
-    if not names:
-        place, sizes, counts, targets = F.lit(0).cast("int"), [0], [0], [0.0]
-    cells = cells.withColumn("_s", place)
+    known = slim.sparkSession.createDataFrame([(n, i) for i, n in enumerate(names)], "_name string, _s int")  # at most MAX_SOURCES rows
+    placed = lambda df: df.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
+    cells = placed(cells)
     lam = solve_tilts(cells, sizes, counts, targets, cap)
     mean = [max(1.0, s / max(1, c)) for s, c in zip(sizes, counts)]
-    rate = F.when(_per(lam) > 1e8, float(cap)).when(_per(lam) < -1e8, 0.0).otherwise(_rate(_per(lam), F.col("size"), _per(mean), cap))
+    cells = _given(cells, _lam=lam, _mean=mean)
+    rate = F.when(F.col("_lam") > 1e8, float(cap)).when(F.col("_lam") < -1e8, 0.0).otherwise(_rate(F.col("_lam"), F.col("size"), F.col("_mean"), cap))
     long_first = Window.partitionBy("_s").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, 0)
     cells = cells.withColumn("rate", rate).withColumn("_u", F.round(F.col("n") * F.col("rate") * UNIT).cast("long"))
     cells = cells.withColumn("_end", F.sum("_u").over(long_first))
@@ -128,28 +132,41 @@ def mix_plan(slim: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = CAP
     for s, *took in tried:
         best = min(range(len(OFFSETS)), key=lambda i: (abs(took[i] - targets[s]), i))
         chosen[s], miss[s] = round(OFFSETS[best] * UNIT), targets[s] - took[best]
-    cells = cells.withColumn("_c", copies(F.array(*[F.lit(c) for c in chosen])[F.col("_s")]))
-    room = F.when(_per(miss) > 0, cap * F.col("n") - F.col("_c")).otherwise(F.col("_c")) * (F.col("size") > 0).cast("long")
+    cells = _given(cells, _offset=chosen, _miss=miss)
+    cells = cells.withColumn("_c", copies(F.col("_offset")))
+    room = F.when(F.col("_miss") > 0, cap * F.col("n") - F.col("_c")).otherwise(F.col("_c")) * (F.col("size") > 0).cast("long")
     short_first = Window.partitionBy("_s").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("_room", room).withColumn("_used", F.coalesce(F.sum(F.col("_room") * F.col("size")).over(short_first), F.lit(0)))
-    more = F.least(F.col("_room"), F.floor(F.greatest(F.lit(0.0), F.abs(_per(miss)) - F.col("_used")) / F.greatest(F.col("size"), F.lit(1))))
-    cells = cells.withColumn("_c", F.col("_c") + F.signum(_per(miss)).cast("long") * more)
+    more = F.least(F.col("_room"), F.floor(F.greatest(F.lit(0.0), F.abs(F.col("_miss")) - F.col("_used")) / F.greatest(F.col("size"), F.lit(1))))
+    cells = cells.withColumn("_c", F.col("_c") + F.signum(F.col("_miss")).cast("long") * more)
     shares = cells.select("_s", "size", F.col("n").alias("_all"), F.col("_c").alias("_copies"), "rate")
-    ranked = gapless_rank(slim.withColumn("_s", place), ["_s", "size"], ["doc_id"], parts_for(slim.count(), ROWS_PER_BUCKET), "_rank", shares)
+    drawn = placed(slim).withColumn("_h", F.xxhash64(F.lit("mix"), "doc_id"))
+    ranked = gapless_rank(drawn, ["_s", "size"], ["_h", "doc_id"], parts_for(slim.count(), ROWS_PER_BUCKET), "_rank", shares)
     given = F.floor(F.col("_copies") / F.col("_all")) + (F.col("_rank") < F.col("_copies") % F.col("_all")).cast("long")
-    return ranked.select("doc_id", "source", "size", F.array(*[F.lit(int(s)) for s in sizes])[F.col("_s")].cast("long").alias("source_size"), _per(targets).alias("target"), "rate", given.cast("long").alias("copies"))
+    out = _given(ranked, source_size=sizes, target=targets)
+    return out.select("doc_id", "source", "size", *carry, "source_size", "target", "rate", given.cast("long").alias("copies"))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as its copies say. Only doc_id, source and
-    text are read; all columns are kept."""
-    key = ["doc_id", "source", "_size"]
-    sized = docs.withColumn("_size", word_count(F.col("text")))
-    plan = mix_plan(sized.select("doc_id", "source", F.col("_size").alias("size")), weights, cap)
-    plan = plan.withColumnsRenamed({"doc_id": "_d", "source": "_o", "size": "_z"}).withColumn("_k", F.row_number().over(Window.partitionBy("_d", "_o", "_z").orderBy("copies")))
-    rows = sized.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy(F.crc32(F.coalesce("text", F.lit(""))))))
-    both = rows.join(plan.filter("copies > 0").select("_d", "_o", "_z", "_k", "copies"), rows["doc_id"].eqNullSafe(F.col("_d")) & rows["source"].eqNullSafe(F.col("_o")) & (rows["_size"] == F.col("_z")) & (rows["_k"] == plan["_k"]))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    text are read; all columns are kept, whatever their names."""
+    rows, name = hidden(docs)
+    doc, source, text = (F.col(name[c]) for c in ("doc_id", "source", "text"))
+    # Rows of one document, source and size are told apart by their text, and equal ones by their number.
+    mark = F.xxhash64(F.coalesce(text, F.lit("")))
+    rows = rows.withColumn("_z", word_count(text)).withColumn("_m", mark)
+    plan = mix_plan(rows.select(doc.alias("doc_id"), source.alias("source"), F.col("_z").alias("size"), F.col("_m").alias("mark")), weights, cap, ["mark"])
+    # Rows alike in all of these have equal texts: their copies are added up and dealt out again.
+    plan = plan.groupBy("doc_id", "source", "size", "mark").agg(F.sum("copies").alias("_all"), F.count(F.lit(1)).alias("_rows")).filter("_all > 0")
+    plan = plan.withColumnsRenamed({"doc_id": "_d", "source": "_o", "size": "_s", "mark": "_n"}).select("_d", "_o", "_s", "_n", "_all", "_rows")
+    single, several = plan.filter("_rows = 1"), plan.filter("_rows > 1")
+    on = lambda p: doc.eqNullSafe(p["_d"]) & source.eqNullSafe(p["_o"]) & (F.col("_z") == p["_s"]) & (F.col("_m") == p["_n"])
+    both = rows.join(single, on(single)).withColumn("_k", F.col("_all").cast("int"))
+    alike = rows.join(several, on(several))
+    turn = F.row_number().over(Window.partitionBy("_d", "_o", "_s", "_n").orderBy(F.lit(0))) - 1
+    alike = alike.withColumn("_t", turn).withColumn("_k", (F.floor(F.col("_all") / F.col("_rows")) + (F.col("_t") < F.col("_all") % F.col("_rows")).cast("long")).cast("int")).drop("_t")
+    both = both.unionByName(alike).filter("_k > 0")
+    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_k")))).select(*[F.col(x).alias(c) for c, x in name.items()])
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,10 +5,12 @@ character kinds and of pairs of kinds, word and line habits). The risk of the ne
 estimated from the unlabelled texts less the positives' share (the class prior) and held at or above
 zero; where a batch drives it below, the step goes back up instead, as the estimator prescribes.
 
-The prior is the share of positives in the sample's labels where these hold both classes, else it is
-estimated from a positive-against-unlabelled scorer: mean score of unlabelled over mean score of
-positives. Fitted on bounded samples: about ``POSITIVES`` trusted positives and ``UNLABELLED`` other
-texts, drawn by a hash of the id. Each text is scored whole.
+The class prior is estimated from the trusted positives and the unlabelled texts alone: the mean score
+of unlabelled texts over that of positives, by scorers trained in turn with the estimate before. Labels
+of the negative class have no part in it, as labelled rows need not be drawn like the others. Fitted on
+bounded samples: about ``POSITIVES`` trusted positives and ``UNLABELLED`` other texts, one to a doc_id,
+drawn by a hash of the id. Each text is scored whole. Features are shares of byte classes and habits of
+words and lines, no words: the scorer judges how a text is written, not what it says.
 
 Defined results: null and empty texts have the features of no text and get that score; repeated rows
 are scored each; without positives to learn from every score is 0.5; an empty table gives no rows;
@@ -25,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 from .langid import held_out
 
-POSITIVES, UNLABELLED = 2000, 2000
+POSITIVES, UNLABELLED = 3000, 3000
 #: Texts scored at a time.
 CHUNK = 256
 STEPS, RATE, BATCH, DECAY = 800, 0.02, 512, 1e-3
@@ -123,14 +125,13 @@ def train_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = STEP
     return Scorer(mean, scale, averaged[:-1], float(averaged[-1]))
 
 
-def estimated_prior(pos: np.ndarray, unl: np.ndarray, labels: np.ndarray) -> float:
+def estimated_prior(pos: np.ndarray, unl: np.ndarray, rounds: int = 3) -> float:
     """Share of positives among unlabelled texts."""
-    if len(labels) and 0 < labels.mean() < 1:
-        found = float(labels.mean())
-    else:
-        s = train_nnpu(pos, unl, 0.5, steps=200)
-        found = float(s(unl).mean() / max(1e-6, s(pos).mean()))
-    return min(0.98, max(0.02, found))
+    found = 0.5
+    for _ in range(rounds):
+        s = train_nnpu(pos, unl, found, steps=200)
+        found = min(0.98, max(0.02, float(s(unl).mean() / max(1e-6, s(pos).mean()))))
+    return found
 
 
 def _sampled(df: DataFrame, most: int, salt: str) -> DataFrame:
@@ -144,21 +145,20 @@ def _collect(df: DataFrame) -> np.ndarray:
         for frame in frames:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "f": [features(t).tobytes() for t in frame["text"]]})
 
-    rows = sorted(df.select("doc_id", "text").mapInPandas(vectors, "doc_id long, f binary").collect())
+    one = df.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = sorted(one.mapInPandas(vectors, "doc_id long, f binary").collect())
     return np.stack([np.frombuffer(bytes(r[1]), dtype=np.float32) for r in rows]) if rows else np.zeros((0, FEATURES), dtype=np.float32)
 
 
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Scorer:
     """docs: (doc_id, text); labels: (doc_id, quality), learnable rows only."""
     marks = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("doc_id is not null and quality is not null")
-    share = marks.agg(F.avg("quality")).first()[0]
     trusted = docs.join(_sampled(marks.filter("quality = 1"), positives, "trusted"), "doc_id", "left_semi")
     web = _sampled(docs.filter("doc_id is not null"), unlabelled, "web")
     pos, unl = _collect(trusted), _collect(web)
     if not len(pos) or not len(unl):
         return Scorer(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), 0.0)
-    prior = estimated_prior(pos, unl, np.array([share] if share is not None else []))
-    return train_nnpu(pos, unl, prior)
+    return train_nnpu(pos, unl, estimated_prior(pos, unl))
 
 
 def predict(docs: DataFrame, model: Scorer, carry: list[str]) -> DataFrame:
@@ -180,6 +180,7 @@ def predict(docs: DataFrame, model: Scorer, carry: list[str]) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out(F.col("doc_id"), 3, 1).alias("held_out"))
     labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"), 3, 1))
     model = fit(docs.filter("not held_out"), labels.select("doc_id", "quality"))
