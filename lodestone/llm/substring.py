@@ -4,8 +4,8 @@ Every window of ``WINDOW`` words is represented by the smallest ``GRAM``-word ha
 windows have equal representatives. Successive windows with one representative form a *segment*
 (g, d1, d2, m): representative, a 96-bit BLAKE2b digest of the segment's words, number of windows. A *run*
 of the index is an immutable table of distinct segments, bucketed and sorted by g, each with its first
-place (b, doc, mark, a): batch, document, hash of its text, first word. The few representatives with very many segments
-stand in an unbucketed part of the run, so no bucket holds a hot one.
+place (b, p): batch, and in one long the document's number in the batch's order and the first word. The few
+representatives with very many segments stand in an unbucketed part of the run, so no bucket holds a hot one.
 
 A batch is merge-joined with the runs; none of the steps forms pairs:
 1. segments of history whose representative the batch has are found by merge join (a run's buckets are
@@ -23,6 +23,7 @@ The index lives in ``folder``: runs, texts (bucketed by document, so later batch
 moving texts) and a manifest, appended to at each commit, from which any later session goes on.
 
 Order is (batch, doc_id, hash of the text, start), so batches of rising doc_id give the order of doc_ids.
+A text may have 2^24 words, a batch 2^39 documents; more are refused with an error.
 Defined results: null, empty and short texts have no window and lose nothing; rows equal in doc_id and
 text are one document, each gets its result; a null doc_id comes before all others; an empty batch
 gives no rows; further columns are not read.
@@ -46,18 +47,19 @@ from ..sources.scratch import drop_at_exit
 from .common import scratch_dir, small_batches, table
 from .wordhash import Words, grams, parts, slices, words_of
 
-WINDOW, GRAM, FANOUT = 20, 6, 4
+WINDOW, GRAM, FANOUT = 20, 6, 2
 #: Batches that one table is fed to the index in: enough for a compaction.
-BATCHES = 5
+BATCHES = 3
 #: A representative is hot from so many segments on, and from this share of a run's; so few can be hot.
 HOT_ROWS, HOT_SHARE = 1000, 20_000
 DOC = ["doc", "mark"]
 KEY = ["g", "d1", "d2", "m"]
-PLACE = ["b", "doc", "mark", "a"]
-SEGMENT = "g long, d1 long, d2 int, m int, doc long, mark long, a int"
-RUN = "g long, d1 long, d2 int, m int, b int, doc long, mark long, a int"
-TEXT = "doc_id long, doc long, mark long, text string"
-_LOW = 20  # bits of a packed hash that hold the place of its gram
+SEGMENT = "g long, d1 long, d2 int, m int, p long"
+RUN = "g long, d1 long, d2 int, m int, b int, p long"
+TEXT = "doc_id long, doc long, mark long, text string, r long"
+#: Bits of a packed hash that hold the place of its gram; bits of a place that hold its first word; bits of
+#: a document's number that hold its row within a sorted part.
+_LOW, _WORD, _ROW = 20, 24, 23
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -99,32 +101,36 @@ def segments(words: np.ndarray, ends: np.ndarray, window: int, gram: int) -> tup
 def _segment_rows(window: int, gram: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
-            docs, marks = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-            texts = batch.column(2).to_pylist()
+            number, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
             for i, j in slices([len(t) for t in texts]):
                 words = Words(texts[i:j])
+                if words.sizes.max(initial=0) > 1 << _WORD:
+                    raise ValueError("a text has more than 2^24 words")
                 ends = np.cumsum(words.sizes)
                 g, m, first = segments(words.hashes() if len(words.begin) else np.zeros(0, dtype=np.uint64), ends, window, gram)
                 doc = np.searchsorted(ends, first, side="right")
                 digests = words.digests(first, first + m + window - 2)
                 begin = np.concatenate([[0], ends])[doc]
-                columns = [g, digests[:, 0], digests[:, 1].astype(np.int32), m.astype(np.int32), docs[i + doc], marks[i + doc], (first - begin).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["g", "d1", "d2", "m", "doc", "mark", "a"])
+                columns = [g, digests[:, 0], digests[:, 1].astype(np.int32), m.astype(np.int32), number[i + doc] << _WORD | first - begin]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["g", "d1", "d2", "m", "p"])
 
     return rows
 
 
 def _spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Flat starts and lengths of a list<struct<a, m>> column, and where each row's begin."""
+    """Flat starts and lengths of a list column of packed spans, and where each row's begin."""
     begin = np.concatenate([[0], np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False))])
-    flat = column.flatten()
-    return flat.field("a").to_numpy(zero_copy_only=False).astype(np.int64), flat.field("m").to_numpy(zero_copy_only=False).astype(np.int64), begin
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    return flat >> _WORD, flat & ((1 << _WORD) - 1), begin
 
 
 def _window_rows(window: int):
+    """(b, r, text, spans) -> (w1, w2, b, p) of the spans' windows."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
-            texts, (a, m, begin) = batch.column(3).to_pylist(), _spans(batch.column(4))
+            b, r = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            texts, (a, m, begin) = batch.column(2).to_pylist(), _spans(batch.column(3))
             owner = np.repeat(np.arange(len(texts)), np.diff(begin))
             for i, j in slices([len(t) for t in texts], 100_000):
                 words = Words(texts[i:j])
@@ -136,8 +142,8 @@ def _window_rows(window: int):
                 row = np.repeat(own, count)
                 starts = first[row - i] + local
                 digests = words.digests(starts, starts + window - 1)
-                ids = [pa.compute.take(batch.column(c), pa.array(row)) for c in range(3)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(digests[:, 0])), pa.array(np.ascontiguousarray(digests[:, 1])), *ids, pa.array(local.astype(np.int32))], names=["w1", "w2", "b", "doc", "mark", "a"])
+                columns = [digests[:, 0], digests[:, 1], b[row].astype(np.int32), r[row].astype(np.int64) << _WORD | local]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["w1", "w2", "b", "p"])
 
     return rows
 
@@ -215,9 +221,10 @@ class FingerprintIndex:
         self.open["scratch"].append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def _bucketed(self, df: DataFrame, name: str, by: list[str], order: list[str]) -> tuple[str, DataFrame]:
+    def _bucketed(self, df: DataFrame, name: str, by: list[str], order: list[str], dealt: bool = False) -> tuple[str, DataFrame]:
+        """Write df by buckets. dealt: it is in such parts already."""
         path, called, n = f"{self.folder}/{name}-{uuid.uuid4().hex}", f"lodestone_{uuid.uuid4().hex}", self.state["buckets"]
-        df.repartition(n, *by).write.bucketBy(n, *by).sortBy(*order).option("path", path).saveAsTable(called)
+        (df if dealt else df.repartition(n, *by)).write.bucketBy(n, *by).sortBy(*order).option("path", path).saveAsTable(called)
         return path, self.spark.table(called)
 
     def _remove(self, path: str) -> None:
@@ -228,11 +235,11 @@ class FingerprintIndex:
         """Segments of all runs whose g is one of ``asked`` (distinct)."""
         found = []
         for run in self.runs:
-            found.append(run["main"].join(asked.hint("merge"), "g", "left_semi").select(*KEY, *PLACE))
+            found.append(run["main"].join(asked.hint("merge"), "g", "left_semi").select(*KEY, "b", "p"))
             if run["hot"]:
                 rows = self.spark.read.schema(RUN).parquet(run["hot"])
-                few = rows.select("g").distinct().join(asked, "g", "left_semi")  # at most HOT_SHARE values
-                found.append(rows.join(F.broadcast(few), "g", "left_semi").select(*KEY, *PLACE))
+                few = rows.select("g").distinct().join(asked, "g", "left_semi")  # as few as few_values
+                found.append(rows.join(F.broadcast(few), "g", "left_semi").select(*KEY, "b", "p"))
         return reduce(DataFrame.unionByName, found) if found else None
 
     def add(self, docs: DataFrame, with_text: bool = False) -> DataFrame:
@@ -241,65 +248,93 @@ class FingerprintIndex:
             self.commit()
         spark, number, window, gram = self.spark, len(self.texts), self.state["window"], self.state["gram"]
         self.open = {"scratch": []}
-        text = F.coalesce("text", F.lit(""))
+        text, n = F.coalesce("text", F.lit("")), self.state["buckets"]
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("doc_id", F.lit(-(1 << 63))).cast("long").alias("doc"), F.xxhash64(text).alias("mark"), text.alias("text"))
-        path, mine = self._bucketed(docs, "texts", DOC, DOC)
+        # Sorted parts are numbered in their order, and rows within them.
+        at = F.monotonically_increasing_id()
+        part, row = F.shiftright(at, 33), at.bitwiseAND((1 << 33) - 1)
+        fits = (part < 1 << 63 - _WORD - _ROW) & (row < 1 << _ROW)
+        number_ = F.when(fits, F.shiftleft(part, _ROW).bitwiseOR(row)).otherwise(F.raise_error(F.lit("a batch has too many documents")).cast("long"))
+        ranks = self._scratch(docs.select(*DOC).distinct().repartitionByRange(n, *DOC).sortWithinPartitions(*DOC).select(*DOC, number_.alias("r")), "ranks")
+        path, mine = self._bucketed(docs.repartition(n, *DOC).join(ranks, DOC).select("doc_id", *DOC, "text", "r"), "texts", DOC, DOC, dealt=True)
         self.texts.append(mine)
         self.open["texts"] = path
-        place = F.struct(*PLACE)
-        new = self._scratch(spark.read.schema(TEXT).parquet(path).select(*DOC, "text").mapInArrow(_segment_rows(window, gram), SEGMENT), "batch")
+        new = self._scratch(spark.read.schema(TEXT).parquet(path).select("r", "text").mapInArrow(_segment_rows(window, gram), SEGMENT), "batch")
         self.open["batch"] = new
-        new = new.withColumn("b", F.lit(number)).select(*KEY, *PLACE)
+        new = new.withColumn("b", F.lit(number)).select(*KEY, "b", "p")
+        here = F.col("b") == number
 
-        counts = new.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+        counts = self._scratch(new.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "counts")
+        self.open["hot"] = few_values(counts.filter(F.col("n") >= max(HOT_ROWS, new.count() // HOT_SHARE)).select("g"))
         again, old = counts.filter("n > 1").select("g"), self._history(counts.select("g"))
         if old is not None:
             old = self._scratch(old, "old")
             again = again.unionByName(old.select("g")).distinct()
         seen = self._scratch(new.join(again, "g", "left_semi"), "seen")
         both = seen if old is None else seen.unionByName(old)
-        firsts = self._scratch(both.groupBy(*KEY).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
-
-        whole = seen.join(firsts.filter("n > 1").select(*KEY, "first"), KEY).filter(place != F.col("first")).select(*DOC, "a", "m")
+        # A batch holds a segment's words once in a run, so of several places those of the least batch are one.
+        firsts = both.groupBy(*KEY).agg(F.min("b").alias("b"), F.min(F.when(here, F.col("p"))).alias("mine"), F.min_by("p", "b").alias("other"), F.count(F.lit(1)).alias("n"))
+        firsts = self._scratch(firsts.select(*KEY, "b", "mine", F.when(here, F.col("mine")).otherwise(F.col("other")).alias("p"), "n"), "firsts")
+
+        span = F.shiftleft(F.col("p").bitwiseAND((1 << _WORD) - 1), _WORD).bitwiseOR(F.col("m").cast("long")).alias("span")
+        of = F.shiftright("p", _WORD).alias("r")
+        later = lambda rows: rows.filter((F.col("first") < number) | (F.col("p") != F.col("mine")))
+        whole = later(seen.join(firsts.filter("n > 1").select(*KEY, F.col("b").alias("first"), "mine"), KEY)).select(of, span)
         several = firsts.groupBy("g").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("g")
-        need = firsts.join(several, "g", "left_semi").groupBy("first.b", "first.doc", "first.mark").agg(F.collect_list(F.struct("first.a", "m")).alias("spans"))
+        need = firsts.join(several, "g", "left_semi").groupBy("b", of).agg(F.collect_list(span).alias("spans"))
         need = self._scratch(need, "need")
-        opened = [t.join(need.filter(F.col("b") == b).hint("shuffle_hash"), DOC).select("b", *DOC, "text", "spans") for b, t in enumerate(self.texts)]
-        windows = self._scratch(reduce(DataFrame.unionByName, opened).mapInArrow(_window_rows(window), "w1 long, w2 long, b int, doc long, mark long, a int"), "windows")
-        earliest = windows.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").drop("last")
-        single = windows.filter(F.col("b") == number).join(earliest, ["w1", "w2"]).filter(place != F.col("first")).select(*DOC, "a", F.lit(1).alias("m"))
-        found = whole.unionByName(single).groupBy(*DOC).agg(F.collect_set(F.struct("a", "m")).alias("spans"))
+        opened = [t.join(self._placed(need.filter(F.col("b") == i), i, ranks).hint("shuffle_hash"), DOC).select("b", t["r"], "text", "spans") for i, t in enumerate(self.texts)]
+        windows = self._scratch(reduce(DataFrame.unionByName, opened).mapInArrow(_window_rows(window), "w1 long, w2 long, b int, p long"), "windows")
+        earliest = windows.groupBy("w1", "w2").agg(F.min("b").alias("first"), F.min(F.when(here, F.col("p"))).alias("mine"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+        single = later(windows.filter(here).join(earliest, ["w1", "w2"])).withColumn("m", F.lit(1)).select(of, span)
+        found = whole.unionByName(single).groupBy("r").agg(F.collect_set("span").alias("spans"))
+        found = self._placed(found, number, ranks).select(*DOC, "spans")
         # Read by the caller at any time after: kept as long as the index.
         spans = spark.read.schema(found.schema).parquet(self._write(found, "spans"))
-        for used in self.open["scratch"][1:]:
+        kept = self.open["scratch"].pop(1)  # the batch's segments, for commit
+        for used in self.open["scratch"]:
             self._remove(used)
-        del self.open["scratch"][1:]
+        self.open["scratch"] = [kept]
         out = mine.join(spans.hint("shuffle_hash"), DOC, "left").select("doc_id", "text", "spans")
         schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
         return out.mapInArrow(_kept_rows(window, with_text), schema)
 
-    def _run(self, rows: DataFrame, level: int) -> dict:
-        """Write distinct segments with their first places as a run."""
-        rows = self._scratch(rows.groupBy(*KEY).agg(F.min(F.struct(*PLACE)).alias("p")).select(*KEY, "p.*"), "distinct")
-        hot = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(HOT_ROWS, rows.count() // HOT_SHARE)).select("g")
-        hot = few_values(hot)
+    def _placed(self, rows: DataFrame, number: int, ranks: DataFrame) -> DataFrame:
+        """rows (r, ...) of a batch with their documents' keys: from the texts' small columns, or, of the
+        batch in hand, from its numbers."""
+        keys = ranks if number == len(self.texts) - 1 else self.spark.read.schema(TEXT).parquet(self.state["texts"][number]).select(*DOC, "r").distinct()
+        return rows.join(keys, "r").drop("r")
+
+    def _run(self, rows: DataFrame, level: int, hot: DataFrame | None) -> dict:
+        """Write distinct segments with their first places as a run, hot representatives aside."""
+        first = lambda df: df.groupBy(*KEY).agg(F.min("b").alias("b"), F.min_by("p", "b").alias("p")) if level else df.groupBy(*KEY, "b").agg(F.min("p").alias("p"))
         aside = None
         if hot is not None:
-            aside = self._write(rows.join(F.broadcast(hot), "g", "left_semi"), "hot")
+            aside = self._write(first(rows.join(F.broadcast(hot), "g", "left_semi")).select(*KEY, "b", "p"), "hot")
             rows = rows.join(F.broadcast(hot), "g", "left_anti")
-        path, main = self._bucketed(rows.select(*KEY, *PLACE), "run", ["g"], KEY)
-        self._remove(self.open["scratch"].pop())
+        # Runs of distinct segments need no combining before they are dealt, a batch's do.
+        rows = first(rows.repartition(self.state["buckets"], "g")) if level else first(rows)
+        path, main = self._bucketed(rows.select(*KEY, "b", "p"), "run", ["g"], KEY, dealt=level > 0)
         return {"level": level, "path": path, "hot": aside, "main": main}
 
+    def _hot_of(self, runs: list[dict]) -> DataFrame | None:
+        """Representatives with that many segments in one of the runs that all together may be hot; a
+        run's buckets are counted as they lie. Those that were hot stay so."""
+        rows = sum(r["main"].count() for r in runs)
+        least = max(HOT_ROWS, rows // HOT_SHARE) // len(runs)
+        found = [r["main"].groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("g") for r in runs]
+        found += [self.spark.read.schema(RUN).parquet(r["hot"]).select("g") for r in runs if r["hot"]]
+        return few_values(reduce(DataFrame.unionByName, found).distinct())
+
     def commit(self) -> None:
         """Make the last batch's segments a run, compact full levels and append to the manifest."""
         number, fanout = len(self.texts) - 1, self.state["fanout"]
         self.state["texts"].append(self.open["texts"])
-        self.runs.append(self._run(self.open["batch"].withColumn("b", F.lit(number)), 0))
+        self.runs.append(self._run(self.open["batch"].withColumn("b", F.lit(number)), 0, self.open["hot"]))
         level, old = 0, []
         while len(full := [r for r in self.runs if r["level"] == level]) >= fanout:
-            rows = [r["main"].select(*KEY, *PLACE) for r in full] + [self.spark.read.schema(RUN).parquet(r["hot"]).select(*KEY, *PLACE) for r in full if r["hot"]]
-            merged = self._run(reduce(DataFrame.unionByName, rows), level + 1)
+            rows = [r["main"].select(*KEY, "b", "p") for r in full] + [self.spark.read.schema(RUN).parquet(r["hot"]).select(*KEY, "b", "p") for r in full if r["hot"]]
+            merged = self._run(reduce(DataFrame.unionByName, rows), level + 1, self._hot_of(full))
             self.runs = [r for r in self.runs if r["level"] != level] + [merged]
             old += full
             level += 1
@@ -312,8 +347,9 @@ class FingerprintIndex:
 
 
 def few_values(few: DataFrame) -> DataFrame | None:
-    """A list of at most HOT_SHARE values as a literal table; None if it is empty."""
-    values = [tuple(r) for r in few.limit(HOT_SHARE + 1).collect()]
+    """A short list as a literal table; None if it is empty. At most HOT_SHARE values reach a share of
+    1 / HOT_SHARE of a run, FANOUT * FANOUT times as many its part in one of the runs merged."""
+    values = [tuple(r) for r in few.collect()]
     return few.sparkSession.createDataFrame(values, few.schema) if values else None
 
 
