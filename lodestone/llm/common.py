@@ -21,16 +21,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, used: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back: later plans start from files
-    that survive a lost executor. The files go when the application ends."""
+    that survive a lost executor. The files go when the application ends, or, by their paths in ``used``,
+    when an operator is done with them."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    df.write.parquet(path)
     drop_at_exit(spark, path)
+    if used is not None:
+        used.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, by: Sequence[str], used: list[str]) -> DataFrame:
+    """Write ``df`` to the shared scratch folder by buckets, so that joins on ``by`` move none of it."""
+    spark = df.sparkSession
+    path, called, n = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}", f"lodestone_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, *by).write.bucketBy(n, *by).sortBy(*by).option("path", path).saveAsTable(called)
+    drop_at_exit(spark, path)
+    used.append(path)
+    return spark.table(called)
+
+
+def remove(spark: SparkSession, used: list[str]) -> None:
+    """Delete scratch tables that no result depends on any more."""
+    for path in used:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    used.clear()
+
+
 def hidden(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """df with its columns named by position, so that no name of its own meets one of an operator's; and
     the new name of each column."""

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, table
+from .common import bucketed, materialize, remove, small_batches, table
 from .components import components
 from .wordhash import Words, grams, parts, slices
 
@@ -199,6 +199,9 @@ def jaccard_components(docs: DataFrame, k: int = GRAM, share: tuple[int, int] =
     is the smallest doc_id with the same words, mark the hash of the text by which the row can be found,
     group one number for each component with words."""
     spark = docs.sparkSession
+    big: list[str] = []
+    step: list[str] = []
+    used: list[str] = []
     text = F.coalesce("text", F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
     scanned = materialize(docs.mapInArrow(_scan(k), "kind int, doc_id long, mark long, n long, h1 long, h2 long, counts binary"), "shingle-scan")
@@ -209,7 +212,7 @@ def jaccard_components(docs: DataFrame, k: int = GRAM, share: tuple[int, int] =
     empty = bytes(SKETCH // 64 * 8)
     shared = spark.sparkContext.broadcast(b"".join(summed.get(i, empty) for i in range(64)))  # fixed size: 8 * SKETCH bytes
 
-    found = materialize(sets.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("class_id")), "shingle-found")
+    found = materialize(sets.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("class_id")), "shingle-found", used)
     shared_ids = found.filter("class_id is not null").groupBy("class_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
     classes = found.join(shared_ids, "class_id", "left").withColumn("id", F.when(F.col("k").isNull() & F.col("class_id").isNotNull(), F.col("class_id")).otherwise(F.lit(SURROGATE).bitwiseOR(F.col("h1").bitwiseAND(F.lit(SURROGATE - 1)))))
     classes = materialize(classes.select("h1", "h2", "class_id", "id"), "shingle-classes")
@@ -218,20 +221,25 @@ def jaccard_components(docs: DataFrame, k: int = GRAM, share: tuple[int, int] =
     keyed = docs.select(key.alias("key"), "mark", "text")
     prefixes = keyed.mapInArrow(_prefixes(k, share, shared), "key long, mark long, n long, h1 long, h2 long, prefix array<long>, ranges array<short>, common double")
     heads = prefixes.join(classes.select("h1", "h2", F.coalesce("class_id", F.lit(-(1 << 63))).alias("key"), "id"), ["h1", "h2", "key"]).dropDuplicates(["h1", "h2", "key"])
-    heads = materialize(heads.select("id", "key", "mark", "n", "prefix", "ranges", "common"), "shingle-heads")
-    rows = heads.select("id", "n", "common", F.posexplode("prefix").alias("p", "token"))
-    groups = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("common", -F.col("id"))).alias("lead")).filter("c > 1")
-    groups = materialize(groups.select("token", "c", (-F.col("lead.col2")).alias("id")), "shingle-groups")
-    rows = materialize(rows.join(groups.select("token", "c"), "token").select("token", "id", "n", "p", "c"), "shingle-rows")
+    heads = materialize(heads.select("id", "key", "mark", "n", "prefix", "ranges", "common"), "shingle-heads", big)
+    tokens = heads.select("id", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("p", "token"))
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).cast("int").alias("c")).filter("c > 1")
+    rows = materialize(tokens.join(counts, "token").select("token", "id", "n", "p", "c"), "shingle-rows", used)
+    # Of a large group, the set of the commonest shingles is the first leader.
+    large = rows.filter(F.col("c") > SMALL)
+    groups = large.join(heads.select("id", "common"), "id").groupBy("token").agg(F.max(F.struct("common", -F.col("id"))).alias("lead"))
+    groups = materialize(groups.select("token", (-F.col("lead.col2")).alias("id")), "shingle-groups", used)
     members = rows.select("id").distinct()
-    slim = materialize(heads.join(members, "id", "left_semi").select("id", "key", "mark", "n", "ranges"), "shingle-members")
+    slim = materialize(heads.join(members, "id", "left_semi").select("id", "key", "mark", "n", "ranges"), "shingle-members", used)
     # A text is found by its doc_id and hash; equal rows give it once.
-    texts = materialize(keyed.join(slim.select("key", "mark", "id"), ["key", "mark"]).dropDuplicates(["key", "mark"]).select("id", "text"), "shingle-texts")
+    texts = keyed.join(slim.select("key", "mark", "id"), ["key", "mark"]).dropDuplicates(["key", "mark"]).select("id", "text")
+    texts = bucketed(texts, "shingle-texts", ["id"], used)
+    remove(spark, big)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """pairs (a, b, s): s parts that the pairs of a are dealt in."""
         of = lambda x: slim.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("ranges").alias(f"r{x}"))
-        near = materialize(pairs.join(of("a"), "a").join(of("b"), "b").filter(_suffix_fits(share)).select("a", "b", "s", "na", "nb"), "shingle-near")
+        near = materialize(pairs.join(of("a"), "a").join(of("b"), "b").filter(_suffix_fits(share)).select("a", "b", "s", "na", "nb"), "shingle-near", step)
         leads = near.groupBy("a").agg(F.max("s").alias("s")).withColumnRenamed("a", "id")
         text_a = texts.join(leads, "id").select(F.col("id").alias("a"), F.col("text").alias("text_a"), F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("part"))
         text_b = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
@@ -249,34 +257,38 @@ def jaccard_components(docs: DataFrame, k: int = GRAM, share: tuple[int, int] =
         pairs = pairs.select("*", *order)
         if tried is not None:
             pairs = pairs.join(tried, ["lo", "hi"], "left_anti")
-        pairs = materialize(pairs, "shingle-pairs")
-        new = materialize(verified(pairs.select("a", "b", "s")), "shingle-links")
+        pairs = materialize(pairs, "shingle-pairs", used)
+        new = materialize(verified(pairs.select("a", "b", "s")), "shingle-links", used)
+        remove(spark, step)
         seen = pairs.select("lo", "hi")
         tried = seen if tried is None else tried.unionByName(seen)
         links = new if links is None else links.unionByName(new)
         linked = components(links)
         labels = materialize(members.join(linked, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "shingle-labels")
 
-    large = rows.filter(F.col("c") > SMALL)
     for turn in range(ROUNDS):
         now = large.join(labels, "id")
         open_ = now.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct(F.xxhash64(F.lit(turn), "token", "id"), "id", "n", "p", "component")).alias("lead")).filter("low != high")
         if turn == 0:
             best = large.join(groups.select("token", "id"), ["token", "id"]).join(labels, "id").select("token", F.struct(F.lit(0).alias("h"), "id", "n", "p", "component").alias("lead"))
             open_ = open_.drop("lead").join(best, "token")
+        # Written first: the join then stands on plain exchanges, whose hot parts Spark splits.
+        open_ = materialize(open_, "shingle-leads", step)
         pairs = now.join(open_.select("token", F.col("lead.id").alias("a"), F.col("lead.n").alias("nb"), F.col("lead.p").alias("pb"), F.col("lead.component").alias("other")), "token")
         pairs = pairs.filter("component != other").withColumnsRenamed({"n": "na", "p": "pa", "id": "b"}).filter(_fits(share))
         settle(pairs.groupBy("a", "b").agg(_salted(F.max("c")).alias("s")))
 
     now = rows.join(labels, "id")
     open_ = now.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("open")).filter("low != high")
+    open_ = materialize(open_, "shingle-leads", step)
     now = now.join(open_.select("token", _salted(F.col("open")).alias("s")), "token")
-    now = materialize(now.select("token", "s", "id", "n", "p", "component"), "shingle-open")
+    now = materialize(now.select("token", "s", "id", "n", "p", "component"), "shingle-open", used)
     # The rows of a shingle are dealt into s parts on the left, each of which meets all its rows on the right.
     left = now.select("token", "s", F.pmod(F.xxhash64("id"), F.col("s")).cast("int").alias("part"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("component").alias("ca"))
     right = now.select("token", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("part"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("component").alias("cb"))
     settle(left.join(right, ["token", "part"]).filter("a < b and ca != cb").filter(_fits(share)).groupBy("a", "b").agg(F.max("s").alias("s")))
 
+    remove(spark, used)
     named = classes.join(labels, "id", "left").select("h1", "h2", "class_id", F.coalesce("component", "id").alias("component"))
     least = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
     final = named.join(least, "component").select("h1", "h2", "class_id", "component_id", F.col("component").alias("group"))
