@@ -99,12 +99,21 @@ class Scorer:
         return _sigmoid(z @ self.weights + self.bias)
 
 
-def train_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = STEPS, seed: int = 5) -> Scorer:
-    """Non-negative PU risk with the logistic loss, by Adam on mini-batches."""
-    both = np.concatenate([pos, unl])
-    mean, scale = both.mean(axis=0), both.std(axis=0) + 0.02
-    p, u = (np.clip((x - mean) / scale, -6, 6).astype(np.float32) for x in (pos, unl))
-    del both
+def _standard(pos: np.ndarray, unl: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean of the features of both samples, and their spread."""
+    n = len(pos) + len(unl)
+    mean = (pos.sum(axis=0, dtype=np.float64) + unl.sum(axis=0, dtype=np.float64)) / n
+    squares = sum(np.einsum("ij,ij->j", x, x, dtype=np.float64) for x in (pos, unl)) / n
+    return mean.astype(np.float32), (np.sqrt(np.maximum(0, squares - mean**2)) + 0.02).astype(np.float32)
+
+
+def _scaled(x: np.ndarray, mean: np.ndarray, scale: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    out = np.subtract(x, mean, out=out, dtype=np.float32)
+    return np.clip(np.divide(out, scale, out=out), -6, 6, out=out)
+
+
+def _descend(p: np.ndarray, u: np.ndarray, prior: float, steps: int, seed: int = 5) -> tuple[np.ndarray, float]:
+    """Weights and bias of least non-negative PU risk with the logistic loss, by Adam on mini-batches."""
     rng, d = np.random.default_rng(seed), p.shape[1]
     w, m, v = np.zeros(d + 1), np.zeros(d + 1), np.zeros(d + 1)
     w[-1] = np.log(prior / (1 - prior))
@@ -122,18 +131,33 @@ def train_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = STEP
         if t > steps // 2:
             averaged += w
     averaged /= steps - steps // 2
-    return Scorer(mean, scale, averaged[:-1], float(averaged[-1]))
+    return averaged[:-1], float(averaged[-1])
 
 
-def estimated_prior(pos: np.ndarray, unl: np.ndarray, rounds: int = 3) -> float:
-    """Share of positives among unlabelled texts."""
+def _prior(p: np.ndarray, u: np.ndarray, rounds: int = 3) -> float:
+    """Share of positives among unlabelled texts, of scaled features."""
     found = 0.5
     for _ in range(rounds):
-        s = train_nnpu(pos, unl, found, steps=200)
-        found = min(0.98, max(0.02, float(s(unl).mean() / max(1e-6, s(pos).mean()))))
+        weights, bias = _descend(p, u, found, 200)
+        high = max(1e-6, float(_sigmoid(p @ weights + bias).mean()))
+        found = min(0.98, max(0.02, float(_sigmoid(u @ weights + bias).mean()) / high))
     return found
 
 
+def train_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float | None = None, steps: int = STEPS, consume: bool = False) -> Scorer:
+    """The scorer of least non-negative PU risk; ``prior``: of the positive class, estimated if None.
+    consume: the samples may be overwritten."""
+    mean, scale = _standard(pos, unl)
+    p, u = (_scaled(x, mean, scale, x if consume else None) for x in (pos, unl))
+    return Scorer(mean, scale, *_descend(p, u, _prior(p, u) if prior is None else prior, steps))
+
+
+def estimated_prior(pos: np.ndarray, unl: np.ndarray) -> float:
+    """Share of positives among unlabelled texts."""
+    mean, scale = _standard(pos, unl)
+    return _prior(_scaled(pos, mean, scale), _scaled(unl, mean, scale))
+
+
 def _sampled(df: DataFrame, most: int, salt: str) -> DataFrame:
     """About ``most`` rows, by hash of the id."""
     share = min(1.0, most / max(1, df.count()))
@@ -146,8 +170,11 @@ def _collect(df: DataFrame) -> np.ndarray:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "f": [features(t).tobytes() for t in frame["text"]]})
 
     one = df.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    rows = sorted(one.mapInPandas(vectors, "doc_id long, f binary").collect())
-    return np.stack([np.frombuffer(bytes(r[1]), dtype=np.float32) for r in rows]) if rows else np.zeros((0, FEATURES), dtype=np.float32)
+    found = one.mapInPandas(vectors, "doc_id long, f binary").toArrow()
+    out = np.empty((found.num_rows, FEATURES), dtype=np.float32)
+    for row, f in zip(out, found.column("f")):
+        row[:] = np.frombuffer(f.as_buffer(), dtype=np.float32)
+    return out[np.argsort(found.column("doc_id").to_numpy(), kind="stable")]
 
 
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Scorer:
@@ -158,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     pos, unl = _collect(trusted), _collect(web)
     if not len(pos) or not len(unl):
         return Scorer(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), 0.0)
-    return train_nnpu(pos, unl, estimated_prior(pos, unl))
+    return train_nnpu(pos, unl, consume=True)
 
 
 def predict(docs: DataFrame, model: Scorer, carry: list[str]) -> DataFrame:
