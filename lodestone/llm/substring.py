@@ -270,7 +270,8 @@ class FingerprintIndex:
         if old is not None:
             old = self._scratch(old, "old")
             again = again.unionByName(old.select("g")).distinct()
-        seen = self._scratch(new.join(again, "g", "left_semi"), "seen")
+        # Written first: the joins then stand on plain exchanges, whose hot parts Spark splits.
+        seen = self._scratch(new.join(self._scratch(again, "again"), "g", "left_semi"), "seen")
         both = seen if old is None else seen.unionByName(old)
         # A batch holds a segment's words once in a run, so of several places those of the least batch are one.
         firsts = both.groupBy(*KEY).agg(F.min("b").alias("b"), F.min(F.when(here, F.col("p"))).alias("mine"), F.min_by("p", "b").alias("other"), F.count(F.lit(1)).alias("n"))
@@ -281,7 +282,7 @@ class FingerprintIndex:
         later = lambda rows: rows.filter((F.col("first") < number) | (F.col("p") != F.col("mine")))
         whole = later(seen.join(firsts.filter("n > 1").select(*KEY, F.col("b").alias("first"), "mine"), KEY)).select(of, span)
         several = firsts.groupBy("g").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("g")
-        need = firsts.join(several, "g", "left_semi").groupBy("b", of).agg(F.collect_list(span).alias("spans"))
+        need = firsts.join(self._scratch(several, "several"), "g", "left_semi").groupBy("b", of).agg(F.collect_list(span).alias("spans"))
         need = self._scratch(need, "need")
         opened = [t.join(self._placed(need.filter(F.col("b") == i), i, ranks).hint("shuffle_hash"), DOC).select("b", t["r"], "text", "spans") for i, t in enumerate(self.texts)]
         windows = self._scratch(reduce(DataFrame.unionByName, opened).mapInArrow(_window_rows(window), "w1 long, w2 long, b int, p long"), "windows")
