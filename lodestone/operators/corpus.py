@@ -14,8 +14,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, question, answer, course, section): the question is the first line, 60 characters at most."""
-    first = F.substring(F.element_at(F.split("text", "\n", -1), 1), 1, 60)
+    """(id, question, answer, course, section): the question is the whole first line."""
+    first = F.element_at(F.split("text", "\n", -1), 1)
     return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), first.alias("question"), F.col("text").alias("answer"), F.col("lang").alias("course"), F.col("source").alias("section"))
 
 
@@ -26,11 +26,12 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def known_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries whose answer is known: each twentieth document, asked by its question and by the sum of
-    its vector and the next. (query_id, query_text, course, section, topic, v)"""
+    its vector and the next, or its own where there is no next; v is null for a document without a vector.
+    (query_id, query_text, course, section, topic, v)"""
     rows, v = corpus(spark, sf_dir), vectors(spark, sf_dir)
     after = v.select((F.col("id") - 1).alias("id"), F.col("v").alias("w"))
-    out = rows.filter("id % 20 = 0").join(v, "id").join(after, "id")
-    return out.select(F.col("id").alias("query_id"), F.col("question").alias("query_text"), "course", "section", "topic", F.zip_with("v", "w", lambda a, b: a + b).alias("v"))
+    out = rows.filter("id % 20 = 0").join(v, "id", "left").join(after, "id", "left")
+    return out.select(F.col("id").alias("query_id"), F.col("question").alias("query_text"), "course", "section", "topic", F.coalesce(F.zip_with("v", "w", lambda a, b: a + b), "v").alias("v"))
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,9 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, threshold: float | None =
     one at least must hold (none given: no restriction). A filter, never a change of score.
 
     corpus: (id, v, ...), queries: (query_id, v, ...). Scores are rounded to 6 places before ranking.
+    Rows and queries without a vector take no part.
     """
+    corpus, queries = corpus.filter("v is not null"), queries.filter("v is not null")
     if not must:
         found = _block_scores(corpus, queries, k, threshold) if should is None else None
         if found is not None:

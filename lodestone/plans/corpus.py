@@ -16,26 +16,11 @@ from . import sql as S
 COURSES = ["en", "de", "fr"]
 INTENTS = {"troubleshooting": ["the", "tion"], "setup": ["der", "ung"], "conceptual": ["que", "eau"], "homework": ["ción"]}
 SIGNALS = {"ERROR": ["tion", "ß"], "ADMIN": ["eau"], "CONCEPT": ["the "]}
-MARKUP = [
-    (1, "# Head\n**bold** and *it* `code` [label](http://x.y) <b>tag</b>"),
-    (2, "text\n```python\nprint('**a**')\n```\n\n\n\nend"),
-    (3, "```bash ls -la```"),
-    (4, "![img](u) <{IMAGE: a}> {{ var }} {% if x %}y{% endif %}"),
-    (5, "```c++\nint *a, *b;\n``` then ```\n```"),
-    (6, "no markup at all"),
-]
-
-
-def samples(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(MARKUP, "id long, t string")
-
-
-def _values() -> str:
-    return "m(id, t) AS (VALUES " + ", ".join(f"({i}::BIGINT, {_quoted(t)})" for i, t in MARKUP) + ")"
-
-
-def _quoted(t: str) -> str:
-    return " || chr(10) || ".join("'" + part.replace("'", "''") + "'" for part in t.split("\n"))
+def coded(s: SparkSession, d: str) -> DataFrame:
+    """Every document as a note with code: its first line, its whole text in a fence tagged with its
+    language, and its source as inline code. (id, t)"""
+    given = lambda c: F.coalesce(c, F.lit(""))
+    return corpus(s, d).select("id", F.concat(given("question"), F.lit("\n```"), given("course"), F.lit("\n"), given("answer"), F.lit("\n``` `"), given("section"), F.lit("`")).alias("t"))
 
 
 def normalized(s: SparkSession, d: str) -> DataFrame:
@@ -59,9 +44,9 @@ def exact(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "normalize_text": normalized,
-    "strip_markup": lambda s, d: samples(s).select("id", T.clean_markup(F.col("t")).alias("cleaned")),
-    "strip_code": lambda s, d: samples(s).select("id", T.strip_code(F.col("t")).alias("stripped")),
-    "code_integrity": lambda s, d: samples(s).select("id", F.round(M.code_integrity(F.col("t")), 6).alias("integrity")),
+    "strip_markup": lambda s, d: corpus(s, d).select("id", T.clean_markup(F.col("answer")).alias("cleaned")),
+    "strip_code": lambda s, d: coded(s, d).select("id", T.strip_code(F.col("t")).alias("stripped")),
+    "code_integrity": lambda s, d: coded(s, d).select("id", F.round(M.code_integrity(F.col("t")), 6).alias("integrity")),
     "html_strip": lambda s, d: read(s, d, "pages").select("page_id", T.page_text(F.col("html")).alias("text")),
     "expand_urls": lambda s, d: read(s, d, "pages").select("page_id", T.expand_urls(F.col("url")).alias("opened")),
     "uuid_ids": lambda s, d: corpus(s, d).select("id", T.index_id(F.col("id").cast("string")).alias("point_id")),
@@ -84,9 +69,9 @@ QUERIES = {
     "intent_counts": lambda s, d: A.intent_counts(corpus(s, d), "course", INTENTS),
     "len_corr": lambda s, d: A.correlation(corpus(s, d)),
     "word_freq": lambda s, d: A.word_freq(corpus(s, d), "answer", 50),
-    "fenced_languages": lambda s, d: A.fenced_languages(samples(s).withColumnRenamed("t", "answer")),
-    "inline_code": lambda s, d: A.inline_code(samples(s).withColumnRenamed("t", "answer")),
-    "code_blocks": lambda s, d: A.code_blocks(samples(s).withColumnRenamed("t", "answer"), "id"),
+    "fenced_languages": lambda s, d: A.fenced_languages(coded(s, d).withColumnRenamed("t", "answer")),
+    "inline_code": lambda s, d: A.inline_code(coded(s, d).withColumnRenamed("t", "answer")),
+    "code_blocks": lambda s, d: A.code_blocks(coded(s, d).withColumnRenamed("t", "answer"), "id"),
     "diagnostic_classes": lambda s, d: A.signal_reclassify(corpus(s, d), "question", SIGNALS).groupBy("category").agg(F.count(F.lit(1)).alias("n")),
     "count_by_course_section": lambda s, d: corpus(s, d).groupBy("course", "section").agg(F.count(F.lit(1)).alias("n")),
     "stratified_alloc": lambda s, d: P.allocate(corpus(s, d), ["course", "section"], 200, 1, 8),
@@ -103,11 +88,12 @@ QUERIES = {
 
 NORM = r"trim(regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '\s+', ' ', 'g'))"
 _c = lambda *more: S.with_(S.CORPUS, *more)
-_m = lambda *more: S.with_(_values(), *more)
+_CODED = "m AS (SELECT id, coalesce(question, '') || chr(10) || '```' || coalesce(course, '') || chr(10) || coalesce(answer, '') || chr(10) || '``` `' || coalesce(section, '') || '`' AS t FROM corpus)"
+_m = lambda *more: S.with_(S.CORPUS, _CODED, *more)
 
 
 def _markup() -> str:
-    sql = "t"
+    sql = "answer"
     for pattern, with_ in T._MARKUP:
         options = "'gs'" if pattern.startswith("(?s)") else "'gm'" if pattern.startswith("(?m)") else "'g'"
         bare = pattern.removeprefix("(?s)").removeprefix("(?m)")
@@ -131,9 +117,8 @@ _MEDIAN = "mid AS (SELECT floor(median(n))::BIGINT AS m FROM (SELECT count(*) AS
 _bool = lambda words, c="lower(question)": " OR ".join(f"contains({c}, '{w}')" for w in words)
 ORACLES = {
     "normalize_text": _c() + f"SELECT id, md5({NORM.format('answer')}) AS digest, {NORM.format('question')} AS question FROM corpus",
-    "strip_markup": _m() + r"""SELECT id, CASE id WHEN 2 THEN 'text' || chr(10) || '```python' || chr(10) || 'print(''**a**'')' || chr(10) || '```' || chr(10) || chr(10) || 'end'
-  WHEN 3 THEN '```bash ls -la' || chr(10) || '```' WHEN 5 THEN '```c++' || chr(10) || 'int *a, *b;' || chr(10) || '``` then ```' || chr(10) || '```'
-  ELSE trim(""" + _markup() + ", ' ' || chr(10)) END AS cleaned FROM m",
+    # For texts without fences, as the tables' are; fences are tested on fixtures.
+    "strip_markup": _c() + "SELECT id, trim(" + _markup() + ", ' ' || chr(10)) AS cleaned FROM corpus",
     "strip_code": _m() + r"SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(t, '```.*?```', ' ', 'gs'), '`[^`]*`', ' ', 'g'), '\s+', ' ', 'g')) AS stripped FROM m",
     "code_integrity": _m() + r"""SELECT id, round(CASE WHEN len(b) = 0 THEN 1.0 ELSE len(list_filter(b, lambda x: trim(x, ' ' || chr(10) || chr(9)) <> '')) / len(b)::DOUBLE END, 6) AS integrity
   FROM (SELECT id, regexp_extract_all(t, '```[\w+#-]*\s*\n?((?:.|\n)*?)```', 1) AS b FROM m)""",

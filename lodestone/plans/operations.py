@@ -34,11 +34,10 @@ def contexts(s: SparkSession, d: str) -> DataFrame:
     return G.pack_context(R.bm25(corpus(s, d), passages(s, d), 10, ANSWER), corpus(s, d))
 
 
-def prompts(s: SparkSession, d: str, head: int | None = None) -> DataFrame:
-    """Prompts with the whole packed context, or with its first ``head`` characters."""
-    context = F.col("context") if head is None else F.substring("context", 1, head)
+def prompts(s: SparkSession, d: str) -> DataFrame:
+    """Prompts with the whole packed context."""
     rows = contexts(s, d).join(passages(s, d), "query_id")
-    return rows.select("query_id", G.prompt(TEMPLATE, question=F.col("query_text"), context=context).alias("prompt"))
+    return rows.select("query_id", G.prompt(TEMPLATE, question=F.col("query_text"), context=F.col("context")).alias("prompt"))
 
 
 def chat_contexts(s: SparkSession, d: str) -> DataFrame:
@@ -104,7 +103,7 @@ def star_set_ops(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "context_pack": contexts,
     "context_pack_chat": chat_contexts,
-    "prompt_assemble": lambda s, d: prompts(s, d, 400),
+    "prompt_assemble": prompts,
     "llm_generate": lambda s, d: G.call_model(prompts(s, d), "query_id"),
     "judge_parse": lambda s, d: s.createDataFrame(REPLIES, "id long, reply string").select("id", G.parse_scores(F.col("reply")).alias("x")).select("id", "x.*"),
     "judge_summary": lambda s, d: G.judge_summary(judged(s, d)),
@@ -114,7 +113,7 @@ QUERIES = {
     "strategy_map": lambda s, d: G.by_strategy(read(s, d, "conversations").select(F.col("conv_id").alias("id"), F.col("role").alias("strategy"), F.md5("text").alias("variation"))),
     "ablation_patches": lambda s, d: B.experiments(assigned(s, d), B.SUITE + B.RERUN_SUITE[:1]).groupBy("experiment").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("topic") == -1).alias("no_topic"), F.count_if(F.col("ner_category") == "OTHER").alias("other"), F.count("ner_primary_entity").alias("entities")),
     "ablation_filtered_search": lambda s, d: R.knn(B.Patch(null_low_confidence=True).apply(assigned(s, d)).select("id", "topic").join(vectors(s, d).select("id", "v"), "id"), known_items(s, d), 10, must=["topic"]),
-    "rolling_rate_window": lambda s, d: usage.rolling(read(s, d, "events"), "user_id", "value", 86_400).select("event_id", "window_requests", "window_tokens", "limited"),
+    "rolling_rate_window": lambda s, d: usage.rolling(read(s, d, "events"), "user_id", "value").select("event_id", "window_requests", "window_tokens", "limited"),
     "daily_usage_pt": lambda s, d: usage.daily(read(s, d, "events"), "value"),
     "cooldown_state": lambda s, d: usage.cooldowns(read(s, d, "events"), "user_id", "event_type = 'error'"),
     "props_json": lambda s, d: read(s, d, "events").groupBy(F.from_json("props", "k long")["k"].alias("k")).agg(F.count(F.lit(1)).alias("n")),
@@ -164,7 +163,7 @@ def _ablation() -> str:
 ORACLES = {
     "context_pack": _CTX + "SELECT * FROM ctx",
     "context_pack_chat": S.with_("chat AS (SELECT conv_id || '-' || turn || '-' || role AS id, text AS answer FROM conversations)", _CUT.format("chat"), "cr AS (SELECT conv_id AS query_id, conv_id || '-' || turn || '-' || role AS doc_id, turn AS rank FROM conversations)", _PACK.format("cr")) + "SELECT * FROM ctx",
-    "prompt_assemble": _CTX + "SELECT query_id, 'Question: ' || query_text || chr(10) || chr(10) || 'Context:' || chr(10) || substr(context, 1, 400) || chr(10) || chr(10) || 'Answer in a few words.' AS prompt FROM ctx JOIN passages USING (query_id)",
+    "prompt_assemble": _CTX + "SELECT query_id, 'Question: ' || query_text || chr(10) || chr(10) || 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Answer in a few words.' AS prompt FROM ctx JOIN passages USING (query_id)",
     "judge_parse": "SELECT * FROM (VALUES (1::BIGINT, 0.5::DOUBLE, 1.0::DOUBLE), (2, 1.0, 0.25), (3, 0, 0), (4, 0.75, 0), (5, 0, 0)) v(id, faithfulness, factual_correctness)",
     "judge_summary": S.with_(_JUDGED) + "SELECT count(*) AS n, round(coalesce(avg(faithfulness), 0), 3) AS mean_faithfulness, round(coalesce(avg(factual_correctness), 0), 3) AS mean_factual, round(coalesce(avg((faithfulness + factual_correctness) / 2) FILTER (WHERE query_type <> 'chaos_monkey'), 0), 3) AS composite, round(coalesce(avg(factual_correctness) FILTER (WHERE query_type = 'chaos_monkey'), 0), 3) AS composite_chaos FROM j",
     "judge_by_type": S.with_(_JUDGED) + "SELECT query_type, count(*) AS n, round(avg(faithfulness), 3) AS faithfulness, round(avg(factual_correctness), 3) AS factual_correctness FROM j GROUP BY query_type",
@@ -172,8 +171,8 @@ ORACLES = {
     "sweep_rows": S.with_(S.PASSAGES) + "SELECT query_id, style, top_k FROM passages CROSS JOIN (VALUES ('concise'), ('detailed')) s(style) CROSS JOIN (VALUES (1), (3), (5)) k(top_k)",
     "strategy_map": "SELECT id, map_from_entries(list((strategy, v) ORDER BY strategy)) AS variations, sum(len(v))::BIGINT AS n FROM (SELECT conv_id AS id, role AS strategy, list(md5(text) ORDER BY md5(text)) AS v FROM conversations GROUP BY ALL) GROUP BY id",
     "ablation_patches": _ablation(),
-    "ablation_filtered_search": S.with_(S.BASE, "pv AS (SELECT id, v, CASE WHEN id % 100 / 100.0::DOUBLE < 0.5 THEN -1 ELSE topic END AS topic FROM vecs JOIN corpus USING (id))", S.ranked("out", "SELECT q.query_id, d.id AS doc_id, round(list_cosine_similarity(d.v, q.v), 6) AS score FROM pv d JOIN known q ON d.topic = q.topic", 10)) + "SELECT * FROM out",
-    "rolling_rate_window": "SELECT event_id, count(*) OVER w AS window_requests, round(sum(value) OVER w, 4) AS window_tokens, count(*) OVER w >= 9 OR round(sum(value) OVER w, 4) > 240000 AS limited FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 86400 SECONDS PRECEDING AND CURRENT ROW)",
+    "ablation_filtered_search": S.with_(S.BASE, "pv AS (SELECT id, v, CASE WHEN id % 100 / 100.0::DOUBLE < 0.5 THEN -1 ELSE topic END AS topic FROM vecs JOIN corpus USING (id))", S.ranked("out", "SELECT q.query_id, d.id AS doc_id, round(list_cosine_similarity(d.v, q.v), 6) AS score FROM pv d JOIN known q ON q.v IS NOT NULL AND d.topic = q.topic", 10)) + "SELECT * FROM out",
+    "rolling_rate_window": "SELECT event_id, count(*) OVER w AS window_requests, round(sum(value) OVER w, 4) AS window_tokens, count(*) OVER w >= 9 OR round(sum(value) OVER w, 4) > 240000 AS limited FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW)",
     "daily_usage_pt": "SELECT (CASE WHEN ts < TIMESTAMP '2024-03-10 10:00:00' OR ts >= TIMESTAMP '2024-11-03 09:00:00' THEN ts - INTERVAL 8 HOURS ELSE ts - INTERVAL 7 HOURS END)::DATE AS day, count(*) AS requests, round(sum(value), 4) AS tokens, count(*) >= 240 AS limited FROM events GROUP BY 1",
     "cooldown_state": "SELECT user_id, max(ts + INTERVAL 60 SECONDS) AS until FROM events WHERE event_type = 'error' GROUP BY user_id",
     "props_json": "SELECT (props::JSON ->> 'k')::BIGINT AS k, count(*) AS n FROM events GROUP BY 1",
@@ -187,6 +186,6 @@ ORACLES = {
     "star_set_ops": "SELECT 'intersect' AS op, count(*) AS n FROM (SELECT c_custkey FROM customer INTERSECT SELECT o_custkey FROM orders) UNION ALL SELECT 'difference', count(*) FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders) UNION ALL SELECT 'union', count(*) FROM (SELECT c_custkey FROM customer UNION SELECT o_custkey FROM orders)",
     "star_top_orders": S.with_(S.ranked("out", "SELECT o_custkey AS query_id, o_orderkey AS doc_id, o_totalprice AS score FROM orders", 3)) + "SELECT * FROM out",
     "stream_dedupe": "SELECT DISTINCT event_id, event_type FROM events",
-    "stream_days": "SELECT time_bucket(INTERVAL 1 DAY, ts - INTERVAL 8 HOURS) + INTERVAL 8 HOURS AS start, count(*) AS requests FROM events GROUP BY 1",
+    "stream_days": "SELECT (CASE WHEN ts < TIMESTAMP '2024-03-10 10:00:00' OR ts >= TIMESTAMP '2024-11-03 09:00:00' THEN ts - INTERVAL 8 HOURS ELSE ts - INTERVAL 7 HOURS END)::DATE AS day, count(*) AS requests FROM events GROUP BY 1",
     "stream_cooldown": "SELECT user_id, max(ts + INTERVAL 60 SECONDS) AS until FROM events WHERE event_type = 'error' GROUP BY user_id",
 }

@@ -1,11 +1,11 @@
 """Shared parts of the DuckDB twins."""
 
-CORPUS = r"""corpus AS (SELECT doc_id AS id, substr(string_split(text, chr(10))[1], 1, 60) AS question, text AS answer,
+CORPUS = r"""corpus AS (SELECT doc_id AS id, string_split(text, chr(10))[1] AS question, text AS answer,
   lang AS course, source AS section FROM documents)"""
 VECTORS = "vecs AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label AS topic FROM embeddings)"
 KNOWN = """known AS (SELECT c.id AS query_id, c.question AS query_text, c.course, c.section, a.topic,
-  list_transform(a.v, lambda x, i: x + b.v[i]) AS v
-  FROM corpus c JOIN vecs a ON a.id = c.id JOIN vecs b ON b.id = c.id + 1 WHERE c.id % 20 = 0)"""
+  CASE WHEN b.v IS NULL THEN a.v ELSE list_transform(a.v, lambda x, i: x + b.v[i]) END AS v
+  FROM corpus c LEFT JOIN vecs a ON a.id = c.id LEFT JOIN vecs b ON b.id = c.id + 1 WHERE c.id % 20 = 0)"""
 BASE = f"{CORPUS}, {VECTORS}, {KNOWN}"
 PASSAGES = "passages AS (SELECT item_id AS query_id, text AS query_text FROM benchmark)"
 TOKEN = r"[\p{L}\p{N}_]+"
@@ -18,7 +18,7 @@ def ranked(name: str, source: str, k: int, ties: str = "doc_id") -> str:
 
 def knn(name: str, k: int, where: str = "true", queries: str = "known") -> str:
     return ranked(name, f"""SELECT q.query_id, d.id AS doc_id, round(list_cosine_similarity(d.v, q.v), 6) AS score
-  FROM vecs d JOIN {queries} q ON {where}""", k)
+  FROM vecs d JOIN {queries} q ON q.v IS NOT NULL AND ({where})""", k)
 
 
 def bm25_field(field: str, queries: str) -> str:

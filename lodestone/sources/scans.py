@@ -68,9 +68,7 @@ def jsonl(spark: SparkSession, path: str, schema: T.StructType = CORPUS, strict:
     if strict:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path), spark.createDataFrame([], "line string")
     marked = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
-    rows = spark.read.schema(marked).option("columnNameOfCorruptRecord", "_bad").json(path)
     kept = spark.read.text(path).filter("trim(value) <> ''").select(F.from_json("value", marked, {"columnNameOfCorruptRecord": "_bad"}).alias("r"), "value")
-    del rows
     bad = F.col("r._bad").isNotNull()
     return kept.filter(~bad).select(*[F.col(f"r.{f.name}") for f in schema.fields]), kept.filter(bad).select(F.col("value").alias("line"))
 

@@ -41,8 +41,9 @@ def minute_windows(stream: DataFrame, tokens: str, late: str = "10 minutes") ->
 
 
 def day_windows(stream: DataFrame, late: str = "1 day") -> DataFrame:
-    """Streaming form of the daily totals: tumbling days shifted to the service's midnight."""
-    return timed(stream).withWatermark("ts", late).groupBy(F.window("ts", "1 day", "1 day", "8 hours")).agg(F.count(F.lit(1)).alias("requests")).select("window.start", "requests")
+    """Streaming form of the daily totals: days of the service's time zone, by its clock."""
+    rows = timed(stream).withColumn("clock", F.from_utc_timestamp("ts", ZONE)).withWatermark("clock", late)
+    return rows.groupBy(F.window("clock", "1 day")).agg(F.count(F.lit(1)).alias("requests")).select(F.to_date("window.start").alias("day"), "requests")
 
 
 def once(stream: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
