@@ -11,6 +11,7 @@ an empty table gives no pieces; further columns are not read.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -22,13 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import parts_for, small_batches, table
-from .wordhash import parts
+from .wordhash import parts, tidy
 
 LENGTH = 4096
 END_ID = 2
 GROUP_DOCS = 2048
 #: Words whose ids a Python worker remembers: the latest half, and those of the half before till they are met again.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 _PARTS = re.compile(rb"([A-Za-z\x80-\xff]*)([!-/:-@\[-`{-~]*)")
@@ -41,6 +42,8 @@ class WordEncoder:
     alone are encoded as one text, whose ids are cut after each id that ends a word."""
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
+        # A task has one core; threads of the library's own would each keep memory besides.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.known, self.before = Tokenizer.from_file(path), limit // 2, {}, {}
@@ -52,8 +55,8 @@ class WordEncoder:
     def _learn_plain(self, words: list[bytes]) -> None:
         """Words of lower-case letters, a few hundred to a text."""
         runs = [words[i : i + 200] for i in range(0, len(words), 200)]
-        for i in range(0, len(runs), 100):
-            some = runs[i : i + 100]
+        for i in range(0, len(runs), 20):
+            some = runs[i : i + 20]
             texts = [b" ".join(run).decode() for run in some]
             for run, e in zip(some, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
                 ids = np.array(e.ids, dtype="<u4")
@@ -139,17 +142,7 @@ class WordEncoder:
         return [ids[a:b].tobytes() for a, b in zip([0, *cuts[:-1]], cuts)]
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
-def encoder_of(path: str) -> WordEncoder:
-    """One encoder per worker process and vocabulary; it keeps its words from task to task."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
-
-
-def batched(texts: list[str], most: int = 2_000_000) -> Iterator[list[str]]:
+def batched(texts: list[str], most: int = 1_000_000) -> Iterator[list[str]]:
     """Runs of texts of at most ``most`` characters together (or one longer text)."""
     run, held = [], 0
     for t in texts:
@@ -192,7 +185,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: i
     """docs: (doc_id, text). One row per piece, before packing."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = encoder_of(tokenizer_path), int(end_id).to_bytes(4, "little")
+        # One encoder a task: a worker process that goes on to other work keeps no words.
+        encoder, end = WordEncoder(tokenizer_path), int(end_id).to_bytes(4, "little")
         for batch in parts(batches):
             ids, at = batch.column(0).to_pylist(), 0
             for texts in batched([t or "" for t in batch.column(1).to_pylist()]):
@@ -206,6 +200,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: i
                             column.append(value)
                     at += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                tidy()
+        del encoder
+        tidy()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 

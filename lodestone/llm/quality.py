@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, table
 from .langid import held_out
+from .wordhash import tidy
 
 POSITIVES, UNLABELLED = 3000, 3000
 #: Texts scored at a time.
@@ -201,6 +202,7 @@ def predict(docs: DataFrame, model: Scorer, carry: list[str]) -> DataFrame:
                 scores = model(np.stack([features(t.as_py()) for t in part.column(at)]))
                 columns = [*part.columns[:kept], pa.array(scores, pa.float64()), pa.array(scores >= 0.5).cast(pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*carry, "score", "predicted"])
+        tidy()
 
     schema = ", ".join([*[f"`{c}` {fields[c]}" for c in carry], "score double", "predicted int"])
     return docs.select(*names).mapInArrow(score, schema)

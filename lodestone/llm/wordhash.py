@@ -8,6 +8,8 @@ that must not err even then compare words or 128-bit digests of them.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -98,11 +100,19 @@ def text_hashes(texts: list[str | None], lower: bool = False) -> tuple[np.ndarra
     return words.hashes() if len(words.begin) else np.zeros(0, dtype=np.uint64), words.sizes
 
 
+def tidy() -> None:
+    """Give a worker process's free memory back to the system, as Spark keeps the process for other tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Batches cut to a few hundred rows, so that a task's Python objects stay few."""
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+    tidy()
 
 
 def slices(sizes: list[int], most: int = 400_000) -> Iterator[tuple[int, int]]:
