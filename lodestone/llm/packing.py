@@ -28,8 +28,8 @@ from .wordhash import parts, tidy
 LENGTH = 4096
 END_ID = 2
 GROUP_DOCS = 2048
-#: Words whose ids a Python worker remembers: the latest half, and those of the half before till they are met again.
-CACHE_WORDS = 200_000
+#: Words whose ids a task remembers: the latest half, and those of the half before till they are met again.
+CACHE_WORDS = 600_000
 
 
 _PARTS = re.compile(rb"([A-Za-z\x80-\xff]*)([!-/:-@\[-`{-~]*)")
@@ -200,7 +200,6 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: i
                             column.append(value)
                     at += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-                tidy()
         del encoder
         tidy()
 
