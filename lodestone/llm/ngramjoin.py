@@ -290,7 +290,7 @@ def jaccard_components(docs: DataFrame, k: int = GRAM, share: tuple[int, int] =
 
     remove(spark, used)
     named = classes.join(labels, "id", "left").select("h1", "h2", "class_id", F.coalesce("component", "id").alias("component"))
-    least = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    least = materialize(named.groupBy("component").agg(F.min("class_id").alias("component_id")), "shingle-least")
     final = named.join(least, "component").select("h1", "h2", "class_id", "component_id", F.col("component").alias("group"))
     out = sets.join(final, ["h1", "h2"], "left")
     lone = F.col("n") == 0
