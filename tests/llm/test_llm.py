@@ -680,7 +680,8 @@ def test_stages_on_edge_rows(spark, edges):
     near = sorted(str(r.doc_id) for r in run["n-gram jaccard join"](spark, docs, "").collect())
     assert near == sorted(map(str, [1, 4, 5, 6, 7, 8, 9, 10]))  # the row without a doc_id is a copy of 1
     mixed = collections.Counter(r.doc_id for r in run["mixing sources"](spark, docs, "").collect())
-    assert not mixed.keys() & {4, 5, 7}
+    # Texts without words take none, at the rate of no length: once, or the cap where their source is taken whole.
+    assert all(mixed[d] in (1, 3) for d in (4, 5, 7))
     packed = run["packing"](spark, docs, "").toPandas()
     assert packed[packed.start == 0].shape[0] == len(docs.collect()) and packed[packed.doc_id == 4].length.tolist() == [1]
 
