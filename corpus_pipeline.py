@@ -53,8 +53,9 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it. Texts without words are taken no time; a null source
-    is a source; repeated rows count each."""
+    """Every document as often as the mix takes it. Texts without words add none and are kept once, or as
+    often as the cap allows where their source is taken whole; a null source is a source; repeated rows
+    count each."""
     return mixing.mix(docs)
 
 
