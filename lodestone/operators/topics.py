@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,25 +17,44 @@ WEIGHTS = {"outlier_ratio": 0.35, "keyword_overlap": 0.25, "confidence_mean": 0.
 LIMITS = {"outlier_ratio": 0.15, "keyword_overlap": 0.1, "confidence_mean": 0.7, "cross_course_topics": 10}
 GENERIC = ["error", "homework", "course", "model", "project", "issue"]
 
+#: Most dictionary terms sent to every task; more are joined by a shuffle.
+SMALL_DICTIONARY = 100_000
 
-def entities(docs: DataFrame, text: str, patterns: dict[str, list[str]], longest: int = 3) -> DataFrame:
+
+def entities(docs: DataFrame, text: str, patterns: dict[str, list[str]], small: int = SMALL_DICTIONARY) -> DataFrame:
     """(id, pos, term, label) of dictionary terms, by whole tokens; overlaps go to the longest, then the
-    leftmost. The dictionary is a parameter held by the driver and joined by broadcast."""
+    leftmost. Terms of any number of tokens match. Marks between words do not count, unless the term has
+    marks itself ("c++", ".net", "k-means"): then they stand in the text as in the term, and where two terms
+    have the same tokens, the longer one wins. A term without a token matches nothing, one under two labels
+    takes the first. The dictionary is a parameter held by the driver; up to ``small`` terms are broadcast."""
     spark = docs.sparkSession
-    known = spark.createDataFrame([(t.lower(), label) for label, terms in patterns.items() for t in terms] or [("", "")], "term string, label string").dropDuplicates(["term"])
-    ws = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    rows = docs.select("id", ws.alias("ws"))
+    terms = {}
+    for label, listed in patterns.items():
+        for t in listed:
+            tokens = re.findall(r"\w+", t.lower())
+            if tokens:
+                terms.setdefault(t.lower(), (" ".join(tokens), len(tokens), label))
+    # lead: marks before the first token; body: the rest of a term with marks, null for one of plain words.
+    marked = {t: re.match(r"\W*", t).end() for t, (key, _, _) in terms.items() if key != t}
+    known = spark.createDataFrame([(key, t, label, t[:marked[t]] if t in marked else None, t[marked[t]:] if t in marked else None) for t, (key, _, label) in terms.items()], "key string, term string, label string, lead string, body string")
+    known = F.broadcast(known) if len(terms) <= small else known
+    low, word = F.lower(text), r"[\p{L}\p{N}_]"
+    rows = docs.select("id", F.regexp_extract_all(low, F.lit(f"{word}+"), F.lit(0)).alias("ws"), F.concat(F.array(F.regexp_extract(low, rf"^[^\p{{L}}\p{{N}}_]*", 0)), F.regexp_extract_all(low, F.lit(rf"{word}+[^\p{{L}}\p{{N}}_]*"), F.lit(0))).alias("raw"))
 
     def spans(n: int) -> DataFrame:
         starts = F.sequence(F.lit(1), F.greatest(F.size("ws") - n + 1, F.lit(1)))
-        terms = F.transform(starts, lambda i: F.when(i + n - 1 <= F.size("ws"), F.array_join(F.slice("ws", i, n), " ")))
-        return rows.select("id", F.posexplode(terms).alias("pos", "term"), F.lit(n).alias("n"))
-
-    found = reduce(DataFrame.unionByName, [spans(n) for n in range(1, longest + 1)]).filter("term IS NOT NULL").join(F.broadcast(known), "term")
+        before = F.element_at("raw", F.col("_i")) if marked else F.lit(None).cast("string")
+        here = F.array_join(F.slice("raw", F.col("_i") + 1, n), "") if marked else F.lit(None).cast("string")
+        out = rows.filter(F.size("ws") >= n).select("id", "ws", "raw", F.explode(starts).alias("_i"))
+        return out.select("id", (F.col("_i") - 1).alias("pos"), F.array_join(F.slice("ws", F.col("_i"), n), " ").alias("key"), before.alias("before"), here.alias("here"), F.lit(n).alias("n"))
+
+    lengths = sorted({n for _, n, _ in terms.values()}) or [1]
+    found = reduce(DataFrame.unionByName, [spans(n) for n in lengths]).join(known, "key")
+    found = found.filter("body IS NULL OR (startswith(here, body) AND endswith(before, lead))")
     # Greedy by (length, place): a span loses if a longer one, or an equally long one to its left, overlaps it.
-    per = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("neg"), "pos", "term", "label"))).alias("all"))
+    per = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("neg"), "pos", (-F.length("term")).alias("chars"), "term", "label"))).alias("all"))
     clash = lambda a, b: (a["pos"] < b["pos"] - b["neg"]) & (b["pos"] < a["pos"] - a["neg"])
-    empty = F.expr("CAST(array() AS array<struct<neg:int,pos:int,term:string,label:string>>)")
+    empty = F.expr("CAST(array() AS array<struct<neg:int,pos:int,chars:int,term:string,label:string>>)")
     kept = F.aggregate("all", empty, lambda acc, x: F.when(F.exists(acc, lambda a: clash(a, x)), acc).otherwise(F.concat(acc, F.array(x))))
     return per.select("id", F.explode(kept).alias("e")).select("id", F.col("e.pos").alias("pos"), F.col("e.term").alias("term"), F.col("e.label").alias("label"))
 

@@ -165,6 +165,16 @@ def test_entities_prefer_the_longest(spark):
     assert rows[1].ner_primary_entity == "vs code" and rows[2].ner_entities == [] and rows[2].ner_primary_entity is None
 
 
+def test_entities_of_many_words_and_with_marks(spark):
+    rows = [(1, "It says CUDA out of memory, cuda again"), (2, "c or C++ with scikit-learn"), (3, "scikit learn, .NET and net"), (4, ""), (5, None), (6, "++")]
+    docs = spark.createDataFrame(rows, "id long, t string")
+    patterns = {"ERROR": ["cuda out of memory", "++"], "TOOL": ["cuda", "scikit-learn", ".net"], "LANGUAGE": ["c", "c++", "cuda"]}
+    want = [(1, 2, "cuda out of memory", "ERROR"), (1, 6, "cuda", "TOOL"), (2, 0, "c", "LANGUAGE"), (2, 2, "c++", "LANGUAGE"), (2, 4, "scikit-learn", "TOOL"), (3, 2, ".net", "TOOL")]
+    for small in (0, 10):
+        assert sorted(tuple(r) for r in topics.entities(docs, "t", patterns, small).collect()) == want
+    assert topics.entities(docs, "t", {}).count() == 0
+
+
 def test_reclassify_order(spark):
     rows = [(1, 0, "TOOL", "q"), (2, 0, "TOOL", "q"), (3, 0, "TOOL", "q"), (4, 0, "TOOL", "q"), (5, 0, "OTHER", "plain"), (6, 0, "OTHER", "an error here"), (7, -1, "OTHER", "plain")]
     df = spark.createDataFrame(rows, "id long, topic int, category string, q string")
