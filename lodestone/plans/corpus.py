@@ -115,7 +115,10 @@ _SAMPLED = f"""s AS (SELECT id, course, section FROM (SELECT c.*, allocated, row
 _RANKED = f"ranked AS (SELECT *, row_number() OVER (PARTITION BY course ORDER BY {_HASH}) AS r, count(*) OVER (PARTITION BY course) AS n FROM corpus)"
 _MEDIAN = "mid AS (SELECT floor(median(n))::BIGINT AS m FROM (SELECT count(*) AS n FROM corpus GROUP BY course))"
 _bool = lambda words, c="lower(question)": " OR ".join(f"contains({c}, '{w}')" for w in words)
+_URL = r"https?://|(?:[a-z0-9_-]+\.){2,}[a-z]{2,}(?:[/:.@][\w.-]*)*"
 ORACLES = {
+    "expand_urls": f"SELECT page_id, array_to_string(list_transform(string_split_regex(url, '{_URL}'), lambda p, i: p || coalesce(translate(regexp_extract_all(url, '{_URL}')[i], '/:.@', '    '), '')), '') AS opened FROM pages",
+    "uuid_ids": _c() + f"SELECT id, {S.UUID5} AS point_id FROM corpus",
     "normalize_text": _c() + f"SELECT id, md5({NORM.format('answer')}) AS digest, {NORM.format('question')} AS question FROM corpus",
     # For texts without fences, as the tables' are; fences are tested on fixtures.
     "strip_markup": _c() + "SELECT id, trim(" + _markup() + ", ' ' || chr(10)) AS cleaned FROM corpus",

@@ -97,6 +97,10 @@ raw AS (SELECT section, term, tf, df, n, (1 + ln(tf)) * (ln((1 + n) / (1 + df)::
 fit AS (SELECT section, term, tf, df, n, raw / sqrt(sum(raw * raw) OVER (PARTITION BY section)) AS score FROM raw),
 tops AS (SELECT * FROM (SELECT section, row_number() OVER (PARTITION BY section ORDER BY round(score, 4) DESC, term)::INT AS rank, term, round(score, 4) AS score FROM fit) WHERE rank <= 50)"""
 _f = lambda *more: S.with_(S.CORPUS, _FIT, *more)
+_W1 = f"w AS (SELECT id, section, {_WORDS} AS ws FROM corpus)"
+_W2 = f"w AS (SELECT id, section, list_filter(ws, lambda x: NOT list_contains(st, x)) AS ws FROM (SELECT id, section, {_WORDS} AS ws, st FROM corpus CROSS JOIN stops))"
+_STOPS = f"stops AS (WITH {_FIT} SELECT coalesce(list(term), []) AS st FROM (SELECT term FROM tops GROUP BY term HAVING count(*) >= (SELECT greatest(2, floor(n * 0.6)::INT) FROM nn)))"
+_LABEL = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(term, '{w}')" for w in parts) + f" THEN '{name}'" for name, parts in Z.SUGGESTIONS) + " WHEN term IN (" + ", ".join(f"'{w}'" for w in Z.SUGGESTED_LANGUAGES) + ") THEN 'LANGUAGE' END"
 _c = lambda *more: S.with_(S.CORPUS, S.VECTORS, *more)
 _COS = "SELECT a.section AS a, b.section AS b, round(sum(a.score * b.score), 6) AS cosine FROM {0} a JOIN {0} b ON a.term = b.term AND a.section < b.section GROUP BY ALL"
 _SINGLE = f"""tfd AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({_WORDS}) AS term FROM corpus) GROUP BY ALL),
@@ -133,6 +137,7 @@ ct AS (SELECT * FROM (SELECT topic, row_number() OVER (PARTITION BY topic ORDER
 _word = lambda sig, col: f"regexp_matches({col}, '\\b{sig}\\b')" if len(sig) <= 3 else f"contains({col}, '{sig}')"
 ORACLES = {
     "tfidf_top_terms": _f() + "SELECT * FROM tops",
+    "tfidf_two_pass": S.with_(S.CORPUS, _STOPS, _FIT.replace(_W1, _W2)) + "SELECT * FROM tops WHERE rank <= 20",
     "stop_freq": S.with_(S.CORPUS) + f"SELECT term, count(*) AS df FROM (SELECT DISTINCT id, unnest({_WORDS}) AS term FROM corpus) GROUP BY term HAVING count(*) >= 5 AND count(*) >= 0.3::DOUBLE * (SELECT count(*) FROM corpus)",
     "stop_saturation": _f() + "SELECT term, count(*) AS groups FROM tops GROUP BY term HAVING count(*) >= (SELECT greatest(2, floor(n * 0.6)::INT) FROM nn)",
     "stop_idf_floor": _f("i AS (SELECT DISTINCT term, df, round(ln((1.0::DOUBLE + n) / (1 + df)) + 1, 9) AS idf FROM fit)") + "SELECT term, df FROM i WHERE idf <= (SELECT quantile_cont(idf, 0.03) FROM i)",
@@ -148,6 +153,7 @@ ORACLES = {
     "cluster_majority": _c(_TAGGED, "n AS (SELECT topic, category, count(*) AS n, sum(count(*)) OVER (PARTITION BY topic) AS total FROM tagged WHERE topic <> -1 GROUP BY topic, category)") + "SELECT topic, category AS majority FROM (SELECT * FROM n WHERE category <> 'OTHER' QUALIFY row_number() OVER (PARTITION BY topic ORDER BY n DESC, category) = 1) WHERE n >= 0.3::DOUBLE * total",
     "rule_reclassify": _c(_TAGGED, "n AS (SELECT topic, category, count(*) AS n, sum(count(*)) OVER (PARTITION BY topic) AS total FROM tagged WHERE topic <> -1 GROUP BY topic, category)", "maj AS (SELECT topic, category AS majority FROM (SELECT * FROM n WHERE category <> 'OTHER' QUALIFY row_number() OVER (PARTITION BY topic ORDER BY n DESC, category) = 1) WHERE n >= 0.8::DOUBLE * total)", "r AS (SELECT t.*, majority, CASE " + " ".join("WHEN " + " OR ".join(_word(w, "regexp_replace(trim(lower(question)), '[^\\x00-\\x7f]', CASE WHEN true THEN chr(48) END, 'g')" if len(w) <= 3 else "trim(lower(question))") for w in RULES[n]) + f" THEN '{n}'" for n in Z.RULE_ORDER) + " END AS rule FROM tagged t LEFT JOIN maj USING (topic))") + "SELECT id, CASE WHEN category <> 'OTHER' THEN category ELSE coalesce(rule, majority, 'OTHER') END AS new_category, CASE WHEN category <> 'OTHER' THEN 'unchanged' WHEN rule IS NOT NULL THEN 'rules' WHEN majority IS NOT NULL THEN 'cluster' ELSE 'fallback' END AS source FROM r",
     "missed_terms": _c(_spans()) + r"SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(regexp_replace(lower(question), '[^\x00-\x7f]', '0', 'g'), '\b[a-z][a-z]{2,}\b')) AS term FROM corpus WHERE id NOT IN (SELECT id FROM ents)) WHERE term NOT IN ('der', 'des') GROUP BY term HAVING count(*) >= 2",
+    "suggest_patterns": _c(_spans(), r"missed AS (SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(regexp_replace(lower(question), '[^\x00-\x7f]', '0', 'g'), '\b[a-z][a-z]{2,}\b')) AS term FROM corpus WHERE id NOT IN (SELECT id FROM ents)) GROUP BY term ORDER BY n DESC, term LIMIT 2000)") + f"SELECT * FROM (SELECT term, n, {_LABEL} AS label FROM missed) WHERE label IS NOT NULL",
     "topic_validation": _c(_ASSIGN, "z AS (SELECT topic, count(*) AS n, count(DISTINCT course) AS k FROM asg WHERE topic <> -1 GROUP BY topic)") + """SELECT t.*, s.*, round(outlier_count / total_documents::DOUBLE, 4) AS outlier_ratio, round(size_max / total_documents::DOUBLE, 4) AS largest_topic_share
   FROM (SELECT count(*) AS total_documents, count(*) FILTER (WHERE topic = -1) AS outlier_count, round(avg(topic_probability) FILTER (WHERE topic <> -1), 4) AS confidence_mean, count(*) FILTER (WHERE topic <> -1 AND topic_probability < 0.5) AS low_confidence_count FROM asg) t
   CROSS JOIN (SELECT count(*) AS num_topics, min(n) AS size_min, max(n) AS size_max, round(avg(n), 1) AS size_mean, round(median(n), 1) AS size_median, round(stddev_samp(n), 1) AS size_std, count(*) FILTER (WHERE n <= 3) AS tiny_topics, count(*) FILTER (WHERE k > 1) AS cross_course_topics FROM z) s""",

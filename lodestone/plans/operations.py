@@ -180,6 +180,7 @@ ORACLES = {
     "test_set_load": S.with_("t AS (SELECT 'q' || item_id AS id, CASE WHEN item_id % 2 = 0 THEN item_id * 1000 ELSE item_id END AS e, item_id % 5 = 0 AS is_ood FROM benchmark)") + "SELECT id, e::VARCHAR AS expected_id, 'en' AS course, 'original' AS query_type, is_ood FROM t WHERE is_ood OR e IN (SELECT doc_id FROM documents)",
     "content_cache_key": S.with_(S.CORPUS) + "SELECT course, substr(md5(string_agg(question || '|||', '' ORDER BY question)), 1, 12) AS cache_key FROM corpus GROUP BY course",
     "semi_valid_ids": "SELECT doc_id, quality FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)",
+    "point_ids": S.with_(S.CORPUS) + f"SELECT id, {S.UUID5} AS point_id FROM corpus",
     "anti_missing_ner": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "left_default_join": "SELECT d.doc_id, coalesce(quality, -1) AS quality, coalesce(toxic, 0) AS toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id",
     "star_revenue": "SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",

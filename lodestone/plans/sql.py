@@ -8,6 +8,9 @@ KNOWN = """known AS (SELECT c.id AS query_id, c.question AS query_text, c.course
   FROM corpus c LEFT JOIN vecs a ON a.id = c.id LEFT JOIN vecs b ON b.id = c.id + 1 WHERE c.id % 20 = 0)"""
 BASE = f"{CORPUS}, {VECTORS}, {KNOWN}"
 PASSAGES = "passages AS (SELECT item_id AS query_id, text AS query_text FROM benchmark)"
+#: Name-based UUID of an id: namespace and id hashed, version and variant set.
+UUID5 = """(SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (instr('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12)
+  FROM (SELECT sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(id::VARCHAR)) AS h))"""
 TOKEN = r"[\p{L}\p{N}_]+"
 
 
