@@ -19,6 +19,8 @@ GENERIC = ["error", "homework", "course", "model", "project", "issue"]
 
 #: Most dictionary terms sent to every task; more are joined by a shuffle.
 SMALL_DICTIONARY = 100_000
+#: Most topics whose vectors are sent to every task.
+MOST_TOPICS = 10_000
 
 
 def entities(docs: DataFrame, text: str, patterns: dict[str, list[str]], small: int = SMALL_DICTIONARY) -> DataFrame:
@@ -235,6 +237,7 @@ def reassign_outliers(rows: DataFrame, vectors: DataFrame, least: float = 0.1) -
     means, one row each, are broadcast."""
     from .retrieval import dot, unit
 
+    few(rows)
     both = rows.join(vectors.select("id", "v"), "id")
     dims = both.filter("topic != -1").select("topic", F.posexplode("v").alias("i", "x")).groupBy("topic", "i").agg(F.avg("x").alias("x"))
     means = dims.groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("m"))
@@ -250,6 +253,7 @@ def silhouette(points: DataFrame) -> DataFrame:
     from .retrieval import dot, unit
 
     rows = points.filter("topic != -1").withColumn("v", unit(F.col("v")))
+    few(rows)
     dims = rows.select("topic", F.posexplode("v").alias("i", "x")).groupBy("topic", "i").agg(F.avg("x").alias("x"))
     means = dims.groupBy("topic").agg(unit(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"])).alias("m"))
     all_ = means.agg(F.collect_list(F.struct("topic", "m")).alias("all"))
@@ -259,6 +263,40 @@ def silhouette(points: DataFrame) -> DataFrame:
     return far.agg(F.round(F.avg((F.col("b") - F.col("a")) / F.greatest("a", "b")), 6).alias("silhouette"), F.countDistinct("topic").alias("topics"))
 
 
+def cluster_quality(points: DataFrame) -> DataFrame:
+    """Exact mean silhouette with cosine distance, and the Davies-Bouldin index with Euclidean distance, of
+    points (id, v, topic), outliers left out; one row, both null for fewer than two topics. The distances of a
+    point to a topic's members add up to n - u . S, S being the sum of their unit vectors, so no pairs of
+    points are formed. The only member of a topic counts 0, as does a point that lies on two topics at once."""
+    from .retrieval import dot, unit
+
+    rows = points.filter("topic != -1").select("id", "topic", "v", unit(F.col("v")).alias("u"))
+    few(rows)
+    dims = rows.select("topic", F.posexplode(F.arrays_zip("u", "v")).alias("i", "e")).groupBy("topic", "i").agg(F.sum("e.u").alias("su"), F.avg("e.v").alias("m"), F.count(F.lit(1)).alias("n"))
+    part = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("i", c))), lambda e: e[c])
+    means = dims.groupBy("topic").agg(part("su").alias("su"), part("m").alias("m"), F.max("n").alias("n"))
+    far = rows.join(F.broadcast(means.agg(F.collect_list(F.struct("topic", "su", "n")).alias("all"))))
+    dist = lambda keep, less: F.array_min(F.transform(F.filter("all", keep), lambda t: F.when(t["n"] > less, (t["n"] - dot(F.col("u"), t["su"])) / (t["n"] - less))))
+    far = far.select(dist(lambda t: t["topic"] == F.col("topic"), 1).alias("a"), dist(lambda t: t["topic"] != F.col("topic"), 0).alias("b"))
+    one = F.when(F.col("a").isNull() | (F.greatest("a", "b") == 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    sil = far.agg(F.round(F.avg(F.when(F.col("b").isNotNull(), one)), 6).alias("silhouette"))
+
+    apart = lambda x, y: F.sqrt(F.aggregate(F.zip_with(x, y, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda acc, d: acc + d))
+    wide = rows.join(means.select("topic", "m"), "topic").groupBy("topic").agg(F.avg(apart("v", "m")).alias("s"))
+    spread = means.join(wide, "topic").select("topic", "m", "s")
+    others = spread.join(F.broadcast(spread.agg(F.collect_list(F.struct("topic", "m", "s")).alias("all"))))
+    worst = F.array_max(F.transform(F.filter("all", lambda t: t["topic"] != F.col("topic")), lambda t: F.try_divide(F.col("s") + t["s"], apart(F.col("m"), t["m"]))))
+    db = others.agg(F.round(F.avg(worst), 6).alias("davies_bouldin"), F.count(F.lit(1)).alias("topics"))
+    return sil.join(F.broadcast(db))
+
+
+def few(rows: DataFrame) -> None:
+    """Refuses more than MOST_TOPICS topics: one vector of each is sent to every task."""
+    n = rows.select("topic").distinct().count()
+    if n > MOST_TOPICS:
+        raise ValueError(f"{n} topics; at most {MOST_TOPICS} can be held by every task")
+
+
 def dense_topics(rows: DataFrame, k: int = 5) -> DataFrame:
     """The k largest topics; -1 is none."""
     return rows.filter("topic != -1").groupBy("topic").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "topic").limit(k)

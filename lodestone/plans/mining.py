@@ -76,6 +76,7 @@ QUERIES = {
     "adaptive_thresholds": lambda s, d: Z.adaptive_status(measures(s, d)),
     "pareto_front": lambda s, d: Z.pareto(measures(s, d)),
     "silhouette": lambda s, d: Z.silhouette(vectors(s, d)),
+    "cluster_quality": lambda s, d: Z.cluster_quality(vectors(s, d)),
     "outlier_reassign": lambda s, d: Z.reassign_outliers(assignments(s, d), vectors(s, d)),
     "kmeans_topics": lambda s, d: Z.cluster(vectors(s, d), 10),
     "ctfidf_terms": lambda s, d: Z.ctfidf(corpus(s, d).join(vectors(s, d).select("id", "topic"), "id"), "topic", "answer"),
@@ -166,6 +167,7 @@ ORACLES = {
     "known_item_topics": S.with_(S.BASE) + "SELECT topic, count(*) AS n FROM known GROUP BY topic",
     "shuffled_baseline": _c("l AS (SELECT list(DISTINCT course ORDER BY course) AS ls FROM corpus)", "dl AS (SELECT run, ls[(('0x' || substr(md5('42:' || run || ':' || id), 1, 8))::BIGINT % len(ls)) + 1] AS course FROM corpus CROSS JOIN l CROSS JOIN range(1, 11) r(run))", "m AS (SELECT run, course, count(*) AS m FROM dl GROUP BY ALL)") + "SELECT course, round(avg(m), 4) AS mean, round(stddev_samp(m), 4) AS sd, any_value(n) AS n FROM m JOIN (SELECT course, count(*) AS n FROM corpus GROUP BY course) USING (course) GROUP BY course",
     "silhouette": _c("u AS (SELECT id, topic, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM vecs)", "d AS (SELECT topic, i, avg(x) AS x FROM (SELECT topic, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM u) GROUP BY ALL)", "c AS (SELECT topic, list(x ORDER BY i) AS m FROM d GROUP BY topic)", "s AS (SELECT u.id, min(1 - list_cosine_similarity(u.v, c.m)) FILTER (WHERE c.topic = u.topic) AS a, min(1 - list_cosine_similarity(u.v, c.m)) FILTER (WHERE c.topic <> u.topic) AS b FROM u CROSS JOIN c GROUP BY u.id)") + "SELECT round(avg((b - a) / greatest(a, b)), 6) AS silhouette, (SELECT count(DISTINCT topic) FROM vecs) AS topics FROM s",
+    "cluster_quality": S.with_(S.VECTORS, "pr AS (SELECT a.id, a.topic AS t, b.topic AS o, avg(1 - list_cosine_similarity(a.v, b.v)) AS d FROM vecs a JOIN vecs b ON a.id <> b.id GROUP BY ALL)", "sl AS (SELECT id, min(d) FILTER (WHERE t = o) AS a, min(d) FILTER (WHERE t <> o) AS b FROM pr GROUP BY id)", "mi AS (SELECT topic, i, avg(x) AS x FROM (SELECT topic, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vecs) GROUP BY ALL)", "c AS (SELECT topic, list(x ORDER BY i) AS m FROM mi GROUP BY topic)", "w AS (SELECT topic, m, avg(list_distance(v, m)) AS s FROM vecs JOIN c USING (topic) GROUP BY topic, m)", "r AS (SELECT p.topic, max((p.s + q.s) / nullif(list_distance(p.m, q.m), 0)) AS r FROM w p JOIN w q ON p.topic <> q.topic GROUP BY p.topic)") + "SELECT (SELECT round(avg(CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) FROM sl WHERE b IS NOT NULL) AS silhouette, (SELECT round(avg(r), 6) FROM r) AS davies_bouldin, (SELECT count(*) FROM w) AS topics",
     "outlier_reassign": _c(_ASSIGN, "d AS (SELECT topic, i, avg(x) AS x FROM (SELECT a.topic, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vecs JOIN asg a USING (id) WHERE a.topic <> -1) GROUP BY ALL)", "c AS (SELECT topic, list(x ORDER BY i) AS m FROM d GROUP BY topic)", "b AS (SELECT a.id, c.topic, round(list_cosine_similarity(v, m), 6) AS s FROM asg a JOIN vecs USING (id) CROSS JOIN c WHERE a.topic = -1 QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity(v, m), 6) DESC, c.topic) = 1)") + "SELECT id, topic, topic_probability FROM asg WHERE topic <> -1 UNION ALL SELECT id, CASE WHEN s >= 0.1 THEN topic ELSE -1 END, s FROM b",
     "dense_topics": _c(_ASSIGN) + "SELECT topic, count(*) AS n FROM asg WHERE topic <> -1 GROUP BY topic ORDER BY n DESC, topic LIMIT 5",
     "concept_notes": _f("br AS (SELECT term FROM tops WHERE rank <= 25 GROUP BY term HAVING count(*) >= 2)", "h AS (SELECT id, term FROM (SELECT DISTINCT id, unnest(ws) AS term FROM w) JOIN br USING (term))") + "SELECT id, 'Concepts: ' || array_to_string(list(term ORDER BY term)[:3], ', ') AS note FROM h GROUP BY id",

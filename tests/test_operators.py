@@ -175,6 +175,22 @@ def test_entities_of_many_words_and_with_marks(spark):
     assert topics.entities(docs, "t", {}).count() == 0
 
 
+def test_cluster_quality(spark):
+    rows = [(1, [1.0, 0.0], 0), (2, [3.0, 0.0], 0), (3, [0.0, 2.0], 1), (4, [5.0, 5.0], -1)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, topic int")
+    # Members of topic 0 are at cosine distance 0 from each other and 1 from topic 1, whose only member counts 0.
+    got = topics.cluster_quality(df).first()
+    assert (got.silhouette, got.topics) == (round(2 / 3, 6), 2) and got.davies_bouldin == round(1 / 8**0.5, 6)
+    for part in (df.filter("topic = 0"), df.filter("topic = -1")):
+        got = topics.cluster_quality(part).first()
+        assert got.silhouette is None and got.davies_bouldin is None
+
+
+def test_suggested_labels(spark):
+    df = spark.createDataFrame([("timeouts", 5), ("zoomed", 4), ("wget", 4), ("bash", 3), ("plain", 9), ("rare", 1)], "term string, n long")
+    assert {(r.term, r.label) for r in topics.suggest(df).collect()} == {("timeouts", "ERROR"), ("zoomed", "ADMIN"), ("wget", "TOOL"), ("bash", "LANGUAGE")}
+
+
 def test_reclassify_order(spark):
     rows = [(1, 0, "TOOL", "q"), (2, 0, "TOOL", "q"), (3, 0, "TOOL", "q"), (4, 0, "TOOL", "q"), (5, 0, "OTHER", "plain"), (6, 0, "OTHER", "an error here"), (7, -1, "OTHER", "plain")]
     df = spark.createDataFrame(rows, "id long, topic int, category string, q string")
