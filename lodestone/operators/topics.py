@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import any_signal
+from ..sources.scratch import drop_at_exit, folder
 
 #: Order of rules, order of labels, weights and thresholds.
 RULE_ORDER = ["ERROR", "ADMIN", "LANGUAGE", "TOOL", "CONCEPT"]
@@ -305,9 +307,12 @@ def dense_topics(rows: DataFrame, k: int = 5) -> DataFrame:
 def subtopics(points: DataFrame, least: int = 40, parts: int = 2, rounds: int = 10) -> DataFrame:
     """(id, topic, subtopic) of topics with more than ``least`` members: spherical k-means on each topic's
     vectors, started from its first members by id. Means, not members, travel: each round is one
-    aggregation over all topics."""
+    aggregation over all topics, whose means are written to the scratch folder."""
     from .retrieval import dot, unit
 
+    spark = points.sparkSession
+    place = f"{folder(spark)}/subtopics-{uuid4().hex}"
+    drop_at_exit(spark, place)
     big = points.groupBy("topic").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > least) & (F.col("topic") != -1)).select("topic")
     rows = points.join(big, "topic").select("id", "topic", unit(F.col("v")).alias("v"))
     first = Window.partitionBy("topic").orderBy("id")
@@ -320,8 +325,8 @@ def subtopics(points: DataFrame, least: int = 40, parts: int = 2, rounds: int =
         if turn + 1 < rounds:
             dims = placed.select("topic", "s", F.posexplode("v").alias("i", "x")).groupBy("topic", "s", "i").agg(F.avg("x").alias("x"))
             means = dims.groupBy("topic", "s").agg(unit(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"])).alias("m"))
-            spark = points.sparkSession
-            centres = spark.createDataFrame(means.collect(), means.schema)  # topics * parts rows of one vector each
+            means.write.parquet(f"{place}/{turn}")
+            centres = spark.read.schema(means.schema).parquet(f"{place}/{turn}")
     return placed.select("id", "topic", F.col("s").alias("subtopic"))
 
 
