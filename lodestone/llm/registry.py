@@ -1,5 +1,6 @@
 """The queries of this package and their DuckDB twins."""
 
+from .chat import OP13_SQL, op13_chat
 from .langid import op9_langid
 from .linededup import OP10_SQL, op10_linededup
 from .maxscore import OP6_SQL, op6_maxscore
@@ -26,5 +27,6 @@ QUERIES = {
     "op10_linededup": op10_linededup,
     "op11_resample": op11_resample,
     "op12_merkle": op12_merkle,
+    "op13_chat": op13_chat,
 }
-ORACLES = {"op6_maxscore": OP6_SQL, "op10_linededup": OP10_SQL, "op11_resample": OP11_SQL, "op12_merkle": OP12_SQL}
+ORACLES = {"op6_maxscore": OP6_SQL, "op10_linededup": OP10_SQL, "op11_resample": OP11_SQL, "op12_merkle": OP12_SQL, "op13_chat": OP13_SQL}
