@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .keyword import KeywordIndex, build_index, open_index
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +35,20 @@ def known_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("query_id"), F.col("question").alias("query_text"), "course", "section", "topic", F.coalesce(F.zip_with("v", "w", lambda a, b: a + b), "v").alias("v"))
 
 
+_indexes: dict[tuple, str] = {}
+
+
+def keyword_index(spark: SparkSession, sf_dir: str) -> KeywordIndex:
+    """The index of the corpus's questions and answers, built by the first search of an application and read by
+    the others, as long as the files of the table are the same."""
+    files = read(spark, sf_dir, "documents").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    stamp = tuple(files.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(file_path, file_size, file_modification_time))")).first())
+    key = (spark.sparkContext.applicationId, sf_dir, stamp)
+    if key not in _indexes:
+        _indexes[key] = build_index(corpus(spark, sf_dir), ["question", "answer"], attributes=["course"]).path
+    return open_index(spark, _indexes[key])
+
+
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages as queries: (query_id, query_text)."""
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))

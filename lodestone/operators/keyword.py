@@ -30,7 +30,7 @@ from ..sources.scratch import drop_at_exit, folder
 K1, B = 1.2, 0.75
 BLOCK_DOCS = 32
 #: Documents of one task when blocks are cut, and blocks a query scores before it has a threshold.
-RANGE_DOCS, FIRST_BLOCKS = 50_000, 4
+RANGE_DOCS, FIRST_BLOCKS = 50_000, 12
 #: Scores are rounded to six places before they are ranked; a bound that misses by less may still tie.
 SLACK = 2e-6
 

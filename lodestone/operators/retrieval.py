@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from .keyword import KeywordIndex, build_index, search_index
 
 #: Fixed values of the scoring formulas.
-K1, B = 1.2, 0.75
 RRF_K = 60
 VECTOR_SHARE, KEYWORD_SHARE = 0.7, 0.3
 BLOCK_ROWS, BLOCK_QUERIES = 16_384, 2048
@@ -89,39 +89,13 @@ def _block_scores(corpus: DataFrame, queries: DataFrame, k: int, threshold: floa
     return found.withColumn("score", F.round("score", 6))
 
 
-def postings(docs: DataFrame, field: str, terms: DataFrame | None = None) -> DataFrame:
-    """(term, doc_id, dl, tf) of one text field; of the given terms only, if any, dropped before counting."""
-    every = docs.select(F.col("id").alias("doc_id"), tokens(F.col(field)).alias("_t"))
-    spread = every.select("doc_id", F.size("_t").alias("dl"), F.explode("_t").alias("term"))
-    if terms is not None:
-        spread = spread.join(terms, "term", "left_semi")
-    return spread.groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def bm25_scores(docs: DataFrame, queries: DataFrame, field: str) -> DataFrame:
-    """(query_id, doc_id, score) of one field. Statistics are those of the whole corpus."""
-    asked = queries.select("query_id", F.explode(tokens(F.col("query_text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    held = postings(docs, field, asked.select("term").distinct())
-    df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    totals = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens(F.col(field)))).alias("avgdl"))
-    n, avgdl = F.col("n"), F.col("avgdl")
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
-    rows = held.join(df, "term").join(F.broadcast(totals)).withColumn("part", part)  # totals: one row
-    return rows.join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("part") * F.col("qtf")).alias("score"))
-
-
-def bm25(docs: DataFrame, queries: DataFrame, k: int, boosts: dict[str, float], must: Sequence[str] = ()) -> DataFrame:
-    """Best field wins: the largest boosted field score. must: columns of docs and queries that agree,
-    applied after scoring, so that statistics stay corpus-wide."""
-    fields = [f for f, b in boosts.items() if b > 0]
-    parts = [bm25_scores(docs, queries, f).withColumn("score", F.col("score") * boosts[f]) for f in fields]
-    rows = reduce(DataFrame.unionByName, parts).groupBy("query_id", "doc_id").agg(F.round(F.max("score"), 6).alias("score"))
-    if must:
-        kept = docs.select(F.col("id").alias("doc_id"), *[F.col(c).alias(f"_d_{c}") for c in must])
-        rows = rows.join(kept, "doc_id").join(queries.select("query_id", *must), "query_id")
-        rows = rows.filter(reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_d_{c}") for c in must]))
-    return top(rows.select("query_id", "doc_id", "score"), k)
+def bm25(where: DataFrame | KeywordIndex, queries: DataFrame, k: int, boosts: dict[str, float], must: Sequence[str] = ()) -> DataFrame:
+    """Best field wins: the largest boosted field score. must: columns of docs and queries that agree; they
+    restrict results, statistics stay corpus-wide. ``where``: an index, or documents to be indexed for this
+    search alone."""
+    if isinstance(where, DataFrame):
+        where = build_index(where, [f for f, b in boosts.items() if b > 0], attributes=must)
+    return search_index(where, queries, k, boosts, must).ranked
 
 
 def rrf(first: DataFrame, second: DataFrame, k: int, constant: int = RRF_K) -> DataFrame:
@@ -187,19 +161,21 @@ def hits(ranked: DataFrame) -> DataFrame:
     return rows.select("query_id", F.col("_h.doc_id").alias("hit_ids"), F.col("_h.score").alias("hit_scores"))
 
 
-def search(kind: str, docs: DataFrame, vecs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """One entry for all configurations; docs and vecs share ids."""
+def search(kind: str, docs: DataFrame, vecs: DataFrame, queries: DataFrame, k: int = 10, index: KeywordIndex | None = None) -> DataFrame:
+    """One entry for all configurations; docs and vecs share ids. index: of the docs' question and answer, if
+    there is one."""
     keyword = {"bm25_default": {"question": 1.0, "answer": 0.0}, "bm25_balanced": {"question": 1.0, "answer": 1.0}, "bm25_answer": {"question": 0.0, "answer": 1.0}}
+    where = docs if index is None else index
     if kind in keyword:
-        return bm25(docs, queries, k, keyword[kind])
+        return bm25(where, queries, k, keyword[kind])
     if kind == "vector":
         return knn(vecs, queries, k)
     if kind == "topic_filtered":
         return knn(vecs, queries, k, must=["topic"])
     if kind == "hybrid_rrf":
-        return rrf(knn(vecs, queries, k), bm25(docs, queries, k, keyword["bm25_answer"]), k)
+        return rrf(knn(vecs, queries, k), bm25(where, queries, k, keyword["bm25_answer"]), k)
     if kind == "hybrid_minmax":
-        return minmax_fusion(knn(vecs, queries, 2 * k), bm25(docs, queries, 2 * k, keyword["bm25_answer"]), k)
+        return minmax_fusion(knn(vecs, queries, 2 * k), bm25(where, queries, 2 * k, keyword["bm25_answer"]), k)
     if kind == "vector_reranked":
         return rerank(knn(vecs, queries, 3 * k), queries, docs, k)
     raise ValueError(f"unknown configuration {kind}")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import metrics as M
 from ..operators import evaluation as E
 from ..operators import retrieval as R
-from ..operators.corpus import corpus, known_items, passages, read, vectors
+from ..operators.corpus import corpus, keyword_index, known_items, passages, read, vectors
 from . import sql as S
 
 ANSWER = {"question": 0.0, "answer": 1.0}
@@ -18,7 +18,7 @@ CONFIGS = ("bm25", "hybrid", "vector")
 def result_rows(spark: SparkSession, sf: str, configs: tuple[str, ...] = CONFIGS) -> DataFrame:
     docs, vecs = corpus(spark, sf), vectors(spark, sf)
     asked = E.with_kind(known_items(spark, sf)).withColumn("expected_id", F.col("query_id"))
-    v, b = R.knn(vecs, asked, 10), R.bm25(docs, asked, 10, ANSWER)
+    v, b = R.knn(vecs, asked, 10), R.bm25(keyword_index(spark, sf), asked, 10, ANSWER)
     lists = {"vector": v, "bm25": b, "hybrid": R.rrf(v, b, 10)}
     queries = asked.select("query_id", "expected_id", "course", "topic", "query_type")
     return E.all_rows([E.results(lists[c], queries, docs.select("id", "course"), c) for c in configs])
@@ -42,7 +42,7 @@ def models(spark: SparkSession, sf: str) -> DataFrame:
 def matrix(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates retrieved once, reranked by several scorers."""
     docs, asked = corpus(spark, sf), known_items(spark, sf)
-    pool = R.bm25(docs, asked, 40, ANSWER)
+    pool = R.bm25(keyword_index(spark, sf), asked, 40, ANSWER)
     scorers = {"overlap_answer": "answer", "overlap_question": "question"}
     return E.all_rows([R.rerank(pool, asked, docs, 5, text=t).withColumn("reranker", F.lit(n)) for n, t in scorers.items()])
 
@@ -81,7 +81,7 @@ QUERIES = {
     "failure_bundle": bundle,
     "leaderboard": lambda s, d: E.leaderboard(E.summarize(result_rows(s, d), "config")),
     "results_join": lambda s, d: E.joined_results(E.stored_results(result_rows(s, d)), corpus(s, d)),
-    "diverse_retrieve": lambda s, d: R.diverse(R.bm25(corpus(s, d), passages(s, d), 40, ANSWER), corpus(s, d), 10, 4, "section"),
+    "diverse_retrieve": lambda s, d: R.diverse(R.bm25(keyword_index(s, d), passages(s, d), 40, ANSWER), corpus(s, d), 10, 4, "section"),
     "projection": lambda s, d: R.project(vectors(s, d)),
 }
 
@@ -141,7 +141,7 @@ ORACLES = {
     "summary_upsert": _w(_res(), f"m AS ({_sum('res', 'config')})") + "SELECT config, mrr, CASE WHEN config = 'bm25' THEN 1 ELSE 2 END AS version FROM m",
     "rerank_matrix": S.with_(S.BASE, S.bm25("b40", 40, ANSWER), S.rerank("ra", "b40", 5), S.rerank("rq", "b40", 5).replace("lower(answer)", "lower(question)")) + "SELECT *, 'overlap_answer' AS reranker FROM ra UNION ALL SELECT *, 'overlap_question' FROM rq",
     "failure_bundle": _w(_res()) + """SELECT 'failures' AS part, count(*) AS n FROM res WHERE rank IS NULL UNION ALL SELECT 'successes', count(*) FROM res WHERE rank IS NOT NULL
-  UNION ALL SELECT 'topic_failure_rates', count(DISTINCT topic) FROM res UNION ALL SELECT 'contamination', count(*) FROM res WHERE top_course <> '' AND top_course <> course
+  UNION ALL SELECT 'topic_failure_rates', (SELECT count(*) FROM (SELECT DISTINCT topic FROM res)) UNION ALL SELECT 'contamination', count(*) FROM res WHERE top_course <> '' AND top_course <> course
   UNION ALL SELECT 'hard_queries', count(*) FROM (SELECT query_id FROM res WHERE rank IS NULL GROUP BY query_id HAVING count(DISTINCT config) = 3)
   UNION ALL SELECT 'disagreements', count(*) FROM (SELECT query_id FROM res WHERE top_id IS NOT NULL GROUP BY query_id HAVING count(DISTINCT top_id) > 1) UNION ALL SELECT 'score_separation', count(DISTINCT config) FROM res""",
     "leaderboard": _w(_res(), f"m AS ({_sum('res', 'config')})") + "SELECT config, mrr, row_number() OVER (ORDER BY mrr DESC, config)::INT AS place, ntile(2) OVER (ORDER BY mrr DESC, config)::INT AS half FROM m",

@@ -11,7 +11,7 @@ from ..functions.text import uuid5_dns
 from ..operators import ablation as B
 from ..operators import generate as G
 from ..operators import retrieval as R
-from ..operators.corpus import corpus, known_items, passages, read, vectors
+from ..operators.corpus import corpus, keyword_index, known_items, passages, read, vectors
 from ..sources import scans
 from ..sources.scratch import folder
 from ..streaming import run, usage
@@ -31,7 +31,7 @@ KIND = "CASE doc_id % 4 WHEN 0 THEN 'original' WHEN 1 THEN 'grounded_analyst' WH
 
 
 def contexts(s: SparkSession, d: str) -> DataFrame:
-    return G.pack_context(R.bm25(corpus(s, d), passages(s, d), 10, ANSWER), corpus(s, d))
+    return G.pack_context(R.bm25(keyword_index(s, d), passages(s, d), 10, ANSWER), corpus(s, d))
 
 
 def prompts(s: SparkSession, d: str) -> DataFrame:

@@ -1,4 +1,5 @@
-"""Sinks: all atomic per job through Spark's commit protocol."""
+"""Sinks: each write is one job of Spark's commit protocol; tables that are replaced keep their versions, and
+streams write a folder a batch, so that neither a crash nor a replay loses or doubles rows."""
 
 from __future__ import annotations
 
@@ -25,22 +26,53 @@ def write_index(docs: DataFrame, metadata: DataFrame, path: str) -> int:
     return n
 
 
-def write_postings(postings: DataFrame, name: str, buckets: int = 64) -> None:
-    """The inverted index as a table bucketed by term, so query terms join it without a shuffle of it."""
-    postings.write.mode("overwrite").bucketBy(buckets, "term").sortBy("term").saveAsTable(name)
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def upsert_summaries(spark: SparkSession, new: DataFrame, path: str, keys: tuple[str, ...] = ("model", "config")) -> None:
-    """Rows with the same keys are replaced; written beside and read back before the swap."""
-    from pyspark.errors import AnalysisException
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), spark._jvm.org.apache.hadoop.fs.Path
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """The folder of a versioned table's rows: the newest version whose writing ended. Versions are numbered
+    folders, each written whole and closed by Spark's ``_SUCCESS``; none is ever changed."""
+    if not exists(spark, path):
+        return None
+    fs, Path = _fs(spark, path)
+    numbers = sorted((int(s.getPath().getName()[2:]) for s in fs.listStatus(Path(path)) if s.getPath().getName().startswith("v=")), reverse=True)
+    return next((f"{path}/v={n}" for n in numbers if fs.exists(Path(f"{path}/v={n}/_SUCCESS"))), None)
+
+
+def replace_table(df: DataFrame, path: str, keep: int = 2) -> str:
+    """Make ``df``, which may read the table itself, the table's new version. Readers go on with the version
+    they opened; a crash at any point leaves the last whole version the current one. The ``keep`` newest
+    versions stay. One writer at a time."""
+    spark = df.sparkSession
+    fs, Path = _fs(spark, path)
+    numbers = sorted(int(s.getPath().getName()[2:]) for s in fs.listStatus(Path(path)) if s.getPath().getName().startswith("v=")) if exists(spark, path) else []
+    new = f"{path}/v={(numbers[-1] if numbers else 0) + 1}"
+    df.write.parquet(new)
+    whole = [n for n in numbers if fs.exists(Path(f"{path}/v={n}/_SUCCESS"))]
+    for n in numbers:
+        if n not in whole[len(whole) - keep + 1 :]:
+            fs.delete(Path(f"{path}/v={n}"), True)
+    return new
+
 
-    try:
-        merged = upsert(spark.read.parquet(path), new, list(keys))
-    except AnalysisException:
-        merged = new
-    staged = f"{path}.next"
-    merged.write.mode("overwrite").parquet(staged)
-    spark.read.parquet(staged).write.mode("overwrite").parquet(path)
+def read_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The current version of a table, null if there is none."""
+    now = current(spark, path)
+    return None if now is None else spark.read.parquet(now)
+
+
+def upsert_summaries(spark: SparkSession, new: DataFrame, path: str, keys: tuple[str, ...] = ("model", "config")) -> None:
+    """Rows with the same keys are replaced. ``new`` must have the table's columns: whatever fails, the table
+    stays as it was."""
+    old = read_table(spark, path)
+    replace_table(new if old is None else upsert(old, new, list(keys)), path)
 
 
 def replace_run(rows: DataFrame, path: str, run_id: str) -> None:
@@ -50,19 +82,49 @@ def replace_run(rows: DataFrame, path: str, run_id: str) -> None:
 
 
 def append_new(rows: DataFrame, path: str, key: str) -> int:
-    """Append the rows whose key is not stored yet; how many were new."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        rows = rows.join(rows.sparkSession.read.parquet(path).select(key), key, "left_anti")
-    except AnalysisException:
-        pass
+    """Append the rows whose key is not stored yet, one of each key; how many were new."""
+    spark = rows.sparkSession
+    rows = rows.dropDuplicates([key])
+    if exists(spark, path):
+        rows = rows.join(spark.read.parquet(path).select(key), key, "left_anti")
     n = rows.count()
     if n:
         rows.write.mode("append").parquet(path)
     return n
 
 
+def batch_sink(path: str, key: str | None = None):
+    """A function for ``foreachBatch`` whose batches count once, however often they are replayed: batch n goes
+    to its own folder ``batch=n`` of ``path``. A folder that was written whole is left alone; a torn one is
+    written anew. ``key``: rows whose key an earlier batch has are left out."""
+
+    def write(rows: DataFrame, batch: int) -> None:
+        spark = rows.sparkSession
+        fs, Path = _fs(spark, path)
+        mine = f"{path}/batch={batch}"
+        if fs.exists(Path(f"{mine}/_SUCCESS")):
+            return
+        if key is not None:
+            rows = rows.dropDuplicates([key])
+            before = batches(spark, path, batch)
+            if before is not None:
+                rows = rows.join(before.select(key), key, "left_anti")
+        rows.write.mode("overwrite").parquet(mine)
+
+    return write
+
+
+def batches(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The rows of all batches that were written whole (those with smaller numbers than ``before``); null if
+    there are none."""
+    if not exists(spark, path):
+        return None
+    fs, Path = _fs(spark, path)
+    numbers = sorted(int(s.getPath().getName()[6:]) for s in fs.listStatus(Path(path)) if s.getPath().getName().startswith("batch="))
+    whole = [f"{path}/batch={n}" for n in numbers if (before is None or n < before) and fs.exists(Path(f"{path}/batch={n}/_SUCCESS"))]
+    return spark.read.parquet(*whole) if whole else None
+
+
 def write_terms(tops: DataFrame, path: str) -> None:
     tops.write.mode("overwrite").csv(path, header=True)
 

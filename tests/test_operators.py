@@ -2,19 +2,24 @@
 
 import json
 import math
+import os
+import random
+import re
 import uuid
 from difflib import SequenceMatcher
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lodestone.functions import metrics as M
 from lodestone.functions import text as T
-from lodestone.operators import ablation, audit, dedup, evaluation, generate, retrieval, sampling, tfidf, topics
-from lodestone.operators.corpus import corpus, known_items, passages, vectors
+from lodestone.operators import ablation, audit, dedup, evaluation, generate, keyword, retrieval, sampling, tfidf, topics
+from lodestone.operators.corpus import corpus, keyword_index, known_items, passages, vectors
 from lodestone.plans import operations
 from lodestone.sources import scans, sinks
 
@@ -119,11 +124,34 @@ def plain_greedy(rows, threshold):
     return out
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.text("abc ", min_size=0, max_size=12), max_size=8))
-def test_greedy_prefilter_changes_nothing(texts):
-    rows = list(enumerate(texts))
-    assert dedup.greedy_pairs(rows, 0.8) == plain_greedy(rows, 0.8)
+@settings(max_examples=300, deadline=None)
+@given(st.text("abcdefgh ", max_size=60), st.lists(st.tuples(st.integers(0, 60), st.text("abcxyz", max_size=3)), max_size=4), st.sampled_from([0.5, 0.8, 0.95]), st.sampled_from([1, 8]))
+def test_comparison_bounds_change_nothing(text, edits, threshold, times):
+    """Edited copies, short ones and such as are long enough for frequent characters to be ignored."""
+    left = right = text * times
+    for at, put in edits:
+        right = right[:at] + put + right[at + 1 :]
+    ratio = SequenceMatcher(None, left, right).ratio()
+    want = [(1, 2, ratio)] if ratio >= threshold and left + right else []
+    got = dedup._tile(pd.DataFrame({"id": [1, 2], "text": [left, right], "side": [0, 0]}), threshold)
+    assert list(got.itertuples(index=False, name=None)) == want
+
+
+def test_greedy_in_tiles_matches_plain_greedy(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "TILE_DOCS", 3)
+    rng = random.Random(2)
+    base = ["".join(rng.choice("abcdefghij ") for _ in range(60)).strip() for _ in range(4)]
+    rows = []
+    for i in range(90):
+        text = list(rng.choice(base))
+        for _ in range(rng.randint(0, 6)):
+            text[rng.randrange(len(text))] = rng.choice("abcxyz")
+        rows.append((i, "".join(text[: rng.randint(50, 60)]), rng.choice("pq")))
+    heads = spark.createDataFrame(rows, "id long, text string, block string")
+    for threshold in (0.8, 0.9):
+        got = dedup.greedy(dedup.similar_pairs(heads, threshold)).collect()
+        want = [x for block in "pq" for x in plain_greedy([(i, t) for i, t, b in rows if b == block], threshold)]
+        assert len(want) > 20 and sorted(map(tuple, got)) == sorted(want)
 
 
 def test_near_duplicates_scoped_and_global(spark):
@@ -314,13 +342,112 @@ def test_sinks(spark, tmp_path):
         sinks.upsert_summaries(spark, spark.createDataFrame([("m", "c", v)], "model string, config string, v int"), str(tmp_path / "s"))
         sinks.replace_run(spark.createDataFrame([(v,)], "v int"), str(tmp_path / "r"), "one")
         sinks.replace_run(spark.createDataFrame([(9,)], "v int"), str(tmp_path / "r"), "two")
-    assert [r.v for r in spark.read.parquet(str(tmp_path / "s")).collect()] == [2]
+    assert [r.v for r in sinks.read_table(spark, str(tmp_path / "s")).collect()] == [2]
     assert {(r.v, r.run_id) for r in spark.read.parquet(str(tmp_path / "r")).collect()} == {(2, "one"), (9, "two")}
     assert [sinks.append_new(docs, str(tmp_path / "a"), "id") for _ in range(2)] == [2, 0]
     sinks.log_run(spark, str(tmp_path / "log"), "r1", {"mrr": 0.5}, {"k": "v"})
     assert spark.read.parquet(str(tmp_path / "log")).count() == 2
 
 
+def test_replaced_tables_survive_errors_and_crashes(spark, tmp_path):
+    path, ddl = str(tmp_path / "t"), "model string, config string, v int"
+    assert sinks.read_table(spark, path) is None
+    rows = lambda: sorted(map(tuple, sinks.read_table(spark, path).collect()))
+    sinks.upsert_summaries(spark, spark.createDataFrame([("m", "a", 1), ("m", "b", 1)], ddl), path)
+    with pytest.raises(AnalysisException):
+        sinks.upsert_summaries(spark, spark.createDataFrame([("m", "c")], "model string, config string"), path)
+    assert rows() == [("m", "a", 1), ("m", "b", 1)]
+    # A version that was being written when the driver was lost: no _SUCCESS, so the one before stays current.
+    torn = tmp_path / "t" / "v=2"
+    torn.mkdir()
+    (torn / "part-0.parquet").write_bytes(b"torn")
+    assert rows() == [("m", "a", 1), ("m", "b", 1)]
+    old = sinks.read_table(spark, path)
+    for v in (2, 3):
+        sinks.upsert_summaries(spark, spark.createDataFrame([("m", "b", v)], ddl), path)
+        assert rows() == [("m", "a", 1), ("m", "b", v)]
+        if v == 2:
+            assert old.filter("v = 1").count() == 2  # a reader keeps its version
+    assert sorted(p.name for p in (tmp_path / "t").iterdir()) == ["v=3", "v=4"]
+    with pytest.raises(AnalysisException):
+        sinks.append_new(spark.createDataFrame([(1,)], "other long"), path, "id")
+
+
+def test_stream_batches_count_once(spark, tmp_path):
+    """The driver is lost after a batch is written and before the stream has noted it; later a batch is torn."""
+    source, out, at = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "at")
+    for i in range(3):
+        spark.createDataFrame([(i, "x"), (i + 1, "y")], "id long, t string").coalesce(1).write.mode("append").parquet(str(source))
+    sink, lost = sinks.batch_sink(out, "id"), []
+
+    def crash(rows, batch):
+        sink(rows, batch)
+        if batch == 1 and not lost:
+            lost.append(batch)
+            raise RuntimeError("the driver is lost here")
+
+    def run(write):
+        stream = spark.readStream.schema("id long, t string").option("maxFilesPerTrigger", 1).parquet(str(source))
+        return stream.writeStream.option("checkpointLocation", at).trigger(availableNow=True).foreachBatch(write).start()
+
+    with pytest.raises(Exception, match="lost"):
+        run(crash).awaitTermination()
+    run(crash).awaitTermination()
+    assert lost == [1] and sorted(r.id for r in sinks.batches(spark, out).collect()) == [0, 1, 2, 3]
+    os.remove(f"{out}/batch=2/_SUCCESS")
+    assert sinks.batches(spark, out).count() < 4
+    sink(spark.createDataFrame([(2, "x"), (3, "y")], "id long, t string"), 2)
+    sink(spark.createDataFrame([(9, "never")], "id long, t string"), 2)
+    assert sorted(r.id for r in sinks.batches(spark, out).collect()) == [0, 1, 2, 3]
+
+
+def plain_bm25(docs, queries, k, boosts, must):
+    """docs, queries: dicts. The formula, document by document."""
+    split = lambda t: re.findall(r"\w+", (t or "").lower())
+    scores = {}
+    for field, boost in boosts.items():
+        words = {d["id"]: split(d[field]) for d in docs}
+        mean = sum(map(len, words.values())) / len(docs)
+        for q in queries:
+            for d in docs:
+                total = 0.0
+                for t in split(q["query_text"]):
+                    tf, df = words[d["id"]].count(t), sum(t in w for w in words.values())
+                    total += math.log(1 + (len(docs) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(words[d["id"]]) / mean)) if tf else 0.0
+                if total and all(q[m] is not None and q[m] == d[m] for m in must):
+                    key = (q["query_id"], d["id"])
+                    scores[key] = max(scores.get(key, 0.0), boost * total)
+    out = []
+    for q in {q["query_id"] for q in queries}:
+        best = sorted((-round(s, 6), d) for (x, d), s in scores.items() if x == q)[:k]
+        out += [(q, i + 1, d, -s) for i, (s, d) in enumerate(best)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("boosts,must", [({"a": 1.0}, []), ({"a": 2.0, "b": 1.0}, []), ({"b": 1.0}, ["lang"])])
+def test_keyword_index_matches_plain_scores_and_skips_blocks(spark, boosts, must):
+    rng = random.Random(6)
+    text = lambda n: " ".join(rng.choice("abcdefghijklmnop") + rng.choice("xyz") for _ in range(n))
+    docs = [{"id": i, "a": rng.choice([None, "", text(rng.randint(1, 8))]), "b": text(rng.randint(0, 40)), "lang": rng.choice(["en", "de", None])} for i in range(300)]
+    docs += [dict(docs[7], id=1000 + i) for i in range(12)]  # ties
+    queries = [{"query_id": i, "query_text": rng.choice([None, "nothing here", text(1), text(3), text(12) + " ax ax"]), "lang": rng.choice(["en", "de", None])} for i in range(25)]
+    df = spark.createDataFrame([tuple(d.values()) for d in docs], "id long, a string, b string, lang string")
+    asked = spark.createDataFrame([tuple(q.values()) for q in queries], "query_id long, query_text string, lang string")
+    index = keyword.build_index(df, ["a", "b"], attributes=["lang"], size=4)
+    found = keyword.search_index(keyword.open_index(spark, index.path), asked, 5, boosts, must, 2)
+    got = sorted(map(tuple, found.ranked.collect()))
+    want = plain_bm25(docs, queries, 5, boosts, must)
+    assert [r[:3] for r in got] == [r[:3] for r in want] and all(abs(a[3] - b[3]) < 2e-6 for a, b in zip(got, want))
+    scored = found.first.unionByName(found.later)
+    assert scored.count() == scored.distinct().count() < found.bounded.count()
+
+
+def test_blocks_skipped_on_given_tables(spark):
+    sf = "/root/testdata/sf0.01"
+    found = keyword.search_index(keyword_index(spark, sf), known_items(spark, sf), 10, {"answer": 1.0}, blocks=4)
+    assert found.first.count() + found.later.count() < 0.7 * found.bounded.count()
+
+
 def test_quarantine(spark):
     docs = spark.createDataFrame([("1", "q", "a", "c"), ("2", " ", "a", None)], "id string, question string, answer string, course string")
     good, bad = audit.quarantine(docs, ["id", "question", "answer", "course"])
