@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import ship, small_batches, table
 from .wordhash import parts
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -117,6 +117,7 @@ def format_chats(rows: DataFrame, path: str) -> DataFrame:
     """(conv_id, formatted, ids, offsets, loss, spans) of each conversation of rows (conv_id, turn, role, text):
     token ids, their character offsets in the formatted text, whether each has loss and the characters that
     do. ``path``: a tokenizer's file."""
+    ship(rows.sparkSession)
     alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     kind = {f.name: f.dataType.simpleString() for f in rows.schema}["conv_id"]

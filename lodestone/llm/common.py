@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,6 +34,10 @@ def materialize(df: DataFrame, name: str, used: list[str] | None = None) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Names in the session's catalog of bucketed scratch tables, by their paths.
+_named: dict[str, str] = {}
+
+
 def bucketed(df: DataFrame, name: str, by: Sequence[str], used: list[str]) -> DataFrame:
     """Write ``df`` to the shared scratch folder by buckets, so that joins on ``by`` move none of it."""
     spark = df.sparkSession
@@ -41,12 +45,15 @@ def bucketed(df: DataFrame, name: str, by: Sequence[str], used: list[str]) -> Da
     df.repartition(n, *by).write.bucketBy(n, *by).sortBy(*by).option("path", path).saveAsTable(called)
     drop_at_exit(spark, path)
     used.append(path)
+    _named[path] = called
     return spark.table(called)
 
 
 def remove(spark: SparkSession, used: list[str]) -> None:
     """Delete scratch tables that no result depends on any more."""
     for path in used:
+        if called := _named.pop(path, None):
+            spark.sql(f"DROP TABLE IF EXISTS {called}")
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
     used.clear()
@@ -59,6 +66,12 @@ def hidden(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return df.toDF(*names.values()), names
 
 
+def orderable(df: DataFrame, names: Iterable[str]) -> list[Column]:
+    """Columns that put rows in an order of their own: all that have one."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    return [F.col(c) for c in names if not any(x in kinds[c] for x in ("map<", "variant"))] or [F.lit(0)]
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -4,9 +4,10 @@ Known words are scored by their log frequency in each language; a word known in
 its character n-grams, from the longest order down to the first at which any of them is known. A
 text's language is the one with the largest mean score over its words.
 
-Fitted on a bounded sample: about ``DOCS`` learnable documents per language, drawn by a hash of the
-id, for the ``LANGS`` commonest languages; all words and n-grams of the sample are kept. Each text is scored
-whole. A word is a run of letters; numerals such as superscripts are none.
+Fitted on a bounded sample: about ``DOCS`` learnable documents of each language, drawn by a hash of the
+id, or fewer of each where that would make more than ``ALL_DOCS``; every language is learnt, and all words and
+n-grams of the sample are kept. Tables hold what was counted, (n-gram, language) by (n-gram, language); what
+was not counted has one frequency a language. Each text is scored whole. A word is a run of letters; numerals such as superscripts are none.
 
 Defined results: null, empty and letterless texts are ``und`` with score 0; ties go to the
 language first in code-point order; repeated rows are scored each; with nothing to learn from, every
@@ -27,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import ship, small_batches, table
 from .wordhash import parts
 
-DOCS, LANGS, ORDERS = 1500, 1000, (5, 4, 3, 2, 1)
+DOCS, ALL_DOCS, ORDERS = 1500, 100_000, (5, 4, 3, 2, 1)
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Words whose scores a Python worker remembers, and bytes of those scores.
 CACHE_WORDS, CACHE_BYTES = 200_000, 16_000_000
@@ -53,21 +54,32 @@ def _word_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class Table(dict):
-    """gram -> row of ``scores``, its log frequency in each language."""
+    """gram -> its place: ``langs`` and ``logs`` from ``edges[place]`` to the next edge are the languages it was
+    counted in and its log frequencies there; ``rest`` is the log frequency of an uncounted gram by language."""
 
-    def __init__(self, counts: dict[str, list[int]], langs: int):
+    def __init__(self, counts: dict[str, dict[int, int]], langs: int):
         super().__init__((g, i) for i, g in enumerate(counts))
-        found = np.array(list(counts.values()), dtype=np.float64).reshape(len(counts), langs) + 0.5
-        self.scores = np.log(found / found.sum(axis=0)).astype(np.float32)
+        self.edges = np.concatenate([[0], np.cumsum([len(c) for c in counts.values()])]).astype(np.int64)
+        self.langs = np.fromiter((i for c in counts.values() for i in c), dtype=np.int32, count=self.edges[-1])
+        found = np.fromiter((n for c in counts.values() for n in c.values()), dtype=np.float64, count=self.edges[-1])
+        total = np.bincount(self.langs, found, minlength=langs) + 0.5 * max(1, len(counts))
+        self.logs = np.log((found + 0.5) / total[self.langs]).astype(np.float32)
+        self.rest = np.log(0.5 / total).astype(np.float32)
 
     def __reduce__(self):
-        return _table, (dict(self), self.scores)
+        return _table, (dict(self), self.edges, self.langs, self.logs, self.rest)
 
+    def scores(self, place: int) -> np.ndarray:
+        """Log frequency of a gram in each language."""
+        out, a, b = self.rest.copy(), self.edges[place], self.edges[place + 1]
+        out[self.langs[a:b]] = self.logs[a:b]
+        return out
 
-def _table(rows: dict[str, int], scores: np.ndarray) -> Table:
+
+def _table(places: dict[str, int], *arrays: np.ndarray) -> Table:
     out = Table.__new__(Table)
-    out.update(rows)
-    out.scores = scores
+    out.update(places)
+    out.edges, out.langs, out.logs, out.rest = arrays
     return out
 
 
@@ -79,13 +91,13 @@ class Model:
 
     def score_word(self, word: str) -> np.ndarray:
         if (row := self.words.get(word)) is not None:
-            return self.words.scores[row]
+            return self.words.scores(row)
         padded = f"^{word}$"
         for n in ORDERS:
             table_ = self.grams[n]
             found = [row for i in range(len(padded) - n + 1) if (row := table_.get(padded[i : i + n])) is not None]
             if found:
-                return table_.scores[found].mean(axis=0)
+                return np.mean([table_.scores(row) for row in found], axis=0)
         return np.zeros(len(self.langs))
 
 
@@ -123,35 +135,38 @@ class Known(dict):
         return cls.last
 
 
-def fit(docs: DataFrame, docs_per_lang: int = DOCS, languages: int = LANGS) -> Model:
+def fit(docs: DataFrame, docs_per_lang: int = DOCS, all_docs: int = ALL_DOCS) -> Model:
     """docs: learnable rows (doc_id, text, lang). The counts of the sample's words go to the driver, which
-    is bounded by docs_per_lang documents of each of ``languages`` languages."""
+    is bounded by docs_per_lang documents of each language and about ``all_docs`` in all. Languages are those
+    the sample has words of."""
+    ship(docs.sparkSession)
     docs = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sizes = {r[0]: r[1] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
-    langs = sorted(sizes)
+    sizes = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    each = min(docs_per_lang, max(1, all_docs // max(1, sizes.count())))
+    drawn = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 20)) < F.least(F.lit(1.0), each / F.col("_n")) * (1 << 20)
+    sample = docs.select("doc_id", "text", "lang").join(sizes, "lang").filter(drawn)
+    counted = sample.select("text", "lang").mapInPandas(_word_counts, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    langs = sorted(counted.column("lang").unique().to_pylist())
     at = {lang: i for i, lang in enumerate(langs)}
-    words: dict[str, list[int]] = {}
-    grams: dict[int, dict[str, list[int]]] = {n: {} for n in ORDERS}
-    if langs:
-        share = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(min(1.0, docs_per_lang / sizes[lang])))])
-        sample = docs.filter(F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
-        counted = sample.select("text", "lang").mapInPandas(_word_counts, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-        for batch in counted.to_batches(10_000):
-            for lang, word, n in zip(*(c.to_pylist() for c in batch.columns)):
-                words.setdefault(word, [0] * len(langs))[at[lang]] = n
-        for word, counts in words.items():
-            padded = f"^{word}$"
-            for n, table_ in grams.items():
-                for i in range(len(padded) - n + 1):
-                    held = table_.setdefault(padded[i : i + n], [0] * len(langs))
-                    for j, c in enumerate(counts):
-                        held[j] += c
+    words: dict[str, dict[int, int]] = {}
+    grams: dict[int, dict[str, dict[int, int]]] = {n: {} for n in ORDERS}
+    for batch in counted.to_batches(10_000):
+        for lang, word, n in zip(*(c.to_pylist() for c in batch.columns)):
+            words.setdefault(word, {})[at[lang]] = n
+    for word, counts in words.items():
+        padded = f"^{word}$"
+        for n, table_ in grams.items():
+            for i in range(len(padded) - n + 1):
+                held = table_.setdefault(padded[i : i + n], {})
+                for j, c in counts.items():
+                    held[j] = held.get(j, 0) + c
     return Model(langs, Table(words, len(langs)), {n: Table(g, len(langs)) for n, g in grams.items()})
 
 
 def predict(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
     """docs (text, *carry) with lang_pred and score."""
     spark = docs.sparkSession
+    ship(spark)
     shared = spark.sparkContext.broadcast(model)  # bounded as the fitting sample is
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}
 

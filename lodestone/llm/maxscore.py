@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import parts_for, table
+from .common import parts_for, ship, table
 
 SHARD_ROWS = 8192
 QUERY_ROWS = 2048
@@ -103,6 +103,7 @@ def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """rows, queries: (id long, v array<long>). Returns (query_id, rank, vec_id, score)."""
+    ship(rows.sparkSession)
     shards, blocks = parts_for(rows.count(), shard_rows), parts_for(queries.count(), query_rows)
     left = rows.select("id", "v", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(shards)).alias("_s"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_q"))
     right = queries.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("_q").cast("int"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("_s"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, parts_for, table
+from .common import materialize, parts_for, ship, table
 
 FANOUT, DEPTH = 8, 4
 
@@ -224,6 +224,7 @@ def manifest(leaves: DataFrame, group: str, key: str, shape: Shape = Shape()) ->
     """(group, key, leaf, subroot, root, proof_sha256, folded_root, verified) of every row of leaves (group,
     key, leaf, at_hand), digests of 32 bytes: ``at_hand`` is the leaf of the row as it is found now, folded up
     through the manifest's siblings; the row is verified if that gives the manifest's root."""
+    ship(leaves.sparkSession)
     rows = numbered(leaves.select(group, key, "leaf", "at_hand"), group, key)
     trees = grow(rows.select(F.col(group).alias("tree"), "pos", "nodes", F.col("leaf").alias("digest"), F.col(key).alias("key"), "at_hand"), "merkle-blocks", shape)
     # The tree of the groups' roots: its leaves are numbered like rows.

@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import gapless_rank, hidden, materialize, parts_for, table, word_count
+from .common import gapless_rank, hidden, materialize, orderable, parts_for, table, word_count
 
 MAX_SOURCES = 10_000
 ROWS_PER_BUCKET = 50_000
@@ -163,7 +163,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = CAP) ->
     on = lambda p: doc.eqNullSafe(p["_d"]) & source.eqNullSafe(p["_o"]) & (F.col("_z") == p["_s"]) & (F.col("_m") == p["_n"])
     both = rows.join(single, on(single)).withColumn("_k", F.col("_all").cast("int"))
     alike = rows.join(several, on(several))
-    turn = F.row_number().over(Window.partitionBy("_d", "_o", "_s", "_n").orderBy(F.lit(0))) - 1
+    turn = F.row_number().over(Window.partitionBy("_d", "_o", "_s", "_n").orderBy(*orderable(rows, name.values()))) - 1
     alike = alike.withColumn("_t", turn).withColumn("_k", (F.floor(F.col("_all") / F.col("_rows")) + (F.col("_t") < F.col("_all") % F.col("_rows")).cast("long")).cast("int")).drop("_t")
     both = both.unionByName(alike).filter("_k > 0")
     return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_k")))).select(*[F.col(x).alias(c) for c, x in name.items()])

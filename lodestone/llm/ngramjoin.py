@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucketed, materialize, remove, small_batches, table
+from .common import bucketed, materialize, remove, ship, small_batches, table
 from .components import components
 from .wordhash import Words, grams, parts, slices
 
@@ -198,6 +198,7 @@ def jaccard_components(docs: DataFrame, k: int = GRAM, share: tuple[int, int] =
     """docs: (doc_id, text). (doc_id, n_shingles, component_id, class_id, mark, group) of each row: class_id
     is the smallest doc_id with the same words, mark the hash of the text by which the row can be found,
     group one number for each component with words."""
+    ship(docs.sparkSession)
     spark = docs.sparkSession
     big: list[str] = []
     step: list[str] = []

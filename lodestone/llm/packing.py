@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts_for, small_batches, table
+from .common import parts_for, ship, small_batches, table
 from .wordhash import parts, tidy
 
 LENGTH = 4096
@@ -203,14 +203,16 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: i
         del encoder
         tidy()
 
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int = END_ID, group_docs: int = GROUP_DOCS, seed: int = 17) -> DataFrame:
-    """Pieces with sequence_id and offset. sequence_id: the group's number times 2^32 plus the bin's."""
+    """Pieces with sequence_id and offset. sequence_id: the group's number times 2^32 plus the bin's. Rows of
+    one doc_id, or of none, are dealt to groups like any others, each by its place in the table."""
     groups = parts_for(docs.count(), group_docs)
     cut = pieces(docs, tokenizer_path, length, end_id)
-    cut = cut.withColumn("_g", F.pmod(F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1)), "doc_tokens"), F.lit(groups)))
+    cut = cut.withColumn("_g", F.pmod(F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1)), F.monotonically_increasing_id()), F.lit(groups)))
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")

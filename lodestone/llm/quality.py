@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import ship, small_batches, table
 from .langid import held_out
 from .wordhash import tidy
 
@@ -180,6 +180,7 @@ def _collect(df: DataFrame) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Scorer:
     """docs: (doc_id, text); labels: (doc_id, quality), learnable rows only."""
+    ship(docs.sparkSession)
     marks = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("doc_id is not null and quality is not null")
     trusted = docs.join(_sampled(marks.filter("quality = 1"), positives, "trusted"), "doc_id", "left_semi")
     web = _sampled(docs.filter("doc_id is not null"), unlabelled, "web")
@@ -191,6 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
 
 def predict(docs: DataFrame, model: Scorer, carry: list[str]) -> DataFrame:
     """docs (text, *carry) with score and predicted. Carried columns stay in Arrow as they came."""
+    ship(docs.sparkSession)
     names = [*carry, "text"] if "text" not in carry else carry
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}
     at, kept = names.index("text"), len(carry)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, table
+from .common import materialize, ship, small_batches, table
 from .wordhash import parts
 
 BUCKETS = 10_000
@@ -71,6 +71,7 @@ def bucket_ids(words: list[bytes], owned: int, sizes: tuple[int, int], buckets:
 def features(df: DataFrame, key: str, text: str, sizes: tuple[int, int] = (1, 1), buckets: int = BUCKETS, chunk: int = CHUNK_BYTES) -> DataFrame:
     """(key, h1, h2, first, words, n, buckets): one row a chunk. h1 and h2 name the text, ``first`` marks
     its first chunk, ``words`` are those owned, ``buckets`` the n features' as unsigned 16- or 32-bit numbers."""
+    ship(df.sparkSession)
     kind = {f.name: f.dataType.simpleString() for f in df.schema}[key]
     width = np.dtype("<u2") if buckets <= 1 << 16 else np.dtype("<u4")
     body = F.coalesce(F.col(text), F.lit(""))

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import drop_at_exit
-from .common import scratch_dir, small_batches, table
+from .common import scratch_dir, ship, small_batches, table
 from .wordhash import Words, grams, parts, slices, words_of
 
 WINDOW, GRAM, FANOUT = 20, 6, 2
@@ -356,6 +356,7 @@ def few_values(few: DataFrame) -> DataFrame | None:
 
 def remove_repeats(docs: DataFrame, batches: int = BATCHES, with_text: bool = False) -> DataFrame:
     """docs (doc_id, text) fed to a fresh index in ``batches`` runs of rising doc_id."""
+    ship(docs.sparkSession)
     index, key = FingerprintIndex(docs.sparkSession), F.coalesce("doc_id", F.lit(-(1 << 63)))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000)).first()[0] if batches > 1 else []
     cuts = sorted(set(cuts or []))

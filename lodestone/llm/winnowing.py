@@ -8,10 +8,9 @@ a choice shared by windows is kept once. Two texts that share ``w + k - 1`` succ
 fingerprint; positions tell where. A word of more than ``LONG`` characters, or with a character of a script
 that is written without blanks, counts as so many words of one character.
 
-Short texts have few words: those of up to ``2 * SHORT`` characters are winnowed over their characters too
-(items are runs of ``RUN`` characters), those of up to ``SHORT`` over these alone. Items that are characters
-have positions marked ``c``. The two ranges overlap so far that a text and one made of its first half always
-have one kind of item in common.
+Every text is winnowed over its words, whatever its length. Short texts have few of them: those of up to
+``SHORT`` characters are winnowed over their characters as well (items are runs of ``RUN`` characters, and
+their positions are marked ``c``).
 
 Defined results: a text shorter than k items is one gram, one with fewer than w grams one window; null,
 empty and blank texts have no fingerprint, and two such texts are alike (1.0), one such text is unlike
@@ -34,7 +33,7 @@ LONG = 48
 #: Thai and Lao, Burmese, Khmer, kana, Han.
 BLANKLESS = r"[\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}]"
 #: Characters of a short text, and of one of its items.
-SHORT, RUN = 96, 3
+SHORT, RUN = 192, 3
 #: Bits below a hash: the position counted down, so that the rightmost of equal hashes is the smallest,
 #: above it whether items are characters.
 POSITION_BITS = 24
@@ -117,8 +116,7 @@ def winnow(text: Column, k: int = GRAM, w: int = WINDOW) -> Column:
     def both(ws: Column) -> Column:
         n, none = F.length(text), F.array().cast("array<long>")
         words = _chosen(ws, k, w, 0)
-        of_runs = F.when((n <= 2 * SHORT) & (F.size(ws) > 0), _chosen(runs, k, w, 1)).otherwise(none)
-        return F.when(n > 2 * SHORT, words).when(n > SHORT, F.concat(of_runs, words)).otherwise(F.coalesce(of_runs, none))
+        return F.when((n <= SHORT) & (F.size(ws) > 0), F.concat(_chosen(runs, k, w, 1), words)).otherwise(F.coalesce(words, none))
 
     return let(tokens(text), both)
 

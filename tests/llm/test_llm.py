@@ -437,6 +437,32 @@ def test_maxscore_of_large_components_and_several_shards(spark):
         maxscore.top_k(*[big.select("id", maxscore.quantized(maxscore.F.col("e"), 256).alias("v"))] * 2, 5).collect()
 
 
+def test_short_text_shares_fingerprints_with_a_long_one_that_holds_it(spark):
+    """Words are winnowed in texts of any length, so w + k - 1 common words are found across all of them."""
+    short = "the committee met again on a cold day in the old town hall"
+    for pad in (0, 3, 12, 60, 400):
+        long = " ".join([*(f"before{i}" for i in range(pad)), short, *(f"after{i}" for i in range(pad))])
+        row = spark.createDataFrame([(short, long)], "a string, b string").select(winnowing.winnow(winnowing.F.col("a")).alias("a"), winnowing.winnow(winnowing.F.col("b")).alias("b")).first()
+        assert len({x >> 24 for x in row.a} & {x >> 24 for x in row.b}) >= 2
+
+
+def test_packing_deals_rows_without_an_id_over_groups(spark):
+    df = spark.createDataFrame([(None, "same words here")] * 300 + [(7, "same words here")] * 300, "doc_id long, text string")
+    out = packing.pack(df, packing.vocabulary(), group_docs=100).toPandas()
+    groups = out.groupby(out.sequence_id // (1 << 32)).size()
+    assert len(out) == 600 and len(groups) == 6 and groups.max() < 200
+
+
+def test_stages_choose_among_alike_rows_by_their_content(spark):
+    rows = [(1, "one two three four five six", lang, source, 1) for lang, source in (("en", "a"), ("de", "b"), (None, "c"))]
+    stage = dict(corpus_pipeline.STAGES)["n-gram jaccard join"]
+    got = [stage(spark, spark.createDataFrame(part, DOC.replace("text string, lang string", "text string, lang string")), SF).collect() for part in (rows, rows[::-1], rows[1:] + rows[:1])]
+    assert len(got[0]) == 1 and got[0] == got[1] == got[2]
+    many = [(1, "one two three", "en", s, 1) for s in "aab" for _ in range(5)] + [(2, "four", "de", "b", 1)]
+    mixed = [sorted(map(tuple, mixing.mix(spark.createDataFrame(part, DOC)).collect())) for part in (many, many[::-1])]
+    assert mixed[0] == mixed[1]
+
+
 def brute_winnow(text, k=winnowing.GRAM, w=winnowing.WINDOW, short=winnowing.SHORT, run=winnowing.RUN):
     """[(hash's upper 40 bits, position, is of characters)] of a text in order."""
     mask = (1 << 64) - 1
@@ -470,7 +496,7 @@ def brute_winnow(text, k=winnowing.GRAM, w=winnowing.WINDOW, short=winnowing.SHO
     words = [x for x in re.split("[ \t\n\x0b\x0c\r]+", text) if x]
     words = [c for x in words for c in (x if len(x) > winnowing.LONG or re.search(winnowing.BLANKLESS.replace("\\x{20000}-\\x{3FFFF}", "\U00020000-\U0003ffff").replace("\\x{", "\\u").replace("}", ""), x) else [x])]
     runs = [text[i : i + run] for i in range(max(1, len(text) - run + 1))] if words else []
-    return (chosen(runs, True) if len(text) <= 2 * short else []) + (chosen(words, False) if len(text) > short else [])
+    return (chosen(runs, True) if len(text) <= short else []) + chosen(words, False)
 
 
 def test_winnowing_matches_brute_force(spark, docs):
@@ -577,6 +603,17 @@ def test_langid_on_held_out_rows(spark):
     assert (out[out.held_out].lang_pred == out[out.held_out].lang).mean() > 0.97
 
 
+def test_langid_learns_every_language(spark):
+    """1,500 languages of a word of their own and one of all: none is dropped, tables hold what was counted."""
+    name = lambda i: "".join(chr(97 + i // 26**j % 26) for j in range(3))
+    train = [(i, f"{name(i)}x{name(i)[::-1]}q common".replace("0", "a"), f"l{i:04}") for i in range(1500)]
+    model = langid.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    assert len(model.langs) == 1500 and len(model.words.logs) == 3000
+    assert sum(t.logs.nbytes + t.langs.nbytes + t.rest.nbytes for t in [model.words, *model.grams.values()]) < 2_000_000
+    got = langid.predict(spark.createDataFrame(train[:40], "doc_id long, text string, lang string"), model, ["lang"]).collect()
+    assert all(r.lang == r.lang_pred for r in got)
+
+
 def test_langid_knows_letters_from_numerals():
     assert langid.words_of("² ½ ³ 12 ٣ Ⅷ _") == [] and langid.words_of("A²b Été½ x_y 3d") == ["a", "b", "été", "x", "y", "d"]
 
