@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import linededup, mixing, ngramjoin, packing, quality
-from lodestone.llm.common import WORD, hidden, materialize, small_batches, table
+from lodestone.llm.common import WORD, hidden, materialize, orderable, small_batches, table
 from lodestone.llm.langid import held_out
 
 #: Near duplicates: shingles of five words, similarity of 0.8.
@@ -38,7 +38,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id, and of several
-    rows with that doc_id one. Texts without words stay all; of a group without any doc_id one row stays."""
+    rows with that doc_id the first by their columns. Texts without words stay all; of a group without any doc_id one row stays."""
     small_batches(spark)
     groups = ngramjoin.jaccard_components(docs.select("doc_id", "text"), NEAR_GRAM, NEAR_SHARE)
     none = F.lit(-(1 << 63))
@@ -46,7 +46,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, name = hidden(docs)
     doc, text = F.coalesce(F.col(name["doc_id"]).cast("long"), none), F.coalesce(F.col(name["text"]), F.lit(""))
     rows = rows.withColumn("_doc", doc).withColumn("_mark", F.xxhash64(text))
-    again = Window.partitionBy("_doc", "_mark").orderBy(F.lit(0))
+    again = Window.partitionBy("_doc", "_mark").orderBy(*orderable(rows, name.values()))
     first = rows.join(heads, ["_doc", "_mark"]).withColumn("_again", F.row_number().over(again)).filter("_again = 1")
     blank = rows.filter(~text.rlike(WORD))
     return first.select(*name.values()).unionByName(blank.select(*name.values())).toDF(*docs.columns)
