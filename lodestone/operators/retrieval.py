@@ -64,13 +64,13 @@ def _block_scores(corpus: DataFrame, queries: DataFrame, k: int, threshold: floa
     """Blocks of queries meet blocks of vectors as matrix products; each block pair keeps k per query."""
     shards, blocks = max(1, -(-corpus.count() // BLOCK_ROWS)), max(1, -(-queries.count() // BLOCK_QUERIES))
     left = corpus.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("_s"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_q"))
-    right = queries.select("query_id", "v", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("_q"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("_s"))
+    right = queries.select("query_id", F.col("v").alias("asked"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("_q"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("_s"))
 
     def search(have: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
         names = ["query_id", "doc_id", "score"]
         if not len(have) or not len(want):
             return pd.DataFrame({n: [] for n in names})
-        rows, ask = np.stack(have["v"].to_list()).astype(float), np.stack(want["v"].to_list()).astype(float)
+        rows, ask = np.stack(have["v"].to_list()).astype(float), np.stack(want["asked"].to_list()).astype(float)
         rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
         ask /= np.maximum(np.linalg.norm(ask, axis=1, keepdims=True), 1e-300)
         ids, out = have["id"].to_numpy(), []

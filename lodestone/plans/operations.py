@@ -14,7 +14,7 @@ from ..operators import retrieval as R
 from ..operators.corpus import corpus, keyword_index, known_items, passages, read, vectors
 from ..sources import scans
 from ..sources.scratch import folder
-from ..streaming import run, usage
+from ..streaming import limits, run, usage
 from . import sql as S
 from .mining import tagged
 
@@ -73,6 +73,11 @@ def stream_windows(s: SparkSession, d: str) -> DataFrame:
     return run.drain(s, d, "events.parquet", read(s, d, "events"), lambda x: usage.minute_windows(x, "value"), "append", f"{base}/out", f"{base}/ck")
 
 
+def stream_rolling(s: SparkSession, d: str) -> DataFrame:
+    base = f"{folder(s)}/stream-{uuid.uuid4().hex}"
+    return run.drain(s, d, "events.parquet", read(s, d, "events"), lambda x: limits.rolling_stream(x, "user_id", "value", late="0 seconds"), "append", f"{base}/out", f"{base}/ck")
+
+
 def stream_days(s: SparkSession, d: str) -> DataFrame:
     base = f"{folder(s)}/stream-{uuid.uuid4().hex}"
     return run.drain(s, d, "events.parquet", read(s, d, "events"), usage.day_windows, "complete", f"{base}/out", f"{base}/ck")
@@ -128,6 +133,7 @@ QUERIES = {
     "star_set_ops": star_set_ops,
     "star_top_orders": lambda s, d: R.top(read(s, d, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("doc_id"), F.col("o_totalprice").alias("score")), 3),
     "stream_window": stream_windows,
+    "stream_rolling": stream_rolling,
     "stream_days": stream_days,
     "stream_dedupe": stream_once,
     "stream_cooldown": stream_cooldown,
@@ -186,6 +192,7 @@ ORACLES = {
     "star_revenue": "SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
     "star_set_ops": "SELECT 'intersect' AS op, count(*) AS n FROM (SELECT c_custkey FROM customer INTERSECT SELECT o_custkey FROM orders) UNION ALL SELECT 'difference', count(*) FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders) UNION ALL SELECT 'union', count(*) FROM (SELECT c_custkey FROM customer UNION SELECT o_custkey FROM orders)",
     "star_top_orders": S.with_(S.ranked("out", "SELECT o_custkey AS query_id, o_orderkey AS doc_id, o_totalprice AS score FROM orders", 3)) + "SELECT * FROM out",
+    "stream_rolling": "SELECT event_id, count(*) OVER w AS window_requests, round(sum(value) OVER w, 4) AS window_tokens, count(*) OVER w >= 9 OR round(sum(value) OVER w, 4) > 240000 AS limited FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW)",
     "stream_dedupe": "SELECT DISTINCT event_id, event_type FROM events",
     "stream_days": "SELECT (CASE WHEN ts < TIMESTAMP '2024-03-10 10:00:00' OR ts >= TIMESTAMP '2024-11-03 09:00:00' THEN ts - INTERVAL 8 HOURS ELSE ts - INTERVAL 7 HOURS END)::DATE AS day, count(*) AS requests FROM events GROUP BY 1",
     "stream_cooldown": "SELECT user_id, max(ts + INTERVAL 60 SECONDS) AS until FROM events WHERE event_type = 'error' GROUP BY user_id",
