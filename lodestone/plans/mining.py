@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import density
 from ..operators import tfidf as W
 from ..operators import topics as Z
 from ..operators.corpus import corpus, known_items, passages, read, vectors
@@ -30,11 +31,11 @@ def groups(s: SparkSession, d: str) -> int:
 
 
 def tagged(s: SparkSession, d: str) -> DataFrame:
-    """Documents with vectors: topic, and the category of their dictionary entities."""
+    """All documents: topic (-1 without a vector), and the category of their dictionary entities."""
     docs = corpus(s, d)
     rows = Z.tag(docs, Z.entities(docs, "question", PATTERNS))
     rows = rows.withColumn("category", Z.first_strong_category(F.col("ner_labels")))
-    return rows.join(vectors(s, d).select("id", "topic"), "id")
+    return rows.join(vectors(s, d).select("id", "topic"), "id", "left").withColumn("topic", F.coalesce("topic", F.lit(-1)))
 
 
 def assignments(s: SparkSession, d: str) -> DataFrame:
@@ -79,6 +80,7 @@ QUERIES = {
     "cluster_quality": lambda s, d: Z.cluster_quality(vectors(s, d)),
     "outlier_reassign": lambda s, d: Z.reassign_outliers(assignments(s, d), vectors(s, d)),
     "kmeans_topics": lambda s, d: Z.cluster(vectors(s, d), 10),
+    "density_topics": lambda s, d: density.density_topics(vectors(s, d)),
     "ctfidf_terms": lambda s, d: Z.ctfidf(corpus(s, d).join(vectors(s, d).select("id", "topic"), "id"), "topic", "answer"),
     "dense_topics": lambda s, d: Z.dense_topics(assignments(s, d)),
     "subtopics": lambda s, d: Z.subtopics(vectors(s, d)),
@@ -125,9 +127,9 @@ ents AS (SELECT * FROM b2 UNION ALL SELECT h.* FROM hit h WHERE n = 1 AND NOT EX
 
 _TAGGED = f"""{_spans()},
 lists AS (SELECT id, list(label ORDER BY pos) AS labels, list(term ORDER BY pos) AS terms FROM ents GROUP BY id),
-tagged AS (SELECT c.*, v.topic, coalesce(labels, []) AS labels, terms[1] AS ner_primary_entity,
+tagged AS (SELECT c.*, coalesce(v.topic, -1) AS topic, coalesce(labels, []) AS labels, terms[1] AS ner_primary_entity,
   coalesce(list_filter(labels, lambda x: x IN ('ADMIN', 'ERROR', 'TOOL', 'LANGUAGE'))[1], CASE WHEN list_contains(labels, 'CONCEPT') THEN 'CONCEPT' END, 'OTHER') AS category
-  FROM corpus c LEFT JOIN lists USING (id) JOIN vecs v USING (id))"""
+  FROM corpus c LEFT JOIN lists USING (id) LEFT JOIN vecs v USING (id))"""
 _ASSIGN = "asg AS (SELECT v.id, CASE WHEN topic >= 8 THEN -1 ELSE topic END AS topic, v.id % 100 / 100.0::DOUBLE AS topic_probability, course FROM vecs v JOIN corpus c USING (id))"
 _MEASURES = """ms AS (SELECT l_returnflag || '/' || l_linestatus AS model, round(avg((l_quantity > 45)::INT), 4) AS outlier_ratio, round(avg(l_discount), 4) AS keyword_overlap,
   round(avg(CASE WHEN l_quantity > 10 THEN 1.0::DOUBLE ELSE 0.5 END), 4) AS confidence_mean, count(DISTINCT l_suppkey % 15) AS cross_course_topics FROM lineitem GROUP BY 1)"""

@@ -20,13 +20,6 @@ from .mining import tagged
 
 ANSWER = {"question": 0.0, "answer": 1.0}
 TEMPLATE = "Question: {question}\n\nContext:\n{context}\n\nAnswer in a few words."
-REPLIES = [
-    (1, '{"faithfulness": 0.5, "factual_correctness": 1.0}'),
-    (2, 'Sure:\n```json\n{"faithfulness": 1.0, "factual_correctness": 0.25}\n```'),
-    (3, "no scores here"),
-    (4, 'preamble\n{"faithfulness": 0.75}'),
-    (5, '{"faithfulness": broken'),
-]
 KIND = "CASE doc_id % 4 WHEN 0 THEN 'original' WHEN 1 THEN 'grounded_analyst' WHEN 2 THEN 'creative_student' ELSE 'chaos_monkey' END"
 
 
@@ -68,9 +61,19 @@ def loaded_tests(s: SparkSession, d: str) -> DataFrame:
     return scans.test_set(rows, corpus(s, d), {"eng": "en"}).select("id", "expected_id", "course", "query_type", "is_ood")
 
 
+def replies(s: SparkSession, d: str) -> DataFrame:
+    """A judge's reply for each row of the conversations: scores alone, in a fence after the text, none, the
+    first alone on the last line, or broken off."""
+    text = F.coalesce("text", F.lit(""))
+    first = F.concat(F.lit('{"faithfulness": '), (F.length(text) % 5 / 4.0).cast("string"))
+    both = F.concat(first, F.lit(', "factual_correctness": '), (F.col("turn") % 4 / 4.0).cast("string"), F.lit("}"))
+    forms = [both, F.concat(text, F.lit("\n```json\n"), both, F.lit("\n```")), text, F.concat(text, F.lit("\n"), first, F.lit("}")), F.lit('{"faithfulness": broken')]
+    return read(s, d, "conversations").select("conv_id", "turn", F.element_at(F.array(*forms), (F.col("turn") % 5 + 1).cast("int")).alias("reply"))
+
+
 def stream_windows(s: SparkSession, d: str) -> DataFrame:
     base = f"{folder(s)}/stream-{uuid.uuid4().hex}"
-    return run.drain(s, d, "events.parquet", read(s, d, "events"), lambda x: usage.minute_windows(x, "value"), "append", f"{base}/out", f"{base}/ck")
+    return run.drain(s, d, "events.parquet", read(s, d, "events"), lambda x: usage.minute_windows(x, "value").withColumn("tokens", F.round("tokens", 4)), "append", f"{base}/out", f"{base}/ck")
 
 
 def stream_rolling(s: SparkSession, d: str) -> DataFrame:
@@ -110,7 +113,7 @@ QUERIES = {
     "context_pack_chat": chat_contexts,
     "prompt_assemble": prompts,
     "llm_generate": lambda s, d: G.call_model(prompts(s, d), "query_id"),
-    "judge_parse": lambda s, d: s.createDataFrame(REPLIES, "id long, reply string").select("id", G.parse_scores(F.col("reply")).alias("x")).select("id", "x.*"),
+    "judge_parse": lambda s, d: replies(s, d).select("conv_id", "turn", G.parse_scores(F.col("reply")).alias("x")).select("conv_id", "turn", "x.*"),
     "judge_summary": lambda s, d: G.judge_summary(judged(s, d)),
     "judge_by_type": lambda s, d: G.judge_by_type(judged(s, d)),
     "sweep_summary": lambda s, d: G.sweep_summary(judged(s, d)),
@@ -170,7 +173,7 @@ ORACLES = {
     "context_pack": _CTX + "SELECT * FROM ctx",
     "context_pack_chat": S.with_("chat AS (SELECT conv_id || '-' || turn || '-' || role AS id, text AS answer FROM conversations)", _CUT.format("chat"), "cr AS (SELECT conv_id AS query_id, conv_id || '-' || turn || '-' || role AS doc_id, turn AS rank FROM conversations)", _PACK.format("cr")) + "SELECT * FROM ctx",
     "prompt_assemble": _CTX + "SELECT query_id, 'Question: ' || query_text || chr(10) || chr(10) || 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Answer in a few words.' AS prompt FROM ctx JOIN passages USING (query_id)",
-    "judge_parse": "SELECT * FROM (VALUES (1::BIGINT, 0.5::DOUBLE, 1.0::DOUBLE), (2, 1.0, 0.25), (3, 0, 0), (4, 0.75, 0), (5, 0, 0)) v(id, faithfulness, factual_correctness)",
+    "judge_parse": "SELECT conv_id, turn, CASE WHEN turn % 5 IN (0, 1, 3) THEN length(coalesce(text, '')) % 5 / 4.0::DOUBLE ELSE 0 END AS faithfulness, CASE WHEN turn % 5 IN (0, 1) THEN turn % 4 / 4.0::DOUBLE ELSE 0 END AS factual_correctness FROM conversations",
     "judge_summary": S.with_(_JUDGED) + "SELECT count(*) AS n, round(coalesce(avg(faithfulness), 0), 3) AS mean_faithfulness, round(coalesce(avg(factual_correctness), 0), 3) AS mean_factual, round(coalesce(avg((faithfulness + factual_correctness) / 2) FILTER (WHERE query_type <> 'chaos_monkey'), 0), 3) AS composite, round(coalesce(avg(factual_correctness) FILTER (WHERE query_type = 'chaos_monkey'), 0), 3) AS composite_chaos FROM j",
     "judge_by_type": S.with_(_JUDGED) + "SELECT query_type, count(*) AS n, round(avg(faithfulness), 3) AS faithfulness, round(avg(factual_correctness), 3) AS factual_correctness FROM j GROUP BY query_type",
     "sweep_summary": S.with_(_JUDGED) + "SELECT *, row_number() OVER (ORDER BY combined DESC, style, top_k) = 1 AS best FROM (SELECT style, top_k, count(*) AS n, round(avg(faithfulness), 3) AS faithfulness, round(avg(factual_correctness), 3) AS factual_correctness, round(median(latency_ms), 3) AS latency_p50, round(avg(tokens), 1) AS tokens, round(avg((faithfulness + factual_correctness) / 2), 6) AS combined FROM j GROUP BY style, top_k)",
@@ -193,6 +196,8 @@ ORACLES = {
     "star_set_ops": "SELECT 'intersect' AS op, count(*) AS n FROM (SELECT c_custkey FROM customer INTERSECT SELECT o_custkey FROM orders) UNION ALL SELECT 'difference', count(*) FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders) UNION ALL SELECT 'union', count(*) FROM (SELECT c_custkey FROM customer UNION SELECT o_custkey FROM orders)",
     "star_top_orders": S.with_(S.ranked("out", "SELECT o_custkey AS query_id, o_orderkey AS doc_id, o_totalprice AS score FROM orders", 3)) + "SELECT * FROM out",
     "stream_rolling": "SELECT event_id, count(*) OVER w AS window_requests, round(sum(value) OVER w, 4) AS window_tokens, count(*) OVER w >= 9 OR round(sum(value) OVER w, 4) > 240000 AS limited FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW)",
+    "stream_window": """SELECT make_timestamp(s * 1000000) AS start, make_timestamp((s + 60) * 1000000) AS "end", event_type, count(*) AS requests, round(sum(value), 4) AS tokens
+  FROM (SELECT event_type, value, epoch_us(ts) // 10000000 * 10 - 10 * i AS s FROM events, range(6) r(i)) GROUP BY ALL HAVING s + 60 <= (SELECT epoch_ms(max(ts)) / 1000.0::DOUBLE - 600 FROM events)""",
     "stream_dedupe": "SELECT DISTINCT event_id, event_type FROM events",
     "stream_days": "SELECT (CASE WHEN ts < TIMESTAMP '2024-03-10 10:00:00' OR ts >= TIMESTAMP '2024-11-03 09:00:00' THEN ts - INTERVAL 8 HOURS ELSE ts - INTERVAL 7 HOURS END)::DATE AS day, count(*) AS requests FROM events GROUP BY 1",
     "stream_cooldown": "SELECT user_id, max(ts + INTERVAL 60 SECONDS) AS until FROM events WHERE event_type = 'error' GROUP BY user_id",
