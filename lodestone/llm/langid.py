@@ -7,7 +7,8 @@ text's language is the one with the largest mean score over its words.
 Fitted on a bounded sample: about ``DOCS`` learnable documents of each language, drawn by a hash of the
 id, or fewer of each where that would make more than ``ALL_DOCS``; every language is learnt, and all words and
 n-grams of the sample are kept. Tables hold what was counted, (n-gram, language) by (n-gram, language); what
-was not counted has one frequency a language. Each text is scored whole. A word is a run of letters; numerals such as superscripts are none.
+was not counted has one frequency a language. Tables of few languages are also kept written out, which is only
+faster. Each text is scored whole. A word is a run of letters; numerals such as superscripts are none.
 
 Defined results: null, empty and letterless texts are ``und`` with score 0; ties go to the
 language first in code-point order; repeated rows are scored each; with nothing to learn from, every
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import ship, small_batches, table
 from .wordhash import parts
 
+#: Bytes up to which a table's rows are written out.
+FULL = 32_000_000
 DOCS, ALL_DOCS, ORDERS = 1500, 100_000, (5, 4, 3, 2, 1)
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Words whose scores a Python worker remembers, and bytes of those scores.
@@ -65,12 +68,25 @@ class Table(dict):
         total = np.bincount(self.langs, found, minlength=langs) + 0.5 * max(1, len(counts))
         self.logs = np.log((found + 0.5) / total[self.langs]).astype(np.float32)
         self.rest = np.log(0.5 / total).astype(np.float32)
+        self.write_out()
 
     def __reduce__(self):
         return _table, (dict(self), self.edges, self.langs, self.logs, self.rest)
 
+    def write_out(self) -> None:
+        self.full = None
+        if 4 * len(self) * len(self.rest) <= FULL:
+            self.full = np.tile(self.rest, (len(self), 1))
+            self.full[np.repeat(np.arange(len(self)), np.diff(self.edges)), self.langs] = self.logs
+
+    def mean(self, places: list[int]) -> np.ndarray:
+        """Mean log frequency of some grams in each language."""
+        return self.full[places].mean(axis=0) if self.full is not None else np.mean([self.scores(p) for p in places], axis=0)
+
     def scores(self, place: int) -> np.ndarray:
         """Log frequency of a gram in each language."""
+        if self.full is not None:
+            return self.full[place]
         out, a, b = self.rest.copy(), self.edges[place], self.edges[place + 1]
         out[self.langs[a:b]] = self.logs[a:b]
         return out
@@ -80,6 +96,7 @@ def _table(places: dict[str, int], *arrays: np.ndarray) -> Table:
     out = Table.__new__(Table)
     out.update(places)
     out.edges, out.langs, out.logs, out.rest = arrays
+    out.write_out()
     return out
 
 
@@ -97,7 +114,7 @@ class Model:
             table_ = self.grams[n]
             found = [row for i in range(len(padded) - n + 1) if (row := table_.get(padded[i : i + n])) is not None]
             if found:
-                return np.mean([table_.scores(row) for row in found], axis=0)
+                return table_.mean(found)
         return np.zeros(len(self.langs))
 
 

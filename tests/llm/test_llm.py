@@ -610,6 +610,15 @@ def test_langid_learns_every_language(spark):
     model = langid.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"))
     assert len(model.langs) == 1500 and len(model.words.logs) == 3000
     assert sum(t.logs.nbytes + t.langs.nbytes + t.rest.nbytes for t in [model.words, *model.grams.values()]) < 2_000_000
+    assert all(t.full is None or t.full.nbytes <= langid.FULL for t in [model.words, *model.grams.values()])
+    for table_ in [model.words, *model.grams.values()]:  # written out or not, rows and means are the same
+        places, full = list(range(0, len(table_), 97))[:5], table_.full
+        table_.full = None
+        sparse = [table_.scores(p) for p in places], table_.mean(places)
+        table_.full = np.tile(table_.rest, (len(table_), 1))
+        table_.full[np.repeat(np.arange(len(table_)), np.diff(table_.edges)), table_.langs] = table_.logs
+        assert all((a == table_.scores(p)).all() for a, p in zip(sparse[0], places)) and np.allclose(sparse[1], table_.mean(places), atol=1e-6)
+        table_.full = full
     got = langid.predict(spark.createDataFrame(train[:40], "doc_id long, text string, lang string"), model, ["lang"]).collect()
     assert all(r.lang == r.lang_pred for r in got)
 
