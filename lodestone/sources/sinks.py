@@ -114,6 +114,16 @@ def batch_sink(path: str, key: str | None = None):
     return write
 
 
+def append_batch(rows: DataFrame, path: str) -> DataFrame:
+    """Write ``rows`` as the next batch of ``path`` and return them as written."""
+    spark = rows.sparkSession
+    fs, Path = _fs(spark, path)
+    numbers = [int(s.getPath().getName()[6:]) for s in fs.listStatus(Path(path)) if s.getPath().getName().startswith("batch=")] if exists(spark, path) else []
+    mine = f"{path}/batch={max(numbers, default=-1) + 1}"
+    rows.write.parquet(mine)
+    return spark.read.schema(rows.schema).parquet(mine)
+
+
 def batches(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
     """The rows of all batches that were written whole (those with smaller numbers than ``before``); null if
     there are none."""
