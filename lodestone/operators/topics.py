@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
+from itertools import accumulate
 from uuid import uuid4
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import any_signal
+from ..session import ship
 from ..sources.scratch import drop_at_exit, folder
 
 #: Order of rules, order of labels, weights and thresholds.
@@ -30,7 +34,9 @@ def entities(docs: DataFrame, text: str, patterns: dict[str, list[str]], small:
     leftmost. Terms of any number of tokens match. Marks between words do not count, unless the term has
     marks itself ("c++", ".net", "k-means"): then they stand in the text as in the term, and where two terms
     have the same tokens, the longer one wins. A term without a token matches nothing, one under two labels
-    takes the first. The dictionary is a parameter held by the driver; up to ``small`` terms are broadcast."""
+    takes the first. The dictionary is a parameter held by the driver: up to ``small`` terms go to every task as
+    one automaton, which finds all of them in one pass over a text; of a larger one, every run of tokens that
+    is as long as a term is joined with it."""
     spark = docs.sparkSession
     terms = {}
     for label, listed in patterns.items():
@@ -40,10 +46,10 @@ def entities(docs: DataFrame, text: str, patterns: dict[str, list[str]], small:
                 terms.setdefault(t.lower(), (" ".join(tokens), len(tokens), label))
     # lead: marks before the first token; body: the rest of a term with marks, null for one of plain words.
     marked = {t: re.match(r"\W*", t).end() for t, (key, _, _) in terms.items() if key != t}
+    if terms and len(terms) <= small:
+        return _scanned(docs, text, terms, marked)
     known = spark.createDataFrame([(key, t, label, t[:marked[t]] if t in marked else None, t[marked[t]:] if t in marked else None) for t, (key, _, label) in terms.items()], "key string, term string, label string, lead string, body string")
-    known = F.broadcast(known) if len(terms) <= small else known
-    low, word = F.lower(text), r"[\p{L}\p{N}_]"
-    rows = docs.select("id", F.regexp_extract_all(low, F.lit(f"{word}+"), F.lit(0)).alias("ws"), F.concat(F.array(F.regexp_extract(low, rf"^[^\p{{L}}\p{{N}}_]*", 0)), F.regexp_extract_all(low, F.lit(rf"{word}+[^\p{{L}}\p{{N}}_]*"), F.lit(0))).alias("raw"))
+    rows = _tokens(docs, text)
 
     def spans(n: int) -> DataFrame:
         starts = F.sequence(F.lit(1), F.greatest(F.size("ws") - n + 1, F.lit(1)))
@@ -63,6 +69,59 @@ def entities(docs: DataFrame, text: str, patterns: dict[str, list[str]], small:
     return per.select("id", F.explode(kept).alias("e")).select("id", F.col("e.pos").alias("pos"), F.col("e.term").alias("term"), F.col("e.label").alias("label"))
 
 
+def _tokens(docs: DataFrame, text: str) -> DataFrame:
+    """(id, ws, raw): a text's tokens, and what stands before the first and each token with the marks after it."""
+    low, word, mark = F.lower(text), r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
+    return docs.select("id", F.regexp_extract_all(low, F.lit(f"{word}+"), F.lit(0)).alias("ws"), F.concat(F.array(F.regexp_extract(low, f"^{mark}*", 0)), F.regexp_extract_all(low, F.lit(f"{word}+{mark}*"), F.lit(0))).alias("raw"))
+
+
+def _scanned(docs: DataFrame, text: str, terms: dict[str, tuple[str, int, str]], marked: dict[str, int]) -> DataFrame:
+    """The entities of a dictionary that fits an automaton over tokens between blanks. terms: term -> (tokens
+    joined by blanks, their number, label); marked: terms with marks -> length of those before the first token."""
+    ship(docs.sparkSession)
+    by_key: dict[str, list[tuple[int, str, str, int | None]]] = {}
+    for term, (key, n, label) in terms.items():
+        by_key.setdefault(f" {key} ", []).append((n, term, label, marked.get(term)))
+    rows = _tokens(docs, text) if marked else _tokens(docs, text).withColumn("raw", F.lit(None).cast("array<string>"))
+    kind = dict(docs.dtypes)["id"]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for key, held in by_key.items():
+            machine.add_word(key, (len(key), held))
+        machine.make_automaton()
+        for batch in batches:
+            at, pos, names, labels = [], [], [], []
+            for i, (ws, raw) in enumerate(zip(batch.column("ws").to_pylist(), batch.column("raw").to_pylist())):
+                found = []
+                if ws:
+                    starts = dict(zip(accumulate([1, *(len(w) + 1 for w in ws[:-1])]), range(len(ws))))
+                    for end, (size, held) in machine.iter(" " + " ".join(ws) + " "):
+                        p = starts[end - size + 2]
+                        for n, term, label, lead in held:
+                            if lead is None or "".join(raw[p + 1 : p + 1 + n]).startswith(term[lead:]) and raw[p].endswith(term[:lead]):
+                                found.append((-n, p, -len(term), term, label))
+                taken: list[tuple[int, int]] = []
+                for neg, p, _, term, label in sorted(found):
+                    if all(p >= b or p - neg <= a for a, b in taken):
+                        taken.append((p, p - neg))
+                        at.append(i)
+                        pos.append(p)
+                        names.append(term)
+                        labels.append(label)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at, pa.int64())), pa.array(pos, pa.int32()), pa.array(names, pa.string()), pa.array(labels, pa.string())], ["id", "pos", "term", "label"])
+
+    return rows.mapInArrow(find, f"id {kind}, pos int, term string, label string")
+
+
+def title_variants(patterns: dict[str, list[str]]) -> dict[str, list[str]]:
+    """Each term as it is and without its blanks. Upper and lower case are one in matching, so a title's capitals
+    need no variant of their own."""
+    return {label: list(dict.fromkeys(x for t in listed for x in (t, t.replace(" ", "")))) for label, listed in patterns.items()}
+
+
 def tag(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs (id, ...) with entities in order, the first as primary."""
     lists = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "term", "label"))).alias("_e"))
@@ -330,6 +389,14 @@ def subtopics(points: DataFrame, least: int = 40, parts: int = 2, rounds: int =
     return placed.select("id", "topic", F.col("s").alias("subtopic"))
 
 
+def subtopic_keywords(docs: DataFrame, placed: DataFrame, text: str, k: int = 5) -> DataFrame:
+    """(topic, subtopic, rank, term, score): the words that set each subtopic apart, all subtopics of all topics
+    being the classes. placed: (id, topic, subtopic)."""
+    rows = docs.join(placed.select("id", F.struct("topic", "subtopic").alias("_class")), "id")
+    found = ctfidf(rows, "_class", text, k)
+    return found.select("_class.topic", "_class.subtopic", "rank", "term", "score")
+
+
 def concept_notes(docs: DataFrame, terms: DataFrame, text: str = "answer") -> DataFrame:
     """(id, note): a note naming the first three, by name, of the given terms that a document holds."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9_]{2,}"), F.lit(0)))

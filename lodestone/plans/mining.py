@@ -79,6 +79,7 @@ QUERIES = {
     "silhouette": lambda s, d: Z.silhouette(vectors(s, d)),
     "cluster_quality": lambda s, d: Z.cluster_quality(vectors(s, d)),
     "outlier_reassign": lambda s, d: Z.reassign_outliers(assignments(s, d), vectors(s, d)),
+    "subtopic_keywords": lambda s, d: Z.subtopic_keywords(corpus(s, d), Z.subtopics(vectors(s, d).filter("v is not null")), "answer"),
     "kmeans_topics": lambda s, d: Z.cluster(vectors(s, d), 10),
     "density_topics": lambda s, d: density.density_topics(vectors(s, d)),
     "ctfidf_terms": lambda s, d: Z.ctfidf(corpus(s, d).join(vectors(s, d).select("id", "topic"), "id"), "topic", "answer"),

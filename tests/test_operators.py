@@ -448,6 +448,24 @@ def test_blocks_skipped_on_given_tables(spark):
     assert found.first.count() + found.later.count() < 0.7 * found.bounded.count()
 
 
+def test_automaton_finds_what_the_join_finds(spark):
+    rng = random.Random(8)
+    bits = ["c", "C++", "c++", ".NET", "net", "k-means", "k means", "kmeans", "vs", "code", "vs code", "é", "x_1", ",", "!", "  "]
+    docs = spark.createDataFrame([(i, rng.choice([None, "", " ".join(rng.choice(bits) for _ in range(rng.randint(0, 30)))])) for i in range(200)], "id long, t string")
+    patterns = topics.title_variants({"LANGUAGE": ["c", "C++", ".net", "é"], "TOOL": ["vs code", "code vs code", "k-means", "x_1"], "CONCEPT": ["k means", "net", "c"]})
+    assert patterns["TOOL"] == ["vs code", "vscode", "code vs code", "codevscode", "k-means", "x_1"]
+    both = [sorted(map(tuple, topics.entities(docs, "t", patterns, small).collect())) for small in (1000, 0)]
+    assert both[0] == both[1] and len(both[0]) > 500
+    assert "Generate" not in topics.entities(docs, "t", patterns)._jdf.queryExecution().toString()
+
+
+def test_subtopic_keywords_are_those_of_the_classes(spark):
+    docs = spark.createDataFrame([(i, f"common word{i % 4} word{i % 4} other{i}") for i in range(40)], "id long, t string")
+    placed = spark.createDataFrame([(i, i % 2, i % 4 // 2) for i in range(40)], "id long, topic int, subtopic int")
+    got = topics.subtopic_keywords(docs, placed, "t", 1).collect()
+    assert sorted((r.topic, r.subtopic, r.term) for r in got) == [(0, 0, "word0"), (0, 1, "word2"), (1, 0, "word1"), (1, 1, "word3")]
+
+
 def test_quarantine(spark):
     docs = spark.createDataFrame([("1", "q", "a", "c"), ("2", " ", "a", None)], "id string, question string, answer string, course string")
     good, bad = audit.quarantine(docs, ["id", "question", "answer", "course"])
