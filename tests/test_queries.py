@@ -1,4 +1,4 @@
-"""Every registered query against its DuckDB twin on the smallest tables."""
+"""Every registered query against its DuckDB twin, on tables in which columns of all kinds hold nulls."""
 
 import datetime
 import decimal
@@ -10,7 +10,7 @@ import pytest
 
 from lodestone.plans import registry
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 def plain(v):
@@ -50,4 +50,5 @@ def test_query_matches_twin(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_query_runs(spark, name):
-    assert registry.QUERIES[name](spark, SF).count() >= 0
+    """Queries without a twin give rows; their operators are tested against plain versions elsewhere."""
+    assert registry.QUERIES[name](spark, SF).count() > 0
