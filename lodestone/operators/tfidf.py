@@ -13,6 +13,12 @@ MIN_DF, MAX_DF_SHARE = 2, 0.85
 #: Successive ids that are sorted together.
 RUN_BITS = 16
 TOP, BRIDGE_TOP, UNIQUE_TOP, PAIR_TOP = 50, 25, 25, 10
+#: Most rows of groups' term lists that are sent to every task; longer ones are joined by a shuffle.
+SMALL_LISTS = 100_000
+
+
+def _small(lists: DataFrame) -> DataFrame:
+    return F.broadcast(lists) if lists.count() <= SMALL_LISTS else lists
 
 
 def words(text: Column, stop: Iterable[str] = ()) -> Column:
@@ -115,7 +121,7 @@ def cooccurrence(docs: DataFrame, tops: DataFrame, by: str, text: str, k: int =
     """Mean over pairs of a group's first k terms of the share of its documents that hold both (as
     substrings). Each document counts m found terms as m(m-1)/2 pairs; no pairs are formed."""
     lists = tops.filter(F.col("rank") <= k).groupBy(by).agg(F.collect_list("term").alias("terms"))
-    rows = docs.join(F.broadcast(lists), by)  # at most k terms per group
+    rows = docs.join(_small(lists), by)
     lower = F.lower(text)
     m = F.size(F.filter("terms", lambda t: F.contains(lower, t)))
     pairs = F.size("terms") * (F.size("terms") - 1) / 2
@@ -156,7 +162,7 @@ def best_chunks(docs: DataFrame, tops: DataFrame, by: str, text: str, k: int = P
     """For each group's first k terms, the document that holds the term most often (first id wins), with
     the place of the first occurrence."""
     lists = tops.filter(F.col("rank") <= k).select(by, "term")
-    rows = docs.select(by, "id", F.lower(text).alias("t")).join(F.broadcast(lists), by)  # at most k terms per group
+    rows = docs.select(by, "id", F.lower(text).alias("t")).join(_small(lists), by)
     held = rows.withColumn("n", ((F.length("t") - F.length(F.replace("t", "term", F.lit("")))) / F.length("term")).cast("long")).filter("n > 0")
     best = held.groupBy(by, "term").agg(F.max(F.struct("n", (-F.col("id")).alias("neg"))).alias("b"))
     return best.select(by, "term", (-F.col("b.neg")).alias("id"), F.col("b.n").alias("occurrences"))
