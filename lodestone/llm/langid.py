@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import ship, small_batches, table
 from .wordhash import parts
 
-#: Bytes up to which a table's rows are written out.
-FULL = 32_000_000
+#: Bytes up to which a table's rows are written out; languages up to which their sizes go to every task.
+FULL, SMALL_LANGS = 32_000_000, 100_000
 DOCS, ALL_DOCS, ORDERS = 1500, 100_000, (5, 4, 3, 2, 1)
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Words whose scores a Python worker remembers, and bytes of those scores.
@@ -159,7 +159,10 @@ def fit(docs: DataFrame, docs_per_lang: int = DOCS, all_docs: int = ALL_DOCS) ->
     ship(docs.sparkSession)
     docs = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
     sizes = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
-    each = min(docs_per_lang, max(1, all_docs // max(1, sizes.count())))
+    langs_ = sizes.count()
+    each = min(docs_per_lang, max(1, all_docs // max(1, langs_)))
+    # A row a language: sent to every task where these are few, so that no text moves before it is drawn.
+    sizes = F.broadcast(sizes) if langs_ <= SMALL_LANGS else sizes
     drawn = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 20)) < F.least(F.lit(1.0), each / F.col("_n")) * (1 << 20)
     sample = docs.select("doc_id", "text", "lang").join(sizes, "lang").filter(drawn)
     counted = sample.select("text", "lang").mapInPandas(_word_counts, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
