@@ -649,6 +649,62 @@ def test_langid_scores_match_brute_force(spark):
         assert np.allclose(model.score_word(word), want if want is not None else [0, 0], atol=1e-5), word
 
 
+def plain_features(text):
+    """A text's features, byte by byte."""
+    marks = ".,;:!?|#*%$&@/\\-_=+<>()[]{}\"'`~^"
+    raw = list((text or "").encode())
+
+    def kind(b):
+        c = chr(b)
+        if b < 128 and c.isalpha():
+            return 0 if c.islower() else 1
+        if b < 128 and c.isdigit():
+            return 2
+        if b < 128:
+            return 3 if c in " \t\x0b\x0c\r" else 4 if c == "\n" else 7 + marks.index(c) if c in marks else 7 + len(marks)
+        return 5 if b >= 192 else 6
+
+    if not raw:
+        return [0.0] * quality.FEATURES
+    kinds = 8 + len(marks)
+    ks = [kind(b) for b in raw]
+    one, two = collections.Counter(ks), collections.Counter(zip(ks, ks[1:]))
+    out = [math.sqrt(one[i] / len(ks)) for i in range(kinds)] + [math.sqrt(two[i, j] / max(1, len(ks) - 1)) for i in range(kinds) for j in range(kinds)]
+    words, lines = bytes(raw).split(), [x for x in bytes(raw).split(b"\n") if x.strip()]
+    w, sizes, after = len(words), [len(x) for x in words], list(zip(words, words[1:]))
+    mean = sum(sizes) / w if w else 0
+    return out + [
+        math.log1p(len(raw)) / 10, math.log1p(w) / 10, mean / 10, math.sqrt(sum((x - mean) ** 2 for x in sizes) / w) / 10 if w else 0, len(set(words)) / w if w else 0,
+        len(set(after)) / (w - 1) if w > 1 else 1, len(set(words)) / math.sqrt(w) / 10 if w else 0, len(set(lines)) / len(lines) if lines else 1,
+        math.log1p(w / max(1, len(lines))) / 10, min(1.0, max(sizes) / 100) if w else 0, sum(a == b for a, b in after) / (w - 1) if w > 1 else 0, 1.0,
+    ]
+
+
+def test_quality_scores_match_brute_force(spark):
+    """Scores anew from bytes and the fitted numbers; the fitted numbers have a lower risk than none and than the same dealt anew."""
+    texts = [None, "", " \n ", "One sentence, plainly put.", "a a a a!!! $$$\n\nb", "Ünï çødé 漢字 \U0001f600\t7", "x" * 300, "line\nline\nother 12 (3) [4] {5} ~ ^"]
+    train = [(i, (" ".join(["Good text, well written."] * (1 + i % 4)) if i % 3 else "bad bad !!! $$$ " * (1 + i % 5))) for i in range(240)]
+    docs, marks = spark.createDataFrame(train, "doc_id long, text string"), spark.createDataFrame([(i, 1) for i in range(1, 200) if i % 3 == 1], "doc_id long, quality int")
+    model = quality.fit(docs, marks)
+    got = quality.predict(spark.createDataFrame(list(enumerate(texts)), "k long, text string"), model, ["k"]).collect()
+    for r in got:
+        z = [max(-6, min(6, (x - m) / s)) for x, m, s in zip(plain_features(texts[r.k]), model.mean, model.scale)]
+        want = 1 / (1 + math.exp(-max(-30, min(30, sum(a * b for a, b in zip(z, model.weights)) + model.bias))))
+        assert abs(r.score - want) < 1e-4 and r.predicted == int(r.score >= 0.5)
+    rows = lambda keep: np.clip((np.array([plain_features(t) for i, t in train if keep(i)]) - model.mean) / model.scale, -6, 6)
+    pos, unl = rows(lambda i: i < 200 and i % 3 == 1), rows(lambda i: True)
+    prior = quality.estimated_prior(np.array([plain_features(t) for i, t in train if i < 200 and i % 3 == 1], dtype=np.float32), np.array([plain_features(t) for _, t in train], dtype=np.float32))
+
+    def risk(w, b):
+        loss = lambda x, y: np.log1p(np.exp(-y * np.clip(x @ w + b, -30, 30))).mean()
+        return prior * loss(pos, 1) + max(0.0, loss(unl, -1) - prior * loss(pos, -1)) + 0.5 * quality.DECAY * (w @ w)
+
+    rng = np.random.default_rng(1)
+    assert 0.4 < prior < 0.95
+    least = risk(model.weights, model.bias)
+    assert least < risk(0 * model.weights, math.log(prior / (1 - prior))) and all(least < risk(rng.permutation(model.weights), model.bias) for _ in range(20))
+
+
 def test_quality_scores_do_not_depend_on_labels_of_the_other_class(spark):
     docs = spark.createDataFrame([(i, ("Good text, well written. " if i % 2 else "bad bad !!! $$$ ") * (1 + i % 5)) for i in range(300)], "doc_id long, text string")
     marks = [(i, 1) for i in range(1, 120, 2)]
