@@ -22,6 +22,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import groupby
 from typing import NamedTuple
 
 import numpy as np
@@ -150,20 +151,18 @@ def _pairs(held: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(edges), pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["start", "end"]))
 
 
-def loss_text(formatted: str, loss: list[bool], spans: np.ndarray) -> str:
+def loss_text(formatted: str, loss: np.ndarray, spans: np.ndarray) -> str:
     """Text under the loss mask, unescaped turn by turn. Tokens that share a character (its bytes are split
     between them) count it once."""
-    out: list[str] = []
-    edges = {t.start: t.end for t in read_back(formatted)}
-    held: list[str] = []
-    at, stop = 0, 0
-    for start, end in spans[np.asarray(loss, dtype=bool)].tolist():
-        if start >= stop:  # another turn
-            out.append(unescape("".join(held)))
-            held, stop, at = [], edges.get(start, start), start
-        held.append(formatted[max(at, start) : end])
-        at = max(at, end)
-    return "".join([*out, unescape("".join(held))])
+    held = spans[np.asarray(loss, dtype=bool)]
+    if not len(held):
+        return ""
+    turn = np.searchsorted([t.start for t in read_back(formatted)], held[:, 0], side="right")
+    reach = np.maximum.accumulate(held[:, 1])
+    # Runs of tokens without a gap, within a turn.
+    first = np.flatnonzero(np.concatenate([[True], (held[1:, 0] > reach[:-1]) | (turn[1:] != turn[:-1])]))
+    runs = zip(turn[first].tolist(), held[first, 0].tolist(), reach[np.append(first[1:], len(held)) - 1].tolist())
+    return "".join(unescape("".join(formatted[a:b] for _, a, b in mine)) for _, mine in groupby(runs, lambda r: r[0]))
 
 
 def digests(chats: DataFrame) -> DataFrame:
@@ -177,11 +176,12 @@ def digests(chats: DataFrame) -> DataFrame:
             spans = batch.column("spans")
             pairs = np.stack([spans.flatten().field(i).to_numpy() for i in (0, 1)], axis=1)
             edges = np.concatenate([[0], np.cumsum(spans.value_lengths().to_numpy(zero_copy_only=False))])
-            for i, (text, loss) in enumerate(zip(batch.column("formatted").to_pylist(), batch.column("loss").to_pylist())):
+            masks = batch.column("loss").flatten().to_numpy(zero_copy_only=False)
+            for i, text in enumerate(batch.column("formatted").to_pylist()):
                 turns, whole = read_back(text), hashlib.sha256()
                 for t in turns:
                     whole.update(f"{t.role}\n{unescape(text[t.start : t.end])}\n".encode("utf-8", "surrogatepass"))
-                kept = loss_text(text, loss, pairs[edges[i] : edges[i + 1]])
+                kept = loss_text(text, masks[edges[i] : edges[i + 1]], pairs[edges[i] : edges[i + 1]])
                 out.append((len(turns), whole.hexdigest(), len(kept), hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest(), len(text)))
             n, whole, chars, sha, size = map(list, zip(*out))
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.array(n, pa.int64()), pa.array(whole), pa.array(chars, pa.int64()), pa.array(sha), pa.array(size, pa.int64())], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
