@@ -442,6 +442,24 @@ def test_keyword_index_matches_plain_scores_and_skips_blocks(spark, boosts, must
     assert scored.count() == scored.distinct().count() < found.bounded.count()
 
 
+@pytest.mark.parametrize("boosts,must", [({"a": 1.0}, []), ({"a": 2.0, "b": 1.0}, []), ({"b": 1.0}, ["lang"])])
+def test_scan_gives_the_same_rows_and_shuffles_no_pairs(spark, boosts, must):
+    """Shards meet blocks of queries in a task: k rows a query and shard leave it, not a row a (query, block)."""
+    rng = random.Random(6)
+    text = lambda n: " ".join(rng.choice("abcdefghijklmnop") + rng.choice("xyz") for _ in range(n))
+    docs = [{"id": i, "a": rng.choice([None, "", text(rng.randint(1, 8))]), "b": text(rng.randint(0, 40)), "lang": rng.choice(["en", "de", None])} for i in range(300)]
+    docs += [dict(docs[7], id=1000 + i) for i in range(12)]  # ties
+    queries = [{"query_id": i, "query_text": rng.choice([None, "nothing here", text(1), text(3), text(12) + " ax ax"]), "lang": rng.choice(["en", "de", None])} for i in range(25)]
+    df = spark.createDataFrame([tuple(d.values()) for d in docs], "id long, a string, b string, lang string")
+    asked = spark.createDataFrame([tuple(q.values()) for q in queries], "query_id long, query_text string, lang string")
+    index = keyword.build_index(df, ["a", "b"], attributes=["lang"], chars=3000)
+    assert index.shards > 5
+    got = sorted(map(tuple, keyword.scan_index(index, asked, 5, boosts, must, block=10).collect()))
+    want = plain_bm25(docs, queries, 5, boosts, must)
+    assert [r[:3] for r in got] == [r[:3] for r in want] and all(abs(a[3] - b[3]) < 2e-6 for a, b in zip(got, want))
+    assert index.lists.filter("field >= 0").groupBy("shard", "field", "term").count().filter("count > 1").count() == 0
+
+
 def test_blocks_skipped_on_given_tables(spark):
     sf = "/root/testdata/sf0.01"
     found = keyword.search_index(keyword_index(spark, sf), known_items(spark, sf), 10, {"answer": 1.0}, blocks=4)
