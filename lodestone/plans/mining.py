@@ -9,6 +9,7 @@ from ..operators import density
 from ..operators import tfidf as W
 from ..operators import topics as Z
 from ..operators.corpus import corpus, known_items, passages, read, vectors
+from ..sources.scratch import kept
 from . import sql as S
 
 #: A dictionary of words that the test tables hold.
@@ -23,7 +24,7 @@ def fitted(s: SparkSession, d: str) -> DataFrame:
 
 
 def tops(s: SparkSession, d: str, k: int = W.TOP) -> DataFrame:
-    return W.top_terms(fitted(s, d), "section", k)
+    return kept(W.top_terms(fitted(s, d), "section", k))
 
 
 def groups(s: SparkSession, d: str) -> int:
