@@ -482,6 +482,18 @@ def test_scan_gives_the_same_rows_and_shuffles_no_pairs(spark, boosts, must):
     assert index.lists.filter("field >= 0").groupBy("shard", "field", "term").count().filter("count > 1").count() == 0
 
 
+def test_scan_reads_shards_and_queries_where_they_lie(spark):
+    """Neither the index nor a copy of the queries a shard is shuffled; a part of the shards keeps k rows a query."""
+    docs = spark.range(400).selectExpr("id", "concat('w', id % 7, ' w', id % 5) AS a", "'en' AS lang")
+    index = keyword.build_index(docs, ["a"], attributes=["lang"], chars=60)
+    assert index.shards > 30 and index.docs.count() == 400
+    want = spark.createDataFrame([(0, [1], ["w1"])], "_q int, query_id array<long>, terms array<string>")
+    met = keyword._met(index, want, [0], [0])
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan and met.count() == index.shards
+    assert met.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism * want.rdd.getNumPartitions()
+
+
 def test_blocks_skipped_on_given_tables(spark):
     sf = "/root/testdata/sf0.01"
     found = keyword.search_index(keyword_index(spark, sf), known_items(spark, sf), 10, {"answer": 1.0}, blocks=4)
