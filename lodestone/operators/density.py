@@ -16,10 +16,12 @@ hundred points at most, are then chosen on the driver by their excess of mass.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from uuid import uuid4
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,16 +61,17 @@ def neighbours(points: DataFrame, k: int) -> DataFrame:
 
 def _least_outside(points: DataFrame, asked: DataFrame) -> DataFrame:
     """The least edge (id, lo, hi, w) from each of ``asked`` to a point of another component; both (id, v, core,
-    comp). Blocks of either side meet; a task holds two blocks and returns a row a point."""
-    a_parts, p_parts = (max(1, -(-df.count() // BLOCK_ROWS)) for df in (asked, points))
-    left = asked.select("id", "v", "core", "comp", F.pmod(F.xxhash64("id"), F.lit(a_parts)).cast("int").alias("_a"), F.explode(F.sequence(F.lit(0), F.lit(p_parts - 1))).alias("_p"))
-    right = points.select(*[F.col(c).alias(f"{c}2") for c in ("id", "v", "core", "comp")], F.pmod(F.xxhash64("id"), F.lit(p_parts)).cast("int").alias("_p"), F.explode(F.sequence(F.lit(0), F.lit(a_parts - 1))).alias("_a"))
+    comp). Blocks of either side meet where they lie; a task holds two blocks and returns a row a point."""
+    from .retrieval import blocks, matrix, met
+
+    left = blocks(asked.select("id", "v", "core", "comp"), "id", BLOCK_ROWS)
+    right = blocks(points.select(*[F.col(c).alias(f"{c}2") for c in ("id", "v", "core", "comp")]), "id2", BLOCK_ROWS)
 
     def search(ask: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
         out: list[pd.DataFrame] = []
         if len(ask) and len(have):
             have = have.sort_values("id2")
-            unit = lambda v: (m := np.stack(v.to_list()).astype(float)) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+            unit = lambda v: (m := np.stack(v.to_list())) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
             x, y, core, ids, comp = unit(ask["v"]), unit(have["v2"]), have["core2"].to_numpy(), have["id2"].to_numpy(), have["comp2"].to_numpy()
             for i in range(0, len(ask), 512):
                 part = ask.iloc[i : i + 512]
@@ -82,7 +85,14 @@ def _least_outside(points: DataFrame, asked: DataFrame) -> DataFrame:
                 out.append(pd.DataFrame({"id": mine, "lo": np.minimum(mine, other), "hi": np.maximum(mine, other), "w": best})[some])
         return pd.concat(out) if out else pd.DataFrame({"id": np.zeros(0, "int64"), "lo": np.zeros(0, "int64"), "hi": np.zeros(0, "int64"), "w": np.zeros(0)})
 
-    found = left.groupBy("_a", "_p").cogroup(right.groupBy("_a", "_p")).applyInPandas(search, _EDGE)
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1)
+                side = lambda end: pd.DataFrame({f"{c}{end}": list(matrix(row.column(f"v{end}"))) if c == "v" else row.column(f"{c}{end}")[0].values.to_numpy(zero_copy_only=False) for c in ("id", "v", "core", "comp")})  # noqa: B023, E731
+                yield pa.RecordBatch.from_pandas(search(side(""), side("2")), preserve_index=False)
+
+    found = met(left, right).mapInArrow(pairs, _EDGE)
     return found.groupBy("id").agg(F.min(F.struct("w", "lo", "hi")).alias("e")).select("id", "e.lo", "e.hi", "e.w")
 
 

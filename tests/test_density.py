@@ -110,3 +110,16 @@ def test_few_points(spark):
     for rows in ([], [(1, [1.0, 0.0])], [(1, [1.0, 0.0]), (2, [1.0, 0.0])]):
         got = density.density_topics(spark.createDataFrame(rows, "id long, v array<double>"), 2, 1).collect()
         assert len(got) == len(rows) and all(r.topic == -1 for r in got)
+
+
+def test_blocks_meet_where_they_lie(spark):
+    """No vector is copied or shuffled a block of the other side."""
+    from lodestone.operators.retrieval import blocks, met
+
+    points = spark.range(50).selectExpr("id", "array(double(id), 1.0) AS v", "id % 3 AS _k_l")
+    left, right = blocks(points, "id", 4, "_k_l"), blocks(points.selectExpr("id AS id2", "v AS w", "_k_l AS _k_r"), "id2", 9, "_k_r")
+    pairs = met(left, right, "_k")
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    rows = pairs.selectExpr("explode(arrays_zip(id)) AS a", "id2").selectExpr("a.id", "explode(id2) AS id2")
+    assert rows.distinct().count() == rows.count() == 17 * 17 + 17 * 17 + 16 * 16
