@@ -27,6 +27,8 @@ GENERIC = ["error", "homework", "course", "model", "project", "issue"]
 SMALL_DICTIONARY = 100_000
 #: Most topics whose vectors are sent to every task.
 MOST_TOPICS = 10_000
+#: Most terms that a note's documents are searched for row by row; for more, words are joined with them.
+NOTE_TERMS = 1000
 
 
 def entities(docs: DataFrame, text: str, patterns: dict[str, list[str]], small: int = SMALL_DICTIONARY) -> DataFrame:
@@ -399,7 +401,15 @@ def subtopic_keywords(docs: DataFrame, placed: DataFrame, text: str, k: int = 5)
 
 def concept_notes(docs: DataFrame, terms: DataFrame, text: str = "answer") -> DataFrame:
     """(id, note): a note naming the first three, by name, of the given terms that a document holds."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9_]{2,}"), F.lit(0)))
-    held = docs.select("id", F.explode(words).alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    lists = held.groupBy("id").agg(F.slice(F.sort_array(F.collect_list("term")), 1, 3).alias("t"))
+    few = terms.select("term").distinct().orderBy("term").limit(NOTE_TERMS + 1).collect()
+    if len(few) > NOTE_TERMS:
+        words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9_]{2,}"), F.lit(0)))
+        held = docs.select("id", F.explode(words).alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+        lists = held.groupBy("id").agg(F.slice(F.sort_array(F.collect_set("term")), 1, 3).alias("t"))
+    else:
+        # Few terms are looked up among a document's words, so that three of them leave its row.
+        wanted = F.array(*[F.lit(r.term) for r in few]).cast("array<string>")
+        words = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9_]{2,}"), F.lit(0))
+        own = docs.select("id", F.slice(F.sort_array(F.array_intersect(words, wanted)), 1, 3).alias("t")).filter(F.size("t") > 0)
+        lists = own.groupBy("id").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("t")))), 1, 3).alias("t"))
     return lists.select("id", F.concat(F.lit("Concepts: "), F.array_join("t", ", ")).alias("note"))
