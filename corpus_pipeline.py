@@ -16,6 +16,8 @@ from lodestone.llm.langid import held_out
 
 #: Near duplicates: shingles of five words, similarity of 0.8.
 NEAR_GRAM, NEAR_SHARE = 5, (80, 100)
+#: Words whose ids a packing task remembers; executors hold the memory of earlier stages by then.
+PACKING_WORDS = 300_000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +64,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences. Null and empty texts are the end id alone; repeated rows are packed each."""
     small_batches(spark)
-    return packing.pack(docs.select("doc_id", "text"), packing.vocabulary())
+    return packing.pack(docs.select("doc_id", "text"), packing.vocabulary(), remembered=PACKING_WORDS)
 
 
 STAGES = [

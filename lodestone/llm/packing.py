@@ -181,12 +181,12 @@ class FirstFit:
         return bin_, fill
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
-    """docs: (doc_id, text). One row per piece, before packing."""
+def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int = END_ID, remembered: int = CACHE_WORDS) -> DataFrame:
+    """docs: (doc_id, text). One row per piece, before packing. ``remembered``: words whose ids a task remembers."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # One encoder a task: a worker process that goes on to other work keeps no words.
-        encoder, end = WordEncoder(tokenizer_path), int(end_id).to_bytes(4, "little")
+        encoder, end = WordEncoder(tokenizer_path, remembered), int(end_id).to_bytes(4, "little")
         for batch in parts(batches):
             ids, at = batch.column(0).to_pylist(), 0
             for texts in batched([t or "" for t in batch.column(1).to_pylist()]):
@@ -207,11 +207,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: i
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int = END_ID, group_docs: int = GROUP_DOCS, seed: int = 17) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int = END_ID, group_docs: int = GROUP_DOCS, seed: int = 17, remembered: int = CACHE_WORDS) -> DataFrame:
     """Pieces with sequence_id and offset. sequence_id: the group's number times 2^32 plus the bin's. Rows of
     one doc_id, or of none, are dealt to groups like any others, each by its place in the table."""
     groups = parts_for(docs.count(), group_docs)
-    cut = pieces(docs, tokenizer_path, length, end_id)
+    cut = pieces(docs, tokenizer_path, length, end_id, remembered)
     cut = cut.withColumn("_g", F.pmod(F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1)), F.monotonically_increasing_id()), F.lit(groups)))
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:

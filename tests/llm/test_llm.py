@@ -822,3 +822,13 @@ def test_gram_hashes():
             assert seen.setdefault(tuple(x[i : i + k].tolist()), v) == v
         assert len(set(seen.values())) == len(seen)
     assert len(wordhash.grams(x[:3], 5)) == 0
+
+
+def test_packing_does_not_depend_on_the_words_remembered(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"word{j % 97}x{i % 13}, Aa{j}" for j in range(60))) for i in range(40)], "doc_id long, text string")
+    rows = [sorted(map(tuple, packing.pack(docs, packing.vocabulary(), remembered=n).collect())) for n in (20, packing.CACHE_WORDS)]
+    assert rows[0] == rows[1] and len(rows[0]) == 40
+    encoder = packing.WordEncoder(packing.vocabulary(), 1000)
+    for i in range(30):
+        encoder.encode([" ".join(f"abc{i}x{j}" for j in range(100))])
+        assert len(encoder.known) + len(encoder.before) <= 1600
