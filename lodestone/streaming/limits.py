@@ -30,7 +30,8 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 class _Rolling(StatefulProcessor):
     """Events wait until the watermark has reached their millisecond, as an earlier one may still come; then each is counted
-    with those of its last seconds. An entry leaves once no waiting or coming event can reach back to it."""
+    with those of its last seconds. An entry leaves once no waiting or coming event can reach back to it. A key has a timer
+    at its earliest waiting event, not one an event: whichever fires settles all that the watermark has passed."""
 
     def __init__(self, seconds: int):
         self.reach = seconds * 1_000_000
@@ -40,13 +41,13 @@ class _Rolling(StatefulProcessor):
         self.held = handle.getListState("held", "us long, event_id long, tokens double, waits boolean")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        due: set[int] = set()
+        due: list[int] = []
         for frame in rows:
             tokens = [None if pd.isna(t) else float(t) for t in frame["tokens"]]
             self.held.appendList([(int(u), int(i), t, True) for u, i, t in zip(frame["us"], frame["event_id"], tokens)])
-            due |= {int(u) // 1000 for u in frame["us"]}
-        for at in due:
-            self.handle.registerTimer(at)
+            due.append(int(frame["us"].min()) // 1000)
+        if due:
+            self.handle.registerTimer(min(due))
         return iter([])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
@@ -64,6 +65,8 @@ class _Rolling(StatefulProcessor):
             out.append((event, int(b - a), round(float(sums[b] - sums[a]), 4) if known[b] > known[a] else None))
         kept = [(r[0], r[1], r[2], r[3] and r[0] > passed) for r in held if r[0] > passed - self.reach - 1]
         self.held.put(kept) if kept else self.held.clear()
+        if waiting := [r[0] for r in kept if r[3]]:
+            self.handle.registerTimer(min(waiting) // 1000)
         yield pd.DataFrame({"event_id": [x[0] for x in out], "window_requests": [x[1] for x in out], "window_tokens": pd.array([x[2] for x in out], dtype="Float64")})
 
     def close(self) -> None:

@@ -5,6 +5,7 @@ import random
 import sys
 import uuid
 
+import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
@@ -42,6 +43,42 @@ def test_rolling_stream_equals_the_batch_window(spark, tmp_path):
     assert sorted(map(tuple, got.filter("event_id != 9999").collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_a_key_has_one_timer_not_one_an_event():
+    class Held(list):
+        def appendList(self, rows):
+            self.extend(rows)
+
+        def get(self):
+            return iter(list(self))
+
+        def put(self, rows):
+            self[:] = rows
+
+    class Handle:
+        def __init__(self):
+            self.timers, self.held = [], Held()
+
+        def getListState(self, name, schema):
+            return self.held
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class Passed:
+        def getCurrentWatermarkInMs(self):
+            return 500
+
+    handle, state = Handle(), limits._Rolling(60)
+    state.init(handle)
+    us = [i * 1000 for i in range(1, 1001)]
+    list(state.handleInputRows((1,), iter([pd.DataFrame({"us": us, "event_id": range(1000), "tokens": 1.0})]), None))
+    assert handle.timers == [1]
+    got = pd.concat(state.handleExpiredTimer((1,), Passed(), None))
+    assert got["event_id"].tolist() == list(range(500)) and got["window_requests"].tolist() == list(range(1, 501))
+    assert handle.timers == [1, 501]  # the next waiting event's
+    assert list(state.handleExpiredTimer((1,), Passed(), None)) == [] and handle.timers == [1, 501]
+
+
 def client(provider, prompt, attempt):
     """A client that fails as its prompt says."""
     fails = {"limit": 1, "limit twice": 2, "broken": 9, "slip": 1}.get(prompt, 0)
