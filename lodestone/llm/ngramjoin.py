@@ -259,10 +259,15 @@ def jaccard_components(docs: DataFrame, k: int = GRAM, share: tuple[int, int] =
         if tried is not None:
             pairs = pairs.join(tried, ["lo", "hi"], "left_anti")
         pairs = materialize(pairs, "shingle-pairs", used)
+        # Without pairs or links nothing changes, and the driver plans nothing more.
+        if pairs.isEmpty():
+            return remove(spark, step)
         new = materialize(verified(pairs.select("a", "b", "s")), "shingle-links", used)
         remove(spark, step)
         seen = pairs.select("lo", "hi")
         tried = seen if tried is None else tried.unionByName(seen)
+        if new.isEmpty():
+            return
         links = new if links is None else links.unionByName(new)
         linked = components(links)
         labels = materialize(members.join(linked, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "shingle-labels")
@@ -275,6 +280,9 @@ def jaccard_components(docs: DataFrame, k: int = GRAM, share: tuple[int, int] =
             open_ = open_.drop("lead").join(best, "token")
         # Written first: the join then stands on plain exchanges, whose hot parts Spark splits.
         open_ = materialize(open_, "shingle-leads", step)
+        if open_.isEmpty():  # every large group is one component, and stays so
+            remove(spark, step)
+            break
         pairs = now.join(open_.select("token", F.col("lead.id").alias("a"), F.col("lead.n").alias("nb"), F.col("lead.p").alias("pb"), F.col("lead.component").alias("other")), "token")
         pairs = pairs.filter("component != other").withColumnsRenamed({"n": "na", "p": "pa", "id": "b"}).filter(_fits(share))
         settle(pairs.groupBy("a", "b").agg(_salted(F.max("c")).alias("s")))
@@ -289,6 +297,8 @@ def jaccard_components(docs: DataFrame, k: int = GRAM, share: tuple[int, int] =
     right = now.select("token", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("part"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("component").alias("cb"))
     settle(left.join(right, ["token", "part"]).filter("a < b and ca != cb").filter(_fits(share)).groupBy("a", "b").agg(F.max("s").alias("s")))
 
+    if links is None:
+        labels = materialize(labels, "shingle-labels")
     remove(spark, used)
     named = classes.join(labels, "id", "left").select("h1", "h2", "class_id", F.coalesce("component", "id").alias("component"))
     least = materialize(named.groupBy("component").agg(F.min("class_id").alias("component_id")), "shingle-least")

@@ -832,3 +832,13 @@ def test_packing_does_not_depend_on_the_words_remembered(spark):
     for i in range(30):
         encoder.encode([" ".join(f"abc{i}x{j}" for j in range(100))])
         assert len(encoder.known) + len(encoder.before) <= 1600
+
+
+def test_rounds_without_pairs_or_links_plan_no_components(spark, monkeypatch):
+    called = []
+    monkeypatch.setattr(ngramjoin, "components", lambda edges: called.append(1) or components.components(edges))
+    apart = [(i, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(5)]
+    got = lambda rows: {r.doc_id: r.component_id for r in ngramjoin.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, (85, 100)).collect()}
+    assert got(apart) == {i: i for i in range(5)} and called == []
+    linked = [*apart, (9, f"{apart[2][1]} end"), (10, f"{apart[2][1]} stop"), (11, apart[0][1])]
+    assert got(linked) == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 9: 2, 10: 2, 11: 0} and len(called) == 1
