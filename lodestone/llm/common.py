@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship, small_batches  # noqa: F401
-from ..sources.scratch import drop_at_exit
+from ..sources.scratch import drop, drop_at_exit
 from ..sources.scratch import folder as scratch_dir
 
 #: A word, in every operator that counts or shingles words.
@@ -54,9 +54,7 @@ def remove(spark: SparkSession, used: list[str]) -> None:
     for path in used:
         if called := _named.pop(path, None):
             spark.sql(f"DROP TABLE IF EXISTS {called}")
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    used.clear()
+    drop(spark, used)
 
 
 def hidden(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:

@@ -22,7 +22,7 @@ from lodestone.functions import text as T
 from lodestone.operators import ablation, audit, dedup, evaluation, generate, keyword, retrieval, sampling, tfidf, topics
 from lodestone.operators.corpus import corpus, keyword_index, known_items, passages, vectors
 from lodestone.plans import operations
-from lodestone.sources import scans, sinks
+from lodestone.sources import scans, scratch, sinks
 
 SF = "/root/testdata/sf0.001"
 
@@ -589,3 +589,17 @@ def test_plans_push_down_and_limit_early(spark):
     assert "WindowGroupLimit" in filtered._jdf.queryExecution().executedPlan().toString()
     lean = corpus(spark, SF).filter("section = 'src1'").select("id")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(source,src1)" in lean and "ReadSchema: struct<doc_id:bigint,source:string>" in lean
+
+
+def test_searches_leave_their_ranked_rows_alone_in_scratch(spark, tmp_path, monkeypatch):
+    vecs, asked, index = vectors(spark, SF), known_items(spark, SF), keyword_index(spark, SF)
+    for module in (scratch, keyword):
+        monkeypatch.setattr(module, "folder", lambda _: str(tmp_path))
+    answer = {"question": 0.0, "answer": 1.0}
+    for search in (lambda: retrieval.search("hybrid_rrf", corpus(spark, SF), vecs, asked, index=index), lambda: retrieval.bm25(index, asked, 10, answer), lambda: retrieval.bm25(corpus(spark, SF), asked, 10, answer)):
+        before = {p.name for p in tmp_path.iterdir()}
+        rows = search()
+        new = [p for p in tmp_path.iterdir() if p.name not in before]
+        # Two lists of a fusion, one of a plain search: no blocks of vectors or queries, no index of its own.
+        assert len(new) == (2 if not before else 1) and all({"rank", "doc_id"} <= set(spark.read.parquet(str(p)).columns) for p in new)
+        assert rows.count() > 0
