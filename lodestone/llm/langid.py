@@ -24,7 +24,6 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,12 +47,13 @@ def words_of(text: str) -> list[str]:
     return words
 
 
-def _word_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
         counts: Counter = Counter()
-        for text, lang in zip(frame["text"], frame["lang"]):
+        for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             counts.update((lang, w) for w in words_of(text))
-        yield pd.DataFrame([(lang, w, n) for (lang, w), n in counts.items()], columns=["lang", "gram", "n"])
+        langs, words = zip(*counts) if counts else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(counts.values(), pa.int64())], names=["lang", "gram", "n"])
 
 
 class Table(dict):
@@ -165,7 +165,7 @@ def fit(docs: DataFrame, docs_per_lang: int = DOCS, all_docs: int = ALL_DOCS) ->
     sizes = F.broadcast(sizes) if langs_ <= SMALL_LANGS else sizes
     drawn = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 20)) < F.least(F.lit(1.0), each / F.col("_n")) * (1 << 20)
     sample = docs.select("doc_id", "text", "lang").join(sizes, "lang").filter(drawn)
-    counted = sample.select("text", "lang").mapInPandas(_word_counts, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    counted = sample.select("text", "lang").mapInArrow(_word_counts, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(counted.column("lang").unique().to_pylist())
     at = {lang: i for i, lang in enumerate(langs)}
     words: dict[str, dict[int, int]] = {}

@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,10 +58,9 @@ def _rate(lam: Column, size: Column, mean: Column, cap: float) -> Column:
 
 def _given(cells: DataFrame, **values: Sequence) -> DataFrame:
     """cells with a column for each list of values, one value to a source's number ``_s``."""
-    names = list(values)
-    kinds = ", ".join(f"{n} {'long' if all(isinstance(v, int) for v in values[n]) else 'double'}" for n in names)
-    rows = [(i, *v) for i, v in enumerate(zip(*values.values()))]
-    small = cells.sparkSession.createDataFrame(rows, f"_s int, {kinds}")  # at most MAX_SOURCES rows
+    columns = {n: pa.array(v, pa.int64() if all(isinstance(x, int) for x in v) else pa.float64()) for n, v in values.items()}
+    # At most MAX_SOURCES rows; a table of Arrow's reaches the JVM without Python workers on the executors.
+    small = cells.sparkSession.createDataFrame(pa.table({"_s": pa.array(range(len(next(iter(values.values())))), pa.int32()), **columns}))
     return cells.join(F.broadcast(small), "_s")
 
 
@@ -112,7 +112,7 @@ def mix_plan(slim: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = CAP
     found.sort(key=lambda r: (r[0] is None, r[0] or ""))
     names, sizes, counts = [r[0] for r in found], [int(r[1]) for r in found], [int(r[2]) for r in found]
     targets = waterfill(sizes, [weights[i % len(weights)] for i in range(len(names))], cap)
-    known = slim.sparkSession.createDataFrame([(n, i) for i, n in enumerate(names)], "_name string, _s int")  # at most MAX_SOURCES rows
+    known = slim.sparkSession.createDataFrame(pa.table({"_name": pa.array(names, pa.string()), "_s": pa.array(range(len(names)), pa.int32())}))  # at most MAX_SOURCES rows
     placed = lambda df: df.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
     cells = placed(cells)
     lam = solve_tilts(cells, sizes, counts, targets, cap)

@@ -17,8 +17,8 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -214,23 +214,23 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int
     cut = pieces(docs, tokenizer_path, length, end_id, remembered)
     cut = cut.withColumn("_g", F.pmod(F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1)), F.monotonically_increasing_id()), F.lit(groups)))
 
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
-        bins, placed = FirstFit(len(group), length), []
+    def fit(group: pa.Table) -> pa.Table:
+        order = [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")]
+        group = group.take(pc.sort_indices(group, sort_keys=order))
+        bins, placed = FirstFit(group.num_rows, length), []
         full = 0
-        for n in group["length"]:
+        for n in group["length"].to_pylist():
             if n == length:
                 placed.append((full, 0))
                 full += 1
             else:
-                b, at = bins.add(int(n))
+                b, at = bins.add(n)
                 placed.append((full + b, at))
-        base = int(group["_g"].iloc[0]) << 32
-        group["sequence_id"] = [base + b for b, _ in placed]
-        group["offset"] = [at for _, at in placed]
-        return group.drop(columns="_g")
+        base = group["_g"][0].as_py() << 32
+        group = group.append_column("sequence_id", pa.array([base + b for b, _ in placed], pa.int64()))
+        return group.append_column("offset", pa.array([at for _, at in placed], pa.int64())).drop_columns("_g")
 
-    return cut.groupBy("_g").applyInPandas(fit, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return cut.groupBy("_g").applyInArrow(fit, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def vocabulary() -> str:

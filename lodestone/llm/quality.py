@@ -22,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -166,12 +165,12 @@ def _sampled(df: DataFrame, most: int, salt: str) -> DataFrame:
 
 
 def _collect(df: DataFrame) -> np.ndarray:
-    def vectors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "f": [features(t).tobytes() for t in frame["text"]]})
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], names=["doc_id", "f"])
 
     one = df.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    found = one.mapInPandas(vectors, "doc_id long, f binary").toArrow()
+    found = one.mapInArrow(vectors, "doc_id long, f binary").toArrow()
     out = np.empty((found.num_rows, FEATURES), dtype=np.float32)
     for row, f in zip(out, found.column("f")):
         row[:] = np.frombuffer(f.as_buffer(), dtype=np.float32)

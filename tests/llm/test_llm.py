@@ -5,7 +5,10 @@ import hashlib
 import math
 import random
 import re
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -842,3 +845,15 @@ def test_rounds_without_pairs_or_links_plan_no_components(spark, monkeypatch):
     assert got(apart) == {i: i for i in range(5)} and called == []
     linked = [*apart, (9, f"{apart[2][1]} end"), (10, f"{apart[2][1]} stop"), (11, apart[0][1])]
     assert got(linked) == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 9: 2, 10: 2, 11: 0} and len(called) == 1
+
+
+def test_mixing_sends_its_numbers_without_python_workers(spark):
+    cells = spark.createDataFrame([(0, 3, 2), (1, 4, 1)], "_s int, size long, n long")
+    given = mixing._given(cells, _lam=[0.5, 1e9], _offset=[1, 2])
+    assert given.filter("_s = 1").first().asDict() == {"_s": 1, "size": 4, "n": 1, "_lam": 1e9, "_offset": 2}
+    assert "LocalTableScan [_s" in given._jdf.queryExecution().executedPlan().toString().replace("#", " ")
+
+
+def test_workers_of_the_pipeline_load_no_pandas():
+    code = "import sys; from lodestone.llm import linededup, mixing, ngramjoin, packing, quality; sys.exit('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[2]).returncode == 0
