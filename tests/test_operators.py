@@ -603,3 +603,36 @@ def test_searches_leave_their_ranked_rows_alone_in_scratch(spark, tmp_path, monk
         # Two lists of a fusion, one of a plain search: no blocks of vectors or queries, no index of its own.
         assert len(new) == (2 if not before else 1) and all({"rank", "doc_id"} <= set(spark.read.parquet(str(p)).columns) for p in new)
         assert rows.count() > 0
+
+
+def test_longest_matches_are_those_of_difflib():
+    """Texts of any alphabet, from 200 characters on, with edits and moved pieces: the ratio of difflib, or none below the threshold."""
+    rng = random.Random(11)
+    found = 0
+    for _ in range(400):
+        letters = rng.choice(["abcdefghijklmnopqrstuvwxyz 0123456789", "ab ", "abcdefgh" + "".join(map(chr, range(0x4E00, 0x4E00 + rng.choice([5, 400]))))])
+        text = rng.choices(letters, [rng.choice([1, 1, 20, 60]) for _ in letters], k=rng.choice([200, 201, 260, 700]))
+        other = list(text)
+        for _ in range(rng.choice([0, 1, 3, 10, 40])):
+            at = rng.randrange(len(other))
+            other[at : at + rng.randint(0, 2)] = rng.choices(letters, k=rng.randint(0, 2)) if rng.random() < 0.8 else text[at : at + 20]
+        for a, b in (("".join(text), "".join(other)), ("".join(other), "".join(text))):
+            ratio = SequenceMatcher(None, a, b).ratio()
+            for threshold in (0.5, 0.95, ratio or 0.1):
+                want = ratio if ratio >= threshold else None
+                assert dedup.ratio_from(a, b, threshold, dedup.Matches(b) if len(b) >= 200 else None) == want
+                found += want is not None
+    assert found > 500
+
+
+def test_tiles_hold_many_texts_and_compare_few(monkeypatch):
+    """Texts of one language that are not alike are told apart by marks of their runs: they never reach a comparison."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(4000)]
+    texts = [" ".join(rng.choices(words[:60], k=60) + rng.choices(words, k=90)) for _ in range(150)]
+    texts.append(texts[7] + " x")
+    compared, own = [], dedup.ratio_from
+    monkeypatch.setattr(dedup, "ratio_from", lambda *a: compared.append(a) or own(*a))
+    got = dedup._tile(pd.DataFrame({"id": range(151), "text": texts, "side": [0] * 151}), 0.95)
+    assert got[["a", "b"]].values.tolist() == [[7, 150]] and len(compared) < 5
+    assert dedup.TILE_DOCS >= 512  # a tile's texts are dealt to a task once for each other tile
