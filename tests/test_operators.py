@@ -636,3 +636,23 @@ def test_tiles_hold_many_texts_and_compare_few(monkeypatch):
     got = dedup._tile(pd.DataFrame({"id": range(151), "text": texts, "side": [0] * 151}), 0.95)
     assert got[["a", "b"]].values.tolist() == [[7, 150]] and len(compared) < 5
     assert dedup.TILE_DOCS >= 512  # a tile's texts are dealt to a task once for each other tile
+
+
+def test_one_of_several_columns_is_block_products(spark, monkeypatch):
+    """must and should as columns, nulls and repeated ids included: the plain loop's rows, and no row a pair."""
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 40)
+    rng = random.Random(8)
+    pick = lambda: (rng.choice(["a", None]), rng.choice([0, 1, None]), rng.choice(["s", "t", "u", None]))
+    rows = [(i % 190, [rng.gauss(0, 1) for _ in range(4)], *pick()) for i in range(200)]
+    ask = [(i, [rng.gauss(0, 1) for _ in range(4)], *pick()) for i in range(30)] + [(30, [0.0] * 4, "a", 0, "s"), (31, [1.0] * 4, "z", 0, "s")]
+    cosine = lambda a, b: round(sum(x * y for x, y in zip(a, b)) / (math.sqrt(sum(x * x for x in a) * sum(x * x for x in b)) or 1.0), 6)
+    frames = spark.createDataFrame(rows, "id long, v array<double>, lang string, topic int, section string"), spark.createDataFrame(ask, "query_id long, v array<double>, lang string, topic int, section string")
+    for threshold in (None, 0.2):
+        want = []
+        for q, v, lang, *keys in ask:
+            found = sorted((-cosine(v, w), i) for i, w, l, *own in rows if l == lang and any(x == y for x, y in zip(own, keys)))
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate([x for x in found if threshold is None or -x[0] >= threshold][:7])]
+        got = retrieval.knn(*frames, 7, threshold, must=["lang"], should=["topic", "section"])
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+        assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, retrieval.knn(*frames, 3, must=["lang"], should=[]).collect())) == sorted(map(tuple, retrieval.knn(*frames, 3, must=["lang"]).collect()))
